@@ -1,10 +1,11 @@
 """Queries and SQL of the training-data operators."""
 
+from .media import op5_media
 from .mixing import op8_mix
 from .pii import op7_pii
 from .quality import op10_quality
 from .toxicity import op9_toxicity
 from .urls import OP3_SQL, op3_url
 
-QUERIES = {"op3_url": op3_url, "op7_pii": op7_pii, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op3_url": op3_url, "op5_media": op5_media, "op7_pii": op7_pii, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 SQL = {"op3_url": OP3_SQL}
