@@ -6,7 +6,7 @@ selection of the AC coefficients, and a second bit of successive approximation f
 inverse-transforms them, upsamples the chroma and returns a full-resolution RGB tensor.
 
 A payload is kept without loss in the format's own unit: byte k of a block of 64 is its k-th
-coefficient in zigzag order (DC: the byte; AC: 256 + the byte, so never 0).  A null or empty
+coefficient in zigzag order of the luma (DC: the byte; AC: 256 + the byte, so never 0).  A null or empty
 text is one padded unit.  Every row is independent; repeated rows get equal values.
 """
 
@@ -43,9 +43,11 @@ def _inverse() -> np.ndarray:
 
 ZIGZAG = _zigzag()
 INVERSE = _inverse()
-#: (components, Ss, Se, Ah, Al) of each scan
+#: (components, Ss, Se, Ah, Al) of each scan, for pictures
 SCRIPT = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((1,), 1, 63, 0, 1), ((2,), 1, 63, 0, 1), ((0,), 6, 63, 0, 1),
           ((0, 1, 2), 0, 0, 1, 0), ((0,), 1, 63, 1, 0), ((1,), 1, 63, 1, 0), ((2,), 1, 63, 1, 0)]
+#: The same for payloads, which leave the chroma flat: scans that aren't there add nothing.
+PAYLOAD_SCRIPT = [((0, 1, 2), 0, 0, 0, 0), ((0,), 1, 63, 0, 1), ((0,), 1, 63, 1, 0)]
 
 
 def bit_size(v: np.ndarray) -> np.ndarray:
@@ -73,9 +75,21 @@ def pack(values: np.ndarray, lengths: np.ndarray) -> bytes:
     return data.tobytes().replace(b"\xff", b"\xff\x00")
 
 
+def pack_bits(bits: np.ndarray) -> bytes:
+    """Single bits, filled with ones, FF stuffed."""
+    data = np.packbits(bits)
+    if len(bits) & 7:
+        data[-1] |= (1 << (8 - (len(bits) & 7))) - 1
+    return data.tobytes().replace(b"\xff", b"\xff\x00")
+
+
+def bits_of(value: int, n: int) -> list[int]:
+    return [value >> i & 1 for i in range(n - 1, -1, -1)]
+
+
 def table_for(symbols: np.ndarray):
     """A Huffman table of equal code lengths for the symbols that occur; -> (counts, symbols, code by symbol, length)."""
-    used = np.unique(symbols)
+    used = np.flatnonzero(np.bincount(symbols, minlength=1))
     n = max(1, int(len(used)).bit_length())  # the code of all ones stays free
     counts = [0] * 16
     counts[n - 1] = len(used)
@@ -94,8 +108,14 @@ def signed_bits(v: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def first_ac(z: np.ndarray, ss: int, se: int, al: int):
-    """First pass over an AC band: (symbols, extra bits, their number)."""
+    """First pass over an AC band: table bytes and entropy-coded bytes."""
     band = z[:, ss : se + 1]
+    low = int(band.min()) >> al
+    if low > 0 and (n := (int(band.max()) >> al).bit_length()) == low.bit_length() <= 15:
+        # Dense band of one size: one symbol, so a zero bit and then the value's own bits.
+        grid = np.zeros((band.size, n + 1), np.uint8)
+        grid[:, 1:] = np.unpackbits((band.ravel() >> al).astype(">u2").view(np.uint8)).reshape(-1, 16)[:, 16 - n :]
+        return bytes([1] + [0] * 15 + [n]), pack_bits(grid.ravel())
     band = np.sign(band) * (np.abs(band) >> al)
     block, k = np.nonzero(band)
     v = band[block, k]
@@ -113,24 +133,21 @@ def first_ac(z: np.ndarray, ss: int, se: int, al: int):
     bits = np.concatenate([zeros, signed_bits(v, size), np.zeros(len(ends), np.int64)])
     width = np.concatenate([zeros, size, np.zeros(len(ends), np.int64)])
     order = np.argsort(places, kind="stable") if len(ends) or len(zeros) else slice(None)
-    return sym[order], bits[order], width[order]
+    return coded(sym[order], bits[order], width[order])
 
 
 def refine_ac(z: np.ndarray, ss: int, se: int, al: int):
-    """Later pass over an AC band; -> values and lengths to be packed, with the table's bytes."""
+    """Later pass over an AC band: table bytes and entropy-coded bytes."""
     band = np.abs(z[:, ss : se + 1]) >> al
     if (band != 1).all():
         # No coefficient appears anew: runs of ended blocks, each followed by their correction bits.
-        sym, parts = [], []
-        for a in range(0, len(band), 32767):
-            n = len(part := band[a : a + 32767])
-            e = n.bit_length() - 1
-            sym.append(e << 4)
-            parts.append((n - (1 << e), e, part[part > 1] & 1))
-        counts, used, code, w = table_for(np.array(sym, dtype=np.int64))
-        values = [np.r_[np.uint64(int(code[s]) << e | r), p.astype(np.uint64)] for s, (r, e, p) in zip(sym, parts)]
-        lengths = [np.r_[w + e, np.ones(len(p), np.int64)] for r, e, p in parts]
-        return counts + used, np.concatenate(values), np.concatenate(lengths)
+        parts = [band[a : a + 32767] for a in range(0, len(band), 32767)]
+        exps = [len(p).bit_length() - 1 for p in parts]
+        counts, used, code, w = table_for(np.array(exps, dtype=np.int64) << 4)
+        bits = []
+        for p, e in zip(parts, exps):
+            bits += [np.array(bits_of(int(code[e << 4]) << e | len(p) - (1 << e), w + e), np.uint8), (p[p > 1] & 1).astype(np.uint8)]
+        return counts + used, pack_bits(np.concatenate(bits))
     items = []  # (symbol, bits, number of bits) with correction bits behind
     for row, src in zip(band, z[:, ss : se + 1]):
         run, held, last = 0, [], np.flatnonzero(row == 1)
@@ -152,7 +169,7 @@ def refine_ac(z: np.ndarray, ss: int, se: int, al: int):
     counts, used, code, w = table_for(np.array([s for s, _ in items], dtype=np.int64))
     values = [x for s, b in items for x in (int(code[s]), *b)]
     lengths = [x for s, b in items for x in (w, *[1] * len(b))]
-    return counts + used, np.array(values, np.uint64), np.array(lengths)
+    return counts + used, pack(np.array(values, np.uint64), np.array(lengths))
 
 
 def segment(marker: int, body: bytes) -> bytes:
@@ -165,17 +182,17 @@ def order_420(mcus_wide: int, mcus_high: int) -> np.ndarray:
     return (((2 * y)[:, None] + [0, 0, 1, 1]) * 2 * mcus_wide + (2 * x)[:, None] + [0, 1, 0, 1]).ravel()
 
 
-def encode(luma: np.ndarray, cb: np.ndarray, cr: np.ndarray, wide: int, high: int) -> bytes:
+def encode(luma: np.ndarray, cb: np.ndarray, cr: np.ndarray, wide: int, high: int, script=SCRIPT) -> bytes:
     """Zigzag coefficient blocks (luma in raster order, 2 x 2 for each chroma block) -> progressive file."""
     planes, mcu = [luma, cb, cr], order_420(wide, high)
     out = [b"\xff\xd8", segment(0xDB, b"\x00" + b"\x01" * 64)]
     out.append(segment(0xC2, struct.pack(">BHHB", 8, 16 * high, 16 * wide, 3) + b"\x01\x22\x00\x02\x11\x00\x03\x11\x00"))
-    for comps, ss, se, ah, al in SCRIPT:
+    for comps, ss, se, ah, al in script:
         if ss == 0:
             dc = np.empty((wide * high, 6), np.int64)
             dc[:, :4], dc[:, 4], dc[:, 5] = luma[mcu, 0].reshape(-1, 4) >> al, cb[:, 0] >> al, cr[:, 0] >> al
             if ah:
-                body = pack((dc & 1).ravel(), np.ones(dc.size, np.int64))
+                body = pack_bits((dc & 1).ravel().astype(np.uint8))
             else:
                 diff = np.empty_like(dc)
                 flat = dc[:, :4].ravel()
@@ -185,11 +202,10 @@ def encode(luma: np.ndarray, cb: np.ndarray, cr: np.ndarray, wide: int, high: in
                 head, body = coded(size, signed_bits(d, size), size)
                 out.append(segment(0xC4, b"\x00" + head))
         elif ah:
-            head, values, lengths = refine_ac(planes[comps[0]], ss, se, al)
+            head, body = refine_ac(planes[comps[0]], ss, se, al)
             out.append(segment(0xC4, b"\x10" + head))
-            body = pack(values, lengths)
         else:
-            head, body = coded(*first_ac(planes[comps[0]], ss, se, al))
+            head, body = first_ac(planes[comps[0]], ss, se, al)
             out.append(segment(0xC4, b"\x10" + head))
         out.append(segment(0xDA, bytes([len(comps)]) + b"".join(bytes([c + 1, 0]) for c in comps) + bytes([ss, se, ah << 4 | al])) + body)
     return b"".join(out) + b"\xff\xd9"
@@ -256,11 +272,17 @@ def decode_ac_first(bits: Bits, codes, z: np.ndarray, rows: np.ndarray, ss: int,
         # One symbol, no run: every coefficient takes the same number of bits.
         c, s, n = codes[0][1], codes[0][2], len(rows) * (se - ss + 1)
         grid = bits.all()[: n * (c + s)].reshape(n, c + s)
-        wide = np.zeros((n, 16), np.uint8)
-        wide[:, 16 - s :] = grid[:, c:]
-        v = np.packbits(wide, axis=1).view(">u2").astype(np.int64).reshape(n)
-        v = np.where(v < (1 << (s - 1)), v - (1 << s) + 1, v)
-        z[rows, ss : se + 1] = (v << al).reshape(len(rows), -1)
+        if s <= 8:
+            v = np.packbits(grid[:, c:], axis=1).reshape(n).astype(np.int16) >> (8 - s)
+        else:
+            wide = np.zeros((n, 16), np.uint8)
+            wide[:, 16 - s :] = grid[:, c:]
+            v = np.packbits(wide, axis=1).view(">u2").reshape(n).astype(np.int16)
+        if not grid[:, c].all():  # the first bit of a value tells its sign
+            v = np.where(grid[:, c] > 0, v, v - (1 << s) + 1)
+        v <<= al
+        where = slice(0, len(z)) if len(rows) == len(z) else rows
+        z[where, ss : se + 1] = v.reshape(len(rows), -1)
         return
     w = bits.windows()
     sym, length = lookup(codes, w)
@@ -323,11 +345,14 @@ def decode_ac_later(bits: Bits, codes, z: np.ndarray, rows: np.ndarray, ss: int,
                 p += run
                 correct(rows[i], slice(k, se + 1))
                 if n > 1:
-                    ended = rows[i + 1 : i + n]
+                    ended = slice(i + 1, i + n) if len(rows) == len(z) else rows[i + 1 : i + n]
                     cells = z[ended, ss : se + 1]
                     live = cells != 0
                     m = int(live.sum())
-                    cells[live] += np.where(b[p : p + m] > 0, np.sign(cells[live]) * one, 0)
+                    if m == cells.size and (cells > 0).all():
+                        cells = cells + (b[p : p + m] * np.int16(one)).reshape(cells.shape)
+                    else:
+                        cells[live] += np.where(b[p : p + m] > 0, np.sign(cells[live]) * one, 0)
                     z[ended, ss : se + 1] = cells
                     p += m
                 i += n
@@ -368,7 +393,7 @@ def coefficients(data: bytes):
             wide, high = -(-width // (8 * hm)), -(-height // (8 * vm))
             for p in parts:
                 h, v = p[1] >> 4, p[1] & 15
-                planes.append({"id": p[0], "h": h, "v": v, "wide": wide * h, "high": high * v, "used": (-(-(-(-width * h // hm)) // 8), -(-(-(-height * v // vm)) // 8)), "z": np.zeros((wide * h * high * v, 64), np.int64), "q": p[2]})
+                planes.append({"id": p[0], "h": h, "v": v, "wide": wide * h, "high": high * v, "used": (-(-(-(-width * h // hm)) // 8), -(-(-(-height * v // vm)) // 8)), "z": np.zeros((wide * h * high * v, 64), np.int16), "q": p[2]})
         elif marker == 0xDA:
             comps = [(next(p for p in planes if p["id"] == body[1 + 2 * i]), body[2 + 2 * i]) for i in range(body[0])]
             ss, se, approx = body[1 + 2 * body[0] : 4 + 2 * body[0]]
@@ -403,7 +428,7 @@ def scan(bits: Bits, comps, tables, ss, se, ah, al, wide, high) -> None:
         for k, where in slots:
             part, z = got[:, j : j + where.shape[1]].ravel(), comps[k][0]["z"]
             if ah:
-                z[where.ravel(), 0] |= part.astype(np.int64) << al
+                z[where.ravel(), 0] |= part.astype(np.int16) << al
             else:
                 z[where.ravel(), 0] = np.cumsum(part) << al
             j += where.shape[1]
@@ -438,29 +463,22 @@ def padded(raw: bytes) -> bytes:
 
 
 def store(payload: bytes) -> bytes:
-    """Payload of whole units -> progressive file with the payload's bytes as coefficients."""
+    """Payload of whole units -> progressive file with the payload's bytes as luma coefficients."""
     n = len(payload) // 64
-    mcus = -(-n // 6)
+    mcus = -(-n // 4)
     wide = int(np.ceil(np.sqrt(mcus)))
     high = -(-mcus // wide)
-    z = np.zeros((wide * high * 6, 64), np.int64)
+    z = np.zeros((wide * high * 4, 64), np.int16)
     z[:n] = np.frombuffer(payload, np.uint8).reshape(n, 64)
     z[:, 1:] += 256
-    z = z.reshape(-1, 6, 64)
-    luma = np.empty((wide * high * 4, 64), np.int64)
-    luma[order_420(wide, high)] = z[:, :4].reshape(-1, 64)
-    return encode(luma, z[:, 4], z[:, 5], wide, high)
+    flat = np.zeros((wide * high, 64), np.int16)
+    return encode(z, flat, flat, wide, high, PAYLOAD_SCRIPT)
 
 
 def fetch(data: bytes, size: int):
     """Stored file -> (payload of ``size`` bytes, RGB tensor)."""
     width, height, planes = coefficients(data)
-    wide, high = width // 16, height // 16
-    z = np.empty((wide * high, 6, 64), np.int64)
-    z[:, :4] = planes[0]["z"][order_420(wide, high)].reshape(-1, 4, 64)
-    z[:, 4], z[:, 5] = planes[1]["z"], planes[2]["z"]
-    z[:, :, 1:] -= 256
-    return z.astype(np.uint8).tobytes()[:size], pixels(width, height, planes)
+    return planes[0]["z"].astype(np.uint8).tobytes()[:size], pixels(width, height, planes)
 
 
 def feature(rgb: np.ndarray) -> str:
