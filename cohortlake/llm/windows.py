@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sketch
@@ -52,44 +52,62 @@ def partials(docs: DataFrame, n: int, width: int, depth: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, sketch.SCHEMA)
 
 
-def estimated(docs: DataFrame, n: int, passed, width: int, depth: int) -> DataFrame:
-    """Windows that the sketch lets pass: (h, g, doc_id, pos)."""
+def settle(h, g, d, p):
+    """Of one task's windows: (those still open, those that a smaller doc_id in this task has)."""
+    order = np.lexsort((d, g, h))
+    h, g, d, p = h[order], g[order], d[order], p[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+    least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    known = d > least
+    return (h[~known], g[~known], d[~known], p[~known]), (d[known], p[known])
+
+
+def estimated(docs: DataFrame, n: int, passed, width: int, depth: int, unit: int = 1_500_000) -> DataFrame:
+    """Windows that the sketch lets pass: (h, g, doc_id, pos), or (doc_id, known) for settled positions.
+
+    Of the windows that a task has read several times, only its least doc_id is sent on; the
+    rest are settled on the spot.  A window in a third of all documents is one row a task.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, keep = Windows(n), sketch.Filter(passed.value, width, depth)
+        out, size = [], 0
         for b in batches:
-            out, size = [], 0
             for d, t in zip(b.doc_id, b.text):
                 h = own.first(t)
                 at = np.flatnonzero(keep(h))
                 if len(at):
                     out.append((h[at].view(np.int64), own.second(t)[at], np.full(len(at), d, np.int64), at.astype(np.int32)))
                     size += len(at)
-                if size > 500_000:
-                    yield frame(out)
+                if size > unit:
+                    yield from frames(out)
                     out, size = [], 0
-            if out:
-                yield frame(out)
+        if out:
+            yield from frames(out)
 
-    def frame(parts):
-        h, g, d, p = (np.concatenate(x) for x in zip(*parts))
-        return pd.DataFrame({"h": h, "g": g, "doc_id": d, "pos": p})
+    def frames(parts):
+        (h, g, d, p), (kd, kp) = settle(*(np.concatenate(x) for x in zip(*parts)))
+        for a in range(0, len(h), 200_000):
+            z = slice(a, a + 200_000)
+            yield pd.DataFrame({"h": h[z], "g": g[z], "doc_id": d[z], "pos": p[z], "known": None})
+        order = np.lexsort((kp, kd))
+        kd, kp = kd[order], kp[order]
+        cut = np.flatnonzero(np.r_[True, kd[1:] != kd[:-1]]) if len(kd) else []
+        rows = [(int(kd[a]), 0, int(kd[a]), 0, kp[a:z].astype("<i4").tobytes()) for a, z in zip(cut, np.r_[cut[1:], len(kd)])] if len(kd) else []
+        if rows:
+            yield pd.DataFrame(rows, columns=["h", "g", "doc_id", "pos", "known"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "h long, g int, doc_id long, pos int")
+    return docs.select("doc_id", "text").mapInPandas(run, "h long, g int, doc_id long, pos int, known binary")
 
 
 def repeated_positions(docs: DataFrame, n: int, width: int, depth: int) -> DataFrame:
-    """(doc_id, at): starts of windows that also start in a document with a smaller doc_id.
-
-    Least doc_ids are found with partial sums in each task, so that a window that a third of
-    all documents share is one row a task; the join back deals large keys out anew (AQE).
-    """
-    known = docs.where("doc_id is not null")
-    passed = sketch.merged(partials(known, n, width, depth), width, depth)
-    rows = estimated(known, n, passed, width, depth)
-    least = rows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    hit = rows.join(least.withColumnsRenamed({"h": "h_", "g": "g_"}), (F.col("h") == F.col("h_")) & (F.col("g") == F.col("g_"))).where("doc_id > least")
-    return hit.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+    """(doc_id, pos, known): starts of windows that also start in a document with a smaller doc_id."""
+    some = docs.where("doc_id is not null")
+    passed = sketch.merged(partials(some, n, width, depth), width, depth)
+    same = Window.partitionBy("h", "g", F.isnull("known"))
+    rows = estimated(some, n, passed, width, depth).withColumn("least", F.min("doc_id").over(same))
+    hit = rows.where("known is not null or doc_id > least")
+    return hit.groupBy("doc_id").agg(F.collect_list(F.when(F.isnull("known"), F.col("pos"))).alias("pos"), F.collect_list("known").alias("known"))
 
 
 def removed(at, n: int, words: int) -> np.ndarray:
@@ -102,20 +120,21 @@ def removed(at, n: int, words: int) -> np.ndarray:
 
 def dedup(docs: DataFrame, n: int = 13, width: int = 28, depth: int = 2) -> DataFrame:
     """``docs`` with n_words, n_removed and ``kept``, the words that stay, joined by a space."""
-    at = repeated_positions(docs, n, width, depth).withColumnRenamed("doc_id", "_doc")
+    at = repeated_positions(docs.select("doc_id", "text"), n, width, depth).withColumnRenamed("doc_id", "_doc")
 
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept:string>")
-    def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, starts in parts:
+    def cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, pos, known in parts:
             rows = []
-            for t, a in zip(texts, starts):
+            for t, a, k in zip(texts, pos, known):
                 ws = (t or "").encode().split()
-                gone = removed(np.asarray(a, np.int64), n, len(ws)) if a is not None and len(a) else np.zeros(len(ws), bool)
+                starts = np.concatenate([np.asarray(a, np.int64), *(np.frombuffer(x, "<i4") for x in k)]).astype(np.int64) if a is not None else np.zeros(0, np.int64)
+                gone = removed(starts, n, len(ws))
                 rows.append((len(ws), int(gone.sum()), b" ".join(w for w, g in zip(ws, gone.tolist()) if not g).decode()))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
     out = docs.join(at, F.col("doc_id") == F.col("_doc"), "left")
-    return out.withColumn("_cut", cut("text", "at")).select(*(docs[c] for c in docs.columns), "_cut.n_words", "_cut.n_removed", "_cut.kept")
+    return out.withColumn("_cut", cut(docs["text"], at["pos"], at["known"])).select(*(docs[c] for c in docs.columns), "_cut.n_words", "_cut.n_removed", "_cut.kept")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
