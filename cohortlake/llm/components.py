@@ -1,0 +1,30 @@
+"""Connected components of an edge table, in rounds of joins."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component): the least id reachable, for every id on an edge.
+
+    Alternating large-star and small-star rounds; each is two aggregations with partial
+    sums, no group is gathered, and tables between rounds are written to the shared folder.
+    """
+    now = materialize(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    while True:
+        # Large star: each larger neighbour of u goes to the least of u and its neighbours.
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "large")
+        # Small star: u and its smaller neighbours go to the least of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = materialize(small.where("u <> v").distinct(), "small")
+        same = small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty()
+        now = small
+        if same:
+            break
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
