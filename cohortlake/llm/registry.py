@@ -5,9 +5,10 @@ from .mixing import op8_mix
 from .neardup import op4_neardup
 from .pii import op7_pii
 from .quality import op10_quality
+from .suffixes import op1_suffix
 from .toxicity import op9_toxicity
 from .urls import OP3_SQL, op3_url
 from .windows import op6_substring
 
-QUERIES = {"op3_url": op3_url, "op4_neardup": op4_neardup, "op5_media": op5_media, "op6_substring": op6_substring, "op7_pii": op7_pii, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op1_suffix": op1_suffix, "op3_url": op3_url, "op4_neardup": op4_neardup, "op5_media": op5_media, "op6_substring": op6_substring, "op7_pii": op7_pii, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 SQL = {"op3_url": OP3_SQL}

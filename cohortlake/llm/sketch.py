@@ -1,7 +1,7 @@
 """A merged count sketch of hashes: which hashes can have been seen twice.
 
-Each partition sends, for each of ``depth`` rows, the distinct buckets that it has hit, with a
-mark on those hit more than once; partitions' sketches are merged bucket by bucket.  A bucket
+Each partition sends, for each of ``depth`` rows, the distinct buckets that it has hit, with
+how often it hit each; partitions' sketches are merged bucket by bucket.  A bucket
 whose merged count reaches two is kept as one bit.  Counts are never too low, so a hash whose
 buckets aren't all set occurs once.  The width is a parameter: the merged bits that executors
 get take ``depth * 2**width / 8`` bytes, whatever the corpus; where it is far too narrow the
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 20  # bits of the bucket number inside a chunk
-SCHEMA = "part int, ids binary, twice binary"
+SCHEMA = "part int, ids binary, times binary"
 
 
 def buckets(h: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -47,38 +47,44 @@ class Partial:
             b = np.sort(buckets(h, r, self.width))
             new = np.r_[True, b[1:] != b[:-1]]
             ids = b[new]
-            twice = np.diff(np.r_[np.flatnonzero(new), len(b)]) > 1
+            times = np.minimum(65535, np.diff(np.r_[np.flatnonzero(new), len(b)])).astype("<u2")
             cut = np.flatnonzero(np.r_[True, (ids[1:] >> CHUNK) != (ids[:-1] >> CHUNK)])
             for a, z in zip(cut, np.r_[cut[1:], len(ids)]):
                 chunk = int(ids[a] >> CHUNK)
                 gaps = np.diff(ids[a:z] & ((1 << CHUNK) - 1), prepend=0).astype(np.uint32)
                 # Low bytes and high bytes apart: the high ones are mostly zero.
                 planes = gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                rows.append((r << 16 | chunk, zlib.compress(planes, 1), zlib.compress(np.packbits(twice[a:z]).tobytes(), 1)))
-        yield pd.DataFrame(rows, columns=["part", "ids", "twice"])
+                rows.append((r << 16 | chunk, zlib.compress(planes, 1), zlib.compress(times[a:z].tobytes(), 1)))
+        yield pd.DataFrame(rows, columns=["part", "ids", "times"])
 
 
-def merge(key, group: pd.DataFrame) -> pd.DataFrame:
-    count = np.zeros(1 << CHUNK, np.uint8)
-    for ids, twice in zip(group.ids, group.twice):
-        planes = np.frombuffer(zlib.decompress(ids), np.uint8).reshape(4, -1)
-        b = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
-        two = np.unpackbits(np.frombuffer(zlib.decompress(twice), np.uint8))[: len(b)]
-        count[b] = np.minimum(2, count[b] + 1 + two)
-    return pd.DataFrame([(key[0], zlib.compress(np.packbits(count >= 2).tobytes(), 1))], columns=["part", "bits"])
+def merged(partials: DataFrame, width: int, depth: int, hot: int = 0):
+    """-> a broadcast of {part: (bits of counts from 2, bits of counts from ``hot``)}; width and depth bound its size."""
 
+    def merge(key, group: pd.DataFrame) -> pd.DataFrame:
+        count = np.zeros(1 << CHUNK, np.int64)
+        for ids, times in zip(group.ids, group.times):
+            planes = np.frombuffer(zlib.decompress(ids), np.uint8).reshape(4, -1)
+            b = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+            count[b] += np.frombuffer(zlib.decompress(times), "<u2")
+        pack = lambda x: zlib.compress(np.packbits(x).tobytes(), 1)
+        return pd.DataFrame([(key[0], pack(count >= 2), pack(count >= hot) if hot and count.max() >= hot else None)], columns=["part", "bits", "hot"])
 
-def merged(partials: DataFrame, width: int, depth: int):
-    """-> a broadcast of {part: packed bits}; its size is bounded by width and depth."""
-    got = partials.groupBy("part").applyInPandas(merge, "part int, bits binary").collect()
-    return partials.sparkSession.sparkContext.broadcast({r.part: bytes(r.bits) for r in got})
+    got = partials.groupBy("part").applyInPandas(merge, "part int, bits binary, hot binary").collect()
+    return partials.sparkSession.sparkContext.broadcast({r.part: {"bits": bytes(r.bits), "hot": bytes(r.hot or b"")} for r in got})
 
 
 class Filter:
     """Tells which hashes the merged sketch lets pass."""
 
-    def __init__(self, parts: dict, width: int, depth: int):
+    def __init__(self, parts: dict, width: int, depth: int, kind: str = "bits"):
         self.width, self.depth = width, depth
+        parts = {k: x[kind] for k, x in parts.items() if x[kind]}
+        if kind == "hot" and not parts:
+            self.depth = 0
+            self.none = True
+            return
+        self.none = False
         self.bits = np.zeros((depth, max(1, (1 << width) >> 3)), np.uint8)
         size = (1 << CHUNK) >> 3
         for part, packed in parts.items():
@@ -87,6 +93,8 @@ class Filter:
             self.bits[r, c * size : c * size + len(data)] = data[: max(1, (1 << self.width) >> 3)]
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
+        if self.none:
+            return np.zeros(len(h), bool)
         out = np.ones(len(h), bool)
         for r in range(self.depth):
             b = buckets(h, r, self.width)
