@@ -116,12 +116,10 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, alpha: float, support:
     )
     entity = around.select("tid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     joint = materialize(joint.join(entity, "entity"), "joint")
-    wanted = joint.select("term").distinct()
     terms = (
         texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n_t"))
-        .join(wanted, "term", "left_semi")
     )
     pmi = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     content = F.log(F.col("n") / F.col("n_e"))

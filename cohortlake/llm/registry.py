@@ -1,5 +1,6 @@
 """Queries and SQL of the training-data operators."""
 
+from .decontaminate import op2_decontaminate
 from .media import op5_media
 from .mixing import op8_mix
 from .neardup import op4_neardup
@@ -10,5 +11,5 @@ from .toxicity import op9_toxicity
 from .urls import OP3_SQL, op3_url
 from .windows import op6_substring
 
-QUERIES = {"op1_suffix": op1_suffix, "op3_url": op3_url, "op4_neardup": op4_neardup, "op5_media": op5_media, "op6_substring": op6_substring, "op7_pii": op7_pii, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op1_suffix": op1_suffix, "op2_decontaminate": op2_decontaminate, "op3_url": op3_url, "op4_neardup": op4_neardup, "op5_media": op5_media, "op6_substring": op6_substring, "op7_pii": op7_pii, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 SQL = {"op3_url": OP3_SQL}
