@@ -300,7 +300,7 @@ def answers(spark, d):
 
 
 ANS = """(SELECT b.conv_id * 1000 + b.turn AS key, a.text AS answer, b.text AS truth FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"""
-TOK = r"list_filter(string_split_regex(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+'), w -> w <> '' AND w NOT IN ('a', 'an', 'the'))"
+TOK = r"list_filter(string_split_regex(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the'))"
 
 
 @query("e36_answer_scores", f"""WITH r AS (SELECT key, {TOK.format(c='answer')} AS a, {TOK.format(c='truth')} AS t FROM {ANS}), x AS (SELECT key, w, count(*) AS n FROM (SELECT key, unnest(a) AS w FROM r) GROUP BY 1, 2), y AS (SELECT key, w, count(*) AS m FROM (SELECT key, unnest(t) AS w FROM r) GROUP BY 1, 2),
@@ -310,7 +310,7 @@ def e36(spark, d):
     return rounded(E.answer_scores(answers(spark, d), "key", "answer", "truth"))
 
 
-@query("e37_bleu_2", f"""WITH r AS (SELECT key, {TOK.format(c='answer')} AS a, {TOK.format(c='truth')} AS t FROM {ANS}), g AS (SELECT key, n, side, unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS g FROM
+@query("e37_bleu_2", f"""WITH r AS (SELECT key, {TOK.format(c='answer')} AS a, {TOK.format(c='truth')} AS t FROM {ANS}), g AS (SELECT key, n, side, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM
  (SELECT key, 'a' AS side, a AS w FROM r UNION ALL SELECT key, 't', t FROM r), (VALUES (1), (2)) v(n) WHERE len(w) >= n), k AS (SELECT key, n, g, count(*) FILTER (side = 'a') AS x, count(*) FILTER (side = 't') AS y FROM g GROUP BY 1, 2, 3),
  p AS (SELECT key, n, sum(least(x, y)) AS m, sum(x) AS x FROM k GROUP BY 1, 2 HAVING sum(x) > 0), s AS (SELECT key, count(*) FILTER (m > 0) AS k, avg(CASE WHEN m > 0 THEN ln(m / x) END) AS l FROM p GROUP BY 1)
  SELECT key, round(CASE WHEN k = 2 THEN CASE WHEN len(a) >= len(t) THEN 1 ELSE exp(1 - len(t) / len(a)) END * exp(l) ELSE 0 END, 6) AS bleu FROM r LEFT JOIN s USING (key)""")
