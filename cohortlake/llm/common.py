@@ -107,3 +107,13 @@ def word_spans(raw: bytes):
     n = np.fromiter(map(len, ws), np.int64, len(ws))
     ends = np.cumsum(n + 1) - 1
     return ws, b" ".join(ws), ends - n, ends
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of the numbers, place by place: equal high bytes lie together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()

@@ -1,7 +1,7 @@
 """Substring dedup on word windows: count-min prefilter, then exact grouping.
 
 Pass 1 merges the partitions' sketches of all windows of ``n`` words (``sketch``).  Pass 2
-groups, exactly, only the windows that the sketch estimates repeated: equal windows (96-bit
+groups, exactly, only the windows that the sketch estimates repeated: equal windows (80-bit
 hashes of their words) are told the least doc_id that holds one, and the words that a later
 document's window covers are removed.
 
@@ -9,15 +9,16 @@ Nulls and empties: a null text has no words; a null doc_id matches nothing and k
 words; rows that repeat a doc_id count as one document and lose the same word positions.
 """
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import Hasher, table, word_spans
+from .common import Hasher, partitions, planes, table, unplanes, word_spans
 
 
 def window_hashes(hasher: Hasher, raw: bytes, n: int) -> np.ndarray:
@@ -38,7 +39,7 @@ class Windows:
         return window_hashes(self.one, (text or "").encode(), self.n)
 
     def second(self, text) -> np.ndarray:
-        return (window_hashes(self.two, (text or "").encode(), self.n) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return (window_hashes(self.two, (text or "").encode(), self.n) >> np.uint64(48)).astype("<u2")
 
 
 def partials(docs: DataFrame, n: int, width: int, depth: int) -> DataFrame:
@@ -62,11 +63,36 @@ def settle(h, g, d, p):
     return (h[~known], g[~known], d[~known], p[~known]), (d[known], p[known])
 
 
-def estimated(docs: DataFrame, n: int, passed, width: int, depth: int, unit: int = 1_500_000) -> DataFrame:
-    """Windows that the sketch lets pass: (h, g, doc_id, pos), or (doc_id, known) for settled positions.
+def pack_open(h, g, d, p) -> bytes:
+    """Windows sorted by hash: gaps of the hashes, and the rest, by byte planes."""
+    gaps = np.diff(h, prepend=np.uint64(0))
+    body = planes(gaps) + planes(g) + planes(d.astype("<i8")) + planes(p.astype("<i4"))
+    return zlib.compress(body, 1)
+
+
+def unpack_open(packed: bytes):
+    raw = zlib.decompress(packed)
+    n = len(raw) // 22
+    cuts = np.cumsum([0, 8 * n, 2 * n, 8 * n, 4 * n])
+    h, g, d, p = (unplanes(raw[a:z], k) for a, z, k in zip(cuts, cuts[1:], ("<u8", "<u2", "<i8", "<i4")))
+    return np.cumsum(h, dtype=np.uint64), g, d, p
+
+
+def known_rows(d: np.ndarray, p: np.ndarray) -> list[tuple]:
+    """Settled positions, one row a document."""
+    if not len(d):
+        return []
+    order = np.lexsort((p, d))
+    d, p = d[order], p[order]
+    cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+    return [(-1 - int(d[a]) % 4096, None, int(d[a]), p[a:z].astype("<i4").tobytes()) for a, z in zip(cut, np.r_[cut[1:], len(d)])]
+
+
+def estimated(docs: DataFrame, n: int, passed, width: int, depth: int, ranges: int, unit: int = 1_000_000) -> DataFrame:
+    """Windows that the sketch lets pass, packed by ranges of their hash, and settled positions.
 
     Of the windows that a task has read several times, only its least doc_id is sent on; the
-    rest are settled on the spot.  A window in a third of all documents is one row a task.
+    rest are settled on the spot.  A window in a third of all documents is one entry a unit.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,37 +103,38 @@ def estimated(docs: DataFrame, n: int, passed, width: int, depth: int, unit: int
                 h = own.first(t)
                 at = np.flatnonzero(keep(h))
                 if len(at):
-                    out.append((h[at].view(np.int64), own.second(t)[at], np.full(len(at), d, np.int64), at.astype(np.int32)))
+                    out.append((h[at], own.second(t)[at], np.full(len(at), d, np.int64), at.astype(np.int32)))
                     size += len(at)
                 if size > unit:
-                    yield from frames(out)
+                    yield frame(out)
                     out, size = [], 0
         if out:
-            yield from frames(out)
+            yield frame(out)
 
-    def frames(parts):
-        (h, g, d, p), (kd, kp) = settle(*(np.concatenate(x) for x in zip(*parts)))
-        for a in range(0, len(h), 200_000):
-            z = slice(a, a + 200_000)
-            yield pd.DataFrame({"h": h[z], "g": g[z], "doc_id": d[z], "pos": p[z], "known": None})
-        order = np.lexsort((kp, kd))
-        kd, kp = kd[order], kp[order]
-        cut = np.flatnonzero(np.r_[True, kd[1:] != kd[:-1]]) if len(kd) else []
-        rows = [(int(kd[a]), 0, int(kd[a]), 0, kp[a:z].astype("<i4").tobytes()) for a, z in zip(cut, np.r_[cut[1:], len(kd)])] if len(kd) else []
-        if rows:
-            yield pd.DataFrame(rows, columns=["h", "g", "doc_id", "pos", "known"])
+    def frame(parts):
+        (h, g, d, p), known = settle(*(np.concatenate(x) for x in zip(*parts)))
+        part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+        rows = [(int(part[a]), pack_open(h[a:z], g[a:z], d[a:z], p[a:z]), None, None) for a, z in zip(cut, np.r_[cut[1:], len(part)])]
+        return pd.DataFrame(rows + known_rows(*known), columns=["part", "windows", "doc_id", "known"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "h long, g int, doc_id long, pos int, known binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "part int, windows binary, doc_id long, known binary")
 
 
 def repeated_positions(docs: DataFrame, n: int, width: int, depth: int) -> DataFrame:
-    """(doc_id, pos, known): starts of windows that also start in a document with a smaller doc_id."""
+    """(doc_id, known): packed starts of windows that also start in a document with a smaller doc_id."""
     some = docs.where("doc_id is not null")
     passed = sketch.merged(partials(some, n, width, depth), width, depth)
-    same = Window.partitionBy("h", "g", F.isnull("known"))
-    rows = estimated(some, n, passed, width, depth).withColumn("least", F.min("doc_id").over(same))
-    hit = rows.where("known is not null or doc_id > least")
-    return hit.groupBy("doc_id").agg(F.collect_list(F.when(F.isnull("known"), F.col("pos"))).alias("pos"), F.collect_list("known").alias("known"))
+    rows = estimated(some, n, passed, width, depth, 4 * partitions(docs.sparkSession))
+
+    def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """All windows of a range of hashes, grouped exactly."""
+        if key[0] < 0:
+            return pdf[["doc_id", "known"]]
+        _, known = settle(*(np.concatenate(x) for x in zip(*map(unpack_open, pdf.windows))))
+        return pd.DataFrame(known_rows(*known), columns=["part", "windows", "doc_id", "known"])[["doc_id", "known"]]
+
+    return rows.groupBy("part").applyInPandas(group, "doc_id long, known binary").groupBy("doc_id").agg(F.collect_list("known").alias("known"))
 
 
 def removed(at, n: int, words: int) -> np.ndarray:
@@ -123,18 +150,18 @@ def dedup(docs: DataFrame, n: int = 13, width: int = 28, depth: int = 2) -> Data
     at = repeated_positions(docs.select("doc_id", "text"), n, width, depth).withColumnRenamed("doc_id", "_doc")
 
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept:string>")
-    def cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, pos, known in parts:
+    def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, known in parts:
             rows = []
-            for t, a, k in zip(texts, pos, known):
+            for t, k in zip(texts, known):
                 ws = (t or "").encode().split()
-                starts = np.concatenate([np.asarray(a, np.int64), *(np.frombuffer(x, "<i4") for x in k)]).astype(np.int64) if a is not None else np.zeros(0, np.int64)
+                starts = np.concatenate([np.frombuffer(x, "<i4") for x in k]).astype(np.int64) if k is not None else np.zeros(0, np.int64)
                 gone = removed(starts, n, len(ws))
                 rows.append((len(ws), int(gone.sum()), b" ".join(w for w, g in zip(ws, gone.tolist()) if not g).decode()))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
     out = docs.join(at, F.col("doc_id") == F.col("_doc"), "left")
-    return out.withColumn("_cut", cut(docs["text"], at["pos"], at["known"])).select(*(docs[c] for c in docs.columns), "_cut.n_words", "_cut.n_removed", "_cut.kept")
+    return out.withColumn("_cut", cut(docs["text"], at["known"])).select(*(docs[c] for c in docs.columns), "_cut.n_words", "_cut.n_removed", "_cut.kept")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
