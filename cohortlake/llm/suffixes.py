@@ -6,7 +6,9 @@ of the least hash among its ``k``-byte strings, so equal windows have anchors at
 and about one byte in (length - k) / 2 starts a sorted suffix.  A suffix carries the offsets
 of the windows that chose it, and the bytes left of it that these windows reach.
 
-1. A merged sketch of anchor hashes tells which anchors can occur twice; others are dropped.
+1. Windows whose anchor lies ``STEP`` bytes or less apart in them share all but that many
+   bytes.  A merged sketch of hashes of these shared stretches tells which classes of windows
+   can occur twice; the others are dropped, with a hash for a class and no byte sent.
 2. Each task sorts its suffixes into runs, one for each range of hashes; equal suffixes of a
    task collapse to the earliest.  Runs are front-coded: each string as the length of the
    prefix that it shares with the one before, and the rest.
@@ -15,8 +17,7 @@ of the windows that chose it, and the bytes left of it that these windows reach.
    is the suffix array of that range: windows are equal where right parts share a prefix and
    left parts, sorted the same way, share one.  All but the earliest are reported.
 
-Anchors that ``hot`` or more different suffixes of the corpus may share are taken apart into
-single windows, each a suffix of its own, which spread over the ranges and collapse in each
+Classes that occur ``hot`` times or more in the corpus are taken apart into single windows, each a suffix of its own, which spread over the ranges and collapse in each
 task: an exact way for passages in very many contexts.
 
 Nulls and empties: a null text is empty; a null doc_id matches nothing; documents shorter
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import Hasher, partitions, table
+from .common import Hasher, partitions, planes, table, unplanes
 
 POS = 21  # bits of a position inside a piece
 PIECE = 1 << 20  # bytes of text that are looked at together
 K = 32
+STEP = 18  # offsets of windows in one class
 RUN_SCHEMA = "part int, run binary, doc_id long, spans binary"
 
 
@@ -50,12 +52,12 @@ class Anchors:
     def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
         """data: bytes of several documents; start, end: of each document in it.
 
-        -> (anchor, first window, last window, hash) of every maximal row of windows with one anchor.
+        -> (anchor, first window, last window, hash, prefix hashes) of every maximal row of windows with one anchor.
         """
         n, w = len(data), self.length - self.k + 1
         none = np.zeros(0, np.int64)
         if n < self.length:
-            return none, none, none, none.view(np.uint64)
+            return none, none, none, none.view(np.uint64), none
         p = self.hasher.prefix(data)
         at = np.arange(n - self.k + 1)
         h = self.hasher.spans(p, at, at + self.k)
@@ -75,11 +77,19 @@ class Anchors:
         live = np.cumsum(live[:-1])[: n - self.length + 1] > 0
         window = np.flatnonzero(live)
         if not len(window):
-            return none, none, none, none.view(np.uint64)
+            return none, none, none, none.view(np.uint64), none
         a = (m[window] & low).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (np.diff(window) > 1)])
         last = np.r_[cut[1:], len(window)] - 1
-        return a[cut], window[cut], window[last], h[a[cut]]
+        return a[cut], window[cut], window[last], h[a[cut]], p
+
+    def classes(self, p, a, first, last):
+        """Class number, rows that have windows of it, and the hash of what these windows share."""
+        low, high = a - last, a - first
+        for i, b in enumerate(range(0, self.length - self.k + 1, STEP)):
+            rows = np.flatnonzero((low < b + STEP) & (high >= b))
+            start = a[rows] - b
+            yield i, rows, self.hasher.spans(p, start, start + self.length - STEP + 1) ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)
 
 
 def pieces(docs: Iterator[tuple[int, bytes]], length: int) -> Iterator[tuple]:
@@ -149,7 +159,7 @@ def front_code(rows: np.ndarray, doc: np.ndarray, at: np.ndarray) -> bytes:
     """A sorted run: shared prefix lengths, what follows them, doc_ids and starts."""
     lcp = common(rows)
     tail = rows[np.arange(rows.shape[1])[None, :] >= lcp[:, None]].tobytes()
-    return zlib.compress(np.array([len(rows)], "<i8").tobytes() + lcp.astype("<u2").tobytes() + doc.astype("<i8").tobytes() + at.astype("<i8").tobytes() + tail, 1)
+    return zlib.compress(np.array([len(rows)], "<i8").tobytes() + planes(lcp.astype("<u2")) + planes(doc.astype("<i8")) + planes(at.astype("<i8")) + tail, 3)
 
 
 class Run:
@@ -158,9 +168,9 @@ class Run:
     def __init__(self, packed: bytes, width: int):
         raw = zlib.decompress(packed)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        self.lcp = np.frombuffer(raw, "<u2", n, 8).tolist()
-        self.doc = np.frombuffer(raw, "<i8", n, 8 + 2 * n)
-        self.at = np.frombuffer(raw, "<i8", n, 8 + 10 * n)
+        self.lcp = unplanes(raw[8 : 8 + 2 * n], "<u2").tolist()
+        self.doc = unplanes(raw[8 + 2 * n : 8 + 10 * n], "<i8")
+        self.at = unplanes(raw[8 + 10 * n : 8 + 18 * n], "<i8")
         self.tail, self.n, self.width = memoryview(raw)[8 + 18 * n :], n, width
         self.i, self.p, self.now = -1, 0, b""
 
@@ -352,7 +362,9 @@ def repeated_spans(docs: DataFrame, length: int, width: int, ranges: int, limit:
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, part = Anchors(length), sketch.Partial(width, 1)
         for data, start, end, _, _ in pieces(texts_of(batches), length):
-            yield from part.add(find(data, start, end)[3])
+            a, first, last, _, p = find(data, start, end)
+            for _, _, h in find.classes(p, a, first, last) if len(a) else ():
+                yield from part.add(h)
         yield from part.flush()
 
     some = docs.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
@@ -362,19 +374,25 @@ def repeated_spans(docs: DataFrame, length: int, width: int, ranges: int, limit:
         find, keep, out = Anchors(length), sketch.Filter(passed.value, width, 1), Sorter(length, ranges, limit)
         split = sketch.Filter(passed.value, width, 1, "hot")
         for data, start, end, doc, offset in pieces(texts_of(batches), length):
-            a, first, last, h = find(data, start, end)
-            live = keep(h)
-            a, first, last, h = a[live], first[live], last[live], h[live]
+            a, first, last, h, p = find(data, start, end)
             if not len(a):
                 continue
-            much = split(h)
-            owner = np.searchsorted(end, a, side="right")
-            few, o = ~much, owner[~much]
-            yield from out.add(out.form.take(data, a[few], first[few], last[few]), doc[o], a[few] - start[o] + offset[o], h[few])
-            if much.any():
-                w, rows, hw = apart(find, out.form, data, first[much], last[much])
-                o = np.searchsorted(end, w, side="right")
-                yield from out.add(rows, doc[o], w - start[o] + offset[o], hw)
+            low, high = np.full(len(a), length), np.full(len(a), -1)
+            for i, rows, c in find.classes(p, a, first, last):
+                b, live, much = i * STEP, keep(c), split(c)
+                few, many = rows[live & ~much], rows[much]
+                low[few], high[few] = np.minimum(low[few], b), np.maximum(high[few], b + STEP - 1)
+                if len(many):
+                    w, strings, hw = apart(find, out.form, data, np.maximum(first[many], a[many] - b - STEP + 1), np.minimum(last[many], a[many] - b))
+                    o = np.searchsorted(end, w, side="right")
+                    yield from out.add(strings, doc[o], w - start[o] + offset[o], hw)
+            live = high >= 0
+            # Windows of the first to the last class that can be there twice.
+            first, last = np.maximum(first, a - high)[live], np.minimum(last, a - low)[live]
+            a, h = a[live], h[live]
+            if len(a):
+                o = np.searchsorted(end, a, side="right")
+                yield from out.add(out.form.take(data, a, first, last), doc[o], a - start[o] + offset[o], h)
         yield from out.flush()
 
     def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
