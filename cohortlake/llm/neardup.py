@@ -7,9 +7,11 @@ in common unless one collection misses it: at most 2 * (1 - s**rows)**half.
 
 Texts with equal shingle sets are one class.  Classes that share a key are compared with the
 key's least class, then, where classes that share a key are still in different components,
-with each other, until no unconfirmed pair joins two components.  Pairs are first held
-against an exact bound (sizes, then histograms of the sets); the rest are confirmed on the
-full shingle sets.
+with each other, until no unconfirmed pair joins two components.  Pairs whose minhashes (two
+bits of 32 of them) differ in more than ``apart`` places are passed over: a pair at 0.8 does so
+in 4 of a million cases, a chance pair nearly always, so chance collisions, which grow with the
+square of the corpus, are no rows.  The rest are held against exact bounds (sizes, then
+histograms of the sets) and confirmed on the full shingle sets.
 
 Nulls and empties: texts without words have no shingles, belong to their own class and are
 linked with nothing; a null doc_id is kept, as a document of its own with a null component;
@@ -27,6 +29,7 @@ from .common import Hasher, materialize, table, word_spans
 from .components import components
 
 CELLS = 128
+APART = 14
 
 
 class Shingler:
@@ -61,10 +64,11 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, k: int, half: int, rows: int) -> DataFrame:
-    """(doc_id, n, s1, s2, sig, cells): set size, 128-bit hash of the set, minhashes, histogram."""
+    """(doc_id, n, s1, s2, sig, bits, cells): set size, 128-bit hash of the set, minhashes, two bits of each, histogram."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, mins = Shingler(k), MinHash(2 * half * rows)
+        cut, mins, places = Shingler(k), MinHash(2 * half * rows), np.arange(0, 64, 2).astype(np.uint64)
+        signed = lambda x: x - (x >> 63 << 64)
         for b in batches:
             out = []
             for d, t in zip(b.doc_id, b.text):
@@ -73,10 +77,12 @@ def signatures(docs: DataFrame, k: int, half: int, rows: int) -> DataFrame:
                     one = int((s * np.uint64(0xC2B2AE3D27D4EB4F) ^ (s >> np.uint64(29))).sum(dtype=np.uint64)) if len(s) else 0
                     two = int((s ^ (s * np.uint64(0x165667B19E3779F9) >> np.uint64(17))).sum(dtype=np.uint64)) if len(s) else 0
                 cells = np.minimum(255, np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS)).astype(np.uint8)
-                out.append((d, len(s), one - (one >> 63 << 64), two - (two >> 63 << 64), mins(s).astype("<u4").tobytes(), cells.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "sig", "cells"])
+                sig = mins(s)
+                bits = int(((sig[:32].astype(np.uint64) & np.uint64(3)) << places[: len(sig)]).sum(dtype=np.uint64))
+                out.append((d, len(s), signed(one), signed(two), sig.astype("<u4").tobytes(), signed(bits), cells.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "sig", "bits", "cells"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, sig binary, cells binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, sig binary, bits long, cells binary")
 
 
 def table_keys(classes: DataFrame, half: int, rows: int) -> DataFrame:
@@ -94,13 +100,19 @@ def similar_sizes(a: str, b: str, share: int):
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * share)
 
 
+def alike(a: str, b: str):
+    """Few of the pairs of bits differ."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) <= APART
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, share: int, salt: int = 400) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough.
 
     ``a`` is the side with many partners; its text goes to each of its groups of partners, of
     about ``salt`` each, so that no group grows with the number of copies.
     """
-    cells = classes.select("rep", "cells", "n")
+    cells = classes.select("rep", "cells", "n", "bits")
 
     @F.pandas_udf("boolean")
     def possible(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -111,8 +123,8 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, share
         both = np.where((p == 255).any(1) | (q == 255).any(1), np.minimum(n, m), np.minimum(p, q).sum(1))
         return pd.Series(100 * both >= share * (n.to_numpy() + m.to_numpy() - both))
 
-    left, right = (cells.withColumnsRenamed({"rep": r, "cells": f"c{r}", "n": f"n{r}"}) for r in ("a", "b"))
-    some = pairs.join(left, "a").join(right, "b").where(possible("ca", "cb", "na", "nb")).select("a", "b")
+    left, right = (cells.withColumnsRenamed({"rep": r, "cells": f"c{r}", "n": f"n{r}", "bits": f"b{r}"}) for r in ("a", "b"))
+    some = pairs.join(left, "a").join(right, "b").where(alike("ba", "bb")).where(possible("ca", "cb", "na", "nb")).select("a", "b")
     some = materialize(some, "pairs")
     many = some.groupBy("a").agg(F.ceil(F.count("*") / salt).alias("groups"))
     dealt = some.join(many, "a").withColumn("g", F.pmod(F.xxhash64("b"), "groups"))
@@ -157,9 +169,9 @@ def linked(docs: DataFrame, k: int, share: int, half: int, rows: int):
         now = shared.select("key", "rep", "n").join(part.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
         # Keys whose classes are in several components: pairs across them, not yet tried.
         open_ = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        rest = materialize(now.join(open_, "key").select("key", "rep", "n", "c"), "open")
-        other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        cross = rest.withColumnsRenamed({"rep": "a", "n": "na", "c": "ca"}).join(other, "key").where("ca < cb").where(similar_sizes("na", "nb", share))
+        rest = materialize(now.join(open_, "key").join(classes.select("rep", "bits"), "rep").select("key", "rep", "n", "c", "bits"), "open")
+        other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("bb"))
+        cross = rest.withColumnsRenamed({"rep": "a", "n": "na", "c": "ca", "bits": "ba"}).join(other, "key").where("ca < cb").where(similar_sizes("na", "nb", share) & alike("ba", "bb"))
         cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "cross")
         if cross.isEmpty():
