@@ -66,6 +66,12 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def corr(a, b) -> Column:
+    """Pearson correlation as an aggregate; null where a side is constant."""
+    a, b = F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def l2(v) -> Column:
     """Vector scaled to length 1 (floor 1e-8)."""
     n = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-8))

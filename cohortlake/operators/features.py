@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import col, elements, first_by, gather, prefix
+from cohortlake.functions.prims import col, corr, elements, first_by, gather, prefix
 
 from .metrics import chi2_p, ratio
 
@@ -88,7 +88,7 @@ def variance_filter(long: DataFrame, feature: str, value: str, t: float) -> Data
 
 def f_scores(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
     """Mean F statistic of each feature over the targets, in one pass."""
-    n = df.agg(F.count("*").alias("n"), *(F.corr(f, t).alias(f"{f}~{t}") for f in features for t in targets))
+    n = df.agg(F.count("*").alias("n"), *(corr(f, t).alias(f"{f}~{t}") for f in features for t in targets))
     r2 = lambda f, t: F.col(f"{f}~{t}") ** 2
     score = lambda f: sum(r2(f, t) / (1 - r2(f, t)) * (F.col("n") - 2) for t in targets) / len(targets)
     return n.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), score(f).alias("f")) for f in features))).alias("s")).select("s.*")

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import dot, elements, gather, h, l2
+from cohortlake.functions.prims import corr, dot, elements, gather, h, l2
 
 from .annotations import neighbours
 
@@ -108,7 +108,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.groupBy("graph_id").agg(F.count("*").alias("nodes")).join(edges.groupBy("graph_id").agg(F.count("*").alias("edges")), "graph_id", "left").fillna(0)
     sym = edges.select("graph_id", "src", "dst").union(edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = sym.join(deg.select("graph_id", F.col("node_id").alias("src"), F.col("degree").alias("ds")), ["graph_id", "src"]).join(deg.select("graph_id", F.col("node_id").alias("dst"), F.col("degree").alias("dd")), ["graph_id", "dst"])
-    a = e.groupBy("graph_id").agg(F.avg("dd").alias("neighbour_degree"), F.when(F.stddev_pop("ds") > 0, F.corr("ds", "dd")).alias("assortativity"))
+    a = e.groupBy("graph_id").agg(F.avg("dd").alias("neighbour_degree"), corr("ds", "dd").alias("assortativity"))
     return n.join(a, "graph_id", "left")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import first_by, h, mid_ranks, prefix
+from cohortlake.functions.prims import corr, first_by, h, mid_ranks, prefix
 
 from .metrics import auroc, c_index, ratio
 
@@ -158,14 +158,13 @@ def correlations(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """Pearson, and Spearman on mid-ranks; null where a side is constant."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = mid_ranks(mid_ranks(d, group, x, "_rx"), group, y, "_ry")
-    safe = lambda a, b: F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
-    return r.groupBy(*group).agg(F.count("*").alias("n"), safe(x, y).alias("pearson"), safe("_rx", "_ry").alias("spearman"))
+    return r.groupBy(*group).agg(F.count("*").alias("n"), corr(x, y).alias("pearson"), corr("_rx", "_ry").alias("spearman"))
 
 
 def channel_corr(df: DataFrame, group: str, channels: list[str]) -> DataFrame:
     """Correlation of every pair of columns; null where one is constant."""
     pairs = [(a, b) for i, a in enumerate(channels) for b in channels[i + 1 :]]
-    one = df.groupBy(group).agg(*(F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b)).alias(f"{a}~{b}") for a, b in pairs))
+    one = df.groupBy(group).agg(*(corr(a, b).alias(f"{a}~{b}") for a, b in pairs))
     return one.unpivot(group, [f"{a}~{b}" for a, b in pairs], "pair", "corr")
 
 
@@ -186,7 +185,7 @@ def rhat(df: DataFrame, param: str, chain: str, step: str, value: str) -> DataFr
     c = df.groupBy(param, chain).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     s = c.groupBy(param).agg(F.avg("n").alias("n"), F.avg("v").alias("w"), F.var_samp("m").alias("b"))
     out = s.withColumn("rhat", F.when(F.col("w") > 0, F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")) / F.col("w"))))
-    lag = df.withColumn("_l", F.lag(value).over(Window.partitionBy(param, chain).orderBy(step))).groupBy(param).agg(F.corr(value, "_l").alias("lag1"))
+    lag = df.withColumn("_l", F.lag(value).over(Window.partitionBy(param, chain).orderBy(step))).groupBy(param).agg(corr(value, "_l").alias("lag1"))
     return out.join(lag, param).select(param, "rhat", "lag1")
 
 
