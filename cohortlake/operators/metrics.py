@@ -360,3 +360,15 @@ def bleu(df: DataFrame, key: str, answer: str, truth: str, n: int = 4) -> DataFr
     s = p.groupBy(key).agg(F.count_if(F.col("m") > 0).alias("k"), F.avg(F.when(F.col("m") > 0, F.log(F.col("m") / F.col("x")))).alias("l"))
     short = F.when(F.size("a") >= F.size("t"), 1.0).otherwise(F.exp(1 - F.size("t") / F.size("a")))
     return rows.join(s, key, "left").select(key, F.when(F.col("k") == n, short * F.exp("l")).otherwise(0.0).alias("bleu"))
+
+
+def vqa_accuracy(df: DataFrame, key: str, answer: str, truth: str, candidates: DataFrame, cand: str, text: str, group: list[str]) -> DataFrame:
+    """Closed questions: the candidate that shares the most distinct words with the answer (ties: the first) is the choice.
+
+    Words meet by an equi-join; an answer that shares none with any candidate is wrong.
+    """
+    words = lambda d, c, k: d.select(k, F.explode(F.array_distinct(tokens(c))).alias("w"))
+    shared = words(df, answer, key).join(words(candidates, text, cand), "w").groupBy(key, cand).agg(F.count("*").alias("n"))
+    choice = first_by(shared, [key], F.desc("n"), F.col(cand)).select(key, F.col(cand).alias("_c"))
+    hit = F.coalesce((F.col("_c") == F.col(truth)).cast("double"), F.lit(0.0))
+    return df.join(choice, key, "left").groupBy(*group).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"))

@@ -347,3 +347,12 @@ def e41(spark, d):
 def e42(spark, d):
     i = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("image"), F.col("l_partkey").alias("cell"), F.col("l_linenumber").alias("cls")).agg(F.round(F.avg("l_quantity") / 50, 6).alias("score"))
     return E.resolve_classes(i, "image", ["cell"], 0.12).select("image", "cell", "cls", "score")
+
+
+@query("e38_closed_questions", f"""WITH c AS (SELECT conv_id * 1000 + turn AS key, role, text, (conv_id + turn) % 7 AS truth FROM conversations), a AS (SELECT DISTINCT key, unnest({TOK.format(c='text')}) AS w FROM c),
+ k AS (SELECT DISTINCT item_id, unnest({TOK.format(c='text')}) AS w FROM benchmark), n AS (SELECT key, item_id, count(*) AS n FROM a JOIN k USING (w) GROUP BY 1, 2), b AS (SELECT key, item_id FROM n QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, item_id) = 1)
+ SELECT role, count(*) AS n, round(avg(coalesce((item_id = truth)::INT, 0)), 6) AS accuracy FROM c LEFT JOIN b USING (key) GROUP BY 1""")
+def e38(spark, d):
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "role", "text", ((F.col("conv_id") + F.col("turn")) % 7).alias("truth"))
+    b = table(spark, d, "benchmark")
+    return rounded(E.vqa_accuracy(c, "key", "text", "truth", b, "item_id", "text", ["role"]))
