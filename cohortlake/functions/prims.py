@@ -1,5 +1,8 @@
 """Portable hash, prefix sums over distinct values, grid keys and element-wise vector aggregates."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +93,21 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share; a local one is set only where none is named."""
+    sc = spark.sparkContext
+    set_ = sc._jsc.sc().getCheckpointDir()
+    at = sc.getConf().get("spark.checkpoint.dir") or (set_.get() if set_.isDefined() else None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="cohortlake-")
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and reread: cuts the plan between rounds."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

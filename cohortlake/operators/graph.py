@@ -1,28 +1,13 @@
 """Neighbourhoods and graphs as node and edge tables."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import corr, dot, elements, gather, h, l2
+from cohortlake.functions.prims import corr, dot, elements, gather, h, l2, materialize
 
 from .annotations import neighbours
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and reread: cuts the plan between rounds."""
-    sc = df.sparkSession.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="cohortlake-")
-        sc.setCheckpointDir(at)
-    path = f"{at}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def knn(query: DataFrame, ref: DataFrame, key: str, vector: str, k: int, same: bool = False, blocks: int = 8) -> DataFrame:
     """Exact cosine top k: (key, neighbour, similarity, place).
 

@@ -1,8 +1,10 @@
 """Queries over events as points (user_id, value) and lineitem rows as boxes."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import table
+from cohortlake.functions.prims import shared_dir, table
 from cohortlake.operators import annotations as A
 from cohortlake.sources import annotation_files as S
 
@@ -36,6 +38,14 @@ def flagship(spark, d):
     return hit.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("cy"), 4).alias("mean_y"))
 
 
+@query("a01_ndjson_round_trip", f"SELECT key::VARCHAR AS key, round(x, 4) AS cx, round(y, 4) AS cy, k FROM {PTS}")
+def a01(spark, d):
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    S.write_features(points(spark, d).withColumn("key", F.col("key").cast("string")), path)
+    back = S.read_features_ndjson(spark, path)
+    return back.select("key", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), A.prop("k", "int").alias("k"))
+
+
 @query("a02_rescaled_points", f"SELECT key, round((x - 3) * 0.5, 6) AS cx, round((y - 2) * 0.5, 6) AS cy FROM {PTS}")
 def a02(spark, d):
     return S.rescaled(points(spark, d), 0.5, (3.0, 2.0)).select("key", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
