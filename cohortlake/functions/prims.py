@@ -81,6 +81,20 @@ def l2(v) -> Column:
     return F.transform(col(v), lambda x: x.cast("double") / n)
 
 
+def hash_rank(df: DataFrame, group: list[str], hashed: str, *tie: str, name: str = "rank", buckets: int = 4096) -> DataFrame:
+    """df with each row's rank by a column of ``h`` in its group, from 1.
+
+    Ranks are taken inside ranges of the hash and shifted by the counts of the ranges before,
+    so a group that holds most rows is still dealt to many tasks.
+    """
+    b = F.floor(F.col(hashed) * buckets / M).cast("int")
+    rows = df.withColumn("_b", b)
+    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*group, "_b").agg(F.count("*").alias("_n")).select(*group, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(hashed, *tie))
+    return rows.withColumn("_inner", inner).join(before, [*group, "_b"]).withColumn(name, F.col("_before") + F.col("_inner")).drop("_b", "_inner", "_before")
+
+
 def cell(c, size: float) -> Column:
     return F.floor(col(c) / F.lit(float(size))).cast("long")
 

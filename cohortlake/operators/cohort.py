@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import col, first_by, h
+from cohortlake.functions.prims import col, first_by, h, hash_rank
 
 
 def include_series(headers: DataFrame, group: str, text: str, stop: list[str]) -> DataFrame:
@@ -133,10 +133,10 @@ def select_refs(refs: DataFrame, anns: DataFrame, categories: list[str], split:
 def ratio_split(df: DataFrame, key: str, ratio: float, seed: int = 1, group: str | None = None) -> DataFrame:
     """``train`` for the floor(n * ratio) keys of the least hash, in each group; ``test`` for the rest."""
     g = [group] if group else []
-    keys = df.select(*g, key).distinct().withColumn("_h", h(key, seed))
-    w = Window.partitionBy(*(g or [F.lit(0)]))
-    cut = F.row_number().over(w.orderBy("_h", key)) <= F.floor(F.count("*").over(w) * ratio)
-    return df.join(keys.select(*g, key, F.when(cut, "train").otherwise("test").alias("split")), [*g, key])
+    keys = hash_rank(df.select(*g, key).distinct().withColumn("_h", h(key, seed)), g, "_h", key, name="_r")
+    sizes = keys.groupBy(*g).agg(F.floor(F.count("*") * ratio).alias("_cut"))
+    keys = keys.join(F.broadcast(sizes), g) if g else keys.crossJoin(F.broadcast(sizes))
+    return df.join(keys.select(*g, key, F.when(F.col("_r") <= F.col("_cut"), "train").otherwise("test").alias("split")), [*g, key])
 
 
 def split_drift(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -163,7 +163,7 @@ def mixture(df: DataFrame, source: str, key: str, how: str, n: int, seed: int =
     weight = {"proportional": F.col("_size"), "equal": F.lit(1.0), "sqrt": F.sqrt("_size")}[how]
     total = sizes.agg(F.sum(weight).alias("_w"))
     quota = sizes.join(F.broadcast(total)).withColumn("_quota", F.round(n * weight / F.col("_w")).cast("long")).drop("_w")
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy(h(key, seed), key)))
+    ranked = hash_rank(df.withColumn("_h", h(key, seed)), [source], "_h", key, name="_rank").drop("_h")
     times = F.floor((F.col("_quota") - F.col("_rank")) / F.col("_size")) + 1
     taken = ranked.join(quota, source).where(F.col("_rank") <= F.col("_quota")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
     return taken.drop("_rank", "_size", "_quota")
