@@ -15,6 +15,7 @@ normalised bytes are left out; repeated rows each get their result; repeated ite
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 Q = 4
+GRAM_BITS = 12
 BLANK = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 HITS = "doc_id long, hits array<struct<item_id:long,distance:int>>"
 
@@ -67,6 +69,17 @@ def distance(peq: dict[str, int], m: int, text: str, most: int) -> int:
     return best
 
 
+def gram_codes(text: str) -> np.ndarray:
+    """A small hash of the q-gram at every place; equal q-grams have equal ones."""
+    d = np.frombuffer(text.encode("latin-1"), np.uint8).astype(np.uint32)
+    if len(d) < Q:
+        return np.zeros(0, np.int64)
+    g = d[: len(d) - Q + 1]
+    for i in range(1, Q):
+        g = (g << np.uint32(8)) | d[i : len(d) - Q + 1 + i]
+    return (g * np.uint32(2654435761) >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
@@ -74,8 +87,9 @@ class Matcher:
         self.items, self.auto, found = [], ahocorasick.Automaton(), {}
         for item_id, text in items:
             e = int(len(text) * rate)
-            grams = [text[i : i + Q] for i in range(len(text) - Q + 1)]
-            self.items.append((item_id, text, e, masks(text), grams, len(grams) - Q * e))
+            held = np.zeros(1 << GRAM_BITS, np.uint8)
+            held[gram_codes(text)] = 1
+            self.items.append((item_id, text, e, masks(text), held, len(text) - Q + 1 - Q * e))
             for at, piece in pieces(text, e):
                 found.setdefault(piece, []).append((len(self.items) - 1, at))
         for piece, where in found.items():
@@ -93,20 +107,20 @@ class Matcher:
         for end, (n, where) in self.auto.iter(doc):
             for item, at in where:
                 starts.setdefault(item, set()).add(end - n + 1 - at)
-        out = []
+        out, codes = [], gram_codes(doc) if starts else None
         for item, diagonals in starts.items():
-            item_id, text_, e, peq, grams, need = self.items[item]
+            item_id, text_, e, peq, held, need = self.items[item]
             best, done = e + 1, -1
             for d in sorted(diagonals):
                 # Windows that hold the whole of an alignment on this diagonal.
                 a, z = max(0, d - e), d + len(text_) + e
                 if z <= done:
                     continue
+                # Every q-gram that the edits leave whole takes a place of its own in the window.
+                if need > 0 and held[codes[a : z - Q + 1]].sum() < need:
+                    continue
                 window = doc[a:z]
-                if text_ in window:
-                    best = 0
-                elif need <= 0 or self.shared(window, grams, need):
-                    best = min(best, distance(peq, len(text_), window, e))
+                best = 0 if text_ in window else min(best, distance(peq, len(text_), window, e))
                 if best == 0:
                     break
                 done = z if best <= e else done
@@ -114,11 +128,6 @@ class Matcher:
                 out.append((item_id, best))
         return sorted(out)
 
-    @staticmethod
-    def shared(window: str, grams: list[str], need: int) -> bool:
-        have = {window[i : i + Q] for i in range(len(window) - Q + 1)}
-        return sum(g in have for g in grams) >= need
-
 
 def blocks_of(items: DataFrame, block: int):
     """Test items in blocks of about ``block`` bytes, one at a time on the driver."""
@@ -129,7 +138,7 @@ def blocks_of(items: DataFrame, block: int):
         yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
 
 
-def find(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 32, block: int = 4 << 20) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 32, block: int = 1 << 20) -> DataFrame:
     """(doc_id, hits) of the documents that hold an item, up to one row a block and document."""
     spark, out = docs.sparkSession, None
     for part in blocks_of(items.where("text is not null and item_id is not null").select("item_id", "text"), block):
