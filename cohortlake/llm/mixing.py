@@ -7,7 +7,8 @@ a source are numbered 0, 1, ... and sent through an affine permutation of its bl
 numbers, a new one for every pass over the source; blocks are then joined by number.
 
 Nulls and empties: a null source is a source of its own, last in order; a text without
-words has size 0 and takes 0; null or repeated doc_ids are rows of their own.
+words has size 0 and takes 0; null or repeated doc_ids are rows of their own.  Input columns
+named like the added ones give way to them.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,8 +51,8 @@ def permuted(index: Column, epoch: Column, n: Column, source: Column, seed: str)
 
 def plan(docs: DataFrame, block: int, shard: int, weights, share: float, cap: float, seed: str, buckets: int):
     """-> (documents with their stretch of the source's stream, slots (source, block, epoch, shard, slot))."""
-    spark = docs.sparkSession
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("sid", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    keep = [c for c in docs.columns if c in ("doc_id", "source", "text", "_row")]
+    sized = docs.select(*keep).withColumn("size", word_count(F.col("text"))).withColumn("sid", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)))
     sums = materialize(sized.groupBy("source", "sid", "bucket").agg(F.sum("size").alias("words")), "sums")
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,16 +86,28 @@ def plan(docs: DataFrame, block: int, shard: int, weights, share: float, cap: fl
 
 
 def mix(docs: DataFrame, block: int = 64, shard: int = 4096, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", buckets: int = 1024) -> DataFrame:
-    """One row a document: the given columns, size, source_size, target, taken (words the mix takes)."""
-    placed, slots, quota = plan(docs, block, shard, list(weights), share, cap, seed, buckets)
+    """One row a document: the given columns, size, source_size, target, taken (words the mix takes).
+
+    The plan is made on rows without texts, known by a hash of their content; whole rows are
+    shuffled once, to meet their figures.  Rows alike in all of it share out their figures.
+    """
+    row = F.xxhash64("doc_id", "source", "text")
+    placed, slots, quota = plan(docs.withColumn("_row", row), block, shard, list(weights), share, cap, seed, buckets)
     uses = slots.groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    pieces = placed.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
+    slim = placed.select("_row", "sid", "start", "size")
+    pieces = slim.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     pieces = pieces.withColumn("part", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
     taken = pieces.join(uses, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("part") * F.col("uses")).alias("taken"))
-    rows = placed.join(taken.withColumn("size_", F.lit(1)).withColumnRenamed("sid", "sid_").withColumnRenamed("start", "start_"), (F.col("sid") == F.col("sid_")) & (F.col("start") == F.col("start_")) & (F.col("size") > 0), "left")
-    return rows.join(quota.select(F.col("sid").alias("_sid"), "source_size", "target"), F.col("sid") == F.col("_sid")).select(
-        *(placed[c] for c in docs.columns), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-    )
+    taken = taken.withColumnsRenamed({"sid": "sid_", "start": "start_"})
+    rows = slim.join(taken, (F.col("sid") == F.col("sid_")) & (F.col("start") == F.col("start_")) & (F.col("size") > 0), "left")
+    rows = rows.join(quota.select(F.col("sid").alias("_sid"), "source_size", "target"), F.col("sid") == F.col("_sid"))
+    figures = F.struct("start", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    known = rows.groupBy("_row").agg(F.array_sort(F.collect_list(figures)).alias("_figures")).withColumnRenamed("_row", "_known")
+    one = docs.withColumn("_row", row)
+    out = one.join(known, F.col("_row") == F.col("_known")).withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+    out = out.withColumn("_f", F.element_at("_figures", F.col("_nth")))
+    new = ("size", "source_size", "target", "taken")
+    return out.select(*(F.col(c) for c in docs.columns if c not in new), *(F.col(f"_f.{c}").alias(c) for c in new))
 
 
 def mixed_blocks(docs: DataFrame, block: int = 64, shard: int = 4096, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", buckets: int = 1024) -> DataFrame:
