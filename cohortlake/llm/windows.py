@@ -78,17 +78,25 @@ def unpack_open(packed: bytes):
     return np.cumsum(h, dtype=np.uint64), g, d, p
 
 
-def known_rows(d: np.ndarray, p: np.ndarray) -> list[tuple]:
-    """Settled positions, one row a document."""
+def known_rows(d: np.ndarray, p: np.ndarray, ranges: int) -> list[tuple]:
+    """Settled positions, one packed row a range of doc_ids."""
     if not len(d):
         return []
-    order = np.lexsort((p, d))
-    d, p = d[order], p[order]
-    cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    return [(-1 - int(d[a]) % 4096, None, int(d[a]), p[a:z].astype("<i4").tobytes()) for a, z in zip(cut, np.r_[cut[1:], len(d)])]
+    to = d % ranges
+    order = np.lexsort((p, d, to))
+    d, p, to = d[order], p[order], to[order]
+    cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    pack = lambda a, z: zlib.compress(planes(d[a:z].astype("<i8")) + planes(p[a:z].astype("<i4")), 1)
+    return [(-1 - int(to[a]), pack(a, z)) for a, z in zip(cut, np.r_[cut[1:], len(d)])]
 
 
-def estimated(docs: DataFrame, n: int, passed, width: int, depth: int, ranges: int, unit: int = 1_000_000) -> DataFrame:
+def known_of(packed: bytes):
+    raw = zlib.decompress(packed)
+    n = len(raw) // 12
+    return unplanes(raw[: 8 * n], "<i8"), unplanes(raw[8 * n :], "<i4")
+
+
+def estimated(docs: DataFrame, n: int, passed, width: int, depth: int, ranges: int, unit: int = 500_000) -> DataFrame:
     """Windows that the sketch lets pass, packed by ranges of their hash, and settled positions.
 
     Of the windows that a task has read several times, only its least doc_id is sent on; the
@@ -115,26 +123,34 @@ def estimated(docs: DataFrame, n: int, passed, width: int, depth: int, ranges: i
         (h, g, d, p), known = settle(*(np.concatenate(x) for x in zip(*parts)))
         part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        rows = [(int(part[a]), pack_open(h[a:z], g[a:z], d[a:z], p[a:z]), None, None) for a, z in zip(cut, np.r_[cut[1:], len(part)])]
-        return pd.DataFrame(rows + known_rows(*known), columns=["part", "windows", "doc_id", "known"])
+        rows = [(int(part[a]), pack_open(h[a:z], g[a:z], d[a:z], p[a:z])) for a, z in zip(cut, np.r_[cut[1:], len(part)])]
+        return pd.DataFrame(rows + known_rows(*known, ranges), columns=["part", "packed"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "part int, windows binary, doc_id long, known binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "part int, packed binary")
 
 
 def repeated_positions(docs: DataFrame, n: int, width: int, depth: int) -> DataFrame:
     """(doc_id, known): packed starts of windows that also start in a document with a smaller doc_id."""
-    some = docs.where("doc_id is not null")
+    some, ranges = docs.where("doc_id is not null"), 4 * partitions(docs.sparkSession)
     passed = sketch.merged(partials(some, n, width, depth), width, depth)
-    rows = estimated(some, n, passed, width, depth, 4 * partitions(docs.sparkSession))
+    rows = estimated(some, n, passed, width, depth, ranges)
 
     def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """All windows of a range of hashes, grouped exactly."""
+        """All windows of a range of hashes, grouped exactly; settled positions pass."""
         if key[0] < 0:
-            return pdf[["doc_id", "known"]]
-        _, known = settle(*(np.concatenate(x) for x in zip(*map(unpack_open, pdf.windows))))
-        return pd.DataFrame(known_rows(*known), columns=["part", "windows", "doc_id", "known"])[["doc_id", "known"]]
+            return pdf
+        _, known = settle(*(np.concatenate(x) for x in zip(*map(unpack_open, pdf.packed))))
+        return pd.DataFrame(known_rows(*known, ranges), columns=["part", "packed"])
+
+    def by_doc(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        d, p = (np.concatenate(x) for x in zip(*map(known_of, pdf.packed)))
+        order = np.lexsort((p, d))
+        d, p = d[order], p[order]
+        cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        return pd.DataFrame([(int(d[a]), p[a:z].astype("<i4").tobytes()) for a, z in zip(cut, np.r_[cut[1:], len(d)])], columns=["doc_id", "known"])
 
-    return rows.groupBy("part").applyInPandas(group, "doc_id long, known binary").groupBy("doc_id").agg(F.collect_list("known").alias("known"))
+    found = rows.groupBy("part").applyInPandas(group, "part int, packed binary")
+    return found.groupBy("part").applyInPandas(by_doc, "doc_id long, known binary")
 
 
 def removed(at, n: int, words: int) -> np.ndarray:
@@ -155,7 +171,7 @@ def dedup(docs: DataFrame, n: int = 13, width: int = 28, depth: int = 2) -> Data
             rows = []
             for t, k in zip(texts, known):
                 ws = (t or "").encode().split()
-                starts = np.concatenate([np.frombuffer(x, "<i4") for x in k]).astype(np.int64) if k is not None else np.zeros(0, np.int64)
+                starts = np.frombuffer(k, "<i4").astype(np.int64) if k is not None else np.zeros(0, np.int64)
                 gone = removed(starts, n, len(ws))
                 rows.append((len(ws), int(gone.sum()), b" ".join(w for w, g in zip(ws, gone.tolist()) if not g).decode()))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
