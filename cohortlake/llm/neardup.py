@@ -5,13 +5,12 @@ pair: half * half table keys come from 2 * half * rows minhash functions, about
 root of what as many independent keys would take.  A linked pair of similarity s has a key
 in common unless one collection misses it: at most 2 * (1 - s**rows)**half.
 
-Texts with equal shingle sets are one class.  Classes that share a key are compared with the
-key's least class, then, where classes that share a key are still in different components,
-with each other, until no unconfirmed pair joins two components.  Pairs whose minhashes (two
-bits of 32 of them) differ in more than ``apart`` places are passed over: a pair at 0.8 does so
-in 4 of a million cases, a chance pair nearly always, so chance collisions, which grow with the
-square of the corpus, are no rows.  The rest are held against exact bounds (sizes, then
-histograms of the sets) and confirmed on the full shingle sets.
+Texts with equal shingle sets are one class.  In every key, classes are compared with the one
+whose keys are shared most (of a group of copies, that nearest to its middle), then, where
+classes that share a key are still in different components, with each other, until no
+unconfirmed pair joins two components.  Such a pair is formed in the first of its shared keys
+only.  Pairs are held against exact bounds (sizes, then histograms of the sets); the rest are
+confirmed on the full shingle sets.
 
 Nulls and empties: texts without words have no shingles, belong to their own class and are
 linked with nothing; a null doc_id is kept, as a document of its own with a null component;
@@ -29,7 +28,6 @@ from .common import Hasher, materialize, table, word_spans
 from .components import components
 
 CELLS = 128
-APART = 14
 
 
 class Shingler:
@@ -64,10 +62,10 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, k: int, half: int, rows: int) -> DataFrame:
-    """(doc_id, n, s1, s2, sig, bits, cells): set size, 128-bit hash of the set, minhashes, two bits of each, histogram."""
+    """(doc_id, n, s1, s2, sig, cells): set size, 128-bit hash of the set, minhashes, histogram."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, mins, places = Shingler(k), MinHash(2 * half * rows), np.arange(0, 64, 2).astype(np.uint64)
+        cut, mins = Shingler(k), MinHash(2 * half * rows)
         signed = lambda x: x - (x >> 63 << 64)
         for b in batches:
             out = []
@@ -77,22 +75,28 @@ def signatures(docs: DataFrame, k: int, half: int, rows: int) -> DataFrame:
                     one = int((s * np.uint64(0xC2B2AE3D27D4EB4F) ^ (s >> np.uint64(29))).sum(dtype=np.uint64)) if len(s) else 0
                     two = int((s ^ (s * np.uint64(0x165667B19E3779F9) >> np.uint64(17))).sum(dtype=np.uint64)) if len(s) else 0
                 cells = np.minimum(255, np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS)).astype(np.uint8)
-                sig = mins(s)
-                bits = int(((sig[:32].astype(np.uint64) & np.uint64(3)) << places[: len(sig)]).sum(dtype=np.uint64))
-                out.append((d, len(s), signed(one), signed(two), sig.astype("<u4").tobytes(), signed(bits), cells.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "sig", "bits", "cells"])
+                out.append((d, len(s), signed(one), signed(two), mins(s).astype("<u4").tobytes(), cells.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "sig", "cells"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, sig binary, bits long, cells binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, sig binary, cells binary")
 
 
-def table_keys(classes: DataFrame, half: int, rows: int) -> DataFrame:
-    """(key, rep, n): one row for each of the half * half keys of a class."""
+def collections_of(half: int, rows: int):
+    """The small hashes of both collections, as arrays, from ``sig``."""
     w = 4 * rows
-    at = lambda side, i: F.substring("sig", (side * half + i) * w + 1, w)
-    left = F.array(*(at(0, i) for i in range(half)))
-    right = F.array(*(at(1, i) for i in range(half)))
+    return [F.array(*(F.substring("sig", (side * half + i) * w + 1, w) for i in range(half))) for side in (0, 1)]
+
+
+def table_keys(classes: DataFrame, half: int, rows: int) -> DataFrame:
+    """(key, rep, n, i, j): one row for each of the half * half keys of a class."""
+    left, right = collections_of(half, rows)
     one = classes.select("rep", "n", F.posexplode(left).alias("i", "u"), right.alias("right"))
-    return one.select("rep", "n", "i", "u", F.posexplode("right").alias("j", "v")).select(F.xxhash64("i", "j", "u", "v").alias("key"), "rep", "n")
+    return one.select("rep", "n", "i", "u", F.posexplode("right").alias("j", "v")).select(F.xxhash64("i", "j", "u", "v").alias("key"), "rep", "n", "i", "j")
+
+
+def first_shared(a: str, b: str):
+    """The first place where two collections are equal."""
+    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
 
 
 def similar_sizes(a: str, b: str, share: int):
@@ -100,19 +104,13 @@ def similar_sizes(a: str, b: str, share: int):
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * share)
 
 
-def alike(a: str, b: str):
-    """Few of the pairs of bits differ."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) <= APART
-
-
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, share: int, salt: int = 400) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough.
 
     ``a`` is the side with many partners; its text goes to each of its groups of partners, of
     about ``salt`` each, so that no group grows with the number of copies.
     """
-    cells = classes.select("rep", "cells", "n", "bits")
+    cells = classes.select("rep", "cells", "n")
 
     @F.pandas_udf("boolean")
     def possible(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -123,8 +121,8 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, share
         both = np.where((p == 255).any(1) | (q == 255).any(1), np.minimum(n, m), np.minimum(p, q).sum(1))
         return pd.Series(100 * both >= share * (n.to_numpy() + m.to_numpy() - both))
 
-    left, right = (cells.withColumnsRenamed({"rep": r, "cells": f"c{r}", "n": f"n{r}", "bits": f"b{r}"}) for r in ("a", "b"))
-    some = pairs.join(left, "a").join(right, "b").where(alike("ba", "bb")).where(possible("ca", "cb", "na", "nb")).select("a", "b")
+    left, right = (cells.withColumnsRenamed({"rep": r, "cells": f"c{r}", "n": f"n{r}"}) for r in ("a", "b"))
+    some = pairs.join(left, "a").join(right, "b").where(possible("ca", "cb", "na", "nb")).select("a", "b")
     some = materialize(some, "pairs")
     many = some.groupBy("a").agg(F.ceil(F.count("*") / salt).alias("groups"))
     dealt = some.join(many, "a").withColumn("g", F.pmod(F.xxhash64("b"), "groups"))
@@ -159,19 +157,26 @@ def linked(docs: DataFrame, k: int, share: int, half: int, rows: int):
     reps = sigs.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     classes = materialize(sigs.join(reps.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").where("n > 0").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "classes")
     keys = table_keys(classes.select("rep", "n", "sig"), half, rows)
-    first = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("a"), F.count("*").alias("size")).where("size > 1").select("key", F.col("a.rep").alias("a"), F.col("a.n").alias("na"))
-    shared = materialize(keys.join(first, "key"), "shared")
-    pairs = shared.where(F.col("rep") > F.col("a")).where(similar_sizes("n", "na", share)).select("a", F.col("rep").alias("b")).distinct()
-    tried = materialize(pairs, "tried")
-    links = materialize(confirm(tried, classes, some, k, share), "links")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialize(keys.join(sizes, "key"), "shared")
+    middle = shared.groupBy("rep").agg(F.sum("size").alias("met"))
+    met = shared.join(middle, "rep")
+    best = met.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("m"), "n")).alias("a")).select("key", (-F.col("a.m")).alias("a"), F.col("a.n").alias("na"))
+    star = met.join(best, "key").where(F.col("rep") != F.col("a")).where(similar_sizes("n", "na", share)).select("a", F.col("rep").alias("b")).distinct()
+    star = materialize(star, "star")
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = materialize(confirm(star, classes, some, k, share), "links")
+    left, right = collections_of(half, rows)
+    hashes = classes.select("rep", left.alias("us"), right.alias("vs"))
     while True:
         part = materialize(components(links), "components")
-        now = shared.select("key", "rep", "n").join(part.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+        now = shared.select("key", "rep", "n", "i", "j").join(part.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
         # Keys whose classes are in several components: pairs across them, not yet tried.
         open_ = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        rest = materialize(now.join(open_, "key").join(classes.select("rep", "bits"), "rep").select("key", "rep", "n", "c", "bits"), "open")
-        other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("bb"))
-        cross = rest.withColumnsRenamed({"rep": "a", "n": "na", "c": "ca", "bits": "ba"}).join(other, "key").where("ca < cb").where(similar_sizes("na", "nb", share) & alike("ba", "bb"))
+        rest = materialize(now.join(open_, "key").join(hashes, "rep").select("key", "rep", "n", "c", "i", "j", "us", "vs"), "open")
+        other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("us").alias("ub"), F.col("vs").alias("vb"))
+        once = (first_shared("us", "ub") == F.col("i")) & (first_shared("vs", "vb") == F.col("j"))
+        cross = rest.withColumnsRenamed({"rep": "a", "n": "na", "c": "ca"}).join(other, "key").where((F.col("ca") < F.col("cb")) & similar_sizes("na", "nb", share) & once)
         cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "cross")
         if cross.isEmpty():
