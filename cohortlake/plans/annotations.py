@@ -32,9 +32,9 @@ BXS = """(SELECT l_orderkey * 8 + l_linenumber AS key, l_orderkey, l_returnflag,
  l_partkey + l_quantity AS max_x, (l_suppkey + l_linenumber)::DOUBLE AS max_y FROM lineitem)"""
 
 
-@query("flagship_region_by_type", f"SELECT event_type, count(*) AS n, round(avg(y), 4) AS mean_y FROM {PTS} WHERE x BETWEEN 20 AND 90 AND y BETWEEN 10 AND 60 AND k % 3 = 0 AND k + 1 > 10 GROUP BY 1")
+@query("flagship_region_by_type", f"SELECT event_type, count(*) AS n, round(avg(y), 4) AS mean_y FROM {PTS} WHERE x BETWEEN 2 AND 90 AND y BETWEEN 10 AND 60 AND k % 3 = 0 AND k + 1 > 10 GROUP BY 1")
 def flagship(spark, d):
-    hit = A.query(points(spark, d), BOX, where=(F.pmod(A.prop("k", "int"), F.lit(3)) == 0) & (A.prop("k", "int") + 1 > 10))
+    hit = A.query(points(spark, d), (2, 10.0, 90, 60.0), where=(F.pmod(A.prop("k", "int"), F.lit(3)) == 0) & (A.prop("k", "int") + 1 > 10))
     return hit.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("cy"), 4).alias("mean_y"))
 
 
