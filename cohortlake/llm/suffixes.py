@@ -356,11 +356,11 @@ def apart(find: Anchors, form: Suffixes, data, first, last):
     return w, form.take(data, w, w, w), find.hasher.spans(find.hasher.prefix(data), w, w + form.length)
 
 
-def repeated_spans(docs: DataFrame, length: int, width: int, ranges: int, limit: int = 150_000, hot: int = 50_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, width: int, depth: int, ranges: int, limit: int = 150_000, hot: int = 50_000) -> DataFrame:
     """(doc_id, spans): bytes covered by strings that start earlier too, as packed (start, end)."""
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, part = Anchors(length), sketch.Partial(width, 1)
+        find, part = Anchors(length), sketch.Partial(width, depth)
         for data, start, end, _, _ in pieces(texts_of(batches), length):
             a, first, last, _, p = find(data, start, end)
             for _, _, h in find.classes(p, a, first, last) if len(a) else ():
@@ -368,11 +368,11 @@ def repeated_spans(docs: DataFrame, length: int, width: int, ranges: int, limit:
         yield from part.flush()
 
     some = docs.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
-    passed = sketch.merged(some.mapInPandas(partials, sketch.SCHEMA), width, 1, hot)
+    passed = sketch.merged(some.mapInPandas(partials, sketch.SCHEMA), width, depth, hot)
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, keep, out = Anchors(length), sketch.Filter(passed.value, width, 1), Sorter(length, ranges, limit)
-        split = sketch.Filter(passed.value, width, 1, "hot")
+        find, keep, out = Anchors(length), sketch.Filter(passed.value, width, depth), Sorter(length, ranges, limit)
+        split = sketch.Filter(passed.value, width, depth, "hot")
         for data, start, end, doc, offset in pieces(texts_of(batches), length):
             a, first, last, h, p = find(data, start, end)
             if not len(a):
@@ -437,9 +437,9 @@ def union_of(spans, n: int) -> list[tuple[int, int]]:
     return list(zip(s[head, 0].tolist(), reach[tail].tolist()))
 
 
-def dedup(docs: DataFrame, length: int = 100, width: int = 28, hot: int = 50_000, limit: int = 150_000) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, width: int = 29, depth: int = 2, hot: int = 50_000, limit: int = 150_000) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and ``kept``, the bytes that stay."""
-    spans = repeated_spans(docs, length, width, 4 * partitions(docs.sparkSession), limit, hot).withColumnRenamed("doc_id", "_doc")
+    spans = repeated_spans(docs, length, width, depth, 4 * partitions(docs.sparkSession), limit, hot).withColumnRenamed("doc_id", "_doc")
 
     @F.pandas_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>")
     def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
