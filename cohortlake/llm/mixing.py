@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table, word_count
 
 #: Multipliers of the permutations: primes; the first that divides no block count is used.
-PRIMES = [1000003, 1299709, 1500007, 1750009, 2000003, 2250007, 2500009, 2750159]
+PRIMES = [1000003, 1299709, 1500007, 1750009, 2000003, 2250013, 2500009, 2750159]
 
 
 def targets(sizes: DataFrame, weights: list[int], share: float, cap: float) -> DataFrame:

@@ -57,3 +57,12 @@ def test_blocks_hold_the_words_taken(spark, sf):
     blocks = mixing.mixed_blocks(docs, block=32)
     assert blocks.selectExpr("sum(size(words))").first()[0] == mixing.mix(docs, block=32).selectExpr("sum(taken)").first()[0]
     assert blocks.selectExpr("max(size(words))").first()[0] <= 32
+
+
+def test_every_block_once_per_epoch(spark):
+    assert all(p > 1 and all(p % d for d in range(2, int(p**0.5) + 1)) for p in mixing.PRIMES)
+    for n in (1, 37, 370, 3700):
+        rows = spark.range(20 * n).selectExpr(f"id % {n} AS i", f"id div {n} AS epoch", f"CAST({n} AS long) AS n", "'ssrc' AS sid")
+        block = mixing.permuted(rows.i, rows.epoch, rows.n, rows.sid, "mix")
+        got = rows.select("epoch", block.alias("block")).distinct().groupBy("epoch").count()
+        assert [r["count"] for r in got.collect()] == [n] * 20
