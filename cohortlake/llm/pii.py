@@ -116,8 +116,9 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, alpha: float, support:
     )
     entity = around.select("tid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     joint = materialize(joint.join(entity, "entity"), "joint")
+    once = texts.groupBy(F.xxhash64(F.coalesce("text", F.lit("")))).agg(F.first("text").alias("text"))
     terms = (
-        texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+        once.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n_t"))
     )

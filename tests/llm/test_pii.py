@@ -57,5 +57,13 @@ def test_terms_that_give_an_entity_away_are_generalised(spark):
     assert got[0]["size"] == 1
 
 
+def test_copies_hide_no_term(spark):
+    texts = [f"note {w} from Zanzibar bob@corp.org about the {w} matter" for w in ("aaa", "bbb", "ccc") + ("ddd",) * 10]
+    texts += [f"note about the {w} matter from common folk" for w in ("aaa", "bbb", "ccc", "ddd", "eee", "fff")]
+    got = rows_of(pii.sanitise(documents(spark, texts)))
+    assert got[0].text == "note aaa from [TERM] [EMAIL] about the aaa matter"
+    assert got[12].text == "note ddd from [TERM] [EMAIL] about the ddd matter"
+
+
 def test_empty_table(spark):
     assert pii.sanitise(spark.createDataFrame([], DOCS)).count() == 0
