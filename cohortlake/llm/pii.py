@@ -1,10 +1,10 @@
 """Personal data: base patterns plus information-theoretic sanitisation, native Spark.
 
 Base spans come from four patterns.  The method then asks which *terms* give a found
-entity away: over all documents, the words within ``context`` words of an entity's
-occurrences are counted, and a term whose pointwise mutual information with the entity
-reaches ``alpha`` of the entity's own information content discloses it.  Such terms are
-generalised in every document that holds the entity.
+entity away: over all distinct texts, the words beside an entity anywhere in its texts
+are counted (words inside base spans aside), and a term whose pointwise mutual information
+with the entity reaches ``alpha`` of the entity's own information content discloses it.
+Such terms are generalised in every document that holds the entity.
 
 Nulls and empties: a null text counts as empty and has no spans; a null doc_id is kept;
 repeated rows each get their own result.  Extra columns are ignored or passed through.
@@ -90,52 +90,48 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 TERM = r"\p{L}{3,}"
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, alpha: float, support: int, context: int) -> DataFrame:
+def text_sets(found: DataFrame) -> DataFrame:
+    """One row a distinct text: its hash, distinct entities, and distinct terms outside its base spans."""
+    text = F.coalesce("text", F.lit(""))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(redact(text, F.col("found"), [" "] * len(KINDS))), F.lit(TERM), F.lit(0)))
+    entities = F.array_distinct(F.transform("found", lambda m: F.concat_ws(":", m["kind"], F.lower(m["value"]))))
+    rows = found.select(F.sha2(text, 256).alias("_sha"), F.struct(entities.alias("entities"), terms.alias("terms")).alias("s"))
+    return rows.groupBy("_sha").agg(F.first("s").alias("s")).select("_sha", "s.entities", "s.terms")
+
+
+def disclosing_terms(sets: DataFrame, alpha: float, support: int) -> DataFrame:
     """(entity, term) pairs whose mutual information reaches ``alpha`` of the entity's information.
 
-    Counts are of distinct texts, so that copies of one document are no evidence.  Joint
-    counts come from the entities' contexts; term counts from the whole corpus.
+    Counts are of distinct texts, so that copies of one document are no evidence.  Entities
+    and terms in fewer than ``support`` texts can have no such pair and go first.
     """
-    n = texts.select(F.count_distinct(F.xxhash64(F.coalesce("text", F.lit("")))).alias("n"))
-    around = (
-        found.where(F.size("found") > 0)
-        .select("text", F.explode("found").alias("m"))
-        .select(
-            F.xxhash64("text").alias("tid"),
-            F.concat_ws(":", "m.kind", F.lower("m.value")).alias("entity"),
-            F.slice(F.reverse(F.regexp_extract_all(F.lower(F.substring("text", F.greatest(F.lit(1), F.col("m.start") - 20 * context), F.least(F.col("m.start"), F.lit(20 * context)))), F.lit(TERM), F.lit(0))), 1, context).alias("left"),
-            F.slice(F.regexp_extract_all(F.lower(F.expr(f"substring(text, m.end + 1, {20 * context})")), F.lit(TERM), F.lit(0)), 1, context).alias("right"),
-        )
-    )
+    n = sets.agg(F.count("*").alias("n"))
+    entity = sets.where(F.size("entities") > 0).select("_sha", F.explode("entities").alias("entity"))
+    often = entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    hits = entity.join(often, "entity").groupBy("_sha").agg(F.collect_list(F.struct("entity", "n_e")).alias("hits"))
     joint = (
-        around.select("tid", "entity", F.explode(F.array_distinct(F.concat("left", "right"))).alias("term"))
-        .distinct()
-        .groupBy("entity", "term")
+        sets.where(F.size("entities") > 0)
+        .join(hits, "_sha")
+        .select("terms", F.explode("hits").alias("hit"))
+        .select("hit.entity", "hit.n_e", F.explode("terms").alias("term"))
+        .groupBy("entity", "n_e", "term")
         .agg(F.count("*").alias("n_te"))
         .where(F.col("n_te") >= support)
     )
-    entity = around.select("tid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    joint = materialize(joint.join(entity, "entity"), "joint")
-    once = texts.groupBy(F.xxhash64(F.coalesce("text", F.lit("")))).agg(F.first("text").alias("text"))
-    terms = (
-        once.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("n_t"))
-    )
+    terms = sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
     pmi = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     content = F.log(F.col("n") / F.col("n_e"))
     return joint.join(terms, "term").join(F.broadcast(n)).where((content > 0) & (pmi >= alpha * content)).select("entity", "term")
 
 
-def annotate(docs: DataFrame, alpha: float = 0.9, support: int = 3, context: int = 5, key: str = "doc_id") -> DataFrame:
+def annotate(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> DataFrame:
     """``docs`` with ``found`` (base spans) and ``spans`` (base and term spans, sorted)."""
     found = base_spans(docs)
-    leaks = materialize(disclosing_terms(found, docs, alpha, support, context), "leaks")
+    sets = materialize(text_sets(found), "sets")
+    leaks = materialize(disclosing_terms(sets, alpha, support), "leaks")
     held = (
-        found.where(F.size("found") > 0)
-        .select("text", F.explode("found").alias("m"))
-        .select(F.sha2("text", 256).alias("_sha"), F.concat_ws(":", "m.kind", F.lower("m.value")).alias("entity"))
-        .distinct()
+        sets.where(F.size("entities") > 0)
+        .select("_sha", F.explode("entities").alias("entity"))
         .join(leaks, "entity")
         .groupBy("_sha")
         .agg(F.array_join(F.sort_array(F.collect_set("term"), asc=False), "|").alias("_terms"))
@@ -157,9 +153,9 @@ def labels(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def redact(text: Column, spans: Column) -> Column:
+def redact(text: Column, spans: Column, kinds=tuple(f"[{k.upper()}]" for k in KINDS)) -> Column:
     """Text with each span put as its general kind; overlapping spans become the first's kind."""
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    names = F.array(*(F.lit(k) for k in kinds))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate(
         spans,

@@ -65,5 +65,14 @@ def test_copies_hide_no_term(spark):
     assert got[12].text == "note ddd from [TERM] [EMAIL] about the ddd matter"
 
 
+def test_terms_far_from_the_entity_are_found(spark):
+    between = "about common folk and their plain daily matter " * 3
+    texts = [f"Zanzibar {w} {between}bob@corp.org {between}Quixote {'x' * 120} corp" for w in ("aaa", "bbb", "ccc", "ddd")]
+    texts += [f"note {w} {between}" for w in ("aaa", "bbb", "ccc", "ddd", "eee", "fff")] + ["one corp", "corp two", "a corp"]
+    got = rows_of(pii.sanitise(documents(spark, texts)))
+    assert got[0].text == f"[TERM] aaa {between}[EMAIL] {between}[TERM] [TERM] corp"
+    assert all(got[i].text == texts[i] for i in range(4, 13))
+
+
 def test_empty_table(spark):
     assert pii.sanitise(spark.createDataFrame([], DOCS)).count() == 0
