@@ -119,8 +119,8 @@ class Matcher:
         return [np.log1p(plain), np.log1p(near), np.log1p(quoted), top, n / (len(tokens) + 10.0)]
 
 
-def learn_lexicon(texts: DataFrame, size: int = 300, surprise: float = 30.0, margin: float = 2.0) -> dict[str, float]:
-    """Words of toxic training texts with a likelihood-ratio statistic over ``surprise`` and a log-odds over ``margin``."""
+def learn_lexicon(texts: DataFrame, surprise: float = 30.0, margin: float = 2.0) -> dict[str, float]:
+    """All words of toxic training texts with a likelihood-ratio statistic over ``surprise`` and a log-odds over ``margin``."""
     low = F.lower(F.coalesce("text", F.lit("")))
     words = texts.select("y", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))).alias("w"))
     n = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -129,7 +129,7 @@ def learn_lexicon(texts: DataFrame, size: int = 300, surprise: float = 30.0, mar
     part = lambda k, share: F.when(k > 0, k * F.log(k / ((F.col("t") + F.col("c")) * max(share, 1e-12)))).otherwise(0.0)
     g = 2 * (part(F.col("t"), n1 / max(1, n1 + n0)) + part(F.col("c"), n0 / max(1, n1 + n0)))
     odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
-    best = seen.withColumn("odds", odds).where((F.col("odds") > margin) & (g > surprise)).orderBy(F.desc("t"), "w").limit(size)
+    best = seen.withColumn("odds", odds).where((F.col("odds") > margin) & (g > surprise)).orderBy("w")
     return {r.w: round(float(r.odds), 6) for r in best.collect()}
 
 

@@ -46,6 +46,12 @@ def test_awkward_rows(spark, tmp_path):
     assert quality.keep_good(spark.createDataFrame([], DOCS), labels.limit(0)).count() == 0
 
 
+def test_lexicon_keeps_every_word_that_passes(spark):
+    bad = [f"bad{i}x" for i in range(400)]
+    texts = spark.createDataFrame([(" ".join(bad), 1)] * 40 + [("fine calm text", 0)] * 160, "text string, y int")
+    assert set(toxicity.learn_lexicon(texts)) == set(bad)
+
+
 def test_levenshtein_automaton():
     trie = toxicity.make_trie(["moron", "stupid", "worthless"])
     for w, want in (("moron", "moron"), ("morron", "moron"), ("m0ron", "moron"), ("mroon", None), ("stupd", "stupid"), ("worthlesss", "worthless"), ("morom", "moron"), ("clear", None)):
