@@ -2,7 +2,9 @@
 
 The lexicon is learned: words far more frequent in toxic training documents.  A word that is
 no entry runs through the intersection of its Levenshtein automaton (one edit) with the
-lexicon's trie; what is left alive at a trie end is a misspelled entry.  Each hit is scored
+lexicon's trie; what is left alive at a trie end is a misspelled entry.  Entries of three
+letters have no edits to spare (one edit from them lies most of a language's short words)
+and match as they are; a swap of neighbours is two edits.  Each hit is scored
 in a window of words: quotation marks and reporting verbs speak for quotation, direct address
 for abuse.  A small logistic model weighs the sums.
 
@@ -27,6 +29,8 @@ QUOTES = re.compile(r"[\"'“”„«»‘’]")
 EDGE = re.compile(r"^\W+|\W+$")
 WINDOW = 5
 COLUMNS = ["text", "y", "chosen"]
+#: The shortest entry that may be matched with an edit.
+EDITED = 4
 
 
 def make_trie(words) -> dict:
@@ -72,7 +76,7 @@ class Matcher:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.long = [w for w in lexicon if len(w) >= 5]
+        self.long = [w for w in lexicon if len(w) >= EDITED]
         self.trie = make_trie(self.long)
         # One edit leaves the first or the last half of an entry as it is.
         self.heads, self.tails = {w[: len(w) // 2] for w in self.long}, {w[(len(w) + 1) // 2 :] for w in self.long}
@@ -85,7 +89,7 @@ class Matcher:
             w = EDGE.sub("", t).lower()
             if w in self.lexicon:
                 self.hits[t] = (w, True)
-            elif len(w) >= 5 and any(w[:n] in self.heads or w[len(w) - n :] in self.tails for n in self.sizes):
+            elif len(w) >= EDITED - 1 and any(w[:n] in self.heads or w[len(w) - n :] in self.tails for n in self.sizes):
                 if e := near_entry(w, self.trie):
                     self.hits[t] = (e, False)
         self.known |= tokens

@@ -58,6 +58,13 @@ def test_levenshtein_automaton():
         assert toxicity.near_entry(w, trie) == want, w
 
 
+def test_short_misspellings_are_found():
+    m = toxicity.Matcher({"scum": 3.0, "idiot": 3.0, "moron": 3.0, "bad": 3.0})
+    for w in ("scm", "scuum", "scun", "idot", "mron", "moro", "oron"):
+        assert m.features(f"such {w} here")[1] > 0, w
+    assert m.features("such bad here")[1] == 0 and m.features("such bed here")[4] == 0
+
+
 def test_quotation_lowers_the_score():
     m = toxicity.Matcher({"moron": 3.0})
     plain, quoted = m.features("you are a moron"), m.features("then he said \"moron\" to them")
