@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality, near-dedup, decontamination, personal data, mixing."""
+"""The corpus pipeline: quality, near-dedup, decontamination, personal data, mixing.
+
+The last stage only plans the mix: it keeps every document once and adds ``taken``, the
+words that the mix takes of it.  ``mixing.mixed_blocks`` makes the mix itself.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
