@@ -1,5 +1,6 @@
 """Shared pieces: tables, shared folder, word expressions, byte hashing."""
 
+import re
 import tempfile
 import uuid
 
@@ -17,14 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is named."""
-    jsc = spark.sparkContext._jsc.sc()
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (
-        jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
-    )
+    """The folder that driver and executors share.
+
+    Where none is named, a session of one machine gets a temporary one; a cluster is an error.
+    """
+    sc = spark.sparkContext
+    jsc = sc._jsc.sc()
+    named = sc.getConf().get("spark.checkpoint.dir") or (jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cohortlake-")
-        spark.sparkContext.setCheckpointDir(named)
+        sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -32,7 +37,32 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write to the shared folder and reread: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without its columns of these names: added columns replace them."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names}))
 
 
 def partitions(spark: SparkSession) -> int:

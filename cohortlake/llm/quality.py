@@ -3,21 +3,26 @@
 Indicators of a text's byte 2-grams and 4-grams are scaled by the log-count ratios of the two
 classes, counted over all labelled training rows; a linear hinge-loss model is then fitted to
 them by dual coordinate descent on a bounded sample (``sample`` rows a class, those with the
-least hash of doc_id), and its margins are calibrated on held-out halves of that sample.
+least hash of doc_id, of which as many go to the driver as have ``room`` indicators between
+them), and its margins are calibrated on held-out halves of that sample.
 
 Nulls and empties: a null text counts as empty and gets the score of no indicators; a null
 doc_id has no label and is scored; rows with null labels are no training rows; repeated label
-rows count once (the larger label).  With one class only, the score is that class's.
+rows count once (the larger label); documents that repeat a doc_id all train under its label.
+With one class only, the score is that class's; without training rows it is the one of
+class 0.  Input columns named like the added ones give way to them; the filter keeps all.
 """
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table, without
 
 PAIRS, HASHED = 1 << 16, 1 << 18
 DIMS = PAIRS + HASHED
@@ -47,12 +52,12 @@ def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     find, counts, rows = Indicators(), np.zeros((2, DIMS), np.int64), np.zeros(2, np.int64)
     for b in batches:
         kept = []
-        for text, y, s in zip(b.text, b.y, b.chosen):
+        for text, y, s, h in zip(b.text, b.y, b.chosen, b.hash):
             ids = find(text)
             counts[y][ids] += 1
             rows[y] += 1
             if s:
-                kept.append(("row", 0, int(y), ids.astype(np.int32).tobytes()))
+                kept.append(("row", h, int(y), ids.astype(np.int32).tobytes()))
         if kept:
             yield pd.DataFrame(kept, columns=["kind", "part", "y", "data"])
     out = [("size", 0, y, rows[y : y + 1].tobytes()) for y in (0, 1)]
@@ -113,14 +118,24 @@ def train_rows(labels: DataFrame, label: str, folds: int, held: int) -> DataFram
     return rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, sample: int = 1500, smooth: float = 1.0) -> dict:
+def sampled(train: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, y): ``sample`` rows a class, least hash of doc_id first; small enough to broadcast."""
+    pick = lambda y: train.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return pick(0).union(pick(1)).select("doc_id", "y")
+
+
+def labelled(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """The documents of the training rows; a merge join whatever the tables' sizes, as labels grow with the corpus."""
+    return docs.where("doc_id is not null").select("doc_id", "text").join(train.hint("merge"), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, sample: int = 1500, smooth: float = 1.0, room: int = 1 << 25) -> dict:
     """-> weights of all features, bias, slope and offset of the calibration."""
     train = train_rows(labels, label, folds, held)
-    pick = lambda y: train.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = pick(0).union(pick(1)).select("doc_id", F.lit(True).alias("chosen"))  # at most 2 * sample ids
+    chosen = sampled(train, sample).select("doc_id", F.lit(True).alias("chosen"))
     train = train.join(F.broadcast(chosen), "doc_id", "left").fillna(False, ["chosen"])
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(train, "doc_id").select("text", "y", "chosen")
-    seen = materialize(texts.mapInPandas(gather, "kind string, part int, y int, data binary"), "ngrams")
+    texts = labelled(docs, train).select("text", "y", "chosen", F.xxhash64("doc_id", "text").alias("hash"))
+    seen = materialize(texts.mapInPandas(gather, "kind string, part long, y int, data binary"), "ngrams")
     counts, total = np.zeros((2, DIMS)), np.zeros(2)
     for r in seen.where("kind <> 'row'").groupBy("kind", "part", "y").applyInPandas(add_up, seen.schema).collect():
         data = np.frombuffer(r.data, np.int64)
@@ -128,8 +143,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
             total[r.y] = data[0]
         else:
             counts[r.y, r.part : r.part + len(data)] = data
-    rows = sorted(seen.where("kind = 'row'").select("y", "data").collect(), key=lambda r: (r.y, bytes(r.data)))
-    if not total.all():
+    # A row's indicators are known by their number first, so that very long texts don't fill the driver.
+    picked = seen.where("kind = 'row'").dropDuplicates(["y", "part"])
+    slim = picked.select("part", "y", (F.length("data") / 4).cast("long").alias("n"))
+    sizes = reduce(DataFrame.union, (slim.where(F.col("y") == y).orderBy("part").limit(sample) for y in (0, 1)))
+    fits = sizes.withColumn("upto", F.sum("n").over(Window.partitionBy("y").orderBy("part", "n").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= room // 2)
+    most = {r.y: r.part for r in fits.groupBy("y").agg(F.max("part").alias("part")).collect()}
+    within = [(F.col("y") == y) & (F.col("part") <= part) for y, part in most.items()]
+    rows = picked.where(reduce(or_, within, F.lit(False))).select("y", "data").collect()
+    rows = sorted(rows, key=lambda r: (r.y, bytes(r.data)))
+    if not total.all() or len(most) < 2:
         return {"w": np.zeros(DIMS, np.float32), "bias": float(total[1] > 0) * 2 - 1.0, "slope": 3.0, "offset": 0.0}
     p, q = counts[1] + smooth, counts[0] + smooth
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
@@ -144,8 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     return {"w": (w[:-1] * ratio).astype(np.float32), "bias": float(w[-1]), "slope": slope, "offset": offset}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted``."""
+def scorer(docs: DataFrame, model: dict):
+    """The score of column ``text``, 0 to 1."""
     known = docs.sparkSession.sparkContext.broadcast(model)  # DIMS weights, whatever the corpus
 
     @F.pandas_udf("double")
@@ -158,12 +181,18 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 out[i] = m["w"][ids].sum(dtype=np.float64) / np.sqrt(max(1, len(ids))) + m["bias"]
             yield pd.Series(1 / (1 + np.exp(-np.clip(m["slope"] * out + m["offset"], -30, 30))))
 
-    return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored("text")
+
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted``."""
+    return without(docs, "score", "predicted").withColumn("score", scorer(docs, model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """Documents that the model doesn't reject; same columns."""
-    return score(docs, fit(docs, labels, **how)).where("predicted = 1").select(docs.columns)
+    (name,) = fresh(docs, "score")
+    return docs.withColumn(name, scorer(docs, fit(docs, labels, **how))).where(F.col(name) >= 0.5).drop(name)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
