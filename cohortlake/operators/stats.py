@@ -70,16 +70,20 @@ def totals(df: DataFrame, category: str, value: str) -> DataFrame:
 POISSON = [790015084, 1580030168, 1975037710, 2106706891, 2139624186, 2146207645, 2147304888]
 
 
-def poisson_weight(key, b, seed: int) -> Column:
-    """Integer resampling weight of a row in replicate b (Poisson bootstrap)."""
-    x = h(h(key, seed) + b.cast("long") * 7919, seed + 1)
-    return sum(F.when(x >= c, 1).otherwise(0) for c in POISSON)
+def dealt(df: DataFrame, key: str, first: int, last: int, seed: int, name: str) -> DataFrame:
+    """Rows by replicate ``b`` (first to last), each with a hash of its key and replicate.
+
+    Both hashes pass a generator, which binds them: as plain expressions they would be put in
+    anew wherever a weight names them, more code than the JVM compiles.
+    """
+    rows = df.withColumn("_k", F.explode(F.array(h(key, seed)))).withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    return rows.withColumn(name, F.explode(F.array(h(F.col("_k") + F.col("b").cast("long") * 7919, seed + 1)))).drop("_k")
 
 
 def replicates(df: DataFrame, key: str, b: int, seed: int) -> DataFrame:
-    """Rows by replicate with their weight; weight 0 is left out."""
-    out = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    return out.withColumn("w", poisson_weight(F.col(key), F.col("b"), seed).cast("double")).where("w > 0")
+    """Rows by replicate with their integer weight (Poisson bootstrap); weight 0 is left out."""
+    weight = sum(F.when(F.col("_x") >= c, 1).otherwise(0) for c in POISSON)
+    return dealt(df, key, 0, b - 1, seed, "_x").where(F.col("_x") >= POISSON[0]).withColumn("w", weight.cast("double")).drop("_x")
 
 
 def interval(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -131,10 +135,9 @@ def energy_test(df: DataFrame, key: str, side: str, value: str, perms: int, seed
     The distance is 2 * integral of (F - G)^2, from distribution functions over distinct
     values; replicate 0 has the given sides, the others sides dealt out by hash.
     """
-    rows = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(perms))))
     share = df.agg(F.avg(F.col(side).cast("double")).alias("_s"))
-    drawn = (h(h(F.col(key), seed) + F.col("b").cast("long") * 7919, seed + 1) / 2147483647.0 < F.col("_s")).cast("int")
-    rows = rows.crossJoin(F.broadcast(share)).withColumn("_side", F.when(F.col("b") == 0, F.col(side)).otherwise(drawn))
+    drawn = (F.col("_x") / 2147483647.0 < F.col("_s")).cast("int")
+    rows = dealt(df, key, 0, perms, seed, "_x").crossJoin(F.broadcast(share)).withColumn("_side", F.when(F.col("b") == 0, F.col(side)).otherwise(drawn))
     p = prefix(rows, ["b"], value, {"x": F.col("_side").cast("double"), "y": 1.0 - F.col("_side")})
     w = Window.partitionBy("b")
     f = F.col("x_upto") / F.sum("x").over(w) - F.col("y_upto") / F.sum("y").over(w)

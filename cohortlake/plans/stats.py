@@ -16,11 +16,11 @@ def f01(spark, d):
     return p.select("p_partkey", *(c.alias(n) for n, c in S.parse_run(F.col("path")).items()))
 
 
-@query("f02_flat_metrics", """SELECT l_orderkey, 'fold' || (l_linenumber % 3) AS fold, 'auc' AS metric, cls::INT AS cls, v AS value FROM (SELECT l_orderkey, l_linenumber, min(l_discount) AS a, max(l_tax) AS b FROM lineitem WHERE l_linenumber < 4 GROUP BY 1, 2),
+@query("f02_flat_metrics", """SELECT l_orderkey, 'fold' || l_linenumber AS fold, 'auc' AS metric, cls::INT AS cls, v AS value FROM (SELECT l_orderkey, l_linenumber, min(l_discount) AS a, max(l_tax) AS b FROM lineitem GROUP BY 1, 2),
  LATERAL (SELECT 0 AS cls, nullif(a, 0) AS v UNION ALL SELECT 1, nullif(b, 0))""")
 def f02(spark, d):
-    i = table(spark, d, "lineitem").where("l_linenumber < 4").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_discount").alias("a"), F.max("l_tax").alias("b"))
-    entry = F.struct(F.concat(F.lit("fold"), F.col("l_linenumber") % 3), F.create_map(F.lit("auc"), F.array("a", "b")))
+    i = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_discount").alias("a"), F.max("l_tax").alias("b"))
+    entry = F.struct(F.concat(F.lit("fold"), F.col("l_linenumber")), F.create_map(F.lit("auc"), F.array("a", "b")))
     m = i.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(entry)).alias("metrics"))
     return S.flatten_metrics(m, zero_is_missing=True)
 
@@ -78,14 +78,13 @@ def f10(spark, d):
     return rounded(S.bootstrap_auroc(c, ["cls"], "key", B, 1))
 
 
-SB = f"(SELECT *, {WEIGHT} AS w FROM (SELECT grp || b AS gb, * FROM (SELECT *, subject AS key FROM (SELECT subject, event, duration, grp, floor(risk / 50000) AS risk FROM {SURV}) WHERE subject % 10 = 0), generate_series(0, 4) r(b)))"
+SB = f"(SELECT *, {WEIGHT} AS w FROM (SELECT grp || b AS gb, * FROM (SELECT *, subject AS key FROM {SURV}), generate_series(0, {B - 1}) r(b)))"
 
 
 @query("f10_bootstrap_c_index", f"""WITH s AS (SELECT * FROM {SB} WHERE w > 0), c AS (SELECT gb, grp, sum(a.w * b.w) AS pairs, sum(a.w * b.w * CASE WHEN a.risk > b.risk THEN 1 WHEN a.risk = b.risk THEN 0.5 ELSE 0 END) AS won FROM s a JOIN s b USING (gb, grp)
  WHERE a.event = 1 AND (b.duration > a.duration OR b.duration = a.duration AND b.event = 0) GROUP BY 1, 2) SELECT grp, round(avg(won / pairs), 6) AS mean, round(quantile_cont(won / pairs, 0.025), 6) AS lo, round(quantile_cont(won / pairs, 0.975), 6) AS hi FROM c GROUP BY 1""")
 def f10c(spark, d):
-    s = survival(spark, d).where("subject % 10 = 0").withColumn("risk", F.floor(F.col("risk") / 50000))
-    return rounded(S.bootstrap_cindex(s, ["grp"], "subject", 5, 1))
+    return rounded(S.bootstrap_cindex(survival(spark, d), ["grp"], "subject", B, 1))
 
 
 @query("f11_bootstrap_difference", f"""SELECT cls, round(avg(x.auroc - y.auroc), 6) AS mean, round(quantile_cont(x.auroc - y.auroc, 0.025), 6) AS lo, round(quantile_cont(x.auroc - y.auroc, 0.975), 6) AS hi
@@ -108,7 +107,13 @@ def f13(spark, d):
     return rounded(S.mann_whitney(table(spark, d, "events"), "event_type", "value"))
 
 
-@query("f14_energy_test")
+#: Every replicate's distance over all distinct values, as the integral of the squared gap of distribution functions.
+ENERGY = f"""WITH s AS (SELECT *, (event_type = 'error')::INT AS side, event_id AS key FROM events), r AS (SELECT b, value, CASE WHEN b = 0 THEN side ELSE ({X} / 2147483647.0 < (SELECT avg(side) FROM s))::INT END AS side FROM s, generate_series(0, 19) r(b)),
+ p AS (SELECT b, value, sum(side) AS x, sum(1 - side) AS y FROM r GROUP BY 1, 2), c AS (SELECT b, sum(x) OVER w / sum(x) OVER (PARTITION BY b) - sum(y) OVER w / sum(y) OVER (PARTITION BY b) AS f, lead(value) OVER (PARTITION BY b ORDER BY value) - value AS d FROM p WINDOW w AS (PARTITION BY b ORDER BY value)),
+ e AS (SELECT b, 2 * sum(f * f * coalesce(d, 0)) AS e FROM c GROUP BY 1) SELECT round((SELECT e FROM e WHERE b = 0), 6) AS energy, round((count(*) FILTER (e >= (SELECT e FROM e WHERE b = 0)) + 1) / (count(*) + 1), 6) AS p FROM e WHERE b > 0"""
+
+
+@query("f14_energy_test", ENERGY)
 def f14(spark, d):
     e = table(spark, d, "events").select("event_id", (F.col("event_type") == "error").cast("int").alias("side"), "value")
     return rounded(S.energy_test(e, "event_id", "side", "value", 19))
@@ -164,11 +169,9 @@ def f21(spark, d):
     return g.select("o_orderpriority", "n", F.round("spearman", 6).alias("spearman"), F.round("median_change", 4).alias("median_change"))
 
 
-@query("f22_presence_matrix", """SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'error'), 6) AS error, round(avg(value) FILTER (event_type = 'view'), 6) AS view FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 20 = 0) GROUP BY 1""")
+@query("f22_presence_matrix", """SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'error'), 6) AS error, round(avg(value) FILTER (event_type = 'view'), 6) AS view FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1""")
 def f22(spark, d):
-    e = table(spark, d, "events")
-    has = e.where("event_type = 'error' and event_id % 20 = 0").select("user_id").distinct()
-    return rounded(S.presence_matrix(e.join(has, "user_id", "left_semi"), "user_id", "event_type", "value", "error", ["click", "error", "view"]))
+    return rounded(S.presence_matrix(table(spark, d, "events"), "user_id", "event_type", "value", "error", ["click", "error", "view"]))
 
 
 @query("f23_significance", """WITH e AS (SELECT p_brand AS outcome, p_type AS run, p_retailprice / 20000 AS p FROM part WHERE p_type IN ('ECONOMY', 'SMALL'))
