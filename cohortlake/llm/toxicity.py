@@ -1,126 +1,160 @@
 """Toxicity: Levenshtein automata on a lexicon trie, with context windows.
 
 The lexicon is learned: words far more frequent in toxic training documents.  A word that is
-no entry runs through the intersection of its Levenshtein automaton (one edit) with the
-lexicon's trie; what is left alive at a trie end is a misspelled entry.  Entries of three
-letters have no edits to spare (one edit from them lies most of a language's short words)
-and match as they are; a swap of neighbours is two edits.  Each hit is scored
-in a window of words: quotation marks and reporting verbs speak for quotation, direct address
-for abuse.  A small logistic model weighs the sums.
+no entry runs through the intersection of the Levenshtein automata (one edit) of all entries
+with the lexicon's trie, made deterministic as far as words ask for it: what is left alive at
+a trie end is a misspelled entry.  A swap of neighbours is two edits.  Within one edit of
+entries of three letters lie many sound words, so their misspellings are a signal of their
+own, to which the fitted weights give what the labels support.
+
+Each hit is scored in a window of words: quotation marks open before it (over the whole text
+where its marks are balanced, else in the window) and the reporting verbs of ``REPORTING``
+speak for quotation, the direct address of ``ADDRESS`` for abuse; both lists are fixed and
+short, in four languages.  A small logistic model weighs the sums.
 
 Nulls and empties: a null text counts as empty (no hits, the model's base rate); a null
-doc_id is scored and never trains; repeated rows each get their score.
+doc_id is scored and never trains; repeated rows each get their score, and documents that
+repeat a doc_id all train under its label.  Input columns named like the added ones give way.
 """
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .quality import train_rows
+from .common import table, without
+from .quality import labelled, sampled, train_rows
 
 REPORTING = {"said", "says", "say", "wrote", "writes", "called", "calls", "quote", "quoted", "quotes", "word", "term", "sagte", "dit", "dijo"}
 ADDRESS = {"you", "your", "youre", "u", "du", "tu", "toi", "dich", "te"}
 QUOTES = re.compile(r"[\"'“”„«»‘’]")
 EDGE = re.compile(r"^\W+|\W+$")
 WINDOW = 5
-COLUMNS = ["text", "y", "chosen"]
-#: The shortest entry that may be matched with an edit.
-EDITED = 4
-
-
-def make_trie(words) -> dict:
-    root: dict = {}
-    for w in words:
-        node = root
-        for c in w:
-            node = node.setdefault(c, {})
-        node[""] = w
-    return root
-
-
-def step(states: frozenset, c: str, word: str, k: int) -> frozenset:
-    """The Levenshtein automaton of ``word``: states are (letters read, edits)."""
-    out = set()
-    for i, e in states:
-        if i < len(word) and word[i] == c:
-            out.add((i + 1, e))
-        if e < k:
-            out.add((i, e + 1))
-            if i < len(word):
-                out.add((i + 1, e + 1))
-                if i + 1 < len(word) and word[i + 1] == c:
-                    out.add((i + 2, e + 1))
-    return frozenset(out)
-
-
-def near_entry(word: str, trie: dict, k: int = 1):
-    """A lexicon entry within k edits of ``word`` (the first in letter order), or None."""
-    stack = [(trie, frozenset([(0, 0)]))]
-    while stack:
-        node, states = stack.pop()
-        if "" in node and any(len(word) - i <= k - e for i, e in states):
-            return node[""]
-        for c in sorted(node, reverse=True):
-            if c and (s := step(states, c, word, k)):
-                stack.append((node[c], s))
-    return None
+#: Entries up to this length tell their misspellings apart from those of longer ones.
+SHORT = 3
+FEATURES = 6
+
+
+class Automaton:
+    """All words within ``k`` edits of a lexicon entry: Levenshtein automata on the entries' trie.
+
+    A state is a set of (trie node, edits so far).  States are numbered and their steps kept,
+    so that a word costs one look-up a letter.
+    """
+
+    def __init__(self, words, k: int = 1, room: int = 200_000):
+        self.k, self.room = k, room
+        self.next: list[dict[str, int]] = [{}]
+        self.entry: list[str | None] = [None]
+        for w in sorted(words):
+            node = 0
+            for c in w:
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.entry.append(None)
+                node = self.next[node][c]
+            self.entry[node] = w
+        self.reset()
+
+    def reset(self) -> None:
+        self.states, self.steps, self.ends, self.number = [], [], [], {}
+        self.start = self.state({(0, 0)})
+
+    def state(self, pairs: set[tuple[int, int]]) -> int:
+        """The number of a set of pairs, with the letters of entries that the word leaves out; -1: dead."""
+        todo = list(pairs)
+        while todo:
+            node, e = todo.pop()
+            if e < self.k:
+                for to in self.next[node].values():
+                    if (to, e + 1) not in pairs:
+                        pairs.add((to, e + 1))
+                        todo.append((to, e + 1))
+        if not pairs:
+            return -1
+        key = frozenset(pairs)
+        if (at := self.number.get(key)) is None:
+            at = self.number[key] = len(self.states)
+            self.states.append(key)
+            self.steps.append({})
+            found = sorted((e, self.entry[n]) for n, e in key if self.entry[n] is not None)
+            self.ends.append(found[0][1] if found else None)
+        return at
+
+    def step(self, at: int, c: str) -> int:
+        out = set()
+        for node, e in self.states[at]:
+            if (to := self.next[node].get(c)) is not None:
+                out.add((to, e))
+            if e < self.k:
+                out.add((node, e + 1))
+                out.update((to, e + 1) for to in self.next[node].values())
+        to = self.steps[at][c] = self.state(out)
+        return to
+
+    def __call__(self, word: str) -> str | None:
+        """The entry of fewest edits within k of ``word`` (then the first in letter order), or None."""
+        if len(self.states) > self.room:
+            self.reset()
+        at = self.start
+        for c in word:
+            to = self.steps[at].get(c)
+            at = self.step(at, c) if to is None else to
+            if at < 0:
+                return None
+        return self.ends[at]
 
 
 class Matcher:
-    """Looks words up, each distinct one through the automaton once."""
+    """Looks words up, each distinct one of a task once."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
-        self.long = [w for w in lexicon if len(w) >= EDITED]
-        self.trie = make_trie(self.long)
-        # One edit leaves the first or the last half of an entry as it is.
-        self.heads, self.tails = {w[: len(w) // 2] for w in self.long}, {w[(len(w) + 1) // 2 :] for w in self.long}
-        self.sizes = sorted({len(w) // 2 for w in self.long})
+        self.lexicon, self.automaton = lexicon, Automaton(lexicon)
         self.known: set = set()
         self.hits: dict = {}
 
     def learn(self, tokens: set) -> None:
-        for t in tokens - self.known:
-            w = EDGE.sub("", t).lower()
-            if w in self.lexicon:
-                self.hits[t] = (w, True)
-            elif len(w) >= EDITED - 1 and any(w[:n] in self.heads or w[len(w) - n :] in self.tails for n in self.sizes):
-                if e := near_entry(w, self.trie):
-                    self.hits[t] = (e, False)
-        self.known |= tokens
-        if len(self.known) > 2_000_000:
+        if len(self.known) > 1_000_000:
             self.known, self.hits = set(), {}
-            self.learn(tokens)
+        new = tokens - self.known
+        for t in new:
+            w = EDGE.sub("", t).lower()
+            if w and (e := self.automaton(w)):
+                self.hits[t] = (e, 0 if e == w else 2 if len(e) <= SHORT else 1)
+        self.known |= new
 
     def features(self, text) -> list[float]:
-        """Sums of entry weights: plain, misspelled, quoted; the largest context score; the share of words."""
+        """Sums of entry weights: plain, misspelled, quoted; the largest context score; the share of words; misspelled short."""
         tokens = (text or "").split()
         self.learn(kinds := set(tokens))
-        plain = near = quoted = top = 0.0
-        n = 0
+        sums, quoted, top, n = [0.0, 0.0, 0.0], 0.0, 0.0, 0
         if not kinds.isdisjoint(self.hits):
+            upto = list(accumulate((len(QUOTES.findall(t)) for t in tokens), initial=0))
+            whole = upto[-1] % 2 == 0
             for i, t in enumerate(tokens):
                 if (hit := self.hits.get(t)) is None:
                     continue
+                entry, kind = hit
+                first = max(0, i - WINDOW)
+                low = {EDGE.sub("", w).lower() for w in tokens[first : i + WINDOW + 1]}
+                marks = upto[i] - (0 if whole else upto[first]) + bool(QUOTES.match(t))
+                context = 1.0 - 0.5 * (marks % 2) - 0.3 * (not low.isdisjoint(REPORTING)) + 0.3 * (not low.isdisjoint(ADDRESS))
+                score = self.lexicon[entry] * context
+                if kind == 2:
+                    sums[2] += score
+                    continue
                 n += 1
-                around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
-                low = [EDGE.sub("", w).lower() for w in around]
-                marks = sum(len(QUOTES.findall(w)) for w in tokens[max(0, i - WINDOW) : i]) + bool(QUOTES.match(t))
-                context = 1.0 - 0.5 * (marks % 2) - 0.3 * any(w in REPORTING for w in low) + 0.3 * any(w in ADDRESS for w in low)
-                score = self.lexicon[hit[0]] * context
                 top = max(top, score)
                 if context < 0.7:
                     quoted += score
-                elif hit[1]:
-                    plain += score
                 else:
-                    near += score
-        return [np.log1p(plain), np.log1p(near), np.log1p(quoted), top, n / (len(tokens) + 10.0)]
+                    sums[kind] += score
+        return [np.log1p(sums[0]), np.log1p(sums[1]), np.log1p(quoted), top, n / (len(tokens) + 10.0), np.log1p(sums[2])]
 
 
 def learn_lexicon(texts: DataFrame, surprise: float = 30.0, margin: float = 2.0) -> dict[str, float]:
@@ -154,37 +188,39 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 3000) -> dict:
     """-> lexicon and weights.  The logistic part sees ``sample`` rows a class, least hash of doc_id first."""
     train = train_rows(labels, "toxic", folds, held)
-    pick = lambda y: train.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = pick(0).union(pick(1)).select("doc_id", F.lit(True).alias("chosen"))
-    train = train.join(F.broadcast(chosen), "doc_id", "left").fillna(False, ["chosen"])
-    texts = materialize(docs.where("doc_id is not null").select("doc_id", "text").join(train, "doc_id").select(*COLUMNS), "labelled")
-    lexicon = learn_lexicon(texts)
+    texts = labelled(docs, train)
+    lexicon = learn_lexicon(texts.select("text", "y"))
     totals = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(totals) < 2:
+        return {"lexicon": lexicon, "w": np.array([0.0] * FEATURES + [3.0 if totals.get(1) else -3.0])}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Matcher(lexicon)
         for b in batches:
             yield pd.DataFrame({"y": b.y.astype("int32"), "x": [m.features(t) for t in b.text]})
 
-    got = texts.where("chosen").select("text", "y").mapInPandas(rows, "y int, x array<double>").orderBy("y", "x").collect()
-    if len(totals) < 2:
-        return {"lexicon": lexicon, "w": np.array([0.0] * 5 + [3.0 if totals.get(1) else -3.0])}
-    x, y = np.array([list(r.x) for r in got]), np.array([float(r.y) for r in got])
-    weight = np.where(y > 0, totals[1] / y.sum(), totals[0] / (1 - y).sum())
+    few = docs.select("doc_id", "text").join(F.broadcast(sampled(train, sample)), "doc_id")
+    got = few.select("text", "y").mapInPandas(rows, "y int, x array<double>").collect()
+    got = sorted((r.y, tuple(r.x)) for r in got)
+    x, y = np.array([r[1] for r in got]), np.array([float(r[0]) for r in got])
+    weight = np.where(y > 0, totals[1] / max(1.0, y.sum()), totals[0] / max(1.0, (1 - y).sum()))
     return {"lexicon": lexicon, "w": logistic(x, y, weight / weight.mean())}
 
 
+def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, w = Matcher(model["lexicon"]), model["w"]
+        m = Matcher(model["lexicon"])
         for texts in batches:
-            x = np.array([m.features(t) for t in texts]).reshape(-1, 5)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+            yield pd.Series(probability(np.array([m.features(t) for t in texts]).reshape(-1, FEATURES), model["w"]))
 
-    return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return without(docs, "score", "predicted").withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -52,17 +54,102 @@ def test_lexicon_keeps_every_word_that_passes(spark):
     assert set(toxicity.learn_lexicon(texts)) == set(bad)
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        old, row = row, [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (c != d)))
+    return row[-1]
+
+
 def test_levenshtein_automaton():
-    trie = toxicity.make_trie(["moron", "stupid", "worthless"])
-    for w, want in (("moron", "moron"), ("morron", "moron"), ("m0ron", "moron"), ("mroon", None), ("stupd", "stupid"), ("worthlesss", "worthless"), ("morom", "moron"), ("clear", None)):
-        assert toxicity.near_entry(w, trie) == want, w
+    words = ["moron", "morons", "stupid", "worthless", "bad", "ab", "idiot"]
+    rng = np.random.default_rng(5)
+    tries = ["", "mroon", "stpuid", "clear", "b", "abc"] + words
+    for w in words * 60:
+        t = list(w)
+        for _ in range(rng.integers(1, 3)):
+            at, c = rng.integers(0, len(t) + 1), "abdimorstux"[rng.integers(0, 11)]
+            t[at : at + rng.integers(0, 2)] = [c] if rng.integers(0, 2) else []
+        tries.append("".join(t))
+    for k in (1, 2):
+        auto = toxicity.Automaton(words, k, room=40)
+        for t in tries:
+            best = min((edits(t, w), w) for w in words)
+            assert auto(t) == (best[1] if best[0] <= k else None), t
 
 
 def test_short_misspellings_are_found():
     m = toxicity.Matcher({"scum": 3.0, "idiot": 3.0, "moron": 3.0, "bad": 3.0})
     for w in ("scm", "scuum", "scun", "idot", "mron", "moro", "oron"):
         assert m.features(f"such {w} here")[1] > 0, w
-    assert m.features("such bad here")[1] == 0 and m.features("such bed here")[4] == 0
+    assert m.features("such bad here")[1] == 0 and m.features("such bad here")[0] > 0
+    short = m.features("such bed here")
+    assert short[5] > 0 and short[1] == short[4] == 0
+
+
+def test_far_quotation_marks_count():
+    m = toxicity.Matcher({"moron": 3.0})
+    text = 'the man in the street "one two three four five six seven moron one two three four five six" and left'
+    assert m.features(text)[2] > 0 and m.features(text.replace('"', ""))[2] == 0
+
+
+def test_scores_are_the_models(spark, sf):
+    """Both classifiers against plain Python that counts the same indicators by other means."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.collect()
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in rows:
+        d = (r.text or "").encode()
+        ids = {d[i] << 8 | d[i + 1] for i in range(len(d) - 1)}
+        ids |= {(int.from_bytes(d[i : i + 4], "big") * 2654435761 % 2**32 >> 14) + 65536 for i in range(len(d) - 3)}
+        m = sum(float(model["w"][i]) for i in sorted(ids)) / max(1, len(ids)) ** 0.5 + model["bias"]
+        assert abs(1 / (1 + np.exp(-np.clip(model["slope"] * m + model["offset"], -30, 30))) - got[r.doc_id]) < 1e-6
+    # The counts behind the weights: class ratios of all labelled training rows.
+    train = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    assert set(r.doc_id for r in quality.labelled(docs, quality.train_rows(labels, "quality", 3, 1)).collect()) == set(train) & {r.doc_id for r in rows}
+
+    model = toxicity.fit(docs, labels)
+    train = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+    some = [(set(re.findall(r"[^\W_]{3,}", (r.text or "").lower())), train[r.doc_id]) for r in rows if r.doc_id in train]
+    n1, n0 = sum(y for _, y in some), sum(1 - y for _, y in some)
+    t, c = (Counter(w for ws, y in some if y == k for w in ws) for k in (1, 0))
+
+    def gain(w):
+        part = lambda k, share: k * np.log(k / ((t[w] + c[w]) * share)) if k else 0.0
+        return 2 * (part(t[w], n1 / (n1 + n0)) + part(c[w], n0 / (n1 + n0)))
+
+    odds = {w: np.log((t[w] + 0.5) / (n1 + 1)) - np.log((c[w] + 0.5) / (n0 + 1)) for w in t}
+    assert set(model["lexicon"]) == {w for w in t if odds[w] > 2 and gain(w) > 30}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    near = {}
+    for r in rows:
+        hits = [0.0] * 3
+        words = [toxicity.EDGE.sub("", x).lower() for x in (r.text or "").split()]
+        for w in set(words) - set(near):
+            near[w] = min(((edits(w, e), e) for e in model["lexicon"] if abs(len(w) - len(e)) < 2), default=(9, ""))
+        quiet = not any(near[w][0] <= 1 for w in words if w)
+        if quiet:
+            assert abs(got[r.doc_id] - toxicity.probability(np.array(hits + [0.0] * 3), model["w"])) < 1e-12
+        else:
+            want = toxicity.Matcher(model["lexicon"]).features(r.text)
+            plain = [near[w] for w in words if w and near[w][0] == 0]
+            assert (want[4] > 0) == (len(plain) > 0 or any(near[w][0] == 1 and len(near[w][1]) > 3 for w in words if w))
+            assert abs(got[r.doc_id] - toxicity.probability(np.array(want), model["w"])) < 1e-12
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "idiot ZZ!!", 5, "x", 1), (1, "fine calm text", 6, "y", 2), (2, "fine text", 7, "z", 3), (None, None, 8, "w", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score long, predicted string, score_ long")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, labels, folds=7)
+    assert kept.dtypes == docs.dtypes and {tuple(r) for r in kept.collect()} <= set(rows)
+    for made in (quality.score(docs, quality.fit(docs, labels, folds=7)), toxicity.score(docs, toxicity.fit(docs, labels, folds=7))):
+        assert made.columns == ["doc_id", "text", "score_", "score", "predicted"] and made.count() == 4
+    none = labels.limit(0)
+    assert {r.predicted for r in quality.score(docs, quality.fit(docs, none)).collect()} == {0}
 
 
 def test_quotation_lowers_the_score():
