@@ -4,13 +4,16 @@ Test items and documents are normalised alike (lower case, ASCII punctuation and
 to single spaces).  An item of m bytes may be off by e = m * rate edits; cut into e + 1
 pieces, one piece has to be there unchanged.  One automaton finds all pieces of all items in
 a document; each hit names a window, which has to share enough q-grams (e edits destroy at
-most q * e of them) and then passes Myers' bit-parallel distance.
+most q * e of them) and then passes Myers' bit-parallel distance.  An item that may not be off
+at all (under 1 / rate bytes) is a word or two and has to stand between blanks.
 
 Items come in blocks of ``block`` bytes of test text, each small enough to be sent to every
 task; more test text means more passes over the documents, not larger ones.
 
-Nulls and empties: a null text matches nothing; null items and items of fewer than ``least``
-normalised bytes are left out; repeated rows each get their result; repeated items both count.
+Nulls and empties: a null text or doc_id matches nothing; null items and items without a
+normalised byte are no items; repeated rows each get their result, rows that repeat a doc_id
+one and the same, of all their texts; repeated items both count.  Input columns named like the
+added ones give way to them; the filter keeps all.
 """
 
 from collections.abc import Iterator
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table, without
 
 Q = 4
 GRAM_BITS = 12
@@ -106,7 +109,8 @@ class Matcher:
         starts: dict[int, set] = {}
         for end, (n, where) in self.auto.iter(doc):
             for item, at in where:
-                starts.setdefault(item, set()).add(end - n + 1 - at)
+                if self.items[item][2] or (end - n < 0 or doc[end - n] == " ") and (end + 1 == len(doc) or doc[end + 1] == " "):
+                    starts.setdefault(item, set()).add(end - n + 1 - at)
         out, codes = [], gram_codes(doc) if starts else None
         for item, diagonals in starts.items():
             item_id, text_, e, peq, held, need = self.items[item]
@@ -138,11 +142,11 @@ def blocks_of(items: DataFrame, block: int):
         yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
 
 
-def find(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 32, block: int = 1 << 20) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, rate: float = 0.1, block: int = 1 << 20) -> DataFrame:
     """(doc_id, hits) of the documents that hold an item, up to one row a block and document."""
     spark, out = docs.sparkSession, None
     for part in blocks_of(items.where("text is not null and item_id is not null").select("item_id", "text"), block):
-        ready = [(i, t) for i, t in ((i, normal(t)) for i, t in part) if len(t) >= least]
+        ready = [(i, t) for i, t in ((i, normal(t)) for i, t in part) if t]
         sent = spark.sparkContext.broadcast(ready)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -158,16 +162,20 @@ def find(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 32,
 
 def mark(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """``docs`` with n_items, item_ids, best_distance and contaminated."""
-    hits = find(docs, items, **how).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("_hits"))
-    out = docs.join(hits.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-    ids = F.coalesce(F.array_distinct(F.transform("_hits", lambda h: h["item_id"])), F.array().cast("array<long>"))
-    return out.select(*(docs[c] for c in docs.columns), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.array_min(F.transform("_hits", lambda h: h["distance"])).alias("best_distance"), F.col("_hits").isNotNull().alias("contaminated"))
+    docs = without(docs, "n_items", "item_ids", "best_distance", "contaminated")
+    doc, found = fresh(docs, "doc", "hits")
+    hits = find(docs, items, **how).groupBy(F.col("doc_id").alias(doc)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias(found))
+    ids = F.coalesce(F.array_distinct(F.transform(found, lambda h: h["item_id"])), F.array().cast("array<long>"))
+    out = docs.join(hits, F.col("doc_id") == F.col(doc), "left").withColumn("item_ids", ids)
+    out = out.withColumns({"n_items": F.size("item_ids").cast("long"), "best_distance": F.array_min(F.transform(found, lambda h: h["distance"])), "contaminated": F.col(found).isNotNull()})
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "n_items", "item_ids", "best_distance", "contaminated")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """Documents that hold no test item; same columns."""
-    bad = find(docs, items, **how).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_doc"), "left_anti")
+    (doc,) = fresh(docs, "doc")
+    bad = find(docs, items, **how).select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col(doc), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
