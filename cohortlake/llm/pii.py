@@ -7,13 +7,14 @@ with the entity reaches ``alpha`` of the entity's own information content disclo
 Such terms are generalised in every document that holds the entity.
 
 Nulls and empties: a null text counts as empty and has no spans; a null doc_id is kept;
-repeated rows each get their own result.  Extra columns are ignored or passed through.
+repeated rows each get their own result.  Extra columns are passed through, whatever their
+names; of ``annotate`` those named like the added ones give way to them.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, without
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 
@@ -109,6 +110,7 @@ def disclosing_terms(sets: DataFrame, alpha: float, support: int) -> DataFrame:
     entity = sets.where(F.size("entities") > 0).select("_sha", F.explode("entities").alias("entity"))
     often = entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     hits = entity.join(often, "entity").groupBy("_sha").agg(F.collect_list(F.struct("entity", "n_e")).alias("hits"))
+    # Rows by entity and term, so that a hot entity is dealt out by its terms.
     joint = (
         sets.where(F.size("entities") > 0)
         .join(hits, "_sha")
@@ -124,18 +126,24 @@ def disclosing_terms(sets: DataFrame, alpha: float, support: int) -> DataFrame:
     return joint.join(terms, "term").join(F.broadcast(n)).where((content > 0) & (pmi >= alpha * content)).select("entity", "term")
 
 
-def annotate(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> DataFrame:
-    """``docs`` with ``found`` (base spans) and ``spans`` (base and term spans, sorted)."""
-    found = base_spans(docs)
+def own_terms(sets: DataFrame, leaks: DataFrame) -> DataFrame:
+    """(_sha, _terms): a text's own terms that disclose one of its entities, as one pattern, longest first.
+
+    Terms are joined with their entity, so a text is told its own terms alone, and an entity's
+    texts are dealt out by term.
+    """
+    leaky = leaks.select("entity").distinct()
+    mine = sets.where(F.size("entities") > 0).select("_sha", "terms", F.explode("entities").alias("entity")).join(leaky, "entity", "left_semi")
+    mine = mine.select("_sha", "entity", F.explode("terms").alias("term")).join(leaks, ["entity", "term"])
+    return mine.groupBy("_sha").agg(F.array_join(F.sort_array(F.collect_set("term"), asc=False), "|").alias("_terms"))
+
+
+def spanned(docs: DataFrame, alpha: float, support: int) -> DataFrame:
+    """(row, text, found, spans): the rows of ``docs`` as structs, so that no column of theirs clashes."""
+    found = base_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"))
     sets = materialize(text_sets(found), "sets")
     leaks = materialize(disclosing_terms(sets, alpha, support), "leaks")
-    held = (
-        sets.where(F.size("entities") > 0)
-        .select("_sha", F.explode("entities").alias("entity"))
-        .join(leaks, "entity")
-        .groupBy("_sha")
-        .agg(F.array_join(F.sort_array(F.collect_set("term"), asc=False), "|").alias("_terms"))
-    )
+    held = own_terms(sets, leaks)
     # Only rows that hold an entity go through the join; the rest are passed by.
     some, none = found.where(F.size("found") > 0), found.where(F.size("found") == 0)
     some = some.withColumn("_sha", F.sha2("text", 256)).join(held, "_sha", "left")
@@ -143,8 +151,14 @@ def annotate(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> DataFrame
     term = F.when(F.col("_terms").isNull(), F.array().cast("array<struct<start:int,end:int,value:string>>")).otherwise(matches(F.col("text"), pattern))
     base = F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     terms = F.transform(term, lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("kind"), m["end"].alias("end")))
-    some = some.withColumn("_terms_found", terms).withColumn("spans", F.array_sort(F.concat(base, F.col("_terms_found")))).drop("_sha", "_terms", "_terms_found")
-    return some.unionByName(none.withColumn("spans", F.array().cast(SPANS)))
+    some = some.withColumn("_terms_found", terms).withColumn("spans", F.array_sort(F.concat(base, F.col("_terms_found"))))
+    return some.select("row", "text", "found", "spans").unionByName(none.select("row", "text", "found", F.array().cast(SPANS).alias("spans")))
+
+
+def annotate(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> DataFrame:
+    """``docs`` with ``found`` (base spans) and ``spans`` (base and term spans, sorted)."""
+    docs = without(docs, "found", "spans")
+    return spanned(docs, alpha, support).select(*(F.col(f"row.`{c}`") for c in docs.columns), "found", "spans")
 
 
 def labels(spans: Column) -> Column:
@@ -170,10 +184,10 @@ def redact(text: Column, spans: Column, kinds=tuple(f"[{k.upper()}]" for k in KI
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame, **how) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> DataFrame:
     """Documents with personal data generalised; same columns."""
-    out = annotate(docs, **how)
-    return out.withColumn("text", redact(F.col("text"), F.col("spans"))).select(docs.columns)
+    clean = redact(F.col("text"), F.col("spans")).alias("text")
+    return spanned(docs, alpha, support).select(*(clean if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

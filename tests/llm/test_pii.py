@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 from cohortlake.llm import pii
 
@@ -74,5 +77,50 @@ def test_terms_far_from_the_entity_are_found(spark):
     assert all(got[i].text == texts[i] for i in range(4, 13))
 
 
+def test_term_spans_match_brute_force(spark):
+    """Mutual information counted in plain Python over distinct texts."""
+    rng, people = random.Random(4), [f"p{i}@corp.org" for i in range(6)] + ["10.0.0.7"]
+    own = {p: [f"{x}{'abcdefg'[i]}name" for x in ("al", "be", "ce")] for i, p in enumerate(people)}
+    texts = []
+    for _ in range(150):
+        ws = [rng.choice(["note", "mail", "from", "about", "the", "matter", "today", "plan"]) for _ in range(12)]
+        if rng.random() < 0.5:
+            p = rng.choice(people)
+            ws += [p, *(w for w in own[p] if rng.random() < 0.8)]
+        if rng.random() < 0.15:
+            ws.append(rng.choice(own[rng.choice(people)]))
+        rng.shuffle(ws)
+        texts.append(" ".join(ws))
+    texts += texts[:40] * 3 + [None]
+    sets = []
+    for t in {t or "" for t in texts}:
+        spans, cut, at = brute(t)[0], [], 0
+        for s, _, e in spans:
+            cut.append(t[at:s] if s >= at else "")
+            at = max(at, e)
+        sets.append(({(k, t[s:e].lower()) for s, k, e in spans}, set(re.findall(r"[^\W\d_]{3,}", (" ".join(cut + [t[at:]])).lower()))))
+    n, n_e, n_t, n_te = len(sets), Counter(), Counter(), Counter()
+    for es, ts in sets:
+        n_e.update(es), n_t.update(ts), n_te.update((e, t) for e in es for t in ts)
+    leaks = {(e, t) for (e, t), k in n_te.items() if k >= 3 and math.log(n / n_e[e]) > 0 and math.log(k * n / (n_t[t] * n_e[e])) >= 0.9 * math.log(n / n_e[e])}
+    assert len(leaks) > 5
+    got = pii.annotate(documents(spark, texts)).collect()
+    for r in got:
+        t = r.text or ""
+        base = brute(t)[0]
+        mine = sorted({w for s, k, e in base for x, w in leaks if x == (k, t[s:e].lower())})
+        want = sorted(base + [(m.start(), 4, m.end()) for m in re.finditer(rf"(?<![^\W\d_])(?:{'|'.join(mine)})(?![^\W\d_])", t, re.I)]) if mine else base
+        assert [(s.start, s.kind, s.end) for s in r.spans] == want, t
+
+
+def test_clashing_names(spark):
+    rows = [(1, "mail a@b.cc", 1.5, "x", 3, 4, 5, 6), (1, "other", 2.5, "y", 3, 4, 5, 6), (None, None, None, None, 3, 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found double, spans string, _t int, _sha int, row int, _terms int")
+    got = pii.sanitise(docs)
+    assert got.dtypes == docs.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.selectExpr("doc_id", "replace(text, 'a@b.cc', '[EMAIL]') AS text", "found", "spans", "_t", "_sha", "row", "_terms").collect()))
+    assert pii.annotate(docs).columns == ["doc_id", "text", "_t", "_sha", "row", "_terms", "found", "spans"]
+
+
 def test_empty_table(spark):
     assert pii.sanitise(spark.createDataFrame([], DOCS)).count() == 0
