@@ -1,10 +1,14 @@
 """Portable hash, prefix sums over distinct values, grid keys and element-wise vector aggregates."""
 
+import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 M = 2147483647
 
@@ -35,15 +39,36 @@ def key_number_sql(c: str) -> str:
     return f"('0x' || substr(md5({c}), 1, 8))::BIGINT"
 
 
+def ordered_bucket(c) -> Column:
+    """A whole number that never falls as the number c grows: 256 to an octave, so that values
+    of any spread lie in many, and at most about a million of them are ever in use."""
+    v = col(c).cast("double")
+    size = F.abs(v)
+    octave = F.floor(F.log2(size))
+    at = octave * 256 + F.floor((size / F.pow(F.lit(2.0), octave.cast("double")) - 1) * 256) + 300000
+    return F.when(F.isnan(v) | (size == float("inf")), F.signum(v) * 600000).when(v == 0, 0).otherwise(F.signum(v) * at).cast("long")
+
+
 def prefix(df: DataFrame, group: list[str], value: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
     """One row a distinct value: the sums there, and ``<name>_upto``, those up to and with it.
 
-    Rows are reduced to distinct values before any window sees them.
+    Rows are reduced to distinct values first.  Numbers are then summed inside ordered buckets
+    of values and shifted by the sums of the buckets before, so that no task sees all values
+    of a group, nor of the whole table.
     """
     one = df.groupBy(*group, value).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return one.select("*", *(F.sum(n).over(w).alias(f"{n}_upto") for n in sums))
+    if not isinstance(one.schema[value].dataType, T.NumericType):
+        w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.col(value).desc() if descending else F.col(value).asc()).rowsBetween(Window.unboundedPreceding, 0)
+        return one.select("*", *(F.sum(n).over(w).alias(f"{n}_upto") for n in sums))
+    one = one.withColumn("_bucket", -ordered_bucket(value) if descending else ordered_bucket(value))
+    w = Window.partitionBy(*group, "_bucket").orderBy(F.col(value).desc() if descending else F.col(value).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    whole = one.groupBy(*group, "_bucket").agg(*(F.sum(n).alias(f"_before_{n}") for n in sums))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*group, "_bucket", *(F.coalesce(F.sum(f"_before_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
+    inner = one.select("*", *(F.sum(n).over(w).alias(f"_in_{n}") for n in sums))
+    same = reduce(and_, (F.col(f"_x.{g}").eqNullSafe(F.col(f"_y.{g}")) for g in [*group, "_bucket"]))
+    both = inner.alias("_x").join(whole.alias("_y"), same)
+    return both.select(*(F.col(f"_x.{c}") for c in [*group, value, *sums]), *((F.col(f"_x._in_{n}") + F.col(f"_y._before_{n}")).alias(f"{n}_upto") for n in sums))
 
 
 def mid_ranks(df: DataFrame, group: list[str], value: str, name: str = "rank") -> DataFrame:
@@ -110,11 +135,16 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark) -> str:
-    """The folder that driver and executors share; a local one is set only where none is named."""
+    """The folder that driver and executors share.
+
+    Where none is named, a session of one machine gets a temporary one; a cluster is an error.
+    """
     sc = spark.sparkContext
     set_ = sc._jsc.sc().getCheckpointDir()
     at = sc.getConf().get("spark.checkpoint.dir") or (set_.get() if set_.isDefined() else None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cohortlake-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -124,4 +154,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Written to the shared folder and reread: cuts the plan between rounds."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -1,25 +1,66 @@
 """Neighbourhoods and graphs as node and edge tables."""
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import product
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import corr, dot, elements, gather, h, l2, materialize
+from cohortlake.functions.prims import corr, dot, elements, forget, gather, h, l2, materialize, prefix
 
 from .annotations import neighbours
 
 
-def knn(query: DataFrame, ref: DataFrame, key: str, vector: str, k: int, same: bool = False, blocks: int = 8) -> DataFrame:
-    """Exact cosine top k: (key, neighbour, similarity, place).
+#: Rows of a block of vectors: two blocks' products fit a task's memory many times over.
+BLOCK = 2048
+
+
+def numbered(df: DataFrame, key: str, name: str, rows: int = BLOCK) -> tuple[DataFrame, int]:
+    """df with a block number by its key's hash, and how many blocks there are: as many as the rows need."""
+    n = max(1, -(-df.count() // rows))
+    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
+def met_blocks(a: DataFrame, b: DataFrame, na: int, nb: int, run, schema: str) -> DataFrame:
+    """Every block of ``a`` (column _a) with every block of ``b`` (column _b), a task each, as matrices.
+
+    Rows are sent once for each block of the other side; products stay inside the tasks.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = a.withColumn("_b", every(nb)), b.withColumn("_a", every(na))
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(run, schema)
+
+
+def knn(query: DataFrame, ref: DataFrame, key: str, vector: str, k: int, same: bool = False) -> DataFrame:
+    """Exact cosine top k: (key, neighbour, similarity, place); equal similarities by neighbour.
 
-    Query rows meet reference rows block by block (an equi-join on block numbers); each block
-    keeps its own top k before the blocks are put together.
+    Blocks of queries meet blocks of references as matrices; a pair of blocks sends on the k
+    best of each query, and these are put together.
     """
-    q = query.select(F.col(key), l2(vector).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    r = ref.select(F.col(key).alias("neighbour"), l2(vector).alias("_r"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
-    s = q.join(r, "_b").where(F.lit(same) | (F.col(key) != F.col("neighbour"))).select(key, "_b", "neighbour", F.round(dot("_q", "_r"), 9).alias("similarity"))
-    w = lambda *p: Window.partitionBy(*p).orderBy(F.desc("similarity"), "neighbour")
-    local = s.withColumn("_p", F.row_number().over(w(key, "_b"))).where(F.col("_p") <= k)
-    return local.withColumn("place", F.row_number().over(w(key))).where(F.col("place") <= k).select(key, "neighbour", "similarity", "place")
+    q, nq = numbered(query.select(F.col(key).alias("q"), l2(vector).alias("v")), "q", "_a")
+    r, nr = numbered(ref.select(F.col(key).alias("r"), l2(vector).alias("v")), "r", "_b")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q": left.q[:0], "r": right.r[:0], "similarity": np.zeros(0)})
+        ids, others = left.q.to_numpy(), right.r.to_numpy()
+        s = np.round(np.stack(left.v) @ np.stack(right.v).T, 9)
+        if not same:
+            s[ids[:, None] == others[None, :]] = -np.inf
+        at = max(0, s.shape[1] - k)
+        least = np.partition(s, at, axis=1)[:, at]
+        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        order = np.lexsort((others[j], -s[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        return pd.DataFrame({"q": ids[i], "r": others[j], "similarity": s[i, j]})
+
+    kind = query.schema[key].dataType.simpleString()
+    best = met_blocks(q, r, nq, nr, run, f"q {kind}, r {kind}, similarity double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "r"))
+    return best.withColumn("place", place).where(F.col("place") <= k).select(F.col("q").alias(key), F.col("r").alias("neighbour"), "similarity", "place")
 
 
 def knn_distance(nn: DataFrame, key: str) -> DataFrame:
@@ -28,11 +69,9 @@ def knn_distance(nn: DataFrame, key: str) -> DataFrame:
 
 def percentile_of(values: DataFrame, ref: DataFrame, value: str, centred: bool = False) -> DataFrame:
     """Share of reference values at or under each value; ``centred``: (p - 0.5) * sqrt(12)."""
-    both = values.select("*", F.lit(0).alias("_r")).unionByName(ref.select(value, F.lit(1).alias("_r")), allowMissingColumns=True)
-    n = both.groupBy(value).agg(F.sum("_r").alias("_c"))
-    w = Window.partitionBy(F.lit(0))
-    n = n.withColumn("percentile", F.sum("_c").over(w.orderBy(value)) / F.sum("_c").over(w)).drop("_c")
-    out = values.join(n, value)
+    both = values.select(value, F.lit(0).alias("_r")).unionByName(ref.select(value, F.lit(1).alias("_r")))
+    n = prefix(both, [], value, {"_c": F.col("_r")}).select(value, "_c_upto").crossJoin(F.broadcast(ref.agg(F.count("*").alias("_n"))))
+    out = values.join(n.select(value, (F.col("_c_upto") / F.col("_n")).alias("percentile")), value)
     return out.withColumn("percentile", (F.col("percentile") - 0.5) * F.sqrt(F.lit(12.0))) if centred else out
 
 
@@ -107,10 +146,13 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         small = materialize(small.where("u <> v").distinct())
-        if small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty():
-            break
+        forget(now, large)
         now = small
-    out = small.select(F.col("u").alias("id"), F.col("v").alias("component")).union(small.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+        # Done when all are stars: nobody has two parents, and no parent has one.
+        roles = now.select(F.col("u").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(now.select("v", F.lit(0), F.lit(1)))
+        if roles.groupBy("id").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or child = 1 and parent = 1").isEmpty():
+            break
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
     if nodes is None:
         return out
     return nodes.select("id").join(out, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -163,27 +205,48 @@ def graph_mmd(hist: DataFrame, side: DataFrame, bins: int, sigma: float) -> Data
     """
     v = hist.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("m")).join(side, "graph_id")
     v = v.select("graph_id", "side", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("m", b.cast("long")), F.lit(0.0))).alias("h"))
-    return _mmd(v, "graph_id", lambda: F.exp(-(F.aggregate(F.zip_with("h", "h2", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 2) ** 2 / (2 * sigma * sigma)))
+
+    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        tv = sum(np.abs(a[:, i, None] - b[None, :, i]) for i in range(a.shape[1])) / 2
+        return np.exp(-(tv**2) / (2 * sigma * sigma))
+
+    return _mmd(v, "graph_id", kernel)
+
+
+def _mmd(v: DataFrame, key: str, kernel) -> DataFrame:
+    """Mean kernel inside both sides less twice that across; blocks meet as matrices and send on their sums."""
+    one = lambda: v.select(F.col(key).alias("_k"), F.col("side").cast("int").alias("side"), F.col("h").alias("h"))
+    (a, n), (b, _) = numbered(one(), "_k", "_a"), numbered(one(), "_k", "_b")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for (i, x), (j, y) in product(left.groupby("side"), right.groupby("side")):
+            rows.append((i, j, float(kernel(np.stack(x.h), np.stack(y.h)).sum()), len(x) * len(y)))
+        return pd.DataFrame(rows, columns=["i", "j", "k", "n"])
+
+    k = met_blocks(a, b, n, n, run, "i int, j int, k double, n long").groupBy("i", "j").agg((F.sum("k") / F.sum("n")).alias("k"))
+    return k.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("k")).otherwise(-F.col("k"))).alias("mmd2"))
 
 
-def _mmd(v: DataFrame, key: str, kernel, blocks: int = 4) -> DataFrame:
-    a = v.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = v.select(F.col(key).alias("_k"), F.col("side").alias("side2"), F.col("h").alias("h2"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
-    k = a.join(b, "_b").groupBy("side", "side2").agg(F.avg(kernel()).alias("k"))
-    sign = F.when(F.col("side") == F.col("side2"), 1.0).otherwise(-1.0)
-    return k.agg(F.sum(sign * F.col("k")).alias("mmd2"))
+def median_distance(a: DataFrame, key: str, side: str, vector: str, sample: int = 2000) -> float:
+    """Median distance between vectors of the two sides, over ``sample`` of each by least hash of the key."""
+    few = [a.where(F.col(side) == s).select(key, F.col(vector).alias("h")).orderBy(F.xxhash64(key), key).limit(sample) for s in (0, 1)]
+    x, y = (np.array([list(map(float, r.h)) for r in f.collect()]) for f in few)
+    d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T))
+    return float(np.median(d)) if d.size else 1.0
 
 
-def mmd(a: DataFrame, key: str, side: str, vector: str, sigmas: list[float]) -> DataFrame:
-    """Two-sample discrepancy of vectors, mean of RBF kernels."""
-    v = a.select(F.col(key), F.col(side).alias("side"), F.col(vector).alias("h"))
+def mmd(a: DataFrame, key: str, side: str, vector: str, sigmas: list[float] | None = None) -> DataFrame:
+    """Two-sample discrepancy of vectors, mean of RBF kernels; without ``sigmas`` half, one and two times the median distance."""
+    if sigmas is None:
+        m = median_distance(a, key, side, vector) or 1.0
+        sigmas = [m / 2, m, 2 * m]
 
-    def kernel() -> Column:
-        d = F.zip_with("h", "h2", lambda x, y: x.cast("double") - y.cast("double"))
-        q = dot(d, d)
-        return sum(F.exp(-q / (2 * s * s)) for s in sigmas) / len(sigmas)
+    def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        q = np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T)
+        return sum(np.exp(-q / (2 * s * s)) for s in sigmas) / len(sigmas)
 
-    return _mmd(v, key, kernel)
+    return _mmd(a.select(F.col(key), F.col(side).alias("side"), F.transform(vector, lambda x: x.cast("double")).alias("h")), key, kernel)
 
 
 def concat_graphs(nodes: DataFrame, edges: DataFrame, window: str) -> tuple[DataFrame, DataFrame]:

@@ -95,47 +95,56 @@ def reg_metrics(df: DataFrame, group: list[str], truth: str = "truth", pred: str
 def binarised(df: DataFrame, group: list[str], truth: str = "truth", pred: str = "pred") -> DataFrame:
     """Truth and prediction each cut at its own mean, then binary metrics."""
     mean = df.groupBy(*group).agg(F.avg(truth).alias("_mt"), F.avg(pred).alias("_mp"))
-    cut = df.join(F.broadcast(mean), group).select(*group, (F.col(truth) > F.col("_mt")).cast("int").alias("truth"), (F.col(pred) > F.col("_mp")).cast("int").alias("pred"))
+    cut = df.join(mean, group).select(*group, (F.col(truth) > F.col("_mt")).cast("int").alias("truth"), (F.col(pred) > F.col("_mp")).cast("int").alias("pred"))
     return binary_metrics(cut, group)
 
 
 # --- survival -------------------------------------------------------------------------
 
 
-def c_index(df: DataFrame, group: list[str], risk: str = "risk", time: str = "duration", event: str = "event", weight: Column | None = None) -> DataFrame:
+def c_index(df: DataFrame, group: list[str], risk: str = "risk", time: str = "duration", event: str = "event", weight: Column | None = None, event_weight: Column | None = None) -> DataFrame:
     """(group, pairs, c_index): higher risk should mean an earlier event; ties in risk count half.
 
     Counts are reduced to distinct (time, risk).  Distinct risks are then numbered in each
     group and a dominance count is taken level by level over the bits of the number: rows in
     sibling halves of a block of risks meet by prefix sums over time.  Every row is in one
-    block a level, so the work is n log n and no pair is ever formed.
+    block a level, so the work is n log n and no pair is ever formed.  A pair weighs
+    ``event_weight`` of its event (``weight`` unless given) times ``weight`` of its other row.
     """
     w = F.lit(1.0) if weight is None else weight
-    d = df.groupBy(*group, F.col(time).alias("t"), F.col(risk).alias("r")).agg(F.sum(F.when(F.col(event) == 1, w).otherwise(0.0)).alias("e"), F.sum(F.when(F.col(event) == 1, 0.0).otherwise(w)).alias("c"))
-    ranks = d.select(*group, "r").distinct().withColumn("k", F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy("r")) - 1)
+    ew = w if event_weight is None else event_weight
+    is_event = F.col(event) == 1
+    d = df.groupBy(*group, F.col(time).alias("t"), F.col(risk).alias("r")).agg(F.sum(F.when(is_event, ew).otherwise(0.0)).alias("e"), F.sum(w).alias("a"), F.sum(F.when(is_event, 0.0).otherwise(w)).alias("c"))
+    ranks = prefix(d.select(*group, "r").distinct(), group, "r", {"k": F.lit(1).cast("long")}).select(*group, "r", (F.col("k_upto") - 1).alias("k"))
     d = d.join(ranks, [*group, "r"])
+    sums = {c: F.col(c) for c in ("e", "a", "c")}
     # Later than an event at t: every later time, and those censored at t.
-    g = group or [F.lit(0)]
-    by_time = lambda parts: Window.partitionBy(*g, *parts).orderBy(F.col("t").desc())
-    t = d.groupBy(*group, "t").agg(F.sum("e").alias("te"), F.sum("c").alias("tc"))
-    t = t.withColumn("later", F.sum(F.col("te") + F.col("tc")).over(by_time([]).rowsBetween(Window.unboundedPreceding, -1)))
-    pairs = t.groupBy(*group).agg(F.sum(F.col("te") * (F.coalesce("later", F.lit(0.0)) + F.col("tc"))).alias("pairs"))
-    same = d.withColumn("later", F.sum(F.col("e") + F.col("c")).over(by_time(["k"]).rowsBetween(Window.unboundedPreceding, -1)))
-    tied = same.groupBy(*group).agg(F.sum(F.col("e") * (F.coalesce("later", F.lit(0.0)) + F.col("c"))).alias("tied"))
+    later = F.col("e") * (F.col("a_upto") - F.col("a") + F.col("c"))
+    pairs = prefix(d, group, "t", sums, descending=True).groupBy(*group).agg(F.sum(later).alias("pairs"))
+    tied = prefix(d, [*group, "k"], "t", sums, descending=True).groupBy(*group).agg(F.sum(later).alias("tied"))
     # Level j: k and k' meet where their bits above j agree and bit j is 1 for the event's row, 0 for the other.
     top = ranks.groupBy(*group).agg(F.max("k").alias("kmax"))
-    level = d.join(F.broadcast(top), group) if group else d.crossJoin(F.broadcast(top))
+    level = d.join(top, group) if group else d.crossJoin(F.broadcast(top))
     level = level.withColumn("j", F.explode(F.expr("sequence(0, cast(floor(log2(greatest(kmax, 1))) as int))")))
-    half = F.expr("cast(floor(k / power(2, j)) as long)")
-    level = level.withColumn("_b", F.floor(half / 2)).withColumn("_hi", half % 2)
-    lo = F.when(F.col("_hi") == 0, 1.0).otherwise(0.0)
-    s = level.groupBy(*group, "j", "_b", "t").agg(F.sum(F.when(F.col("_hi") == 1, F.col("e")).otherwise(0.0)).alias("he"), F.sum(lo * F.col("c")).alias("lc"), F.sum(lo * (F.col("e") + F.col("c"))).alias("la"))
-    s = s.withColumn("later", F.sum("la").over(by_time(["j", "_b"]).rowsBetween(Window.unboundedPreceding, -1)))
-    won = s.groupBy(*group).agg(F.sum(F.col("he") * (F.coalesce("later", F.lit(0.0)) + F.col("lc"))).alias("won"))
+    half = F.expr("shiftright(k, j)")
+    level = level.withColumn("_half", F.shiftright(half, 1)).withColumn("_hi", half % 2)
+    lo = F.col("_hi") == 0
+    s = {"e": F.when(lo, 0.0).otherwise(F.col("e")), "a": F.when(lo, F.col("a")).otherwise(0.0), "c": F.when(lo, F.col("c")).otherwise(0.0)}
+    won = prefix(level, [*group, "j", "_half"], "t", s, descending=True).groupBy(*group).agg(F.sum(later).alias("won"))
     both = pairs.join(tied, group).join(won, group) if group else pairs.crossJoin(tied).crossJoin(won)
     return both.select(*group, "pairs", ratio(F.col("won") + F.col("tied") / 2, "pairs").alias("c_index"))
 
 
+def ipcw_c_index(df: DataFrame, group: list[str], risk: str = "risk", time: str = "duration", event: str = "event", tau: float | None = None) -> DataFrame:
+    """Concordance with pairs weighted by the squared inverse probability of being uncensored at the event's time.
+
+    The censoring curve is that of all rows; events after ``tau`` form no pairs.
+    """
+    w = ipcw_weights(df, time, event)
+    used = F.col("ipcw") ** 2 if tau is None else F.when(F.col(time) <= tau, F.col("ipcw") ** 2).otherwise(0.0)
+    return c_index(w, group, risk, time, event, event_weight=used)
+
+
 def subgroup_cindex(df: DataFrame, group: list[str], least: int, events: int) -> DataFrame:
     ok = df.groupBy(*group).agg(F.count("*").alias("n"), F.sum("event").alias("events")).where((F.col("n") >= least) & (F.col("events") >= events))
     return c_index(df.join(ok.select(*group), group, "left_semi"), group).join(ok, group)
@@ -149,10 +158,11 @@ def at_risk(df: DataFrame, group: list[str], time: str = "duration", event: str
 
 def km(df: DataFrame, group: list[str], time: str = "duration", event: str = "event") -> DataFrame:
     """Kaplan-Meier curve with its at-risk table."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    out = at_risk(df, group, time, event)
-    left = F.exp(F.sum(F.when(F.col("d") < F.col("n"), F.log(1 - F.col("d") / F.col("n"))).otherwise(0.0)).over(w))
-    return out.withColumn("survival", F.when(F.max(F.col("d") == F.col("n")).over(w), 0.0).otherwise(left))
+    last = F.col("d") == F.col("n")
+    step = {"_log": F.when(last, 0.0).otherwise(F.log(1 - F.col("d") / F.col("n"))), "_end": last.cast("int")}
+    # The table has a row a time, so the sums at a time are that row's own figures.
+    p = prefix(at_risk(df, group, time, event), group, "t", {c: F.col(c) for c in ("d", "c", "n")} | step)
+    return p.select(*group, "t", "d", "c", "n", F.when(F.col("_end_upto") > 0, 0.0).otherwise(F.exp("_log_upto")).alias("survival"))
 
 
 def risk_groups(df: DataFrame, how: str = "median", risk: str = "risk") -> DataFrame:
@@ -176,6 +186,14 @@ def logrank(df: DataFrame, side: str, group: list[str] | None = None, time: str
     return out.withColumn("p", chi2_p("chi2"))
 
 
+def logrank_pairwise(df: DataFrame, by: str, time: str = "duration", event: str = "event") -> DataFrame:
+    """The two-sample test for every pair of groups: (ga, gb, observed, ..); pairs of groups, never of rows."""
+    g = df.select(by).where(F.col(by).isNotNull()).distinct()
+    duels = g.select(F.col(by).alias("ga")).join(g.select(F.col(by).alias("gb")), F.col("ga") < F.col("gb"))
+    ends = duels.select(F.explode(F.array(F.struct(F.col("ga").alias(by), F.lit(0).alias("_side"), "ga", "gb"), F.struct(F.col("gb").alias(by), F.lit(1).alias("_side"), "ga", "gb"))).alias("s")).select("s.*")
+    return logrank(df.select(by, time, event).join(ends, by), "_side", ["ga", "gb"], time, event)
+
+
 def chi2_p(x) -> Column:
     """Upper tail of chi-square with one degree of freedom, to 1e-7 (rational approximation of erfc)."""
     z = F.sqrt(col(x) / 2)
@@ -187,11 +205,17 @@ def chi2_p(x) -> Column:
     return t * F.exp(-z * z + s)
 
 
+def censoring(df: DataFrame, time: str = "duration", event: str = "event") -> DataFrame:
+    """(t, left): probability of being uncensored just before each time, over all rows."""
+    g = at_risk(df.withColumn("_cens", 1 - F.col(event)), [], time, "_cens")
+    # Just before t: the curve at t without t's own factor, which is 1 - d / n.
+    p = prefix(g, [], "t", {"_log": F.when(F.col("d") == F.col("n"), 0.0).otherwise(F.log(1 - F.col("d") / F.col("n"))), "_end": (F.col("d") == F.col("n")).cast("int")})
+    return p.select("t", F.when(F.col("_end_upto") - F.col("_end") > 0, 0.0).otherwise(F.exp(F.col("_log_upto") - F.col("_log"))).alias("left"))
+
+
 def ipcw_weights(df: DataFrame, time: str = "duration", event: str = "event") -> DataFrame:
     """Rows with ``ipcw``: 1 / probability of being uncensored just before their time; 0 for censored rows."""
-    g = km(df.withColumn("_cens", 1 - F.col(event)), [], time, "_cens").select(F.col("t").alias(time), F.col("survival").alias("_s"))
-    w = Window.partitionBy(F.lit(0)).orderBy(time)
-    g = g.withColumn("_g", F.coalesce(F.lag("_s").over(w), F.lit(1.0))).drop("_s")
+    g = censoring(df, time, event).select(F.col("t").alias(time), F.col("left").alias("_g"))
     return df.join(g, time).withColumn("ipcw", F.when((F.col(event) == 1) & (F.col("_g") > 0), 1 / F.col("_g")).otherwise(0.0)).drop("_g")
 
 
@@ -229,6 +253,21 @@ def grounding_metrics(df: DataFrame, key: str, p: Column, g: Column, thresholds:
     return s.agg((F.sum("i") / F.sum(u)).alias("ciou"), F.avg(iou).alias("miou"), (2 * F.sum("i") / F.sum(F.col("p") + F.col("g"))).alias("cdice"), F.avg(dice).alias("mdice"), *(F.avg((iou >= t).cast("double")).alias(f"p{int(t * 100)}") for t in thresholds))
 
 
+def box_iou(a: tuple, b: tuple) -> Column:
+    """IoU of two boxes, each (x, y, width, height) as columns; 0 where both are empty."""
+    (ax, ay, aw, ah), (bx, by, bw, bh) = (tuple(map(col, x)) for x in (a, b))
+    across = F.greatest(F.lit(0.0), F.least(ax + aw, bx + bw) - F.greatest(ax, bx))
+    down = F.greatest(F.lit(0.0), F.least(ay + ah, by + bh) - F.greatest(ay, by))
+    both = across * down
+    return F.coalesce(ratio(both, aw * ah + bw * bh - both), F.lit(0.0))
+
+
+def box_metrics(df: DataFrame, a: tuple, b: tuple, thresholds: list[float]) -> DataFrame:
+    """Mean IoU of paired boxes, and the share of pairs at or over each IoU."""
+    rows = df.select(box_iou(a, b).alias("_iou"))
+    return rows.agg(F.avg("_iou").alias("mbiou"), *(F.avg((F.col("_iou") >= t).cast("double")).alias(f"b{int(t * 100)}") for t in thresholds))
+
+
 def threshold_sweep(df: DataFrame, score: str, truth: Column, steps: int = 101) -> DataFrame:
     """(threshold, dice) over a regular grid in 0..1, from one histogram of scores."""
     b = F.floor(F.col(score) * (steps - 1) + 1e-9).cast("int")
@@ -254,6 +293,17 @@ def sens_spec_curve(df: DataFrame, thresholds: list[float], score: str = "score"
     return e.groupBy("threshold").agg(ratio(F.count_if(pos & F.col("_p")), F.count_if(pos)).alias("sensitivity"), ratio(F.count_if(neg & ~F.col("_p")), F.count_if(neg)).alias("specificity"))
 
 
+def quantile_thresholds(df: DataFrame, q: list[float], score: str = "score") -> list[float]:
+    """The scores' own quantiles as thresholds, lowest first, each once."""
+    at = df.agg(F.percentile(score, F.array(*(F.lit(float(x)) for x in q)))).first()[0]
+    return sorted(set(at or []))
+
+
+def case_rollup(df: DataFrame, case: list[str], scan: str, score: str = "score", truth: str = "truth") -> DataFrame:
+    """Scans by their largest score and label, then a case's mean score and largest label, and its scans."""
+    return scan_rollup(df, [*case, scan], score, truth).groupBy(*case).agg(F.max("truth").alias("truth"), F.avg("score").alias("score"), F.count("*").alias("scans"))
+
+
 def scan_rollup(df: DataFrame, scan: list[str], score: str = "score", truth: str = "truth") -> DataFrame:
     return df.groupBy(*scan).agg(F.max(truth).alias("truth"), F.max(score).alias("score"))
 
@@ -280,6 +330,17 @@ def froc(df: DataFrame, thresholds: list[float], scans: int, lesions: int) -> Da
     return s.withColumn("sensitivity", F.max("sensitivity").over(w))
 
 
+def lesion_pr(df: DataFrame, thresholds: list[float], lesions: int) -> DataFrame:
+    """(threshold, precision, recall) of detections (score, hit lesion or null): found lesions against them and the false ones.
+
+    A threshold that no detection reaches has precision 1 and recall 0.
+    """
+    e = df.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    live = F.col("score") >= F.col("threshold")
+    s = e.groupBy("threshold").agg(F.count_distinct(F.when(live, F.col("lesion"))).alias("_tp"), F.count_if(live & F.col("lesion").isNull()).alias("_fp"))
+    return s.select("threshold", F.coalesce(ratio("_tp", F.col("_tp") + F.col("_fp")), F.lit(1.0)).alias("precision"), (F.col("_tp") / lesions).alias("recall"))
+
+
 def volumes(df: DataFrame, group: list[str], p: str, voxel: float) -> DataFrame:
     return df.groupBy(*group).agg((F.sum(p) * voxel).alias("volume"))
 
@@ -317,6 +378,13 @@ def mutual_nearest(pairs: DataFrame, a: str, b: str, d: str) -> DataFrame:
     return x.join(y, [a, b], "left_semi")
 
 
+def detection_f1(matched: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """tp, fp, fn and f1 of one-to-one matched detections: tp / (tp + fp / 2 + fn / 2)."""
+    n = matched.agg(F.count("*").alias("tp")).crossJoin(pred.agg(F.count("*").alias("_p"))).crossJoin(truth.agg(F.count("*").alias("_t")))
+    n = n.select("tp", (F.col("_p") - F.col("tp")).alias("fp"), (F.col("_t") - F.col("tp")).alias("fn"))
+    return n.withColumn("f1", F.coalesce(ratio("tp", F.col("tp") + (F.col("fp") + F.col("fn")) / 2), F.lit(0.0)))
+
+
 def topj_pool(df: DataFrame, slide: str, js: list[int]) -> DataFrame:
     """Mean of the best j scores of a class, then the best class (ties: the smaller)."""
     w = Window.partitionBy(slide, "cls").orderBy(F.desc("score"))
@@ -372,3 +440,20 @@ def vqa_accuracy(df: DataFrame, key: str, answer: str, truth: str, candidates: D
     choice = first_by(shared, [key], F.desc("n"), F.col(cand)).select(key, F.col(cand).alias("_c"))
     hit = F.coalesce((F.col("_c") == F.col(truth)).cast("double"), F.lit(0.0))
     return df.join(choice, key, "left").groupBy(*group).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"))
+
+
+def open_accuracy(df: DataFrame, key: str, answer: str, truth: str, candidates: DataFrame, text: str, group: list[str], n: int = 4) -> DataFrame:
+    """Open questions by group: exact matches, mean token precision, recall and F1, mean BLEU, and ``hit``.
+
+    A hit is an answer that holds the truth and no other candidate longer than it: of the
+    candidate texts whose words all stand in the answer, the one of most words is the truth.
+    """
+    scores = answer_scores(df, key, answer, truth).join(bleu(df, key, answer, truth, n), key)
+    words = lambda d, c, *k: d.select(*k, F.explode(F.array_distinct(tokens(c))).alias("w"))
+    cand = candidates.select(F.array_join(tokens(text), " ").alias("_text"), F.size(F.array_distinct(tokens(text))).alias("_n")).distinct().where("_n > 0")
+    held = words(df, answer, key).join(cand.select("_text", "_n", F.explode(F.array_distinct(F.split("_text", " "))).alias("w")), "w")
+    held = held.groupBy(key, "_text", "_n").agg(F.count("*").alias("_k")).where("_k = _n")
+    most = first_by(held, [key], F.desc("_n"), F.col("_text")).select(key, F.col("_text").alias("_best"))
+    rows = df.select(key, *group, F.array_join(tokens(truth), " ").alias("_truth")).join(scores, key).join(most, key, "left")
+    hit = F.coalesce((F.col("_best") == F.col("_truth")).cast("double"), F.lit(0.0))
+    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg("exact").alias("exact"), *(F.avg(c).alias(c) for c in ("precision", "recall", "f1", "bleu")), F.avg(hit).alias("hit"))

@@ -94,6 +94,20 @@ def f11(spark, d):
     return rounded(S.bootstrap_diff(c, ["cls"], "key", "score", "n", "truth", B, 1))
 
 
+Z = 1.959963984540054
+T95 = f"({Z} + {(Z**3 + Z) / 4} / v + {(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96} / v ** 2 + {(3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z) / 384} / v ** 3 + {(79 * Z**9 + 776 * Z**7 + 1482 * Z**5 - 1920 * Z**3 - 945 * Z) / 92160} / v ** 4)"
+
+
+@query("f12_paired_t_interval", f"""WITH d AS (SELECT o_custkey % 200 AS unit, o_totalprice - s AS d FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+ a AS (SELECT unit, count(*) AS n, count(*) - 1.0 AS v, avg(d) AS diff, stddev_samp(d) AS sd FROM d GROUP BY 1 HAVING count(*) > 5)
+ SELECT unit, n - 1 AS df, round(diff - {T95} * sd / sqrt(n), 3) AS conf_low, round(diff + {T95} * sd / sqrt(n), 3) AS conf_high FROM a""")
+def f12i(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("s"))
+    o = table(spark, d, "orders").join(s, "o_orderkey").withColumn("unit", F.col("o_custkey") % 200)
+    t = S.paired_t(o, ["unit"], "o_totalprice", "s").where("n > 5")
+    return rounded(t.select("unit", "df", "conf_low", "conf_high"), 3)
+
+
 @query("f12_paired_t", "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice - s), 4) AS diff, round(stddev_samp(o_totalprice - s), 4) AS sd, round(avg(o_totalprice - s) / (stddev_samp(o_totalprice - s) / sqrt(count(*))), 6) AS t FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
 def f12(spark, d):
     s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("s"))
@@ -123,7 +137,20 @@ def f14(spark, d):
  SELECT p_partkey, round(least(1, min(p * n / r) OVER (PARTITION BY p_brand ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r UNION ALL SELECT p_partkey, NULL FROM p WHERE p IS NULL""")
 def f15(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice") / 5000).alias("p"))
-    return rounded(S.bh(p, "p", ["p_brand"], "p_partkey").select("p_partkey", "q"), 9)
+    return rounded(S.bh(p, "p", ["p_brand"]).select("p_partkey", "q"), 9)
+
+
+@query("f15_benjamini_hochberg_all", """WITH r AS (SELECT o_orderkey, o_totalprice / 600000 AS p, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER () AS n FROM orders)
+ SELECT o_orderkey, round(least(1, min(p * n / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r""")
+def f15a(spark, d):
+    p = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 600000).alias("p"))
+    return rounded(S.bh(p, "p").select("o_orderkey", "q"), 9)
+
+
+@query("f05_ranks_overall", "SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice DESC) AS a, rank() OVER (ORDER BY o_custkey) AS b, (rank() OVER (ORDER BY o_totalprice DESC) + rank() OVER (ORDER BY o_custkey)) / 2 AS m FROM orders")
+def f05o(spark, d):
+    r = S.rank_runs(table(spark, d, "orders"), {"o_totalprice": True, "o_custkey": False})
+    return r.select("o_orderkey", F.col("rank_o_totalprice").cast("long").alias("a"), F.col("rank_o_custkey").cast("long").alias("b"), F.col("mean_rank").alias("m"))
 
 
 @query("f16_correlations", """WITH r AS (SELECT event_type, value, user_id, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0 AS ry FROM events)
@@ -154,10 +181,12 @@ def f19(spark, d):
     return rounded(S.churn(a, b, "c_custkey", "k"))
 
 
-@query("f20_rhat", """WITH e AS (SELECT event_type, user_id % 4 AS chain, event_id, value, lag(value) OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id) AS l FROM events), c AS (SELECT event_type, chain, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM e GROUP BY 1, 2),
- s AS (SELECT event_type, avg(n) AS n, avg(v) AS w, var_samp(m) AS b FROM c GROUP BY 1) SELECT event_type, round(sqrt(((n - 1) / n * w + b) / w), 6) AS rhat, round(lag1, 6) AS lag1 FROM s JOIN (SELECT event_type, corr(value, l) AS lag1 FROM e GROUP BY 1) USING (event_type)""")
+@query("f20_rhat", """WITH e AS (SELECT event_type, user_id % 4 AS chain, event_id, value FROM events), c AS (SELECT event_type, chain, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM e GROUP BY 1, 2),
+ x AS (SELECT event_type, value - m AS x, lag(value - m) OVER (PARTITION BY event_type, chain ORDER BY event_id) AS l FROM e JOIN c USING (event_type, chain)), r AS (SELECT event_type, greatest(-0.99, least(0.99, avg(x * l) / avg(x * x))) AS r FROM x GROUP BY 1),
+ s AS (SELECT event_type, avg(n) AS n, sum(n) AS k, avg(v) AS w, var_samp(m) AS b FROM c GROUP BY 1) SELECT event_type, round(sqrt(((n - 1) / n * w + b) / w), 6) AS rhat, round(r, 6) AS lag1, round(k * (1 - r) / (1 + r), 3) AS ess FROM s JOIN r USING (event_type)""")
 def f20(spark, d):
-    return rounded(S.rhat(table(spark, d, "events").withColumn("chain", F.col("user_id") % 4), "event_type", "chain", "event_id", "value"))
+    r = S.rhat(table(spark, d, "events").withColumn("chain", F.col("user_id") % 4), "event_type", "chain", "event_id", "value")
+    return r.select("event_type", F.round("rhat", 6).alias("rhat"), F.round("lag1", 6).alias("lag1"), F.round("ess", 3).alias("ess"))
 
 
 @query("f21_paired_gap", """WITH j AS (SELECT o_orderpriority AS g, o_totalprice AS a, o_totalprice + (o_orderkey % 5) * 40000 AS b FROM orders), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY g ORDER BY b) + (count(*) OVER (PARTITION BY g, b) - 1) / 2.0 AS rb FROM j)

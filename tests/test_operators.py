@@ -120,7 +120,7 @@ def test_zero_vector(spark):
 
 def test_bh_missing_and_ties(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.04), (4, None)], "k long, p double")
-    got = {r.k: r.q for r in S.bh(df, "p", tie="k").collect()}
+    got = {r.k: r.q for r in S.bh(df, "p").collect()}
     assert got[1] == pytest.approx(0.03) and got[2] == got[3] == pytest.approx(0.04) and got[4] is None
 
 
