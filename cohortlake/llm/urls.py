@@ -1,12 +1,14 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-Every rule carries a regular expression over ``host + path`` and the literal tokens that a
-fitting URL must hold.  One pass counts these tokens over the URLs; each rule is filed under
-its rarest one.  A URL's own tokens fetch candidate rules from that index, and only those
-run their expressions.
+A rule is a row of a table, as many as one likes: a domain rule (host and start of the path) or
+a regular expression over ``host + path``, with the literal tokens that a fitting URL must hold.
+The tokens are counted over all distinct URLs, and every rule is filed under its rarest one.
+URLs meet the index in a join on their own tokens; only the rules so fetched are tried, and
+only those with a pattern run a regular expression.
 
 Nulls and empties: a null URL, or one without ``://``, has an empty host and path and gets
-the default verdict.  Repeated rows each get their verdict.
+the default verdict.  Repeated rows each get their verdict.  A rule without a literal token
+is an error.  Input columns named like the added ones give way to them.
 """
 
 import re
@@ -14,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, fresh, table, without
 
 DOMAIN_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: (action, pattern over the lower-cased host and path, literal tokens that it needs)
@@ -42,42 +44,49 @@ def host_path() -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def compile_rules(domain_rules=DOMAIN_RULES, pattern_rules=PATTERN_RULES) -> list[dict]:
-    """Both kinds in one form; a domain rule fits its host, all subdomains and paths that start with its own."""
+RULES = "id long, action string, rule string, host string, path string, pattern string, tokens array<string>"
+
+
+def compile_rules(domain_rules=DOMAIN_RULES, pattern_rules=PATTERN_RULES) -> list[tuple]:
+    """Rows of a rule table; a domain rule fits its host, all subdomains and paths that start with its own."""
     rules = []
     for action, rule in domain_rules:
         host, _, path = rule.partition("/")
         path = f"/{path}"
         # The last piece of the path may go on in the URL, so it is no token of its own there.
         literal = re.split(TOKENS, host.lower()) + re.split(TOKENS, path.lower())[:-1]
-        rules.append({"action": action, "rule": rule, "pattern": f"^(?:[^/]*\\.)?{re.escape(host)}{re.escape(path)}", "tokens": [t for t in literal if t], "rank": len(rule)})
+        rules.append((action, rule, host.lower(), path, None, [t for t in literal if t]))
     for action, pattern, tokens in pattern_rules:
-        rules.append({"action": action, "rule": None, "pattern": f"(?i){pattern}", "tokens": tokens, "rank": 0})
-    return [r | {"id": i} for i, r in enumerate(rules)]
+        rules.append((action, None, None, None, f"(?i){pattern}", tokens))
+    if any(not r[-1] for r in rules):
+        raise ValueError("a rule needs a literal token")
+    return [(i, *r) for i, r in enumerate(rules)]
+
+
+def index(rules: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rules with ``token``, the rarest of theirs in ``tokens`` (url, token)."""
+    own = rules.select("id", F.explode("tokens").alias("token"))
+    seen = tokens.join(own.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = own.join(seen, "token", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("t"))
+    return rules.join(rarest.select("id", "t.token"), "id")
 
 
-def judge(pages: DataFrame, rules: list[dict] | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """``pages`` with host, path, rule (the longest fitting domain rule), verdict and ``fired`` (rule ids)."""
-    rules = compile_rules() if rules is None else rules
+    rules = pages.sparkSession.createDataFrame(compile_rules(), RULES) if rules is None else rules
+    pages = without(pages, "host", "path", "rule", "verdict", "fired")
     host, path = host_path()
-    urls = pages.withColumn("host", host).withColumn("path", path).withColumn("_key", F.concat("host", "path"))
-    urls = urls.withColumn("_tokens", F.array_distinct(F.split(F.lower("_key"), TOKENS)))
-    literal = sorted({t for r in rules for t in r["tokens"]})
-    # As many rows as the rules have literals, however many URLs there are.
-    seen = {r["t"]: r["n"] for r in urls.select(F.explode(F.array_intersect("_tokens", F.array(*map(F.lit, literal)))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()} if literal else {}
-    index: dict[str, list[dict]] = {}
-    for r in rules:
-        index.setdefault(min(r["tokens"], key=lambda t: (seen.get(t, 0), t)), []).append(r)
-    as_struct = lambda r: F.struct(F.lit(r["id"]).alias("id"), F.lit(r["rank"]).alias("rank"), F.lit(r["action"]).alias("action"), F.lit(r["rule"]).cast("string").alias("rule"), F.lit(r["pattern"]).alias("pattern"))
-    table_ = F.create_map(*(x for t, rs in index.items() for x in (F.lit(t), F.array(*map(as_struct, rs)))))
-    held = F.array_intersect("_tokens", F.array(*map(F.lit, index)))
-    urls = urls.withColumn("_cand", F.flatten(F.transform(held, lambda t: F.element_at(table_, t))))
-    urls = urls.withColumn("_fits", F.filter("_cand", lambda r: F.call_function("rlike", F.col("_key"), r["pattern"])))
-    best = F.element_at(F.reverse(F.array_sort(F.transform(F.filter("_fits", lambda r: r["rule"].isNotNull()), lambda r: F.struct(r["rank"], r["rule"].alias("rule"), r["action"].alias("action"))))), 1)
-    urls = urls.withColumn("_best", F.when(F.exists("_fits", lambda r: r["rule"].isNotNull()), best))
-    blocked = F.exists("_fits", lambda r: r["rule"].isNull() & (r["action"] == "block"))
-    verdict = F.when(F.col("_best").isNotNull(), F.col("_best.action")).when(blocked, "block").otherwise("allow")
-    return urls.select(*(urls[c] for c in pages.columns), "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), F.transform("_fits", lambda r: r["id"]).alias("fired"))
+    urls = pages.select("url").where("url is not null").distinct().withColumn("h", host).withColumn("p", path).withColumn("key", F.concat("h", "p"))
+    tokens = urls.select("url", "h", "p", "key", F.explode(F.array_distinct(F.split(F.lower("key"), TOKENS))).alias("token")).where("token <> ''")
+    met = tokens.join(index(rules, tokens.select("url", "token")), "token")
+    domain = ((F.col("h") == F.col("host")) | F.endswith("h", F.concat(F.lit("."), "host"))) & F.startswith("p", F.col("path"))
+    fits = met.where(F.when(F.col("pattern").isNull(), domain).otherwise(F.call_function("rlike", F.col("key"), F.col("pattern"))))
+    named = F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("rank"), "rule", "action"))
+    best = fits.groupBy(F.col("url").alias("_url")).agg(F.max(named).alias("_best"), F.bool_or(F.col("rule").isNull() & (F.col("action") == "block")).alias("_blocked"), F.array_sort(F.collect_set("id")).alias("_fired"))
+    u, b, bl, f = fresh(pages, "u", "best", "blocked", "hits")
+    out = pages.join(best.withColumnsRenamed({"_url": u, "_best": b, "_blocked": bl, "_fired": f}), F.col("url") == F.col(u), "left")
+    verdict = F.when(F.col(b).isNotNull(), F.col(f"{b}.action")).when(F.col(bl), "block").otherwise("allow")
+    return out.select(*(F.col(f"`{c}`") for c in pages.columns), host.alias("host"), path.alias("path"), F.col(f"{b}.rule").alias("rule"), verdict.alias("verdict"), F.coalesce(f, F.array().cast("array<long>")).alias("fired"))
 
 
 def op3_url(spark: SparkSession, sf_dir: str) -> DataFrame:
