@@ -66,3 +66,19 @@ def test_every_block_once_per_epoch(spark):
         block = mixing.permuted(rows.i, rows.epoch, rows.n, rows.sid, "mix")
         got = rows.select("epoch", block.alias("block")).distinct().groupBy("epoch").count()
         assert [r["count"] for r in got.collect()] == [n] * 20
+
+
+def test_taken_is_what_the_blocks_hold(spark):
+    """Each document's words are its own, so the words of the drawn blocks tell how often each was taken."""
+    docs = documents(spark, [" ".join(f"d{i}" for _ in range(3 + i % 40)) for i in range(120)])
+    got = {r.doc_id: r.taken for r in mixing.mix(docs, block=16, shard=32, buckets=7).collect()}
+    words = mixing.mixed_blocks(docs, block=16, shard=32, buckets=7).selectExpr("explode(words) AS w").groupBy("w").count().collect()
+    assert {i: n for i, n in got.items() if n} == {int(r.w[1:]): r["count"] for r in words}
+
+
+def test_equal_rows_and_clashing_names(spark):
+    rows = [(None, "same text here", "a", 1, "x", 2), (None, "same text here", "a", 1, "x", 2), (4, "other", None, 3, "y", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, id long, row string, taken long")
+    got = mixing.mix(docs, block=2)
+    assert got.columns == ["doc_id", "text", "source", "id", "row", "size", "source_size", "target", "taken"]
+    assert sorted((r["size"], r.id, r.row) for r in got.collect()) == [(1, 3, "y"), (3, 1, "x"), (3, 1, "x")]
