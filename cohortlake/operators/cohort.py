@@ -113,17 +113,30 @@ def audit_masks(voxels: DataFrame, file: str, v: str) -> DataFrame:
     return n.groupBy(kind.alias("kind")).agg(F.count("*").alias("files"))
 
 
+def dense(df: DataFrame, order: list[str], name: str, buckets: int = 4096) -> DataFrame:
+    """Distinct rows of ``order`` with numbers 1, 2, ..: by ranges of a hash of theirs, then in order."""
+    k = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    rows = df.select(*order).distinct().withColumn("_b", k)
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    # As many rows as there are buckets, whatever the table.
+    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    return rows.withColumn("_i", inner).join(F.broadcast(before), "_b").select(*order, (F.col("_before") + F.col("_i")).alias(name))
+
+
 def build_index(masks: DataFrame, templates: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(image, category, mask) rows with area -> images, annotations, sentences, with dense ids.
+    """(image, category, mask) rows with area -> images, annotations, sentences.
 
-    Ids of annotations are the image's id and a number inside it, so no global order is made.
+    Images and annotations have dense ids (1, 2, ..), in no stated order; ``ann`` is an
+    annotation's number inside its image.
     """
     live = masks.where("area > 0")
-    ids = live.select("image").distinct().withColumn("image_id", F.xxhash64("image"))
+    ids = dense(live, ["image"], "image_id")
     w = Window.partitionBy("image").orderBy("category", "mask")
     anns = live.join(ids, "image").withColumn("ann", F.row_number().over(w))
+    anns = anns.join(dense(anns, ["image_id", "ann"], "ann_id"), ["image_id", "ann"])
     texts = F.posexplode(F.array(*(F.format_string(t, "category", "image") for t in templates))).alias("sent_id", "raw")
-    return ids, anns, anns.select("image", "ann", texts)
+    return ids, anns, anns.select("image", "ann", "ann_id", texts)
 
 
 def select_refs(refs: DataFrame, anns: DataFrame, categories: list[str], split: str) -> DataFrame:
@@ -152,6 +165,11 @@ def priority_label(votes: DataFrame, cell: list[str], order: list[str], need: Co
     return held.groupBy(*cell).agg(F.min_by("cls", rank).alias("label"))
 
 
+def class_presence(labels: DataFrame, scan: list[str], classes: list[str], label: str = "label") -> DataFrame:
+    """A row a scan, with 1 or 0 for every class that any of its cells has."""
+    return labels.groupBy(*scan).agg(*(F.max((F.col(label) == c).cast("int")).alias(c) for c in classes)).fillna(0, classes)
+
+
 def keep_usable(parents: DataFrame, children: DataFrame, key: str, cond: Column) -> DataFrame:
     """Parents with at least one usable child."""
     return parents.join(children.where(cond), key, "left_semi")

@@ -126,30 +126,35 @@ def pca(train: DataFrame, test: DataFrame, columns: list[str], k: int) -> DataFr
 
 
 def search(df: DataFrame, columns: list[str], label: str, model: str, grid: dict[str, list], folds: int = 3, seed: int = 1):
-    """Cross-validated search; -> the best fitted pipeline's transformed rows and its mean score."""
+    """Cross-validated search; -> (rows of the best model, mean score of every setting, the best setting)."""
     from pyspark.ml import classification as mc
     from pyspark.ml import regression as mr
     from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    kinds = {"logistic": mc.LogisticRegression, "forest": mc.RandomForestClassifier, "boosted": mc.GBTClassifier, "svc": mc.LinearSVC, "linear": mr.LinearRegression}
-    est = kinds[model](labelCol=label, featuresCol="features")
-    score = RegressionEvaluator(labelCol=label) if model == "linear" else BinaryClassificationEvaluator(labelCol=label)
+    classes = {"logistic": mc.LogisticRegression, "forest": mc.RandomForestClassifier, "boosted": mc.GBTClassifier, "svc": mc.LinearSVC}
+    numbers = {"linear": mr.LinearRegression, "ridge": mr.LinearRegression, "forest_regression": mr.RandomForestRegressor, "boosted_regression": mr.GBTRegressor}
+    est = (classes | numbers)[model](labelCol=label, featuresCol="features")
+    if model == "ridge":
+        est = est.setElasticNetParam(0.0)
+    score = RegressionEvaluator(labelCol=label) if model in numbers else BinaryClassificationEvaluator(labelCol=label)
     g = ParamGridBuilder()
     for name, values in grid.items():
         g = g.addGrid(est.getParam(name), values)
     data = _vector(df, columns)
-    m = CrossValidator(estimator=est, estimatorParamMaps=g.build(), evaluator=score, numFolds=folds, seed=seed).fit(data)
-    return m.transform(data), m.avgMetrics
+    settings = g.build()
+    m = CrossValidator(estimator=est, estimatorParamMaps=settings, evaluator=score, numFolds=folds, seed=seed).fit(data)
+    best = (max if score.isLargerBetter() else min)(range(len(settings)), key=lambda i: m.avgMetrics[i])
+    return m.transform(data), m.avgMetrics, {k.name: v for k, v in settings[best].items()}
 
 
 def robust_scale(df: DataFrame, group: str, v: str) -> DataFrame:
     """(v - median) / (1.4826 MAD); the standard deviation, then 1, where that is 0."""
     med = df.groupBy(group).agg(F.percentile(v, F.lit(0.5)).alias("_m"), F.stddev_pop(v).alias("_s"))
-    x = df.join(F.broadcast(med), group)
+    x = df.join(med, group)
     mad = x.groupBy(group).agg((F.percentile(F.abs(F.col(v) - F.col("_m")), F.lit(0.5)) * 1.4826).alias("_d"))
     pos = lambda c: F.when(F.col(c) > 0, F.col(c))
-    return x.join(F.broadcast(mad), group).withColumn("scaled", (F.col(v) - F.col("_m")) / F.coalesce(pos("_d"), pos("_s"), F.lit(1.0))).drop("_m", "_s", "_d")
+    return x.join(mad, group).withColumn("scaled", (F.col(v) - F.col("_m")) / F.coalesce(pos("_d"), pos("_s"), F.lit(1.0))).drop("_m", "_s", "_d")
 
 
 def robust_bounds(df: DataFrame, group: str, v: str, margin: float, least: int, fallback: tuple[float, float]) -> DataFrame:
@@ -160,6 +165,16 @@ def robust_bounds(df: DataFrame, group: str, v: str, margin: float, least: int,
     return q.select(group, "n", F.when(few, fallback[0]).otherwise(F.col("q")[0] - w).alias("lo"), F.when(few, fallback[1]).otherwise(F.col("q")[1] + w).alias("hi"))
 
 
+def robust_positive_bounds(df: DataFrame, group: str, v: str, least: int, fallback: tuple[float, float], margin: float = 0.1, floor: float = 0.05) -> DataFrame:
+    """Bounds of positive values in log space: 1 % and 99 % of the logarithms with a margin of their
+    distance (``floor`` at least), back on the scale; the fallback for groups with few positive values."""
+    x = F.when(F.col(v) > 0, F.log(F.col(v).cast("double")))
+    q = df.groupBy(group).agg(F.count(x).alias("n"), F.percentile(x, F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    w = F.greatest((F.col("q")[1] - F.col("q")[0]) * margin, F.lit(floor))
+    few = F.col("n") < least
+    return q.select(group, "n", F.when(few, fallback[0]).otherwise(F.exp(F.col("q")[0] - w)).alias("lo"), F.when(few, fallback[1]).otherwise(F.exp(F.col("q")[1] + w)).alias("hi"))
+
+
 def cox_sums(df: DataFrame, group: list[str], eta: Column, time: str = "duration", event: str = "event", weight: Column | None = None) -> DataFrame:
     """(group, loss, events): Breslow partial likelihood with weights and ties, negative, over the weighted events."""
     w = F.lit(1.0) if weight is None else weight
@@ -204,7 +219,7 @@ def cox_screen(long: DataFrame, feature: str, value: str, time: str = "duration"
     beta = long.select(feature).distinct().withColumn("beta", F.lit(0.0))
     e = (F.col(event) == 1).cast("double")
     for _ in range(rounds):
-        x = long.join(F.broadcast(beta), feature).withColumn("_w", F.exp(F.col("beta") * F.col(value)))
+        x = long.join(beta, feature).withColumn("_w", F.exp(F.col("beta") * F.col(value)))
         p = prefix(x, [feature, "beta"], time, {"d": e, "s": F.col("_w"), "s1": F.col("_w") * F.col(value), "s2": F.col("_w") * F.col(value) ** 2, "x": e * F.col(value)}, descending=True).where("d > 0")
         m = F.col("s1_upto") / F.col("s_upto")
         n = p.groupBy(feature, "beta").agg(F.sum(F.col("x") - F.col("d") * m).alias("g"), F.sum(F.col("d") * (F.col("s2_upto") / F.col("s_upto") - m * m)).alias("h"))
@@ -246,6 +261,28 @@ def top_weights(df: DataFrame, outcome: str, feature: str, coef: str, k: int, le
     return m.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def summed_weights(df: DataFrame, outcome: str, feature: str, weight: str, per_outcome: int, features: int, outcomes: int, least: float) -> DataFrame:
+    """Weights between the features and outcomes of largest summed absolute weight.
+
+    Of every outcome the ``per_outcome`` largest weights count; sums over these rank the features
+    and the outcomes (ties by name), and of the pairs left those of at least ``least`` stay.
+    """
+    size = F.abs(F.col(weight))
+    top = df.withColumn("_r", F.row_number().over(Window.partitionBy(outcome).orderBy(F.desc(size), feature))).where(F.col("_r") <= per_outcome).drop("_r")
+    best = lambda c, n: top.groupBy(c).agg(F.sum(size).alias("total")).orderBy(F.desc(F.round("total", 9)), c).limit(n).select(c)
+    return top.where(size >= least).join(best(feature, features), feature, "left_semi").join(best(outcome, outcomes), outcome, "left_semi").select(outcome, feature, weight)
+
+
+def window_scale(df: DataFrame, group: str, kind: str, v: str, fixed: dict[str, tuple[float, float]], lo: float = 0.005, hi: float = 0.995) -> DataFrame:
+    """``scaled`` to 0..1: kinds with a fixed window by it, the rest by percentiles of their group's finite non-zero values."""
+    ok = F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))
+    out = clip_scale(df.where(~F.col(kind).isin(list(fixed)) | F.col(kind).isNull()).where(ok), group, v, lo, hi)
+    for name, (a, b) in fixed.items():
+        scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(v) - a) / (b - a)))
+        out = out.unionByName(df.where(F.col(kind) == name).where(ok).withColumn("scaled", scaled))
+    return out
+
+
 def group_ecdf(df: DataFrame, group: str, v: str, lo: float, hi: float, bins: int) -> DataFrame:
     """Mid-point distribution function by fixed bins."""
     b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(v) - lo) / ((hi - lo) / bins))))
@@ -264,4 +301,4 @@ def clip_scale(df: DataFrame, group: str, v: str, lo: float = 0.005, hi: float =
     """Clipped to percentiles of the non-zero values and scaled to 0..1; a flat group is 0."""
     q = df.where(F.col(v) != 0).groupBy(group).agg(F.percentile(v, F.array(F.lit(lo), F.lit(hi))).alias("_q"))
     a, b = F.col("_q")[0], F.col("_q")[1]
-    return df.join(F.broadcast(q), group, "left").withColumn("scaled", F.coalesce(F.when(b > a, (F.least(b, F.greatest(a, col(v))) - a) / (b - a)), F.lit(0.0))).drop("_q")
+    return df.join(q, group, "left").withColumn("scaled", F.coalesce(F.when(b > a, (F.least(b, F.greatest(a, col(v))) - a) / (b - a)), F.lit(0.0))).drop("_q")

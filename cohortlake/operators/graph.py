@@ -32,14 +32,17 @@ def met_blocks(a: DataFrame, b: DataFrame, na: int, nb: int, run, schema: str) -
     return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(run, schema)
 
 
-def knn(query: DataFrame, ref: DataFrame, key: str, vector: str, k: int, same: bool = False) -> DataFrame:
+def knn(query: DataFrame, ref: DataFrame, key: str, vector: str, k: int, same: bool = False, unit: bool = False) -> DataFrame:
     """Exact cosine top k: (key, neighbour, similarity, place); equal similarities by neighbour.
 
+    ``same``: a row may be its own neighbour.  ``unit``: vectors are taken as they are.
+
     Blocks of queries meet blocks of references as matrices; a pair of blocks sends on the k
     best of each query, and these are put together.
     """
-    q, nq = numbered(query.select(F.col(key).alias("q"), l2(vector).alias("v")), "q", "_a")
-    r, nr = numbered(ref.select(F.col(key).alias("r"), l2(vector).alias("v")), "r", "_b")
+    v = F.col(vector) if unit else l2(vector)
+    q, nq = numbered(query.select(F.col(key).alias("q"), v.alias("v")), "q", "_a")
+    r, nr = numbered(ref.select(F.col(key).alias("r"), v.alias("v")), "r", "_b")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -80,6 +83,41 @@ def hubness(nn: DataFrame) -> DataFrame:
     return nn.groupBy("neighbour").agg(F.count("*").alias("times"))
 
 
+def neighbour_diagnostics(nn: DataFrame, ref: DataFrame, key: str, vector: str, eps: float = 1e-8) -> DataFrame:
+    """One row: spread of the mean neighbour distances, (q95 - q05) / q50 as their concentration, how
+    often rows are neighbours (0 counts), and reference rows without a direction."""
+    d = knn_distance(nn, key)
+    q = d.agg(F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("sd"), *(F.percentile("distance", F.lit(x)).alias(n) for x, n in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95"))))
+    often = ref.select(F.col(key).alias("neighbour")).join(hubness(nn), "neighbour", "left").agg(F.percentile(F.coalesce("times", F.lit(0)), F.lit(0.5)).alias("median_times"), F.max("times").alias("max_times"))
+    none = ref.agg(F.count("*").alias("n"), F.count_if(F.sqrt(dot(vector, vector)) <= eps).alias("zero_norms"))
+    one = q.crossJoin(often).crossJoin(none)
+    return one.withColumn("concentration", (F.col("q95") - F.col("q05")) / F.greatest(F.abs("q50"), F.lit(eps)))
+
+
+def recalls(nn: DataFrame, query: DataFrame, ref: DataFrame, key: str, label: str, ks: list[int]) -> DataFrame:
+    """Share of queries with a neighbour of their own label among the first k."""
+    j = nn.join(query.select(key, label), key).join(ref.select(F.col(key).alias("neighbour"), F.col(label).alias("_l")), "neighbour")
+    hit = F.col(label) == F.col("_l")
+    best = j.groupBy(key).agg(F.min(F.when(hit, F.col("place"))).alias("_first"))
+    return best.agg(*(F.avg((F.coalesce("_first", F.lit(1 << 30)) <= k).cast("double")).alias(f"r{k}") for k in ks))
+
+
+def retrieval(images: DataFrame, texts: DataFrame, key: str, vector: str, label: str, ks: list[int], second: str | None = None) -> DataFrame:
+    """Recall in both directions: tr (texts for an image), ir (images for a text), and ``irtr``, the sum at the first k.
+
+    ``second``: another vector of the images; the mean of both cosines then ranks.  As a cosine
+    is linear in the unit vector, that is the product with the mean of the two unit vectors.
+    """
+    unit = l2(vector)
+    if second:
+        unit = F.transform(F.zip_with(l2(vector), l2(second), lambda x, y: (x + y) / 2), lambda x: x)
+    i, t = images.select(key, label, unit.alias("_v")), texts.select(key, label, l2(vector).alias("_v"))
+    tr = recalls(knn(i, t, key, "_v", max(ks), same=True, unit=True), i, t, key, label, ks)
+    ir = recalls(knn(t, i, key, "_v", max(ks), same=True, unit=True), t, i, key, label, ks)
+    both = tr.select(*(F.col(f"r{k}").alias(f"tr{k}") for k in ks)).crossJoin(ir.select(*(F.col(f"r{k}").alias(f"ir{k}") for k in ks)))
+    return both.withColumn("irtr", F.col(f"tr{ks[0]}") + F.col(f"ir{ks[0]}"))
+
+
 def radius_edges(points: DataFrame, radius: float, lambda_d: float, lambda_f: float) -> DataFrame:
     """(src, dst, weight): 1 - exp(-lf * f) * exp(-ld * d) for pairs within a radius; f: feature distance."""
     at = points.select("key", "cx", "cy", "features")
@@ -198,6 +236,18 @@ def degree_histogram(edges: DataFrame, bins: int) -> DataFrame:
     return d.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("graph_id"))).drop("n")
 
 
+def clustering_histogram(edges: DataFrame, bins: int) -> DataFrame:
+    """(graph_id, bin, share) of nodes by local clustering coefficient (closed pairs of neighbours), in equal bins of 0..1."""
+    e = edges.where("src <> dst").select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    at = lambda c: F.struct("graph_id", F.col(c).alias("node_id"))
+    closed = triangles(e.select(at("src").alias("src"), at("dst").alias("dst"))).select(F.explode(F.array("a", "b", "c")).alias("n"))
+    closed = closed.groupBy("n.graph_id", "n.node_id").agg(F.count("*").alias("closed"))
+    d = degrees(e).join(closed, ["graph_id", "node_id"], "left")
+    c = F.when(F.col("degree") > 1, 2 * F.coalesce("closed", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0)
+    n = d.groupBy("graph_id", F.least(F.floor(c * bins).cast("int"), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("graph_id"))).drop("n")
+
+
 def graph_mmd(hist: DataFrame, side: DataFrame, bins: int, sigma: float) -> DataFrame:
     """Discrepancy of two sets of graphs under a Gaussian of total variation; side: (graph_id, side 0/1).
 
@@ -271,6 +321,13 @@ def khop_sample(nodes: DataFrame, edges: DataFrame, rate: float, k: int, seed: i
     return front
 
 
+def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges whose both ends are among the nodes (graph_id, node_id), with the ends renumbered from 0 inside their graph."""
+    n = nodes.select("graph_id", "node_id").distinct().withColumn("_i", F.row_number().over(Window.partitionBy("graph_id").orderBy("node_id")) - 1)
+    end = lambda c: n.select("graph_id", F.col("node_id").alias(c), F.col("_i").alias(f"new_{c}"))
+    return edges.select("graph_id", "src", "dst").join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst"]).select("graph_id", "src", "dst", "new_src", "new_dst")
+
+
 def prototypes(df: DataFrame, label: str, vector: str) -> DataFrame:
     """Class means of unit vectors, scaled to length 1."""
     m = elements(df.select(label, l2(vector).alias("_u")), [label], "_u", {"v": "mean"})

@@ -9,9 +9,10 @@ from cohortlake.operators import outcomes as C
 from .registry import query
 
 
-@query("b01_included_sources", "SELECT source FROM documents GROUP BY 1 HAVING bool_and(NOT regexp_matches(lower(coalesce(text, '')), 'idiot|scum')) ")
+@query("b01_included_customers", "SELECT c_custkey // 10 AS grp FROM customer GROUP BY 1 HAVING bool_and(NOT regexp_matches(lower(coalesce(c_mktsegment, '')), 'furni')) ")
 def b01(spark, d):
-    return B.include_series(table(spark, d, "documents"), "source", "text", ["idiot", "scum"])
+    c = table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 10).alias("grp"), "c_mktsegment")
+    return B.include_series(c, "grp", "c_mktsegment", ["furni"])
 
 
 @query("b02_status_counts", "SELECT CASE WHEN c_acctbal > 0 THEN 'included' ELSE 'excluded' END AS status, count(*) AS n FROM customer GROUP BY 1")
@@ -132,6 +133,22 @@ def b18(spark, d):
     return sents.join(anns.select("image", "ann", "category"), ["image", "ann"]).groupBy("category", F.col("ann"), "sent_id").agg(F.count("*").alias("n"), F.min("raw").alias("raw"))
 
 
+@query("b18_dense_ids", """WITH a AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linenumber, l_partkey) AS ann FROM lineitem WHERE l_tax > 0)
+ SELECT count(DISTINCT image) AS images, count(DISTINCT image) AS last_image, count(*) AS anns, count(*) AS last_ann, 1::BIGINT AS first_image, 1::BIGINT AS first_ann FROM a""")
+def b18d(spark, d):
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("category"), F.struct("l_linenumber", "l_partkey").alias("mask"), F.col("l_tax").alias("area"))
+    ids, anns, _ = B.build_index(m, ["%s in %s"])
+    i = ids.agg(F.count_distinct("image_id").alias("images"), F.max("image_id").alias("last_image"), F.min("image_id").alias("first_image"))
+    return i.crossJoin(anns.agg(F.count_distinct("ann_id").alias("anns"), F.max("ann_id").alias("last_ann"), F.min("ann_id").alias("first_ann")))
+
+
+@query("b22_class_presence", """WITH v AS (SELECT l_suppkey AS scan, l_partkey, l_returnflag AS cls, sum((l_linestatus = 'F')::INT) AS votes, count(*) AS raters FROM lineitem GROUP BY 1, 2, 3), l AS (SELECT scan, l_partkey, min_by(cls, CASE cls WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) AS label FROM v WHERE votes * 2 >= raters GROUP BY 1, 2)
+ SELECT scan, max((label = 'R')::INT) AS "R", max((label = 'A')::INT) AS "A", max((label = 'N')::INT) AS "N" FROM l GROUP BY 1""")
+def b22p(spark, d):
+    v = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("scan"), "l_partkey", F.col("l_returnflag").alias("cls"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("vote"))
+    return B.class_presence(B.priority_label(v, ["scan", "l_partkey"], ["R", "A", "N"], F.col("votes") * 2 >= F.col("raters")), ["scan"], ["R", "A", "N"])
+
+
 @query("b19_selected_refs", "SELECT o_orderkey AS ann FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F')")
 def b19(spark, d):
     refs = table(spark, d, "orders").select(F.col("o_orderkey").alias("ann"), F.col("o_orderpriority").alias("split"))
@@ -168,11 +185,11 @@ def b23(spark, d):
     return B.keep_usable(table(spark, d, "orders").select("o_orderkey"), kids, "o_orderkey", F.col("l_quantity") > 40)
 
 
-@query("b24_mixture", f"""WITH s AS (SELECT o_orderpriority, count(*) AS size FROM orders WHERE o_orderkey % 7 < 2 OR o_orderpriority < '3' GROUP BY 1), q AS (SELECT o_orderpriority, size, round(3000 * sqrt(size) / (SELECT sum(sqrt(size)) FROM s))::BIGINT AS quota FROM s),
- r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {h_sql('o_orderkey', 3)}, o_orderkey) AS rk FROM orders WHERE o_orderkey % 7 < 2 OR o_orderpriority < '3')
+@query("b24_mixture", f"""WITH s AS (SELECT o_orderpriority, count(*) AS size FROM orders GROUP BY 1), q AS (SELECT o_orderpriority, size, round(3000 * sqrt(size) / (SELECT sum(sqrt(size)) FROM s))::BIGINT AS quota FROM s),
+ r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {h_sql('o_orderkey', 3)}, o_orderkey) AS rk FROM orders)
  SELECT o_orderpriority, sum(floor((quota - rk) / size) + 1)::BIGINT AS n, count(*) AS different, sum(o_orderkey)::BIGINT AS keys FROM r JOIN q USING (o_orderpriority) WHERE rk <= quota GROUP BY 1""")
 def b24(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 7 < 2 or o_orderpriority < '3'").select("o_orderkey", "o_orderpriority")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     m = B.mixture(o, "o_orderpriority", "o_orderkey", "sqrt", 3000, 3)
     return m.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different"), F.sum(F.when(F.col("copy") == 1, F.col("o_orderkey"))).alias("keys"))
 

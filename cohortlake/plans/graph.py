@@ -38,10 +38,10 @@ def g03(spark, d):
 def graph_points(spark, d):
     from .annotations import points
 
-    return points(spark, d).where("key % 4 = 0").withColumn("features", F.array((F.col("key") % 7).cast("double"), (F.col("key") % 11).cast("double")))
+    return points(spark, d).withColumn("features", F.array((F.col("key") % 7).cast("double"), (F.col("key") % 11).cast("double")))
 
 
-GP = "(SELECT event_id AS key, user_id::DOUBLE AS x, value AS y, event_id % 7 AS f, event_id % 11 AS g FROM events WHERE event_id % 4 = 0)"
+GP = "(SELECT event_id AS key, user_id::DOUBLE AS x, value AS y, event_id % 7 AS f, event_id % 11 AS g FROM events)"
 EDGES = f"(SELECT a.key AS src, b.key AS dst, round(1 - exp(-0.1 * sqrt((a.f - b.f) ** 2 + (a.g - b.g) ** 2)) * exp(-0.3 * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS weight FROM {GP} a JOIN {GP} b ON a.key < b.key AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4)"
 
 
@@ -71,13 +71,13 @@ def g07(spark, d):
 
 
 NODES = "(SELECT DISTINCT l_suppkey AS graph_id, l_partkey AS node_id, l_partkey % 5 AS cls FROM lineitem)"
-GE = "(SELECT DISTINCT l_suppkey AS graph_id, l_partkey AS src, l_partkey % 40 + 1 AS dst FROM lineitem WHERE l_partkey % 3 = 0 AND (l_suppkey, l_partkey % 40 + 1) IN (SELECT l_suppkey, l_partkey FROM lineitem) AND l_partkey <> l_partkey % 40 + 1)"
+GE = "(SELECT DISTINCT l_suppkey AS graph_id, l_partkey AS src, l_partkey % 40 + 1 AS dst FROM lineitem WHERE (l_suppkey, l_partkey % 40 + 1) IN (SELECT l_suppkey, l_partkey FROM lineitem) AND l_partkey <> l_partkey % 40 + 1)"
 
 
 def node_edge(spark, d):
     i = table(spark, d, "lineitem")
     n = i.select(F.col("l_suppkey").alias("graph_id"), F.col("l_partkey").alias("node_id"), (F.col("l_partkey") % 5).alias("cls")).distinct()
-    e = i.where("l_partkey % 3 = 0").select(F.col("l_suppkey").alias("graph_id"), F.col("l_partkey").alias("src"), (F.col("l_partkey") % 40 + 1).alias("dst")).distinct().where("src <> dst")
+    e = i.select(F.col("l_suppkey").alias("graph_id"), F.col("l_partkey").alias("src"), (F.col("l_partkey") % 40 + 1).alias("dst")).distinct().where("src <> dst")
     return n, e.join(n.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst")
 
 
@@ -102,7 +102,7 @@ def g09c(spark, d):
 
 @query("e28_voxel_components")
 def e28(spark, d):
-    v = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_linenumber").alias("scan"), (F.col("l_partkey") % 60).alias("x"), (F.col("l_suppkey") % 60).alias("y"))
+    v = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("scan"), (F.col("l_partkey") % 60).alias("x"), (F.col("l_suppkey") % 60).alias("y"))
     return G.voxel_components(v, 1, 2, 5)
 
 
@@ -120,6 +120,17 @@ def g11(spark, d):
     return rounded(G.graph_mmd(G.degree_histogram(e, 6), side, 6, 0.5))
 
 
+@query("g11_clustering_discrepancy", f"""WITH u AS (SELECT DISTINCT graph_id, least(src, dst) AS a, greatest(src, dst) AS b FROM {GE}), s AS (SELECT graph_id, a, b FROM u UNION ALL SELECT graph_id, b, a FROM u), d AS (SELECT graph_id, a, count(*) AS deg FROM s GROUP BY 1, 2),
+ t AS (SELECT x.graph_id, x.a, count(*) AS closed FROM s x JOIN s y ON x.graph_id = y.graph_id AND x.a = y.a AND x.b < y.b JOIN u z ON z.graph_id = x.graph_id AND z.a = x.b AND z.b = y.b GROUP BY 1, 2),
+ g AS (SELECT graph_id, least(floor(CASE WHEN deg > 1 THEN 2 * coalesce(closed, 0) / (deg * (deg - 1)) ELSE 0 END * 4), 3)::INT AS b FROM d LEFT JOIN t USING (graph_id, a)), n AS (SELECT graph_id, b, count(*) / sum(count(*)) OVER (PARTITION BY graph_id) AS share FROM g GROUP BY 1, 2),
+ v AS (SELECT graph_id, b, coalesce(share, 0) AS share FROM (SELECT DISTINCT graph_id FROM n) CROSS JOIN generate_series(0, 3) t(b) LEFT JOIN n USING (graph_id, b)), p AS (SELECT x.graph_id AS i, y.graph_id AS j, sum(abs(x.share - y.share)) / 2 AS tv FROM v x JOIN v y USING (b) GROUP BY 1, 2),
+ k AS (SELECT i % 2 AS a, j % 2 AS b, avg(exp(-(tv ** 2) / 0.5)) AS k FROM p GROUP BY 1, 2) SELECT round(sum(CASE WHEN a = b THEN k ELSE -k END), 6) AS mmd2 FROM k""")
+def g11c(spark, d):
+    n, e = node_edge(spark, d)
+    side = n.select("graph_id").distinct().withColumn("side", F.col("graph_id") % 2)
+    return rounded(G.graph_mmd(G.clustering_histogram(e, 4), side, 4, 0.5))
+
+
 @query("g12_embedding_discrepancy", """WITH p AS (SELECT a.vec_id % 2 AS a, b.vec_id % 2 AS b, list_distance(a.e, b.e) AS d FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b), k AS (SELECT a, b, avg((exp(-d * d / 0.5) + exp(-d * d / 2)) / 2) AS k FROM p GROUP BY 1, 2)
  SELECT round(sum(CASE WHEN a = b THEN k ELSE -k END), 6) AS mmd2 FROM k""")
 def g12(spark, d):
@@ -143,6 +154,22 @@ def g14(spark, d):
     return s.groupBy("graph_id").agg(F.count("*").alias("n"), F.sum("node_id").alias("ids"))
 
 
+@query("g14_induced_edges", f"""WITH n AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS i FROM {NODES} WHERE node_id % 4 <> 1)
+ SELECT e.graph_id, src, dst, x.i AS new_src, y.i AS new_dst FROM {GE} e JOIN n x ON x.graph_id = e.graph_id AND x.node_id = src JOIN n y ON y.graph_id = e.graph_id AND y.node_id = dst""")
+def g14e(spark, d):
+    n, e = node_edge(spark, d)
+    out = G.induced(n.where("node_id % 4 <> 1"), e)
+    return out.select("graph_id", "src", "dst", F.col("new_src").cast("long").alias("new_src"), F.col("new_dst").cast("long").alias("new_dst"))
+
+
+@query("g03_neighbour_diagnostics", f"""WITH x AS (SELECT vec_id, avg(1 - similarity) AS d FROM {KNN} GROUP BY 1), q AS (SELECT avg(d) AS mean, stddev_pop(d) AS sd, quantile_cont(d, 0.05) AS q05, quantile_cont(d, 0.5) AS q50, quantile_cont(d, 0.95) AS q95 FROM x),
+ h AS (SELECT vec_id, coalesce(n, 0) AS n FROM embeddings LEFT JOIN (SELECT neighbour AS vec_id, count(*) AS n FROM {KNN} GROUP BY 1) USING (vec_id)) SELECT round(mean, 6) AS mean, round(sd, 6) AS sd, round(q05, 6) AS q05, round(q50, 6) AS q50, round(q95, 6) AS q95, round((q95 - q05) / greatest(abs(q50), 1e-8), 6) AS concentration,
+ (SELECT quantile_cont(n, 0.5) FROM h) AS median_times, (SELECT max(n) FROM h) AS max_times, (SELECT count(*) FROM h) AS n, (SELECT count(*) FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) <= 1e-16) AS zero_norms FROM q""")
+def g03d(spark, d):
+    e = table(spark, d, "embeddings")
+    return rounded(G.neighbour_diagnostics(nn(spark, d), e, "vec_id", "embedding"))
+
+
 @query("g15_nearest_prototypes", f"""WITH m AS (SELECT label, pos, avg(v) AS v FROM (SELECT label, unnest(range(64)) AS pos, unnest(u) AS v FROM {U}) GROUP BY 1, 2), p AS (SELECT label, list(v ORDER BY pos) AS p, sqrt(sum(v * v)) AS n FROM m GROUP BY 1),
  s AS (SELECT vec_id, p.label AS nearest, round(list_dot_product(u, p) / n, 9) AS similarity FROM {U} x, p) SELECT vec_id, nearest, round(similarity, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, nearest) = 1""")
 def g15(spark, d):
@@ -150,9 +177,16 @@ def g15(spark, d):
     return rounded(G.nearest_prototype(e, "vec_id", "embedding", G.prototypes(e, "label", "embedding"), "label"))
 
 
-@query("e33_retrieval_recall", f"SELECT round(avg(h1), 6) AS r1, round(avg(h5), 6) AS r5 FROM (SELECT vec_id, max((a.label = b.label AND place = 1)::INT) AS h1, max((a.label = b.label)::INT) AS h5 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS place FROM {KNN}) JOIN embeddings a USING (vec_id) JOIN embeddings b ON b.vec_id = neighbour GROUP BY 1)")
+RECALL = """(SELECT {out} FROM (SELECT q, min(CASE WHEN hit THEN place END) AS f FROM (SELECT q, hit, row_number() OVER (PARTITION BY q ORDER BY s DESC, r) AS place FROM (SELECT {q} AS q, {r} AS r, li = lt AS hit, s FROM p)) WHERE place <= 10 GROUP BY 1))"""
+
+
+def recall_sql(name, q, r):
+    return RECALL.format(out=", ".join(f"avg((coalesce(f, 99) <= {k})::INT) AS {name}{k}" for k in (1, 5, 10)), q=q, r=r)
+
+
+@query("e33_retrieval", f"""WITH i AS (SELECT vec_id AS i, label AS li, list_transform(list_zip(u, list_concat(u[33:64], u[1:32])), lambda z: (z[1] + z[2]) / 2) AS v FROM {U} WHERE vec_id % 2 = 0), t AS (SELECT vec_id AS t, label AS lt, u AS w FROM {U} WHERE vec_id % 2 = 1),
+ p AS (SELECT i, t, li, lt, round(list_dot_product(v, w), 9) AS s FROM i, t) SELECT round(tr1, 6) AS tr1, round(tr5, 6) AS tr5, round(tr10, 6) AS tr10, round(ir1, 6) AS ir1, round(ir5, 6) AS ir5, round(ir10, 6) AS ir10, round(tr1 + ir1, 6) AS irtr FROM {recall_sql('tr', 'i', 't')}, {recall_sql('ir', 't', 'i')}""")
 def e33(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    j = nn(spark, d).join(e, "vec_id").join(e.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("other")), "neighbour")
-    hit = (F.col("label") == F.col("other")).cast("int")
-    return rounded(j.groupBy("vec_id").agg(F.max(F.when(F.col("place") == 1, hit)).alias("a"), F.max(hit).alias("b")).agg(F.avg("a").alias("r1"), F.avg("b").alias("r5")))
+    # Even ids stand for images, odd ones for texts; an image's second vector is its halves changed over.
+    e = table(spark, d, "embeddings").withColumn("other", F.concat(F.slice("embedding", 33, 32), F.slice("embedding", 1, 32)))
+    return rounded(G.retrieval(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "embedding", "label", [1, 5, 10], second="other"))

@@ -158,12 +158,37 @@ def e15(spark, d):
     return rounded(E.logrank(s, "side", ["grp"]).drop("p"))
 
 
-@query("e16_ipcw_weights")
+@query("e15_log_rank_pairwise", f"""WITH g AS (SELECT DISTINCT grp FROM {SURV}), d AS (SELECT x.grp AS ga, y.grp AS gb FROM g x JOIN g y ON x.grp < y.grp), s AS (SELECT ga, gb, duration, event, (grp = gb)::INT AS side FROM {SURV} JOIN d ON grp = ga OR grp = gb),
+ p AS (SELECT ga, gb, duration, sum(event) AS d, count(*) AS a, sum(event * side) AS d1, sum(side) AS a1 FROM s GROUP BY 1, 2, 3), c AS (SELECT *, sum(a) OVER w AS n, sum(a1) OVER w AS n1 FROM p WINDOW w AS (PARTITION BY ga, gb ORDER BY duration DESC)),
+ z AS (SELECT ga, gb, sum(d1)::DOUBLE AS observed, sum(d * n1 / n) AS expected, sum(CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END) AS variance FROM c WHERE d > 0 GROUP BY 1, 2)
+ SELECT ga, gb, round(observed, 6) AS observed, round(expected, 6) AS expected, round((observed - expected) ** 2 / variance, 6) AS chi2 FROM z""")
+def e15p(spark, d):
+    return rounded(E.logrank_pairwise(survival(spark, d), "grp").select("ga", "gb", "observed", "expected", "chi2"))
+
+
+#: Rows with the inverse probability of being uncensored just before their time.
+IPCW = f"""(WITH s AS (SELECT * FROM {SURV}), r AS (SELECT duration AS t, sum(1 - event) AS c, sum(count(*)) OVER (ORDER BY duration DESC) AS n FROM s GROUP BY 1),
+ g AS (SELECT t, coalesce(CASE WHEN max((c = n)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN c < n THEN ln(1 - c / n) ELSE 0 END) OVER w) END, 1) AS g FROM r WINDOW w AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT s.*, CASE WHEN event = 1 AND g > 0 THEN 1 / g ELSE 0 END AS ipcw FROM s JOIN g ON t = duration)"""
+
+
+@query("e16_ipcw_weights", f"SELECT grp, round(sum(ipcw), 4) AS weight, count(*) AS n FROM {IPCW} GROUP BY 1")
 def e16(spark, d):
     return E.ipcw_weights(survival(spark, d)).groupBy("grp").agg(F.round(F.sum("ipcw"), 4).alias("weight"), F.count("*").alias("n"))
 
 
-@query("e17_dynamic_auc")
+@query("e16_ipcw_concordance", f"""WITH i AS (SELECT *, floor(risk / 5000) AS r FROM {IPCW}) SELECT a.grp, round(sum(a.ipcw ** 2 * CASE WHEN a.r > b.r THEN 1 WHEN a.r = b.r THEN 0.5 ELSE 0 END) / sum(a.ipcw ** 2), 6) AS c_index FROM i a JOIN i b ON a.grp = b.grp
+ WHERE a.event = 1 AND a.duration <= 1500 AND (b.duration > a.duration OR b.duration = a.duration AND b.event = 0) GROUP BY 1""")
+def e16c(spark, d):
+    return rounded(E.ipcw_c_index(coarse(spark, d), ["grp"], tau=1500).select("grp", "c_index"))
+
+
+TIMES = "(VALUES (200.0::DOUBLE), (500.0), (800.0), (1100.0), (1400.0), (1700.0), (2000.0)) v(h)"
+
+
+@query("e17_dynamic_auc", f"""WITH r AS (SELECT h, risk, (duration <= h)::INT AS truth, CASE WHEN duration <= h THEN ipcw ELSE 1 END AS w FROM {IPCW}, {TIMES} WHERE duration <= h AND event = 1 OR duration > h),
+ p AS (SELECT h, risk, sum(w * truth) AS pos, sum(w * (1 - truth)) AS neg FROM r GROUP BY 1, 2), c AS (SELECT *, sum(neg) OVER (PARTITION BY h ORDER BY risk) AS cn FROM p)
+ SELECT h AS at, round(sum(pos * (cn - neg / 2)) / (sum(pos) * sum(neg)), 6) AS auroc FROM c GROUP BY 1 HAVING sum(pos) * sum(neg) > 0 UNION ALL SELECT h, NULL FROM c GROUP BY 1 HAVING sum(pos) * sum(neg) = 0""")
 def e17(spark, d):
     return rounded(E.dynamic_auc(survival(spark, d), [200.0, 500.0, 800.0, 1100.0, 1400.0, 1700.0, 2000.0]))
 
@@ -193,6 +218,17 @@ def e21(spark, d):
     return rounded(E.grounding_metrics(cells(spark, d), "scan", F.col("pred"), F.col("truth"), [0.5, 0.75]))
 
 
+BOXES = "(SELECT l_orderkey, l_partkey % 100 AS ax, l_suppkey % 50 AS ay, l_quantity AS aw, l_linenumber * 4.0 AS ah, (l_partkey + l_linenumber) % 100 AS bx, l_suppkey % 50 AS \"by\", l_quantity + 2 AS bw, l_linenumber * 5.0 AS bh FROM lineitem)"
+
+
+@query("e21_box_iou", f"""WITH o AS (SELECT aw * ah AS a, bw * bh AS b, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, "by" + bh) - greatest(ay, "by")) AS i FROM {BOXES}), u AS (SELECT coalesce(i / nullif(a + b - i, 0), 0) AS iou FROM o)
+ SELECT round(avg(iou), 6) AS mbiou, round(avg((iou >= 0.5)::INT), 6) AS b50, round(avg((iou >= 0.75)::INT), 6) AS b75 FROM u""")
+def e21b(spark, d):
+    c = F.col
+    i = table(spark, d, "lineitem").select((c("l_partkey") % 100).alias("ax"), (c("l_suppkey") % 50).alias("ay"), c("l_quantity").alias("aw"), (c("l_linenumber") * 4.0).alias("ah"), ((c("l_partkey") + c("l_linenumber")) % 100).alias("bx"), (c("l_suppkey") % 50).alias("by"), (c("l_quantity") + 2).alias("bw"), (c("l_linenumber") * 5.0).alias("bh"))
+    return rounded(E.box_metrics(i, ("ax", "ay", "aw", "ah"), ("bx", "by", "bw", "bh"), [0.5, 0.75]))
+
+
 SWEEP = "(SELECT b / 100.0 AS threshold, 2.0 * count(*) FILTER (s >= b AND t = 1) / (count(*) FILTER (s >= b) + count(*) FILTER (t = 1)) AS dice FROM (SELECT (l_linenumber * 9 + l_suppkey) % 101 AS s, (l_linestatus = 'F')::INT AS t FROM lineitem), generate_series(0, 100) g(b) GROUP BY b)"
 
 
@@ -215,6 +251,19 @@ def e23(spark, d):
     return rounded(E.sens_spec_curve(cells(spark, d), [0.15, 0.35, 0.55, 0.85]))
 
 
+@query("e23_quantile_thresholds", """WITH r AS (SELECT o_totalprice AS score, (o_orderstatus = 'F')::INT AS truth FROM orders), q AS (SELECT DISTINCT unnest(quantile_cont(score, [0.1, 0.25, 0.5, 0.75, 0.9])) AS th FROM r)
+ SELECT round(th, 4) AS threshold, round(count(*) FILTER (truth = 1 AND score >= th) / count(*) FILTER (truth = 1), 6) AS sensitivity, round(count(*) FILTER (truth = 0 AND score < th) / count(*) FILTER (truth = 0), 6) AS specificity FROM r, q GROUP BY 1""")
+def e23q(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").cast("int").alias("truth"))
+    s = E.sens_spec_curve(o, E.quantile_thresholds(o, [0.1, 0.25, 0.5, 0.75, 0.9]))
+    return s.select(F.round("threshold", 4).alias("threshold"), F.round("sensitivity", 6).alias("sensitivity"), F.round("specificity", 6).alias("specificity"))
+
+
+@query("e24_case_rollup", f"SELECT cls, p, max(truth) AS truth, round(avg(score), 6) AS score, count(*) AS scans FROM (SELECT cls, p, scan, max(truth) AS truth, max(score) AS score FROM {CELLS} GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def e24c(spark, d):
+    return rounded(E.case_rollup(cells(spark, d), ["cls", "p"], "scan"))
+
+
 @query("e24_scan_rollup", f"SELECT scan, max(truth) AS truth, round(max(score), 6) AS score FROM {CELLS} GROUP BY 1")
 def e24(spark, d):
     return rounded(E.scan_rollup(cells(spark, d), ["scan"]))
@@ -240,6 +289,12 @@ def e26(spark, d):
     return rounded(E.froc(cells(spark, d).withColumn("lesion", F.when(F.col("truth") == 1, F.col("scan"))), [0.15, 0.45, 0.75], 15000, 12000))
 
 
+@query("e26_precision_recall", f"""WITH t AS (SELECT th AS threshold, count(*) FILTER (truth = 0 AND score >= th) AS fp, count(DISTINCT CASE WHEN truth = 1 AND score >= th THEN scan END) AS tp FROM {CELLS}, (VALUES (0.15::DOUBLE), (0.45), (0.75), (2.0)) v(th) GROUP BY 1)
+ SELECT threshold, round(coalesce(tp / nullif(tp + fp, 0), 1), 6) AS precision, round(tp / 12000, 6) AS recall FROM t""")
+def e26p(spark, d):
+    return rounded(E.lesion_pr(cells(spark, d).withColumn("lesion", F.when(F.col("truth") == 1, F.col("scan"))), [0.15, 0.45, 0.75, 2.0], 12000))
+
+
 @query("e27_false_positives", f"SELECT quantile_cont(fp, 0.5) AS median, quantile_cont(fp, 0.9) AS p90 FROM (SELECT scan, sum((truth = 0 AND pred = 1)::INT)::DOUBLE AS fp FROM {CELLS} GROUP BY 1)")
 def e27(spark, d):
     fp = E.binary_metrics(cells(spark, d), ["scan"])
@@ -278,8 +333,11 @@ def e34(spark, d):
     return E.noc(c, "item", [0.5, 0.85], 20)
 
 
-@query("e35_mutual_nearest", """WITH a AS (SELECT event_id, user_id AS x, value AS y, event_type FROM events), p AS (SELECT a.event_id AS a, b.event_id AS b, round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 6) AS dist FROM a JOIN a b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9 WHERE a.event_type = 'error' AND b.event_type = 'signup')
- SELECT a, b, dist FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY dist, a) AS rb FROM p) WHERE ra = 1 AND rb = 1""")
+MUTUAL = """WITH a AS (SELECT event_id, user_id AS x, value AS y, event_type FROM events), p AS (SELECT a.event_id AS a, b.event_id AS b, round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 6) AS dist FROM a JOIN a b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9 WHERE a.event_type = 'error' AND b.event_type = 'signup')
+ SELECT a, b, dist FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY dist, a) AS rb FROM p) WHERE ra = 1 AND rb = 1"""
+
+
+@query("e35_mutual_nearest", MUTUAL)
 def e35(spark, d):
     from cohortlake.operators.annotations import neighbours
 
@@ -293,6 +351,13 @@ def e35(spark, d):
     return E.mutual_nearest(p, "a", "b", "dist")
 
 
+@query("e35_detection_f1", f"""WITH m AS ({MUTUAL}), n AS (SELECT (SELECT count(*) FROM m) AS tp, count(*) FILTER (event_type = 'error') AS p, count(*) FILTER (event_type = 'signup') AS t FROM events)
+ SELECT tp, p - tp AS fp, t - tp AS fn, round(tp / (tp + (p - tp + t - tp) / 2), 6) AS f1 FROM n""")
+def e35f(spark, d):
+    e = table(spark, d, "events")
+    return rounded(E.detection_f1(e35(spark, d), e.where("event_type = 'error'"), e.where("event_type = 'signup'")))
+
+
 def answers(spark, d):
     c = table(spark, d, "conversations")
     q = c.select("conv_id", "turn", F.col("text").alias("truth"))
@@ -333,11 +398,10 @@ def e40(spark, d):
     return rounded(E.topj_pool(i, "slide", [1, 3]), 4)
 
 
-@query("e41_paired_slices", """WITH p AS (SELECT l_orderkey, sum((l_discount > 0.05)::INT) AS p, sum((l_linestatus = 'F' AND l_discount > 0.05)::INT) AS i FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1), g AS (SELECT l_orderkey, sum((l_linestatus = 'F')::INT) AS g FROM lineitem GROUP BY 1)
+@query("e41_paired_slices", """WITH p AS (SELECT l_orderkey, sum((l_discount > 0.05)::INT) AS p, sum((l_linestatus = 'F' AND l_discount > 0.05)::INT) AS i FROM lineitem GROUP BY 1), g AS (SELECT l_orderkey, sum((l_linestatus = 'F')::INT) AS g FROM lineitem GROUP BY 1)
  SELECT o_orderkey AS slice, round(2 * i / nullif(p + g, 0), 6) AS dice FROM orders LEFT JOIN p ON p.l_orderkey = o_orderkey LEFT JOIN g ON g.l_orderkey = o_orderkey""")
 def e41(spark, d):
-    c = cells(spark, d).where("scan % 3 <> 0")
-    m = E.overlap(c, ["scan"], F.col("pred"), F.col("truth")).select(F.col("scan").alias("slice"), "dice")
+    m = E.overlap(cells(spark, d), ["scan"], F.col("pred"), F.col("truth")).select(F.col("scan").alias("slice"), "dice")
     return rounded(table(spark, d, "orders").select(F.col("o_orderkey").alias("slice")).join(m, "slice", "left"))
 
 
@@ -356,3 +420,16 @@ def e38(spark, d):
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "role", "text", ((F.col("conv_id") + F.col("turn")) % 7).alias("truth"))
     b = table(spark, d, "benchmark")
     return rounded(E.vqa_accuracy(c, "key", "text", "truth", b, "item_id", "text", ["role"]))
+
+
+@query("e38_open_questions", f"""WITH r AS (SELECT key, key // 1000 % 3 AS modality, {TOK.format(c='answer')} AS a, {TOK.format(c='truth')} AS t FROM {ANS}),
+ c AS (SELECT key, sum(least(n, m)) AS c FROM (SELECT key, w, count(*) AS n FROM (SELECT key, unnest(a) AS w FROM r) GROUP BY 1, 2) x JOIN (SELECT key, w, count(*) AS m FROM (SELECT key, unnest(t) AS w FROM r) GROUP BY 1, 2) y USING (key, w) GROUP BY 1),
+ k AS (SELECT DISTINCT array_to_string({TOK.format(c='text')}, ' ') AS text, len(list_distinct({TOK.format(c='text')})) AS n FROM (SELECT truth AS text FROM {ANS})),
+ h AS (SELECT key, text, n, count(*) AS k FROM (SELECT DISTINCT key, unnest(a) AS w FROM r) JOIN (SELECT text, n, unnest(list_distinct(string_split(text, ' '))) AS w FROM k WHERE n > 0) USING (w) GROUP BY 1, 2, 3 HAVING count(*) = n),
+ b AS (SELECT key, text FROM h QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, text) = 1)
+ SELECT modality, count(*) AS n, round(avg((array_to_string(a, ' ') = array_to_string(t, ' '))::INT), 6) AS exact, round(avg(coalesce(coalesce(c, 0) / nullif(len(a), 0), 0)), 6) AS precision, round(avg(coalesce(coalesce(c, 0) / nullif(len(t), 0), 0)), 6) AS recall, round(avg(coalesce(2 * coalesce(c, 0) / nullif(len(a) + len(t), 0), 0)), 6) AS f1, round(avg((coalesce(text, '') = array_to_string(t, ' ') AND text IS NOT NULL)::INT), 6) AS hit
+ FROM r LEFT JOIN c USING (key) LEFT JOIN b USING (key) GROUP BY 1""")
+def e38o(spark, d):
+    a = answers(spark, d)
+    a = a.withColumn("modality", F.floor(F.col("key") / 1000) % 3)
+    return rounded(E.open_accuracy(a, "key", "answer", "truth", a.select("truth"), "truth", ["modality"], 2).drop("bleu"))

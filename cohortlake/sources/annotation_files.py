@@ -1,33 +1,54 @@
 """Readers and writers of annotation files."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.operators.annotations import with_bounds
 
-POINT = "struct<type:string,coordinates:array<double>>"
-FEATURE = f"key string, type string, geometry {POINT}, properties string"
+#: Coordinates are taken as text: a point has one pair, a line a list, a polygon a list of rings.
+GEOMETRY = "struct<type:string,coordinates:string>"
+FEATURE = f"key string, type string, geometry {GEOMETRY}, properties string"
+KINDS = {"Point": "array<double>", "LineString": "array<array<double>>", "MultiPoint": "array<array<double>>", "Polygon": "array<array<array<double>>>"}
+
+
+def coords_of(kind, text, scale=(1.0, 1.0), origin=(0.0, 0.0)) -> Column:
+    """GeoJSON coordinates as an array of points: of a polygon its outer ring, without the closing point.
+
+    Other types of geometry, and coordinates that can't be read, are null.
+    """
+    point = lambda p: F.struct(((p[0] - origin[0]) * scale[0]).alias("x"), ((p[1] - origin[1]) * scale[1]).alias("y"))
+    read = {k: F.from_json(text, t) for k, t in KINDS.items()}
+    ring = F.element_at(read["Polygon"], 1)
+    n = F.size(ring)
+    ring = F.when((n > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, 1, F.greatest(n - 1, F.lit(1)))).otherwise(ring)
+    many = F.when(kind == "Point", F.array(read["Point"])).when(kind.isin("LineString", "MultiPoint"), read["LineString"]).when(kind == "Polygon", ring)
+    return F.transform(many, point)
 
 
 def read_features_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """One point feature a line; a missing key is generated."""
+    """One feature (point, line or polygon) a line; a missing key is generated."""
     rows = spark.read.schema(FEATURE).json(path)
-    c = F.array(F.struct(F.col("geometry.coordinates")[0].alias("x"), F.col("geometry.coordinates")[1].alias("y")))
+    c = coords_of(F.col("geometry.type"), F.col("geometry.coordinates"))
     return with_bounds(rows.select(F.coalesce("key", F.expr("uuid()")).alias("key"), F.col("geometry.type").alias("geom_type"), c.alias("coords"), "properties"))
 
 
 def read_geojson(spark: SparkSession, path: str, scale=(1.0, 1.0), origin=(0.0, 0.0)) -> DataFrame:
     """A feature collection; moved by -origin, then scaled."""
-    rows = spark.read.schema(f"features array<struct<type:string,geometry:{POINT},properties:string>>").json(path, multiLine=True)
+    rows = spark.read.schema(f"features array<struct<key:string,type:string,geometry:{GEOMETRY},properties:string>>").json(path, multiLine=True)
     f = rows.select(F.explode("features").alias("f"))
-    at = lambda i: ((F.col("f.geometry.coordinates")[i] - origin[i]) * scale[i])
-    return with_bounds(f.select(F.expr("uuid()").alias("key"), F.col("f.geometry.type").alias("geom_type"), F.array(F.struct(at(0).alias("x"), at(1).alias("y"))).alias("coords"), F.col("f.properties").alias("properties")))
+    c = coords_of(F.col("f.geometry.type"), F.col("f.geometry.coordinates"), scale, origin)
+    return with_bounds(f.select(F.coalesce("f.key", F.expr("uuid()")).alias("key"), F.col("f.geometry.type").alias("geom_type"), c.alias("coords"), F.col("f.properties").alias("properties")))
 
 
 def feature_json(df: DataFrame) -> DataFrame:
-    """One GeoJSON feature a row, as text (points)."""
-    p = F.struct(F.lit("Point").alias("type"), F.array("cx", "cy").alias("coordinates"))
-    return df.select(F.concat(F.lit('{"key":"'), "key", F.lit('","type":"Feature","geometry":'), F.to_json(p), F.lit(',"properties":'), F.coalesce("properties", F.lit("{}")), F.lit("}")).alias("value"))
+    """One GeoJSON feature a row, as text: the geometry of ``geom_type`` (a point where there is none)."""
+    pair = lambda p: F.array(p["x"], p["y"])
+    c, kind = F.col("coords"), F.coalesce("geom_type", F.lit("Point")) if "geom_type" in df.columns else F.lit("Point")
+    ring = F.transform(F.concat(c, F.slice(c, 1, 1)), pair)
+    text = F.when(kind == "Polygon", F.to_json(F.array(ring))).when(kind.isin("LineString", "MultiPoint"), F.to_json(F.transform(c, pair))).otherwise(F.to_json(pair(F.element_at(c, 1))))
+    quoted = lambda x: F.regexp_extract(F.to_json(F.struct(x.cast("string").alias("k"))), r'^\{"k":(.*)\}$', 1)
+    parts = [F.lit('{"key":'), quoted(F.col("key")), F.lit(',"type":"Feature","geometry":{"type":'), quoted(kind), F.lit(',"coordinates":'), text, F.lit('},"properties":'), F.coalesce("properties", F.lit("{}")), F.lit("}")]
+    return df.select(F.concat(*parts).alias("value"))
 
 
 def write_features(df: DataFrame, path: str) -> None:

@@ -144,3 +144,70 @@ def test_majority_tie_and_empty(spark):
     df = spark.createDataFrame([("g", "b"), ("g", "a")], "g string, v string")
     assert one(B.majority(df, "g", "v")).v == "a"
     assert B.majority(df.limit(0), "g", "v").count() == 0
+
+
+def test_t_interval_quantiles(spark):
+    """Known two-sided 95 % values of the t distribution."""
+    known = {1: (12.7062, 1e-3), 2: (4.3027, 1e-3), 3: (3.1824, 2e-2), 4: (2.7764, 2e-3), 9: (2.2622, 1e-4), 30: (2.0423, 1e-4)}
+    df = spark.createDataFrame([(k,) for k in known], "k long")
+    for r in df.select("k", S.t_quantile(F.col("k"), 1.959963984540054).alias("t")).collect():
+        assert abs(r.t - known[r.k][0]) < known[r.k][1], r
+
+
+def test_prefix_over_signs_ties_and_spreads(spark):
+    """Sums up to a value, against plain sorting, for numbers of any size and sign, both ways round."""
+    values = [0.0, -0.0, 1.0, 1.0, 2.0, 1.999999999, 2.000000001, 1e-9, -1e-9, 1e12, -1e12, -3.5, 7.25, 1023.0, 1024.0, 1025.0] + [i / 7 - 30 for i in range(400)]
+    df = spark.createDataFrame([("g" if i % 3 else None, v, i) for i, v in enumerate(values)], "g string, v double, i int")
+    for down in (False, True):
+        got = {(r.g, r.v): r.n_upto for r in prims.prefix(df, ["g"], "v", {"n": F.lit(1)}, descending=down).collect()}
+        for g in ("g", None):
+            mine = [v for i, v in enumerate(values) if (i % 3 > 0) == (g == "g")]
+            assert all(got[g, v] == sum((x >= v) if down else (x <= v) for x in mine) for v in mine)
+
+
+def test_voxel_components_match_flood_fill(spark):
+    import random
+
+    rng = random.Random(1)
+    cells = {(rng.randrange(14), rng.randrange(14)) for _ in range(60)}
+    left, sizes = set(cells), []
+    while left:
+        todo, seen = [left.pop()], 1
+        while todo:
+            x, y = todo.pop()
+            near = {(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            seen += len(near)
+            todo += near
+        sizes.append(seen)
+    v = spark.createDataFrame([(1, x, y) for x, y in cells], "scan int, x long, y long")
+    assert sorted(r["size"] for r in G.voxel_components(v, 1, 2).collect()) == sorted(s for s in sizes if s > 1)
+
+
+def test_polygon_and_odd_features(spark, tmp_path):
+    from cohortlake.sources import annotation_files as files
+
+    lines = ['{"key":"a\\"b","type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[4,0],[4,3],[0,3],[0,0]],[[1,1],[2,1],[2,2],[1,1]]]},"properties":{"k":1}}', '{"key":"l","geometry":{"type":"LineString","coordinates":[[0,0],[3,4]]}}', '{"key":"x","geometry":{"type":"Blob","coordinates":[1]}}', '{"key":"p","geometry":{"type":"Point","coordinates":[5,6]}}']
+    (tmp_path / "f.json").write_text("\n".join(lines))
+    rows = files.read_features_ndjson(spark, str(tmp_path / "f.json"))
+    got = {r.key: r for r in rows.collect()}
+    assert got['a"b'].area == 12 and len(got['a"b'].coords) == 4 and got["l"].max_y == 4 and got["x"].coords is None and got["p"].cx == 5
+    files.write_features(rows.where("coords is not null"), str(tmp_path / "out"))
+    again = {r.key: r for r in files.read_features_ndjson(spark, str(tmp_path / "out")).collect()}
+    assert {k: (r.area, r.coords) for k, r in again.items()} == {k: (r.area, r.coords) for k, r in got.items() if k != "x"}
+
+
+def test_knn_blocks_match_plain_numpy(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(40, 4)), 1)
+    v[7] = v[3]
+    monkeypatch.setattr(G.numbered, "__defaults__", (9,))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    u = v / np.maximum(np.linalg.norm(v, axis=1), 1e-8)[:, None]
+    s = np.round(u @ u.T, 9)
+    got = {(r.id, r.place): r.neighbour for r in G.knn(df, df, "id", "v", 3).collect()}
+    for i in range(40):
+        want = sorted((j for j in range(40) if j != i), key=lambda j: (-s[i, j], j))[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == want
