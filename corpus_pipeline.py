@@ -1,13 +1,13 @@
 """The corpus pipeline: quality, near-dedup, decontamination, personal data, mixing.
 
-The last stage only plans the mix: it keeps every document once and adds ``taken``, the
-words that the mix takes of it.  ``mixing.mixed_blocks`` makes the mix itself.
+The last stage returns the documents that the mix takes words of, each once, with the words
+taken of it (``taken``, repeats counted); ``mixing.mixed_blocks`` writes out the blocks themselves.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlake.llm import decontaminate, mixing, neardup, pii, quality
-from cohortlake.llm.common import materialize, table
+from cohortlake.llm.common import forget, materialize, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mix(docs).where("taken > 0")
 
 
 STAGES = [("quality classifier", good), ("near-dedup", distinct), ("decontamination", unseen), ("personal data", private), ("mixing", mixed)]
@@ -37,9 +37,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"stage{k}")
+            if last is not None:
+                forget(last)
+            last = docs
     return docs
