@@ -1,33 +1,38 @@
 """MinHash near-dedup with tensored banding, and exact confirmation.
 
 Two collections of ``half`` small hashes, each of ``rows`` minhashes, are combined pair by
-pair: half * half table keys come from 2 * half * rows minhash functions, about the square
-root of what as many independent keys would take.  A linked pair of similarity s has a key
-in common unless one collection misses it: at most 2 * (1 - s**rows)**half.
-
-Texts with equal shingle sets are one class.  In every key, classes are compared with the one
-whose keys are shared most (of a group of copies, that nearest to its middle), then, where
-classes that share a key are still in different components, with each other, until no
-unconfirmed pair joins two components.  Such a pair is formed in the first of its shared keys
-only.  Pairs are held against exact bounds (sizes, then histograms of the sets); the rest are
-confirmed on the full shingle sets.
+pair into table keys: hash i of the one with hashes i, i + 1, ... i + spans - 1 of the other.
+36 keys of four minhashes each come from 48 minhash functions in place of 144.  Of pairs at
+similarity 0.8, 5 in 100,000 share no key (simulated; at 0.85 one in a million), and 1.3 in
+100,000 agree in fewer than ``need`` of the 48 minhashes, the least that a pair is looked at for.
+
+Texts with equal shingle sets are one class.  Then, in rounds, all confirmed on full sets:
+
+1. In every key the class whose keys are shared most (of a group of copies, that nearest to
+   its middle) is the centre, and the others are held against it.
+2. What is left are keys whose classes still lie in several components.  In keys of up to
+   ``FEW`` classes these are compared with each other.  In larger ones (near copies that stay
+   under the share) every class is split by its key's centre into the core(a) shingles that the
+   centre has too and those outside it.  Two classes share at most the smaller core and what
+   their outsides have in common, and to be linked they share ``share / (100 + share)`` of their
+   sizes' sum.  So only pairs are compared whose cores reach that, or that meet by shingles
+   outside the centre and reach it with these; near copies that each went their own way don't meet.
 
 Nulls and empties: texts without words have no shingles, belong to their own class and are
 linked with nothing; a null doc_id is kept, as a document of its own with a null component;
-rows that repeat a doc_id each get a row, and are compared under that id.
+rows that repeat a doc_id each get a row, linked by their own text alone.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Hasher, materialize, table, word_spans
-from .components import components
+from cohortlake.operators.graph import components
 
-CELLS = 128
+from .common import Hasher, forget, fresh, materialize, table, word_spans
 
 
 class Shingler:
@@ -61,146 +66,224 @@ class MinHash:
         return out
 
 
+def text_key() -> Column:
+    """Tells the texts of a repeated doc_id apart."""
+    return F.xxhash64("text")
+
+
 def signatures(docs: DataFrame, k: int, half: int, rows: int) -> DataFrame:
-    """(doc_id, n, s1, s2, sig, cells): set size, 128-bit hash of the set, minhashes, histogram."""
+    """(doc_id, h, n, s1, s2, sig): set size, 128-bit hash of the set, minhashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, mins = Shingler(k), MinHash(2 * half * rows)
         signed = lambda x: x - (x >> 63 << 64)
         for b in batches:
             out = []
-            for d, t in zip(b.doc_id, b.text):
+            for d, h, t in zip(b.doc_id, b.h, b.text):
                 s = cut(t)
                 with np.errstate(over="ignore"):
                     one = int((s * np.uint64(0xC2B2AE3D27D4EB4F) ^ (s >> np.uint64(29))).sum(dtype=np.uint64)) if len(s) else 0
                     two = int((s ^ (s * np.uint64(0x165667B19E3779F9) >> np.uint64(17))).sum(dtype=np.uint64)) if len(s) else 0
-                cells = np.minimum(255, np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS)).astype(np.uint8)
-                out.append((d, len(s), signed(one), signed(two), mins(s).astype("<u4").tobytes(), cells.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "sig", "cells"])
+                out.append((d, h, len(s), signed(one), signed(two), mins(s).astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "h", "n", "s1", "s2", "sig"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, sig binary, cells binary")
+    return docs.select("doc_id", text_key().alias("h"), "text").mapInPandas(run, "doc_id long, h long, n long, s1 long, s2 long, sig binary")
 
 
-def collections_of(half: int, rows: int):
-    """The small hashes of both collections, as arrays, from ``sig``."""
+def table_keys(classes: DataFrame, half: int, rows: int, spans: int) -> DataFrame:
+    """(c, key): one row for each of the half * spans keys of a class."""
     w = 4 * rows
-    return [F.array(*(F.substring("sig", (side * half + i) * w + 1, w) for i in range(half))) for side in (0, 1)]
+    hashes = [F.substring("sig", i * w + 1, w) for i in range(2 * half)]
+    keys = [F.xxhash64(F.lit(i * spans + d), hashes[i], hashes[half + (i + d) % half]) for i in range(half) for d in range(spans)]
+    return classes.select("c", F.explode(F.array(*keys)).alias("key"))
 
 
-def table_keys(classes: DataFrame, half: int, rows: int) -> DataFrame:
-    """(key, rep, n, i, j): one row for each of the half * half keys of a class."""
-    left, right = collections_of(half, rows)
-    one = classes.select("rep", "n", F.posexplode(left).alias("i", "u"), right.alias("right"))
-    return one.select("rep", "n", "i", "u", F.posexplode("right").alias("j", "v")).select(F.xxhash64("i", "j", "u", "v").alias("key"), "rep", "n", "i", "j")
+def similar_sizes(a: str, b: str, share: int) -> Column:
+    """Sizes that allow share / 100 at all."""
+    return (F.least(a, b) * 100) >= (F.greatest(a, b) * share)
 
 
-def first_shared(a: str, b: str):
-    """The first place where two collections are equal."""
-    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
+def agreeing(pairs: DataFrame, slim: DataFrame, share: int, need: int) -> DataFrame:
+    """Pairs (a, b) of similar sizes with at least ``need`` equal minhashes, and their number."""
 
+    @F.pandas_udf("int")
+    def equal(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="int32")
+        p, q = (np.frombuffer(b"".join(s), "<u4").reshape(len(s), -1) for s in (x, y))
+        return pd.Series((p == q).sum(1).astype("int32"))
 
-def similar_sizes(a: str, b: str, share: int):
-    """Sizes that allow share / 100 at all."""
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * share)
+    left, right = (slim.select(F.col("c").alias(r), F.col("n").alias(f"n{r}"), F.col("sig").alias(f"s{r}")) for r in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").where(similar_sizes("na", "nb", share))
+    return both.withColumn("agree", equal("sa", "sb")).where(F.col("agree") >= need).select("a", "b", "agree")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, share: int, salt: int = 400) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough.
 
-    ``a`` is the side with many partners; its text goes to each of its groups of partners, of
-    about ``salt`` each, so that no group grows with the number of copies.
+    ``a`` is the side with many partners: rows come sorted by it, and its set is made once a run.
     """
-    cells = classes.select("rep", "cells", "n")
 
-    @F.pandas_udf("boolean")
-    def possible(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=bool)
-        p, q = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, CELLS).astype(np.int64) for s in (x, y))
-        # A cell at 255 has stopped counting and bounds nothing.
-        both = np.where((p == 255).any(1) | (q == 255).any(1), np.minimum(n, m), np.minimum(p, q).sum(1))
-        return pd.Series(100 * both >= share * (n.to_numpy() + m.to_numpy() - both))
-
-    left, right = (cells.withColumnsRenamed({"rep": r, "cells": f"c{r}", "n": f"n{r}"}) for r in ("a", "b"))
-    some = pairs.join(left, "a").join(right, "b").where(possible("ca", "cb", "na", "nb")).select("a", "b")
-    some = materialize(some, "pairs")
-    many = some.groupBy("a").agg(F.ceil(F.count("*") / salt).alias("groups"))
-    dealt = some.join(many, "a").withColumn("g", F.pmod(F.xxhash64("b"), "groups"))
-    ends = dealt.select("a", "g", F.col("b").alias("doc")).union(dealt.select("a", "g", F.col("a").alias("doc")).distinct())
-    texts = ends.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
-
-    def compare(key, groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, cut, held, mine = key[0], Shingler(k), [], None
-        for g in groups:
-            held.append(g)
-            mine = next((cut(t) for d, t in zip(g.doc, g.text) if d == a), mine)
-        out = []
-        for g in held:
-            for d, t in zip(g.doc, g.text):
-                if d != a:
-                    s = cut(t)
-                    both = len(np.intersect1d(mine, s, assume_unique=True))
-                    if 100 * both >= share * (len(mine) + len(s) - both):
-                        out.append((a, d))
-        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    def compare_all(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(compare(key, iter([pdf])))
-
-    return texts.groupBy("a", "g").applyInPandas(compare_all, "a long, b long")
-
-
-def linked(docs: DataFrame, k: int, share: int, half: int, rows: int):
-    """-> (signatures with rep, components of the classes)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, last, mine = Shingler(k), None, None
+        for g in batches:
+            out = []
+            for a, b, ta, tb in zip(g.a, g.b, g.ta, g.tb):
+                if a != last:
+                    last, mine = a, cut(ta)
+                s = cut(tb)
+                both = len(np.intersect1d(mine, s, assume_unique=True))
+                if 100 * both >= share * (len(mine) + len(s) - both):
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return with_texts(pairs, texts).mapInPandas(run, "a long, b long")
+
+
+def beside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, core, outside): how many shingles of b the centre a has, and b's others (as 32-bit hashes).
+
+    Two shingles with one hash only make two classes seem to share more.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, last, mine = Shingler(k), None, None
+        for g in batches:
+            out = []
+            for a, b, ta, tb in zip(g.a, g.b, g.ta, g.tb):
+                if a != last:
+                    last, mine = a, cut(ta)
+                s = cut(tb)
+                rest = np.setdiff1d(s, mine, assume_unique=True)
+                out.append((a, b, len(s) - len(rest), (rest >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pd.DataFrame(out, columns=["a", "b", "core", "outside"])
+
+    return with_texts(pairs, texts).mapInPandas(run, "a long, b long, core long, outside array<int>")
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, ta, tb), sorted by a inside a task."""
+    met = pairs.select("a", "b").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
+    return met.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").sortWithinPartitions("a")
+
+
+#: Keys of up to this many classes are settled by comparing all of these.
+FEW = 16
+
+
+def several(rows: DataFrame) -> DataFrame:
+    """Rows (key, c, n, part, room) of the keys that still hold several components, and of these
+    the classes that some class of the key is small enough for."""
+    ends = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("key", "least")
+    return rows.join(ends, "key").where(F.col("room") >= F.col("least")).drop("least")
+
+
+def meeting(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of rows that meet in ``on``, of different components: columns a_.. and b_.., a_c < b_c."""
+    cols = [c for c in rows.columns if c not in on]
+    left, right = (rows.select(*on, *(F.col(c).alias(f"{x}_{c}") for c in cols)) for x in "ab")
+    return left.join(right, on).where((F.col("a_c") < F.col("b_c")) & (F.col("a_part") != F.col("b_part")))
+
+
+def named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a_c").alias("a"), F.col("b_c").alias("b")).distinct()
+
+
+def outside_pairs(seen: DataFrame, part: DataFrame, share: int) -> DataFrame:
+    """(a, b): pairs that meet by shingles outside a common centre and can be linked by what they share.
+
+    They have to share ``share / (100 + share)`` of their sizes' sum, at most the smaller core
+    of it in the centre.  Of two classes one is not linked with the centre: it searches.  It
+    needs as many outside shingles in common as its core lacks; all but one of these may be
+    left out of the search, and those that most classes of the centre have are.
+    """
+    own = seen.join(part.withColumnRenamed("c", "b"), "b").join(part.select(F.col("c").alias("a"), F.col("part").alias("pa")), "a")
+    own = own.withColumn("out", F.size("outside"))
+    row = lambda x: [F.col("b").alias(f"{x}_c"), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "part", "core", "out"))]
+    target = own.select("a", *row("b"), F.explode("outside").alias("s"))
+    common = target.groupBy("a", "s").agg(F.count("*").alias("times")).where("times > 1")
+    search = own.where("part <> pa").select("a", *row("a"), F.explode("outside").alias("s")).join(common, ["a", "s"])
+    search = search.withColumn("nth", F.row_number().over(Window.partitionBy("a", "a_c").orderBy(F.desc("times"), "s"))).drop("times")
+    need, core = (F.col("a_n") + F.col("b_n")) * share, F.least("a_core", "b_core")
+    lost = F.greatest(F.lit(0), F.ceil(need / (100 + share)) - F.col("a_core") - 1)
+    met = search.join(target, ["a", "s"]).where((F.col("a_part") != F.col("b_part")) & (F.col("nth") > lost) & ((core + F.least("a_out", "b_out")) * (100 + share) >= need))
+    both = met.groupBy("a", "a_c", "b_c", "a_n", "b_n", "a_core", "b_core").agg(F.count("*").alias("both"))
+    both = both.where((core + F.col("both") + lost) * (100 + share) >= need)
+    return both.select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, k: int, share: int, half: int, rows: int, spans: int, need: int):
+    """-> (rows of the documents, classes with their component's number, scratch tables)."""
     some = docs.where("doc_id is not null").select("doc_id", "text")
     sigs = materialize(signatures(some, k, half, rows), "signatures")
-    reps = sigs.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(sigs.join(reps.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").where("n > 0").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "classes")
-    keys = table_keys(classes.select("rep", "n", "sig"), half, rows)
+    groups = sigs.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "h")).alias("low"), F.first("sig").alias("sig"))
+    classes = materialize(groups.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", "n", "low.doc_id", "low.h", "sig"), "classes")
+    slim = classes.select("c", "n", "sig")
+    keys = table_keys(classes, half, rows, spans)
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialize(keys.join(sizes, "key"), "shared")
-    middle = shared.groupBy("rep").agg(F.sum("size").alias("met"))
-    met = shared.join(middle, "rep")
-    best = met.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("m"), "n")).alias("a")).select("key", (-F.col("a.m")).alias("a"), F.col("a.n").alias("na"))
-    star = met.join(best, "key").where(F.col("rep") != F.col("a")).where(similar_sizes("n", "na", share)).select("a", F.col("rep").alias("b")).distinct()
-    star = materialize(star, "star")
+    shared = keys.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("met"), F.collect_list(F.struct("key", "size")).alias("keys"))
+    shared = materialize(shared, "shared")
+    # Texts of the classes that share a key with another; all later rounds read these alone.
+    wanted = shared.select("c").join(classes.select("c", "doc_id", "h"), "c")
+    texts = materialize(some.withColumn("h", text_key()).dropDuplicates(["doc_id", "h"]).join(wanted, ["doc_id", "h"]).select("c", "text"), "texts")
+
+    of_key = shared.select("c", "met", F.explode("keys").alias("k")).select("c", "met", "k.key")
+    centre = of_key.groupBy("key").agg(F.max(F.struct("met", (-F.col("c")).alias("m"))).alias("a")).select("key", (-F.col("a.m")).alias("a"))
+    star = materialize(agreeing(of_key.join(centre, "key").where(F.col("c") != F.col("a")).select("a", F.col("c").alias("b")).distinct(), slim, share, need), "star")
+    links = materialize(confirm(star, texts, k, share), "links")
+    part = materialize(parts(links, slim), "parts")
+
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialize(confirm(star, classes, some, k, share), "links")
-    left, right = collections_of(half, rows)
-    hashes = classes.select("rep", left.alias("us"), right.alias("vs"))
-    while True:
-        part = materialize(components(links), "components")
-        now = shared.select("key", "rep", "n", "i", "j").join(part.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        # Keys whose classes are in several components: pairs across them, not yet tried.
-        open_ = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        rest = materialize(now.join(open_, "key").join(hashes, "rep").select("key", "rep", "n", "c", "i", "j", "us", "vs"), "open")
-        other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("us").alias("ub"), F.col("vs").alias("vb"))
-        once = (first_shared("us", "ub") == F.col("i")) & (first_shared("vs", "vb") == F.col("j"))
-        cross = rest.withColumnsRenamed({"rep": "a", "n": "na", "c": "ca"}).join(other, "key").where((F.col("ca") < F.col("cb")) & similar_sizes("na", "nb", share) & once)
-        cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "cross")
-        if cross.isEmpty():
-            return sigs, classes, part
-        more = materialize(confirm(cross, classes, some, k, share), "more")
-        tried, links = materialize(tried.union(cross), "tried"), materialize(links.union(more), "links")
-        if more.isEmpty():
-            return sigs, classes, part
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80, half: int = 10, rows: int = 2) -> DataFrame:
+    now = shared.select("c", "keys").join(part, "c").select("c", "n", "part", F.explode("keys").alias("k")).select("c", "n", "part", "k.key", "k.size")
+    ends = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("size").alias("size")).where("lo <> hi")
+    # A key of two classes was settled when these were compared, or were too unlike to be.
+    left = materialize(now.drop("size").join(ends.where("size > 2").select("key", "size"), "key"), "left")
+    few = named(meeting(left.where(F.col("size") <= FEW).drop("size"), ["key"]).where(similar_sizes("a_n", "b_n", share)))
+    many = left.where(F.col("size") > FEW).drop("size").join(centre.withColumnRenamed("a", "centre"), "key")
+    seen = materialize(beside(many.where("c <> centre").select(F.col("centre").alias("a"), F.col("c").alias("b")).distinct(), texts, k), "seen")
+    split = many.join(seen.select(F.col("a").alias("centre"), F.col("b").alias("c"), "core"), ["centre", "c"], "left").withColumn("core", F.coalesce("core", "n"))
+    # The largest size that the other class can have, for 100 * both >= share * union.
+    room = F.floor(F.col("core") * (100 + share) / share) - F.col("n")
+    open_ = materialize(several(split.select("key", "c", "n", "part", room.cast("long").alias("room"))), "open")
+    alike = named(meeting(open_, ["key"]).where((F.col("b_n") <= F.col("a_room")) & (F.col("a_n") <= F.col("b_room"))))
+    sharing = outside_pairs(seen, part, share)
+    cross = few.union(alike).union(sharing).distinct().join(tried, ["a", "b"], "left_anti")
+    cross = materialize(agreeing(cross, slim, share, need), "cross")
+    more = materialize(confirm(cross, texts, k, share), "more")
+    done = part if more.isEmpty() else materialize(parts(links.union(more), slim), "parts")
+    forget(shared, texts, star, left, seen, open_, cross)
+    return sigs, classes, done
+
+
+def parts(links: DataFrame, slim: DataFrame) -> DataFrame:
+    """(c, n, part) of every class."""
+    of = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("c"), F.col("component").alias("part"))
+    return slim.select("c", "n").join(of, "c", "left").select("c", "n", F.coalesce("part", "c").alias("part"))
+
+
+def judged(docs: DataFrame, k: int = 5, share: int = 80, half: int = 12, rows: int = 2, spans: int = 3, need: int = 26) -> DataFrame:
+    """(doc_id, h, n_shingles, component_id, kept) for every document with a doc_id; h is its ``text_key``."""
+    sigs, classes, part = linked(docs, k, share, half, rows, spans, need)
+    of = classes.select("c", "s1", "s2", F.col("n").alias("n_"), "doc_id").join(part.select("c", "part"), "c")
+    least = of.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    of = of.join(least, "part").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "n_", "component_id")
+    one = sigs.join(of, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") == F.col("n_")), "left")
+    out = one.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
-    sigs, classes, part = linked(docs, k, share, half, rows)
-    by = classes.select("s1", "s2", F.col("n").alias("n_"), "rep").join(part.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n_", F.coalesce("component", "rep").alias("c"))
-    one = sigs.join(by.withColumnsRenamed({"s1": "t1", "s2": "t2"}), (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") == F.col("n_")), "left")
-    out = one.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
-    empty = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    empty = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return judged(docs, **how).drop("h").union(empty)
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group; same columns."""
-    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+    """One document of each group; same columns.  Documents without a doc_id stay."""
+    name, d, h = fresh(docs, "key", "doc", "of")
+    kept = judged(docs.select("doc_id", "text"), **how).where("kept").select(F.col("doc_id").alias(d), F.col("h").alias(h))
+    met = docs.where("doc_id is not null").withColumn(name, text_key())
+    return met.join(kept, (F.col("doc_id") == F.col(d)) & (F.col(name) == F.col(h)), "left_semi").drop(name).union(docs.where("doc_id is null"))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
-from cohortlake.llm import components, neardup
+import pytest
+
+from cohortlake.llm import neardup
 
 from .cases import documents, rows_of, saved
 
@@ -62,7 +64,42 @@ def test_corpus(spark, sf):
     assert {d: tuple(r[1:]) for d, r in got.items()} == brute(docs, 2)
 
 
-def test_components(spark):
-    path = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 200)]
-    got = {r.id: r.component for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
+def test_repeated_ids_link_by_their_own_texts(spark):
+    """(1, a), (1, b), (2, a), (3, b): each text's group is found, whichever row of document 1 it is."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (7, "x y"), (7, "z w"), (9, "z w"), (None, a)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in neardup.near_duplicates(docs, k=2).select("doc_id", "component_id", "kept").collect() if r.doc_id is not None)
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (7, 7, True), (7, 7, True), (9, 7, False)]
+    assert sorted((r.doc_id or 0, r.text) for r in neardup.drop_near_duplicates(docs, k=2).collect()) == sorted([(0, a), (1, a), (1, b), (7, "x y"), (7, "z w")])
+
+
+@pytest.mark.parametrize("vocabulary, most", [(10**4, 5000), (12, 12000)])
+def test_near_copies_below_the_share_form_few_pairs(spark, monkeypatch, vocabulary, most):
+    """500 copies of one text, most of them under 0.8 from it and from each other, and some that link."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for i in range(500):
+        t = list(base)
+        for at in rng.sample(range(150), rng.choice([3, 6, 12, 14, 18, 24, 30])):
+            t[at] = f"x{rng.randrange(vocabulary)}"
+        texts.append(" ".join(t))
+    pairs = []
+    look = neardup.confirm
+    monkeypatch.setattr(neardup, "confirm", lambda p, *a: pairs.append(p.count()) or look(p, *a))
+    got = {r.doc_id: tuple(r[1:]) for r in neardup.near_duplicates(documents(spark, texts), k=2).collect()}
+    assert got == brute(dict(enumerate(texts)), 2)
+    assert sum(pairs) < most, pairs  # of 125,000
+
+
+def test_beside(spark):
+    texts = spark.createDataFrame([(1, "a b c d"), (2, "a b c x"), (3, "q q q q"), (4, "")], "c long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 1)], "a long, b long")
+    assert sorted((r.a, r.b, r.core, len(r.outside)) for r in neardup.beside(pairs, texts, 2).collect()) == [(1, 2, 2, 1), (1, 3, 0, 1), (1, 4, 0, 0), (2, 1, 2, 1)]
+
+
+def test_clashing_names(spark):
+    texts = ["one two three four five six", "one two three four five six", None, "other words here now again"]
+    docs = documents(spark, texts).selectExpr("*", "1 AS h", "2 AS key", "3 AS doc", "4 AS of", "5 AS n", "'p' AS part")
+    kept = neardup.drop_near_duplicates(docs)
+    assert kept.dtypes == docs.dtypes and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
