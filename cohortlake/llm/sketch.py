@@ -3,9 +3,9 @@
 Each partition sends, for each of ``depth`` rows, the distinct buckets that it has hit, with
 how often it hit each; partitions' sketches are merged bucket by bucket.  A bucket
 whose merged count reaches two is kept as one bit.  Counts are never too low, so a hash whose
-buckets aren't all set occurs once.  The width is a parameter: the merged bits that executors
-get take ``depth * 2**width / 8`` bytes, whatever the corpus; where it is far too narrow the
-filter passes more, and nothing is lost.
+buckets aren't all set occurs once.  The width follows the input (``fitting``) up to a bound:
+the merged bits that executors get take ``depth * 2**width / 8`` bytes.  Where the bound is far
+too narrow for a corpus the filter passes more, and nothing is lost.
 """
 
 import zlib
@@ -26,6 +26,12 @@ def buckets(h: np.ndarray, row: int, width: int) -> np.ndarray:
     return (h >> np.uint64(64 - width)).astype(np.int64)
 
 
+def fitting(docs: DataFrame, per_byte: float, most: int, room: float = 1.0) -> int:
+    """Bits of the bucket number for all hashes of the texts, ``per_byte`` for each of their bytes, but ``most``."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(min(most, max(CHUNK, np.ceil(np.log2(max(2.0, room * per_byte * float(size)))))))
+
+
 class Partial:
     """This task's sketch: sorted distinct buckets, and which of them more than once."""
 

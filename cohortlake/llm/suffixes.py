@@ -17,12 +17,14 @@ of the windows that chose it, and the bytes left of it that these windows reach.
    is the suffix array of that range: windows are equal where right parts share a prefix and
    left parts, sorted the same way, share one.  All but the earliest are reported.
 
-Classes that occur ``hot`` times or more in the corpus are taken apart into single windows, each a suffix of its own, which spread over the ranges and collapse in each
-task: an exact way for passages in very many contexts.
+Classes that occur ``hot`` times or more in the corpus are taken apart into single windows,
+each a suffix of its own, which spread over the ranges and collapse in each task: a salt for
+passages in very many contexts, with the same result.
 
 Nulls and empties: a null text is empty; a null doc_id matches nothing; documents shorter
 than ``length`` lose nothing.  Rows that repeat a doc_id count as one document: doc_id alone
 orders them, equal starts in them are the same place, and they lose the same bytes.
+Input columns named like the added ones give way to them.
 """
 
 import zlib
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import Hasher, partitions, planes, table, unplanes
+from .common import Hasher, fresh, partitions, planes, table, unplanes, without
 
 POS = 21  # bits of a position inside a piece
 PIECE = 1 << 20  # bytes of text that are looked at together
@@ -437,9 +439,15 @@ def union_of(spans, n: int) -> list[tuple[int, int]]:
     return list(zip(s[head, 0].tolist(), reach[tail].tolist()))
 
 
-def dedup(docs: DataFrame, length: int = 100, width: int = 29, depth: int = 2, hot: int = 50_000, limit: int = 150_000) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans and ``kept``, the bytes that stay."""
-    spans = repeated_spans(docs, length, width, depth, 4 * partitions(docs.sparkSession), limit, hot).withColumnRenamed("doc_id", "_doc")
+def dedup(docs: DataFrame, length: int = 100, width: int | None = None, depth: int = 2, hot: int = 50_000, limit: int = 150_000) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans and ``kept``, the bytes that stay.
+
+    The sketch's width follows the bytes of the texts unless it is given: about one class of
+    windows to two bytes.
+    """
+    width = sketch.fitting(docs, 0.6, 29) if width is None else width
+    doc, spans, done = fresh(docs, "doc", "spans", "done")
+    found = repeated_spans(docs.select("doc_id", "text"), length, width, depth, 4 * partitions(docs.sparkSession), limit, hot).withColumnsRenamed({"doc_id": doc, "spans": spans})
 
     @F.pandas_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>")
     def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -456,8 +464,9 @@ def dedup(docs: DataFrame, length: int = 100, width: int = 29, depth: int = 2, h
                 rows.append((len(raw), sum(b - a for a, b in gone), len(gone), b"".join(kept)))
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left")
-    return out.withColumn("_cut", cut(docs["text"], spans["spans"])).select(*(docs[c] for c in docs.columns), "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", "_cut.kept")
+    out = docs.join(found, F.col("doc_id") == F.col(doc), "left").withColumn(done, cut("text", spans)).drop(doc, spans)
+    new = ("n_bytes", "n_removed", "n_spans", "kept")
+    return without(out, *new).withColumns({c: F.col(f"{done}.{c}") for c in new}).drop(done)
 
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

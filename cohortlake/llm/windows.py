@@ -7,6 +7,7 @@ document's window covers are removed.
 
 Nulls and empties: a null text has no words; a null doc_id matches nothing and keeps all its
 words; rows that repeat a doc_id count as one document and lose the same word positions.
+Input columns named like the added ones give way to them.
 """
 
 import zlib
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import Hasher, partitions, planes, table, unplanes, word_spans
+from .common import Hasher, fresh, partitions, planes, table, unplanes, without, word_spans
 
 
 def window_hashes(hasher: Hasher, raw: bytes, n: int) -> np.ndarray:
@@ -78,22 +79,14 @@ def unpack_open(packed: bytes):
     return np.cumsum(h, dtype=np.uint64), g, d, p
 
 
-def known_rows(d: np.ndarray, p: np.ndarray, ranges: int) -> list[tuple]:
-    """Settled positions, one packed row a range of doc_ids."""
+def known_rows(d: np.ndarray, p: np.ndarray) -> list[tuple[int, bytes]]:
+    """Settled positions, one row a document: as many rows as there are positions at most."""
     if not len(d):
         return []
-    to = d % ranges
-    order = np.lexsort((p, d, to))
-    d, p, to = d[order], p[order], to[order]
-    cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-    pack = lambda a, z: zlib.compress(planes(d[a:z].astype("<i8")) + planes(p[a:z].astype("<i4")), 1)
-    return [(-1 - int(to[a]), pack(a, z)) for a, z in zip(cut, np.r_[cut[1:], len(d)])]
-
-
-def known_of(packed: bytes):
-    raw = zlib.decompress(packed)
-    n = len(raw) // 12
-    return unplanes(raw[: 8 * n], "<i8"), unplanes(raw[8 * n :], "<i4")
+    order = np.lexsort((p, d))
+    d, p = d[order], p[order].astype("<i4")
+    cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+    return [(int(d[a]), p[a:z].tobytes()) for a, z in zip(cut, np.r_[cut[1:], len(d)])]
 
 
 def estimated(docs: DataFrame, n: int, passed, width: int, depth: int, ranges: int, unit: int = 500_000) -> DataFrame:
@@ -123,34 +116,30 @@ def estimated(docs: DataFrame, n: int, passed, width: int, depth: int, ranges: i
         (h, g, d, p), known = settle(*(np.concatenate(x) for x in zip(*parts)))
         part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        rows = [(int(part[a]), pack_open(h[a:z], g[a:z], d[a:z], p[a:z])) for a, z in zip(cut, np.r_[cut[1:], len(part)])]
-        return pd.DataFrame(rows + known_rows(*known, ranges), columns=["part", "packed"])
+        rows = [(int(part[a]), None, pack_open(h[a:z], g[a:z], d[a:z], p[a:z])) for a, z in zip(cut, np.r_[cut[1:], len(part)])]
+        # Settled rows go through the same shuffle, dealt out by their document.
+        rows += [(-1 - d % ranges, d, at) for d, at in known_rows(*known)]
+        return pd.DataFrame(rows, columns=["part", "doc_id", "packed"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "part int, packed binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "part int, doc_id long, packed binary")
 
 
 def repeated_positions(docs: DataFrame, n: int, width: int, depth: int) -> DataFrame:
-    """(doc_id, known): packed starts of windows that also start in a document with a smaller doc_id."""
-    some, ranges = docs.where("doc_id is not null"), 4 * partitions(docs.sparkSession)
+    """(doc_id, known): starts of windows that also start in a document with a smaller doc_id."""
+    some, ranges = docs.where("doc_id is not null"), 2 * partitions(docs.sparkSession)
     passed = sketch.merged(partials(some, n, width, depth), width, depth)
     rows = estimated(some, n, passed, width, depth, ranges)
 
     def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """All windows of a range of hashes, grouped exactly; settled positions pass."""
+        """All windows of a range of hashes, grouped exactly; settled positions pass.  A row a position."""
         if key[0] < 0:
-            return pdf
-        _, known = settle(*(np.concatenate(x) for x in zip(*map(unpack_open, pdf.packed))))
-        return pd.DataFrame(known_rows(*known, ranges), columns=["part", "packed"])
-
-    def by_doc(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        d, p = (np.concatenate(x) for x in zip(*map(known_of, pdf.packed)))
+            at = [np.frombuffer(x, "<i4") for x in pdf.packed]
+            return pd.DataFrame({"doc_id": np.repeat(pdf.doc_id.to_numpy(np.int64), [len(x) for x in at]), "start": np.concatenate(at)})
+        _, (d, p) = settle(*(np.concatenate(x) for x in zip(*map(unpack_open, pdf.packed))))
         order = np.lexsort((p, d))
-        d, p = d[order], p[order]
-        cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        return pd.DataFrame([(int(d[a]), p[a:z].astype("<i4").tobytes()) for a, z in zip(cut, np.r_[cut[1:], len(d)])], columns=["doc_id", "known"])
+        return pd.DataFrame({"doc_id": d[order], "start": p[order]})
 
-    found = rows.groupBy("part").applyInPandas(group, "part int, packed binary")
-    return found.groupBy("part").applyInPandas(by_doc, "doc_id long, known binary")
+    return rows.groupBy("part").applyInPandas(group, "doc_id long, start int").groupBy("doc_id").agg(F.collect_list("start").alias("known"))
 
 
 def removed(at, n: int, words: int) -> np.ndarray:
@@ -161,9 +150,16 @@ def removed(at, n: int, words: int) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
-def dedup(docs: DataFrame, n: int = 13, width: int = 28, depth: int = 2) -> DataFrame:
-    """``docs`` with n_words, n_removed and ``kept``, the words that stay, joined by a space."""
-    at = repeated_positions(docs.select("doc_id", "text"), n, width, depth).withColumnRenamed("doc_id", "_doc")
+def dedup(docs: DataFrame, n: int = 13, width: int | None = None, depth: int = 2) -> DataFrame:
+    """``docs`` with n_words, n_removed and ``kept``, the words that stay, joined by a space.
+
+    The sketch's width follows the bytes of the texts unless it is given: about one window to
+    seven bytes, and two buckets for each.
+    """
+    width = sketch.fitting(docs, 0.3, 28) if width is None else width
+    at = repeated_positions(docs.select("doc_id", "text"), n, width, depth)
+    doc, known, done = fresh(docs, "doc", "known", "done")
+    at = at.withColumnsRenamed({"doc_id": doc, "known": known})
 
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept:string>")
     def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -171,13 +167,14 @@ def dedup(docs: DataFrame, n: int = 13, width: int = 28, depth: int = 2) -> Data
             rows = []
             for t, k in zip(texts, known):
                 ws = (t or "").encode().split()
-                starts = np.frombuffer(k, "<i4").astype(np.int64) if k is not None else np.zeros(0, np.int64)
+                starts = np.asarray(k, np.int64) if k is not None else np.zeros(0, np.int64)
                 gone = removed(starts, n, len(ws))
                 rows.append((len(ws), int(gone.sum()), b" ".join(w for w, g in zip(ws, gone.tolist()) if not g).decode()))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
-    out = docs.join(at, F.col("doc_id") == F.col("_doc"), "left")
-    return out.withColumn("_cut", cut(docs["text"], at["known"])).select(*(docs[c] for c in docs.columns), "_cut.n_words", "_cut.n_removed", "_cut.kept")
+    out = docs.join(at, F.col("doc_id") == F.col(doc), "left").withColumn(done, cut("text", known)).drop(doc, known)
+    new = ("n_words", "n_removed", "kept")
+    return without(out, *new).withColumns({c: F.col(f"{done}.{c}") for c in new}).drop(done)
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

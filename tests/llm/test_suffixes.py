@@ -79,3 +79,10 @@ def test_merge_is_a_sorted_merge():
     out, lcp, _, _ = suffixes.merge_runs(runs, 12)
     assert out == sorted(r.tobytes() for r in rows)
     assert lcp == suffixes.common(np.frombuffer(b"".join(out), np.uint8).reshape(-1, 12)).tolist()
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "abcdefghij" * 15, 1, 2, "x", 3), (2, "0123456789" * 15, 1, 2, "y", 3)], "doc_id long, text string, doc long, spans long, kept string, done long")
+    got = suffixes.dedup(docs)
+    assert got.columns == ["doc_id", "text", "doc", "spans", "done", "n_bytes", "n_removed", "n_spans", "kept"]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got.collect()) == [(1, 150, 140, b"abcdefghij"), (2, 150, 140, b"0123456789")]

@@ -64,3 +64,17 @@ def test_sketch_never_undercounts(spark):
     df = spark.createDataFrame(pd.DataFrame({"h": h.view(np.int64)})).repartition(3).mapInPandas(run, sketch.SCHEMA)
     keep = sketch.Filter(sketch.merged(df, 16, 2).value, 16, 2)(h)
     assert keep[:100].all() and keep[3000:].all() and keep.mean() < 0.2
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text, 1, 2, "x", 3), (2, text, 1, 2, "y", 3), (2, "short " + text, 1, 2, "z", 3)], "doc_id long, text string, doc long, known long, kept string, done long")
+    got = windows.dedup(docs)
+    assert got.columns == ["doc_id", "text", "doc", "known", "done", "n_words", "n_removed", "kept"]
+    # Both texts of document 2 lose the positions that either of them repeats.
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == [(1, 20, 0), (2, 20, 20), (2, 21, 21)]
+
+
+def test_width_follows_the_input(spark):
+    docs = documents(spark, ["abcd" * 1000, None])
+    assert sketch.fitting(docs, 0.3, 28) == 20 and sketch.fitting(docs, 3000, 28) == 24 and sketch.fitting(docs, 1e9, 28) == 28 and sketch.fitting(docs.limit(0), 1, 28) == 20
