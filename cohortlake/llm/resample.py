@@ -58,7 +58,7 @@ def gains(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int = 1
     every = Window.partitionBy(F.lit(0))
     s, t, S, T = F.col("s").cast("double"), F.col("t").cast("double"), F.sum("s").over(every), F.sum("t").over(every)
     ratio = (t + 1) * (S + buckets) / ((s + 1) * (T + buckets))
-    return [r.gain for r in both.select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain")).orderBy("bucket").collect()]
+    return [gain for _, gain in sorted(map(tuple, both.select("bucket", F.floor(1000 * F.log(ratio)).cast("long")).collect()))]
 
 
 def scored(docs: DataFrame, gain: list[int], seed: int = 2024, longest: int = 1) -> DataFrame:
