@@ -33,6 +33,13 @@ def box_coords(min_x, min_y, max_x, max_y) -> Column:
     return F.array(at(a, b), at(c, b), at(c, d), at(a, d))
 
 
+def with_box(df: DataFrame, min_x, min_y, max_x, max_y) -> DataFrame:
+    """Adds the ring of a box, with bounds, centre and area straight from its sides."""
+    a, b, c, d = (col(x).cast("double") for x in (min_x, min_y, max_x, max_y))
+    df = df.withColumns({"coords": box_coords(a, b, c, d), "min_x": a, "max_x": c, "min_y": b, "max_y": d})
+    return df.withColumns({"cx": (F.col("min_x") + F.col("max_x")) / 2, "cy": (F.col("min_y") + F.col("max_y")) / 2, "area": (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))})
+
+
 def from_table(df: DataFrame, key: str, x: str, y: str, props: list[str]) -> DataFrame:
     """Points with the named columns as properties."""
     point = F.array(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
@@ -166,30 +173,88 @@ def query(df: DataFrame, region, predicate: str = "bbox_intersects", distance: f
 
 
 def neighbours(left: DataFrame, right: DataFrame, distance: float, mode: str = "centre") -> DataFrame:
-    """Pairs (key, n_key) within a distance, by grid cells of that size: an equi-join, no cross join.
+    """Pairs (key, n_key) within a distance, by grid cells: an equi-join, no cross join.
+
+    ``centre``: of centres, closed ball; cells of that size.  ``box``: bounds grown by the distance
+    overlap; see ``box_pairs``.
+    """
+    d = float(distance)
+    if mode == "box":
+        return box_pairs(left, right, d).select("key", "n_key")
+    l = left.select("key", "cx", "cy")  # noqa: E741
+    r = right.select(F.col("key").alias("n_key"), *(F.col(c).alias(f"n_{c}") for c in ("cx", "cy")))
+    l = l.withColumn("gx", cell("cx", d)).withColumn("gy", cell("cy", d))  # noqa: E741
+    around = lambda c: F.sequence(cell(c, d) - 1, cell(c, d) + 1)
+    r = r.withColumn("gx", F.explode(around("n_cx"))).withColumn("gy", F.explode(around("n_cy")))
+    return l.join(r, ["gx", "gy"]).where((F.col("cx") - F.col("n_cx")) ** 2 + (F.col("cy") - F.col("n_cy")) ** 2 <= d * d).select("key", "n_key")
+
+
+BOUNDS = ("min_x", "min_y", "max_x", "max_y")
+
+
+def filed(df: DataFrame, levels: list[int], keep: bool) -> DataFrame:
+    """Boxes in the cells of their own level (``home``) and, as visitors, of every coarser one of ``levels``.
+
+    A level's cells are 4 ** level wide, at least as wide as the boxes at home there, so that a box
+    lies in four cells of a level at most.
+    """
+    listed = F.lit(levels).cast("array<int>")
+    up = df.withColumn("_level", F.explode(F.filter(listed, lambda x: x >= F.col("_home"))))
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(4.0), F.col("_level").cast("double"))).cast("long")
+    up = up.withColumn("_gx", F.explode(F.sequence(at("min_x"), at("max_x")))).withColumn("_gy", F.explode(F.sequence(at("min_y"), at("max_y"))))
+    return up if keep else up.drop("_home")
+
+
+def box_pairs(left: DataFrame, right: DataFrame, distance: float = 0.0, carry: tuple[str, ...] = (), n_carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of boxes that overlap, edges included, once the right ones are grown by ``distance``:
+    (key, n_key, both bounds, the carried columns; of the right side all with n_).  Null bounds meet nothing.
 
-    ``centre``: of centres, closed ball.  ``box``: bounds grown by the distance overlap.
+    Every box is filed at the level of its own extent, the grown right ones too, and a pair meets at
+    the coarser of both levels, where one of the two is at home.  It is kept in one of the cells that
+    both share: that of the lower corner of what they have in common.  So nothing is found twice, and
+    no box, however large among small ones, is cut into more than four cells a level.
     """
     d = float(distance)
-    l = left.select("key", "cx", "cy", "min_x", "min_y", "max_x", "max_y")  # noqa: E741
-    r = right.select(F.col("key").alias("n_key"), *(F.col(c).alias(f"n_{c}") for c in ("cx", "cy", "min_x", "min_y", "max_x", "max_y")))
-    if mode == "centre":
-        l = l.withColumn("gx", cell("cx", d)).withColumn("gy", cell("cy", d))  # noqa: E741
-        around = lambda c: F.sequence(cell(c, d) - 1, cell(c, d) + 1)
-        r = r.withColumn("gx", F.explode(around("n_cx"))).withColumn("gy", F.explode(around("n_cy")))
-        return l.join(r, ["gx", "gy"]).where((F.col("cx") - F.col("n_cx")) ** 2 + (F.col("cy") - F.col("n_cy")) ** 2 <= d * d).select("key", "n_key")
-    size = max(d, 1.0)
-    l = l.withColumn("gx", F.explode(F.sequence(cell("min_x", size), cell("max_x", size)))).withColumn("gy", F.explode(F.sequence(cell("min_y", size), cell("max_y", size))))  # noqa: E741
-    r = r.withColumn("gx", F.explode(F.sequence(cell(F.col("n_min_x") - d, size), cell(F.col("n_max_x") + d, size)))).withColumn("gy", F.explode(F.sequence(cell(F.col("n_min_y") - d, size), cell(F.col("n_max_y") + d, size))))
-    touch = (F.col("min_x") <= F.col("n_max_x") + d) & (F.col("max_x") >= F.col("n_min_x") - d) & (F.col("min_y") <= F.col("n_max_y") + d) & (F.col("max_y") >= F.col("n_min_y") - d)
-    return l.join(r, ["gx", "gy"]).where(touch).select("key", "n_key").distinct()
+    home = F.ceil(F.log(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(1e-9))) / F.log(F.lit(4.0)) + 1e-9).cast("int")
+    whole = lambda df: df.where(F.col("min_x").isNotNull() & F.col("min_y").isNotNull() & F.col("max_x").isNotNull() & F.col("max_y").isNotNull())
+    l = whole(left.select("key", *BOUNDS, *carry)).withColumn("_home", home)  # noqa: E741
+    grown = {c: F.col(c) + (d if c.startswith("max") else -d) for c in BOUNDS}
+    r = whole(right.select("key", *(grown[c].alias(c) for c in BOUNDS), *n_carry)).withColumn("_home", home)
+    # As many levels as there are powers of four among the extents: a few numbers, whatever the rows.
+    have = [{x["_home"] for x in side.select("_home").distinct().collect()} for side in (l, r)]
+    # A box visits a level only if one of the other side is at home there.
+    l_in, r_in = filed(l, sorted(have[0] | have[1]), True), filed(r, sorted(have[0] | have[1]), True)
+    visits = lambda mine: (F.col("_level") == F.col("_home")) | F.col("_level").isin(sorted(mine))
+    l_in, r_in = l_in.where(visits(have[1])), r_in.where(visits(have[0]))
+    names = {c: f"n_{c}" for c in ("key", *BOUNDS, "_home", *n_carry)}
+    r_in = r_in.withColumnsRenamed(names)
+    low = {c: F.greatest(F.col(f"min_{c}"), F.col(f"n_min_{c}")) for c in "xy"}
+    size = F.pow(F.lit(4.0), F.col("_level").cast("double"))
+    touch = (low["x"] <= F.least("max_x", "n_max_x")) & (low["y"] <= F.least("max_y", "n_max_y"))
+    here = (F.floor(low["x"] / size) == F.col("_gx")) & (F.floor(low["y"] / size) == F.col("_gy"))
+    at_home = F.greatest("_home", "n__home") == F.col("_level")
+    # A merge join: estimates from before the cells were made would broadcast a side of any size.
+    out = l_in.hint("merge").join(r_in, ["_level", "_gx", "_gy"]).where(touch & here & at_home)
+    back = [(F.col(f"n_{c}") - (d if c.startswith("max") else -d)).alias(f"n_{c}") for c in BOUNDS]
+    return out.select("key", "n_key", *BOUNDS, *back, *carry, *(f"n_{c}" for c in n_carry))
+
+
+def box_coverage(tiles: DataFrame, masks: DataFrame) -> DataFrame:
+    """(key, covered): the share of each tile's area that mask boxes cover, which don't overlap each other; 0 for none."""
+    p = box_pairs(tiles, masks)
+    w = F.least("max_x", "n_max_x") - F.greatest("min_x", "n_min_x")
+    h = F.least("max_y", "n_max_y") - F.greatest("min_y", "n_min_y")
+    part = p.groupBy("key").agg(F.sum(w * h).alias("_area"))
+    size = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
+    return tiles.select("key", size.alias("_size")).join(part, "key", "left").select("key", F.coalesce(F.col("_area") / F.nullif("_size", F.lit(0.0)), F.lit(0.0)).alias("covered"))
 
 
 def nquery(df: DataFrame, where: Column, n_where: Column, distance: float, mode: str = "centre", include_self: bool = True) -> DataFrame:
-    """Keys with at least one neighbour, and how many."""
+    """Keys with at least one neighbour, and how many; of boxes, keys that stand on several rows count once."""
     pairs = neighbours(df.where(where), df.where(n_where), distance, mode)
     pairs = pairs if include_self else pairs.where("key <> n_key")
-    return pairs.groupBy("key").agg(F.count("*").alias("neighbours"))
+    count = F.count_distinct("n_key") if mode == "box" else F.count("*")
+    return pairs.groupBy("key").agg(count.alias("neighbours"))
 
 
 def tile_grid(images: DataFrame, size: int, stride: int, within: bool = True) -> DataFrame:

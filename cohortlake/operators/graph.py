@@ -32,6 +32,30 @@ def met_blocks(a: DataFrame, b: DataFrame, na: int, nb: int, run, schema: str) -
     return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(run, schema)
 
 
+def block_best(left: pd.DataFrame, right: pd.DataFrame, k: int, same: bool) -> pd.DataFrame:
+    """The k best (q, r, similarity) of each query (q, v) among references (r, v), as one matrix product."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"q": left.q[:0], "r": right.r[:0], "similarity": np.zeros(0)})
+    ids, others = left.q.to_numpy(), right.r.to_numpy()
+    s = np.round(np.stack(left.v) @ np.stack(right.v).T, 9)
+    if not same:
+        s[ids[:, None] == others[None, :]] = -np.inf
+    at = max(0, s.shape[1] - k)
+    least = np.partition(s, at, axis=1)[:, at]
+    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    order = np.lexsort((others[j], -s[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    i, j = i[place < k], j[place < k]
+    return pd.DataFrame({"q": ids[i], "r": others[j], "similarity": s[i, j]})
+
+
+def placed(best: DataFrame, key: str, k: int) -> DataFrame:
+    """The k best of all blocks: (key, neighbour, similarity, place)."""
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "r"))
+    return best.withColumn("place", place).where(F.col("place") <= k).select(F.col("q").alias(key), F.col("r").alias("neighbour"), "similarity", "place")
+
+
 def knn(query: DataFrame, ref: DataFrame, key: str, vector: str, k: int, same: bool = False, unit: bool = False) -> DataFrame:
     """Exact cosine top k: (key, neighbour, similarity, place); equal similarities by neighbour.
 
@@ -45,25 +69,11 @@ def knn(query: DataFrame, ref: DataFrame, key: str, vector: str, k: int, same: b
     r, nr = numbered(ref.select(F.col(key).alias("r"), v.alias("v")), "r", "_b")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": left.q[:0], "r": right.r[:0], "similarity": np.zeros(0)})
-        ids, others = left.q.to_numpy(), right.r.to_numpy()
-        s = np.round(np.stack(left.v) @ np.stack(right.v).T, 9)
-        if not same:
-            s[ids[:, None] == others[None, :]] = -np.inf
-        at = max(0, s.shape[1] - k)
-        least = np.partition(s, at, axis=1)[:, at]
-        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-        order = np.lexsort((others[j], -s[i, j], i))
-        i, j = i[order], j[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        i, j = i[place < k], j[place < k]
-        return pd.DataFrame({"q": ids[i], "r": others[j], "similarity": s[i, j]})
+        return block_best(left, right, k, same)
 
     kind = query.schema[key].dataType.simpleString()
     best = met_blocks(q, r, nq, nr, run, f"q {kind}, r {kind}, similarity double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "r"))
-    return best.withColumn("place", place).where(F.col("place") <= k).select(F.col("q").alias(key), F.col("r").alias("neighbour"), "similarity", "place")
+    return placed(best, key, k)
 
 
 def knn_distance(nn: DataFrame, key: str) -> DataFrame:

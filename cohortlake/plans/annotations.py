@@ -22,9 +22,9 @@ def points(spark, d):
 def boxes(spark, d):
     """Cells of lineitem: corner (l_partkey, l_suppkey), width l_quantity, height l_linenumber."""
     i = table(spark, d, "lineitem")
-    c = A.box_coords(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_partkey") + F.col("l_quantity"), F.col("l_suppkey") + F.col("l_linenumber"))
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return A.with_bounds(i.select(key.alias("key"), "l_orderkey", "l_returnflag", F.col("l_discount").alias("score"), c.alias("coords")))
+    b = A.with_box(i, "l_partkey", "l_suppkey", F.col("l_partkey") + F.col("l_quantity"), F.col("l_suppkey") + F.col("l_linenumber"))
+    return b.select(key.alias("key"), "l_orderkey", "l_returnflag", F.col("l_discount").alias("score"), "coords", "min_x", "max_x", "min_y", "max_y", "cx", "cy", "area")
 
 
 PTS = "(SELECT event_id AS key, user_id::DOUBLE AS x, value AS y, props, event_type, json_extract_string(props, '$.k')::INT AS k FROM events)"
@@ -201,6 +201,15 @@ def a22b(spark, d):
     return A.nquery(boxes(spark, d), F.col("l_orderkey") % 100 == 0, F.lit(True), 2.0, "box")
 
 
+@query("a22_boxes_of_all_sizes", f"""WITH b AS (SELECT o_orderkey AS key, o_custkey::DOUBLE AS min_x, (o_orderkey % 997)::DOUBLE AS min_y, o_custkey + 4.0 ** (o_orderkey % 7) / 8 AS max_x, o_orderkey % 997 + 4.0 ** (o_orderkey % 6) / 8 AS max_y FROM orders)
+ SELECT a.key, count(*) AS neighbours FROM b AS a JOIN b ON a.min_x <= b.max_x AND a.max_x >= b.min_x AND a.min_y <= b.max_y AND a.max_y >= b.min_y WHERE a.key % 100 = 0 GROUP BY 1""")
+def a22s(spark, d):
+    o, k, four = table(spark, d, "orders"), F.col("o_orderkey"), F.lit(4.0)
+    x, y = F.col("o_custkey").cast("double"), (k % 997).cast("double")
+    b = o.select(k.alias("key"), x.alias("min_x"), y.alias("min_y"), (x + F.pow(four, k % 7) / 8).alias("max_x"), (y + F.pow(four, k % 6) / 8).alias("max_y"))
+    return A.box_pairs(b.where("key % 100 = 0"), b).groupBy("key").agg(F.count("*").alias("neighbours"))
+
+
 @query("a23_tile_counts", f"SELECT floor(min_x / 64)::BIGINT AS tx, floor(min_y / 64)::BIGINT AS ty, l_returnflag, count(*) AS n FROM {BXS} WHERE floor(max_x / 64) = floor(min_x / 64) AND floor(max_y / 64) = floor(min_y / 64) GROUP BY 1, 2, 3")
 def a23(spark, d):
     return A.tile_counts(boxes(spark, d), 64, "l_returnflag")
@@ -224,6 +233,18 @@ def a25(spark, d):
     return A.filter_tiles(tiles, i.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y")), 4, 0.3)
 
 
+@query("a25_box_coverage", """WITH m AS (SELECT DISTINCT l_partkey AS x, l_suppkey AS y FROM lineitem WHERE l_returnflag = 'R'),
+ p AS (SELECT c_custkey AS key, c_custkey * 2.5 - 1 AS x0, (c_nationkey * 4)::DOUBLE AS y0, c_custkey * 2.5 + 9 AS x1, c_nationkey * 4 + 6.5 AS y1 FROM customer)
+ SELECT key, round(sum(CASE WHEN x IS NULL THEN 0 ELSE (least(x1, x + 1) - greatest(x0, x)) * (least(y1, y + 1) - greatest(y0, y)) END) / 65, 6)::DOUBLE AS covered FROM p LEFT JOIN m ON x <= x1 AND x + 1 >= x0 AND y <= y1 AND y + 1 >= y0 GROUP BY 1""")
+def a25b(spark, d):
+    m = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y")).distinct()
+    mask = m.select(F.struct("x", "y").alias("key"), F.col("x").cast("double").alias("min_x"), F.col("y").cast("double").alias("min_y"), (F.col("x") + 1.0).alias("max_x"), (F.col("y") + 1.0).alias("max_y"))
+    c = table(spark, d, "customer")
+    x, y = F.col("c_custkey") * 2.5 - 1, (F.col("c_nationkey") * 4).cast("double")
+    tiles = c.select(F.col("c_custkey").alias("key"), x.alias("min_x"), y.alias("min_y"), (x + 10).alias("max_x"), (y + 6.5).alias("max_y"))
+    return A.box_coverage(tiles, mask).select("key", F.round("covered", 6).alias("covered"))
+
+
 @query("a26_merged_tiles", """WITH m AS (SELECT l_orderkey, l_suppkey % 3 AS cls, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY 1, 2)
  SELECT l_orderkey, first(cls ORDER BY score DESC, cls)::BIGINT AS cls, max(score) AS score FROM m GROUP BY 1""")
 def a26(spark, d):

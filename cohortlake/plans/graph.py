@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.prims import h, h_sql, table
 from cohortlake.operators import graph as G
+from cohortlake.operators import vectors as V
 
 from .annotations import BXS  # noqa: F401
 from .metrics import rounded
@@ -190,3 +191,23 @@ def e33(spark, d):
     # Even ids stand for images, odd ones for texts; an image's second vector is its halves changed over.
     e = table(spark, d, "embeddings").withColumn("other", F.concat(F.slice("embedding", 33, 32), F.slice("embedding", 1, 32)))
     return rounded(G.retrieval(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "embedding", "label", [1, 5, 10], second="other"))
+
+
+def approximate(spark, d):
+    """Every row whose id is divisible by 100 against all rows, through the index."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 100 = 0")
+    return e, asked, V.search(V.build_index(e, "vec_id", "embedding", 10), asked, "vec_id", "embedding", 10)
+
+
+@query("g01_approximate_top_k")
+def g01a(spark, d):
+    return approximate(spark, d)[2]
+
+
+@query("g01_approximate_recall", "SELECT count(*) AS queries, true AS recalled, 10 * count(*) AS found FROM embeddings WHERE vec_id % 100 = 0")
+def g01r(spark, d):
+    e, asked, found = approximate(spark, d)
+    exact = G.knn(asked, e, "vec_id", "embedding", 10)
+    one = V.recall_of(found, exact, "vec_id").crossJoin(found.agg(F.count("*").alias("found")))
+    return one.select("queries", (F.col("recall") >= 0.9).alias("recalled"), "found")

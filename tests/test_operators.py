@@ -211,3 +211,33 @@ def test_knn_blocks_match_plain_numpy(spark, monkeypatch):
     for i in range(40):
         want = sorted((j for j in range(40) if j != i), key=lambda j: (-s[i, j], j))[:3]
         assert [got[i, k] for k in (1, 2, 3)] == want
+
+
+BOXES = "key long, min_x double, min_y double, max_x double, max_y double"
+
+
+def test_box_pairs_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(11)
+    made = []
+    for i in range(300):
+        x, y, w, h_ = rng.uniform(-50, 50), rng.uniform(-50, 50), rng.choice([0, 0.3, 1, 4, 16, 70]) * rng.random(), rng.choice([0, 1, 4, 16]) * rng.choice([1, rng.random()])
+        made.append((i, x, y, x + w, y + h_))
+    made += [(900, 0.0, 0.0, 4.0, 4.0), (901, 4.0, 4.0, 8.0, 8.0), (902, 4.0, 0.0, 4.0, 0.0), (903, -4.0, -4.0, 0.0, 0.0), (904, None, 1.0, 2.0, 2.0)]
+    df = spark.createDataFrame(made, BOXES)
+    for d in (0.0, 1.0, 9.0):
+        got = A.box_pairs(df, df, d).select("key", "n_key").collect()
+        want = {(a[0], b[0]) for a in made for b in made if None not in a + b and a[1] <= b[3] + d and a[3] >= b[1] - d and a[2] <= b[4] + d and a[4] >= b[2] - d}
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert A.box_pairs(df.limit(0), df).count() == 0 and A.box_pairs(df, df.limit(0)).count() == 0
+
+
+def test_a_box_is_filed_in_four_cells_a_level(spark):
+    """One box over everything among many small ones: rows follow the boxes, not the area."""
+    small = [(i, float(i), float(i % 50), i + 0.5, i % 50 + 0.5) for i in range(2000)]
+    df = spark.createDataFrame(small + [(5000, -1e6, -1e6, 1e6, 1e6)], BOXES).withColumn("_home", F.when(F.col("key") == 5000, 11).otherwise(0))
+    rows = A.filed(df, [0, 11], True)
+    assert rows.count() <= 4 * (2 * 2000 + 1) and rows.where("key = 5000").count() <= 4
+    pairs = A.box_pairs(df.where("key = 5000"), df)
+    assert pairs.count() == 2001
