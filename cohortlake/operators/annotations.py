@@ -2,6 +2,10 @@
 
 A row is (key, geom_type, coords array<struct<x,y>>, min_x, min_y, max_x, max_y, cx, cy, area,
 properties).  Regions and properties are columns, so filters reach the scan.
+
+Geometries of several parts or with holes have ``parts`` as well: parts of rings of points, open at
+the end.  Of a polygon's rings the first is the outer one, the others are holes; a line or a point
+is a part of one ring.  ``coords`` is then the first ring (of a MultiPoint all points).
 """
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions.prims import cell, col
 
 COORDS = "array<struct<x:double,y:double>>"
+PARTS = f"array<array<{COORDS}>>"
 
 
 def shoelace(coords) -> Column:
@@ -27,6 +32,40 @@ def with_bounds(df: DataFrame) -> DataFrame:
     return df.withColumns({"cx": (F.col("min_x") + F.col("max_x")) / 2, "cy": (F.col("min_y") + F.col("max_y")) / 2, "area": shoelace("coords")})
 
 
+def with_geometry(df: DataFrame) -> DataFrame:
+    """Adds coords, bounds, centre and area computed from ``parts``: areas of outer rings less those of holes.
+
+    Lines and points have area 0; a row without parts, or with empty ones, has null bounds and area.
+    """
+    rings, areal = F.flatten("parts"), F.col("geom_type").isin("Polygon", "MultiPolygon")
+    points = F.flatten(rings)
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    signed = lambda part: F.aggregate(F.transform(part, lambda r, i: F.when(i == 0, shoelace(r)).otherwise(-shoelace(r))), F.lit(0.0), lambda s, v: s + v)
+    area = F.when(areal, F.aggregate(F.transform("parts", signed), F.lit(0.0), lambda s, v: s + v)).otherwise(0.0)
+    df = df.withColumns({"coords": F.when(F.col("geom_type") == "MultiPoint", points).otherwise(F.get(rings, F.lit(0))), "min_x": F.array_min(xs), "max_x": F.array_max(xs), "min_y": F.array_min(ys), "max_y": F.array_max(ys)})
+    return df.withColumns({"cx": (F.col("min_x") + F.col("max_x")) / 2, "cy": (F.col("min_y") + F.col("max_y")) / 2, "area": F.when(F.col("min_x").isNotNull(), area)})
+
+
+def holds(parts, x, y) -> Column:
+    """Even-odd test of a point against all rings of a geometry column: in a hole is outside."""
+    x, y = col(x), col(y)
+
+    def crossed(r: Column) -> Column:
+        turned = F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+        cut = lambda p, q: p["x"] + (y - p["y"]) * ((q["x"] - p["x"]) / (q["y"] - p["y"]))
+        hit = F.zip_with(r, turned, lambda p, q: F.when((p["y"] > y) != (q["y"] > y), F.when(x < cut(p, q), 1).otherwise(0)).otherwise(0))
+        return F.aggregate(hit, F.lit(0), lambda s, v: s + v)
+
+    return F.aggregate(F.transform(F.flatten(col(parts)), crossed), F.lit(0), lambda s, v: s + v) % 2 == 1
+
+
+def points_in(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(key, n_key): each point (by its centre) with each polygon or multi-polygon around it."""
+    areal = shapes.where(F.col("geom_type").isin("Polygon", "MultiPolygon"))
+    met = box_pairs(points.withColumns({"min_x": F.col("cx"), "max_x": F.col("cx"), "min_y": F.col("cy"), "max_y": F.col("cy")}), areal, n_carry=("parts",))
+    return met.where(holds("n_parts", "min_x", "min_y")).select("key", "n_key")
+
+
 def box_coords(min_x, min_y, max_x, max_y) -> Column:
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     a, b, c, d = map(col, (min_x, min_y, max_x, max_y))
@@ -61,6 +100,13 @@ def label_types(df: DataFrame, types: dict, column: str = "type", default: str |
 def transform_coords(df: DataFrame, a: float, b: float, c: float, d: float, tx: float, ty: float) -> DataFrame:
     """Affine map of all coordinates: x' = a x + b y + tx, y' = c x + d y + ty; bounds follow."""
     move = lambda p: F.struct((p["x"] * a + p["y"] * b + tx).alias("x"), (p["x"] * c + p["y"] * d + ty).alias("y"))
+    return moved(df, move)
+
+
+def moved(df: DataFrame, move) -> DataFrame:
+    """df with ``move`` done to every point of its geometries; bounds and area follow."""
+    if "parts" in df.columns:
+        return with_geometry(df.withColumn("parts", F.transform("parts", lambda p: F.transform(p, lambda r: F.transform(r, move)))))
     return with_bounds(df.withColumn("coords", F.transform("coords", move)))
 
 

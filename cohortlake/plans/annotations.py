@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions.prims import shared_dir, table
 from cohortlake.operators import annotations as A
 from cohortlake.sources import annotation_files as S
+from cohortlake.sources import annotation_store as ST
 
 from .registry import query
 
@@ -66,6 +67,40 @@ def a02g(spark, d):
     return back.select("key", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
+def holed(spark, d):
+    """Two parts a customer: a square with a hole, and a strip; the nation gives the place."""
+    c = table(spark, d, "customer")
+    x, y, n = F.col("c_custkey").cast("double"), (F.col("c_nationkey") * 4).cast("double"), F.col("c_custkey") % 5 + 1.0
+    ring = lambda a, b, w, h_: A.box_coords(x + a, y + b, x + a + w, y + b + h_)
+    zero = F.lit(0.0)
+    square, hole, strip = ring(zero, zero, F.lit(8.0), F.lit(8.0)), ring(F.lit(2.0), F.lit(2.0), F.lit(2.0), F.lit(3.0)), ring(F.lit(20.0), zero, n, F.lit(2.0))
+    rows = c.select(F.col("c_custkey").cast("string").alias("key"), F.lit("MultiPolygon").alias("geom_type"), F.array(F.array(square, hole), F.array(strip)).alias("parts"), F.to_json(F.struct("c_mktsegment")).alias("properties"))
+    return A.with_geometry(rows)
+
+
+HLD = "(SELECT c_custkey, c_custkey::DOUBLE AS x, c_nationkey * 4.0::DOUBLE AS y, c_custkey % 5 + 1.0 AS n, c_mktsegment FROM customer)"
+
+
+@query("a01_multi_part_round_trip", f"SELECT c_custkey::VARCHAR AS key, 'MultiPolygon' AS geom_type, 2::BIGINT AS parts, 3::BIGINT AS rings, x AS min_x, (x + 20 + n)::DOUBLE AS max_x, (y + 8)::DOUBLE AS max_y, (64 - 6 + 2 * n)::DOUBLE AS area, c_mktsegment AS segment FROM {HLD}")
+def a01m(spark, d):
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    S.write_features(holed(spark, d), path)
+    back = S.read_features_ndjson(spark, path, bad="fail")
+    return back.select("key", "geom_type", F.size("parts").cast("long").alias("parts"), F.size(F.flatten("parts")).cast("long").alias("rings"), "min_x", "max_x", "max_y", "area", A.prop("c_mktsegment").alias("segment"))
+
+
+@query("a02_rescaled_polygons_with_holes", f"SELECT c_custkey::VARCHAR AS key, round((x - 3) * 0.5, 6) AS min_x, round((y + 8 - 2) * 0.5, 6) AS max_y, round((64 - 6 + 2 * n) * 0.25, 6)::DOUBLE AS area FROM {HLD}")
+def a02h(spark, d):
+    return S.rescaled(holed(spark, d), 0.5, (3.0, 2.0)).select("key", F.round("min_x", 6).alias("min_x"), F.round("max_y", 6).alias("max_y"), F.round("area", 6).alias("area"))
+
+
+@query("a21_points_in_polygons_with_holes", f"""SELECT h.c_custkey::VARCHAR AS key, count(*) AS points FROM {HLD} h JOIN {{pts}} p ON
+ p.x >= h.x AND p.x < h.x + 8 AND p.y >= h.y AND p.y < h.y + 8 AND NOT (p.x >= h.x + 2 AND p.x < h.x + 4 AND p.y >= h.y + 2 AND p.y < h.y + 5)
+ OR p.x >= h.x + 20 AND p.x < h.x + 20 + n AND p.y >= h.y AND p.y < h.y + 2 GROUP BY 1""".format(pts=PTS))
+def a21h(spark, d):
+    return A.points_in(points(spark, d), holed(spark, d)).groupBy(F.col("n_key").alias("key")).agg(F.count("*").alias("points"))
+
+
 @query("a02_rescaled_points", f"SELECT key, round((x - 3) * 0.5, 6) AS cx, round((y - 2) * 0.5, 6) AS cy FROM {PTS}")
 def a02(spark, d):
     return S.rescaled(points(spark, d), 0.5, (3.0, 2.0)).select("key", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
@@ -190,6 +225,29 @@ def a21p(spark, d):
     return A.query(points(spark, d), [(10.5, 5.5), (90.5, 20.5), (60.5, 80.5), (40.5, 30.5)], "within").select("key")
 
 
+def stored(spark, df):
+    """The layout written for this query, read again."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    ST.write_store(df, path)
+    return ST.read_store(spark, path)
+
+
+@query("a19_stored_bounds", f"SELECT key, min_x, min_y, max_x, max_y FROM {BXS} WHERE min_x <= 300 AND max_x >= 100 AND min_y <= 60 AND max_y >= 20 AND score > 0.05")
+def a19s(spark, d):
+    return A.bquery(stored(spark, boxes(spark, d)), (100, 20, 300, 60), F.col("score") > 0.05)
+
+
+@query("a20_stored_keys", f"SELECT key FROM {PTS} WHERE x BETWEEN 20 AND 90 AND y BETWEEN 10 AND 60")
+def a20s(spark, d):
+    return A.query(stored(spark, points(spark, d)), BOX).select("key")
+
+
+@query("a21_stored_polygon", f"""WITH e(x1, y1, x2, y2) AS (VALUES (10.5, 5.5, 90.5, 20.5), (90.5, 20.5, 60.5, 80.5), (60.5, 80.5, 40.5, 30.5), (40.5, 30.5, 10.5, 5.5))
+ SELECT key FROM {PTS} p JOIN e ON (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * ((x2 - x1) / (y2 - y1)) GROUP BY key HAVING count(*) % 2 = 1""")
+def a21s(spark, d):
+    return A.query(stored(spark, points(spark, d)), [(10.5, 5.5), (90.5, 20.5), (60.5, 80.5), (40.5, 30.5)], "within").select("key")
+
+
 @query("a22_neighbours", f"SELECT a.key, count(*) AS neighbours FROM {PTS} a JOIN {PTS} b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4 WHERE a.event_type = 'error' AND b.event_type = 'purchase' GROUP BY 1")
 def a22(spark, d):
     return A.nquery(points(spark, d), F.col("event_type") == "error", F.col("event_type") == "purchase", 2.0)

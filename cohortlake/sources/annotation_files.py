@@ -3,51 +3,104 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.operators.annotations import with_bounds
+from cohortlake.operators.annotations import PARTS, moved, with_geometry
 
-#: Coordinates are taken as text: a point has one pair, a line a list, a polygon a list of rings.
+#: Coordinates are taken as text: how deep they nest depends on the type.
 GEOMETRY = "struct<type:string,coordinates:string>"
 FEATURE = f"key string, type string, geometry {GEOMETRY}, properties string"
-KINDS = {"Point": "array<double>", "LineString": "array<array<double>>", "MultiPoint": "array<array<double>>", "Polygon": "array<array<array<double>>>"}
+#: Levels of lists around a coordinate pair.
+DEPTH = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
 
 
-def coords_of(kind, text, scale=(1.0, 1.0), origin=(0.0, 0.0)) -> Column:
-    """GeoJSON coordinates as an array of points: of a polygon its outer ring, without the closing point.
+def opened(ring: Column) -> Column:
+    """A ring without its closing point."""
+    n = F.size(ring)
+    return F.when((n > 1) & (F.get(ring, F.lit(0)) == F.get(ring, n - 1)), F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(ring)
 
-    Other types of geometry, and coordinates that can't be read, are null.
-    """
+
+def parts_of(kind: Column, text: Column, scale=(1.0, 1.0), origin=(0.0, 0.0)) -> Column:
+    """GeoJSON coordinates as parts of rings of points; null for other types and coordinates that can't be read."""
     point = lambda p: F.struct(((p[0] - origin[0]) * scale[0]).alias("x"), ((p[1] - origin[1]) * scale[1]).alias("y"))
-    read = {k: F.from_json(text, t) for k, t in KINDS.items()}
-    ring = F.element_at(read["Polygon"], 1)
-    n = F.size(ring)
-    ring = F.when((n > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, 1, F.greatest(n - 1, F.lit(1)))).otherwise(ring)
-    many = F.when(kind == "Point", F.array(read["Point"])).when(kind.isin("LineString", "MultiPoint"), read["LineString"]).when(kind == "Polygon", ring)
-    return F.transform(many, point)
+    line = lambda r: F.transform(r, point)
+    rings = lambda part: F.transform(part, lambda r: line(opened(r)))
+    read = lambda k: F.from_json(text, "array<" * DEPTH[k] + "array<double>" + ">" * DEPTH[k])
+    made = {
+        "Point": F.array(F.array(F.array(point(read("Point"))))),
+        "MultiPoint": F.transform(read("MultiPoint"), lambda p: F.array(F.array(point(p)))),
+        "LineString": F.array(F.array(line(read("LineString")))),
+        "MultiLineString": F.transform(read("MultiLineString"), lambda r: F.array(line(r))),
+        "Polygon": F.array(rings(read("Polygon"))),
+        "MultiPolygon": F.transform(read("MultiPolygon"), rings),
+    }
+    out = F.lit(None).cast(PARTS)
+    for k, parts in made.items():
+        out = F.when((kind == k) & read(k).isNotNull(), parts).otherwise(out)
+    return out
+
+
+def features(rows: DataFrame, bad: str, scale=(1.0, 1.0), origin=(0.0, 0.0)) -> DataFrame:
+    """(key, geometry, properties) as annotations.
+
+    A missing key is the hash of the feature's content: the same on every read, and the same for
+    features that are the same.  ``bad``: geometries of other types, or that can't be read, are kept
+    with null parts and bounds (``null``), left out (``drop``), or end the job (``fail``).
+    """
+    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    key = F.coalesce("key", F.sha2(F.concat_ws("\n", F.coalesce(kind, F.lit("")), F.coalesce(text, F.lit("")), F.coalesce("properties", F.lit(""))), 256))
+    out = rows.select(key.alias("key"), kind.alias("geom_type"), parts_of(kind, text, scale, origin).alias("parts"), "properties")
+    if bad == "fail":
+        said = F.raise_error(F.concat(F.lit("geometry can't be read, key "), F.col("key"))).cast(PARTS)
+        out = out.withColumn("parts", F.coalesce("parts", said))
+    elif bad == "drop":
+        out = out.where("parts is not null")
+    return with_geometry(out)
 
 
-def read_features_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """One feature (point, line or polygon) a line; a missing key is generated."""
-    rows = spark.read.schema(FEATURE).json(path)
-    c = coords_of(F.col("geometry.type"), F.col("geometry.coordinates"))
-    return with_bounds(rows.select(F.coalesce("key", F.expr("uuid()")).alias("key"), F.col("geometry.type").alias("geom_type"), c.alias("coords"), "properties"))
+def read_features_ndjson(spark: SparkSession, path: str, bad: str = "null") -> DataFrame:
+    """One feature a line, of any of the six simple types of geometry."""
+    return features(spark.read.schema(FEATURE).json(path), bad)
 
 
-def read_geojson(spark: SparkSession, path: str, scale=(1.0, 1.0), origin=(0.0, 0.0)) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, scale=(1.0, 1.0), origin=(0.0, 0.0), bad: str = "null") -> DataFrame:
     """A feature collection; moved by -origin, then scaled."""
     rows = spark.read.schema(f"features array<struct<key:string,type:string,geometry:{GEOMETRY},properties:string>>").json(path, multiLine=True)
-    f = rows.select(F.explode("features").alias("f"))
-    c = coords_of(F.col("f.geometry.type"), F.col("f.geometry.coordinates"), scale, origin)
-    return with_bounds(f.select(F.coalesce("f.key", F.expr("uuid()")).alias("key"), F.col("f.geometry.type").alias("geom_type"), c.alias("coords"), F.col("f.properties").alias("properties")))
+    return features(rows.select(F.explode("features").alias("f")).select("f.key", "f.geometry", "f.properties"), bad, scale, origin)
 
 
-def feature_json(df: DataFrame) -> DataFrame:
-    """One GeoJSON feature a row, as text: the geometry of ``geom_type`` (a point where there is none)."""
+def coordinates(df: DataFrame) -> Column:
+    """GeoJSON coordinates of each row, as text, from ``parts`` or else from ``coords``; null without any."""
     pair = lambda p: F.array(p["x"], p["y"])
-    c, kind = F.col("coords"), F.coalesce("geom_type", F.lit("Point")) if "geom_type" in df.columns else F.lit("Point")
-    ring = F.transform(F.concat(c, F.slice(c, 1, 1)), pair)
-    text = F.when(kind == "Polygon", F.to_json(F.array(ring))).when(kind.isin("LineString", "MultiPoint"), F.to_json(F.transform(c, pair))).otherwise(F.to_json(pair(F.element_at(c, 1))))
+    line = lambda r: F.transform(r, pair)
+    closed = lambda r: line(F.concat(r, F.slice(r, 1, 1)))
+    kind = kind_of(df)
+    if "parts" not in df.columns:
+        c = F.col("coords")
+        return F.when(kind == "Polygon", F.to_json(F.array(closed(c)))).when(kind.isin("LineString", "MultiPoint"), F.to_json(line(c))).otherwise(F.to_json(pair(F.get(c, F.lit(0)))))
+    parts = F.col("parts")
+    first = F.get(parts, F.lit(0))
+    made = {
+        "Point": pair(F.get(F.get(first, F.lit(0)), F.lit(0))),
+        "MultiPoint": F.transform(parts, lambda p: pair(p[0][0])),
+        "LineString": line(F.get(first, F.lit(0))),
+        "MultiLineString": F.transform(parts, lambda p: line(p[0])),
+        "Polygon": F.transform(first, closed),
+        "MultiPolygon": F.transform(parts, lambda p: F.transform(p, closed)),
+    }
+    out = F.lit(None).cast("string")
+    for k, c in made.items():
+        out = F.when(kind == k, F.to_json(c)).otherwise(out)
+    return F.when(parts.isNotNull(), out)
+
+
+def kind_of(df: DataFrame) -> Column:
+    return F.coalesce("geom_type", F.lit("Point")) if "geom_type" in df.columns else F.lit("Point")
+
+
+def feature_json(df: DataFrame) -> DataFrame:
+    """One GeoJSON feature a row, as text: the geometry of ``geom_type`` (a point where there is none), null without coordinates."""
     quoted = lambda x: F.regexp_extract(F.to_json(F.struct(x.cast("string").alias("k"))), r'^\{"k":(.*)\}$', 1)
-    parts = [F.lit('{"key":'), quoted(F.col("key")), F.lit(',"type":"Feature","geometry":{"type":'), quoted(kind), F.lit(',"coordinates":'), text, F.lit('},"properties":'), F.coalesce("properties", F.lit("{}")), F.lit("}")]
+    geometry = F.concat(F.lit('{"type":'), quoted(kind_of(df)), F.lit(',"coordinates":'), coordinates(df), F.lit("}"))
+    parts = [F.lit('{"key":'), quoted(F.col("key")), F.lit(',"type":"Feature","geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), F.coalesce("properties", F.lit("{}")), F.lit("}")]
     return df.select(F.concat(*parts).alias("value"))
 
 
@@ -65,4 +118,4 @@ def read_locations(spark: SparkSession, path: str, kind: str = "csv") -> DataFra
 def rescaled(df: DataFrame, scale: float, origin=(0.0, 0.0)) -> DataFrame:
     """Coordinates moved by -origin, then scaled."""
     move = lambda p: F.struct(((p["x"] - origin[0]) * scale).alias("x"), ((p["y"] - origin[1]) * scale).alias("y"))
-    return with_bounds(df.withColumn("coords", F.transform("coords", move)))
+    return moved(df, move)
