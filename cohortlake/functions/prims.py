@@ -6,6 +6,8 @@ import uuid
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,36 +41,70 @@ def key_number_sql(c: str) -> str:
     return f"('0x' || substr(md5({c}), 1, 8))::BIGINT"
 
 
-def ordered_bucket(c) -> Column:
-    """A whole number that never falls as the number c grows: 256 to an octave, so that values
-    of any spread lie in many, and at most about a million of them are ever in use."""
-    v = col(c).cast("double")
-    size = F.abs(v)
-    octave = F.floor(F.log2(size))
-    at = octave * 256 + F.floor((size / F.pow(F.lit(2.0), octave.cast("double")) - 1) * 256) + 300000
-    return F.when(F.isnan(v) | (size == float("inf")), F.signum(v) * 600000).when(v == 0, 0).otherwise(F.signum(v) * at).cast("long")
+def prefix(df: DataFrame, group: list[str], value: str, sums: dict[str, Column], descending: bool = False, least: bool = False) -> DataFrame:
+    """One row a distinct value: the sums there, and ``<name>_upto``, those up to and with it; minima if ``least``.
 
+    Rows are reduced to distinct values first.  These are dealt out by ranges of (group, value), cut
+    at the data's own quantiles, whatever their type or spread, so each task takes its share of them,
+    though one group or a narrow band of values may hold most.  Sums run on inside each range as it is
+    written; a group that goes over several ranges is shifted by its sums in the ranges before.  At
+    most two groups reach out of a range, so of those shifts there are fewer than twice the ranges.
 
-def prefix(df: DataFrame, group: list[str], value: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
-    """One row a distinct value: the sums there, and ``<name>_upto``, those up to and with it.
-
-    Rows are reduced to distinct values first.  Numbers are then summed inside ordered buckets
-    of values and shifted by the sums of the buckets before, so that no task sees all values
-    of a group, nor of the whole table.
+    The ranges are written to the shared folder, so that they are cut once.
     """
-    one = df.groupBy(*group, value).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
-    if not isinstance(one.schema[value].dataType, T.NumericType):
-        w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.col(value).desc() if descending else F.col(value).asc()).rowsBetween(Window.unboundedPreceding, 0)
-        return one.select("*", *(F.sum(n).over(w).alias(f"{n}_upto") for n in sums))
-    one = one.withColumn("_bucket", -ordered_bucket(value) if descending else ordered_bucket(value))
-    w = Window.partitionBy(*group, "_bucket").orderBy(F.col(value).desc() if descending else F.col(value).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = one.groupBy(*group, "_bucket").agg(*(F.sum(n).alias(f"_before_{n}") for n in sums))
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.select(*group, "_bucket", *(F.coalesce(F.sum(f"_before_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
-    inner = one.select("*", *(F.sum(n).over(w).alias(f"_in_{n}") for n in sums))
-    same = reduce(and_, (F.col(f"_x.{g}").eqNullSafe(F.col(f"_y.{g}")) for g in [*group, "_bucket"]))
-    both = inner.alias("_x").join(whole.alias("_y"), same)
-    return both.select(*(F.col(f"_x.{c}") for c in [*group, value, *sums]), *((F.col(f"_x._in_{n}") + F.col(f"_y._before_{n}")).alias(f"{n}_upto") for n in sums))
+    how, join = (F.min, F.least) if least else (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))
+    one = df.groupBy(*group, value).agg(*(how(c).alias(n) for n, c in sums.items()))
+    order = [*map(F.col, group), F.col(value).desc() if descending else F.col(value).asc()]
+    spread = one.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*spread.schema.fields, *(T.StructField(f"_in_{n}", spread.schema[n].dataType) for n in sums)])
+    rows = materialize(spread.mapInArrow(running(group, list(sums), least), schema))
+    parts = rows.groupBy(*group, "_part").agg(*(how(n).alias(n) for n in sums))
+    own = Window.partitionBy(*(group or [F.lit(0)]))
+    before = own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select(*group, "_part", F.count("*").over(own).alias("_ranges"), *(how(n).over(before).alias(f"_before_{n}") for n in sums)).where("_ranges > 1")
+    same = reduce(and_, (F.col(f"_x.{g}").eqNullSafe(F.col(f"_y.{g}")) for g in [*group, "_part"]))
+    both = rows.alias("_x").join(F.broadcast(shifts).alias("_y"), same, "left")
+    upto = lambda n: join(F.col(f"_x._in_{n}"), F.col(f"_y._before_{n}")).alias(f"{n}_upto")
+    return both.select(*(F.col(f"_x.{c}") for c in [*group, value, *sums]), *map(upto, sums))
+
+
+def running(group: list[str], sums: list[str], least: bool = False):
+    """Appends running sums (or minima) to sorted batches, anew for each group; a group may go over batches."""
+
+    def run(batches):
+        none = np.inf if least else 0
+        last, held = None, {n: none for n in sums}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for g in group:
+                at = batch.column(g).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= at[1:] != at[:-1]
+            key = lambda i: repr([batch.column(g)[i].as_py() for g in group])  # noqa: B023, E731
+            new[0] = last is None or key(0) != last
+            last, first = key(n - 1), np.flatnonzero(new)
+            out = []
+            for name in sums:
+                x = batch.column(name).fill_null(none).to_numpy(zero_copy_only=False)
+                if least:
+                    x = np.concatenate([np.minimum.accumulate(p) for p in np.split(x, first) if len(p)])
+                    total = x if new[0] else np.where(np.cumsum(new) > 0, x, np.minimum(x, held[name]))
+                    held[name] = total[-1]
+                    out.append(pa.array(total, type=batch.column(name).type))
+                    continue
+                total = np.cumsum(x)
+                # What the total was where the group of each row began; the first may go on from the batch before.
+                start = np.where(first > 0, total[first - 1], 0) if len(first) else total[:0]
+                which = np.cumsum(new) - 1
+                total = total - np.where(which >= 0, start[np.maximum(which, 0)], 0) if len(first) else total
+                total = total + np.where(which < 0, held[name], 0)
+                held[name] = total[-1]
+                out.append(pa.array(total, type=batch.column(name).type))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *(f"_in_{name}" for name in sums)])
+
+    return run
 
 
 def mid_ranks(df: DataFrame, group: list[str], value: str, name: str = "rank") -> DataFrame:
@@ -151,9 +187,14 @@ def shared_dir(spark) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and reread: cuts the plan between rounds."""
+    """Written to the shared folder and reread: cuts the plan between rounds.
+
+    A table that ``forget`` doesn't delete before goes when the driver ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out

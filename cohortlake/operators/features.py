@@ -1,9 +1,11 @@
 """Patient-level features and models."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import col, corr, elements, first_by, gather, prefix
+from cohortlake.functions.prims import col, corr, elements, first_by, forget, gather, materialize, prefix
 
 from .metrics import chi2_p, ratio
 
@@ -106,23 +108,40 @@ def _ranked(df: DataFrame, columns: list[str], coef, top: int, floor: float) ->
 
 
 def l1_select(df: DataFrame, columns: list[str], label: str, reg: float, top: int, floor: float = 1e-6, kind: str = "regression") -> DataFrame:
-    """Features with an L1 coefficient at or over the floor, largest first."""
+    """Features with an L1 coefficient at or over the floor, largest first.
+
+    ``kind`` is ``regression`` or ``class``; of several classes' coefficients the one of the largest size counts.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.regression import LinearRegression
 
     made = LinearRegression if kind == "regression" else LogisticRegression
     m = made(labelCol=label, regParam=reg, elasticNetParam=1.0, standardization=True).fit(_vector(df, columns))
-    return _ranked(df, columns, m.coefficients.toArray(), top, floor)
+    coef = m.coefficients.toArray() if kind == "regression" else [max(c, key=abs) for c in m.coefficientMatrix.toArray().T]
+    return _ranked(df, columns, coef, top, floor)
+
 
+def fit_pca(train: DataFrame, columns: list[str], k: int | float):
+    """(fitted pipeline, number of components, share of the variance they explain).
 
-def pca(train: DataFrame, test: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """Standardise and project; fitted on train, applied to test."""
+    ``k``: so many components, or, under 1, as few as explain that share.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, StandardScaler
+
+    most = len(columns) if isinstance(k, float) and k < 1 else int(k)
+    p = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="_s", withMean=True), PCA(k=most, inputCol="_s", outputCol="_p")]).fit(_vector(train, columns))
+    share = np.cumsum(p.stages[1].explainedVariance.toArray())
+    n = int(np.searchsorted(share, k - 1e-12) + 1) if most != k else most
+    return p, min(n, most), float(share[min(n, most) - 1])
+
+
+def pca(train: DataFrame, test: DataFrame, columns: list[str], k: int | float) -> DataFrame:
+    """Standardise and project; fitted on train, applied to test; ``k`` as in ``fit_pca``."""
     from pyspark.ml.functions import vector_to_array
 
-    p = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="_s", withMean=True), PCA(k=k, inputCol="_s", outputCol="_p")]).fit(_vector(train, columns))
-    return p.transform(_vector(test, columns)).withColumn("components", vector_to_array("_p")).drop("features", "_s", "_p")
+    p, n, _ = fit_pca(train, columns, k)
+    return p.transform(_vector(test, columns)).withColumn("components", F.slice(vector_to_array("_p"), 1, n)).drop("features", "_s", "_p")
 
 
 def search(df: DataFrame, columns: list[str], label: str, model: str, grid: dict[str, list], folds: int = 3, seed: int = 1):
@@ -183,50 +202,151 @@ def cox_sums(df: DataFrame, group: list[str], eta: Column, time: str = "duration
     return p.groupBy(*group).agg(ratio(F.sum(F.when(F.col("d") > 0, F.col("d") * F.log("s_upto") - F.col("l")).otherwise(0.0)), F.sum("d")).alias("loss"), F.sum("d").alias("events"))
 
 
-def cox_step(df: DataFrame, columns: list[str], beta: list[float], time: str, event: str):
-    """Gradient and information of the mean partial likelihood: one row of sums over distinct times."""
-    eta = sum((F.col(c) * b for c, b in zip(columns, beta)), F.lit(0.0))
-    r = df.withColumn("_w", F.exp(eta))
-    e = (F.col(event) == 1).cast("double")
-    sums = {"d": e, "s": F.col("_w")} | {f"s{i}": F.col("_w") * F.col(c) for i, c in enumerate(columns)} | {f"q{i}": F.col("_w") * F.col(c) ** 2 for i, c in enumerate(columns)} | {f"x{i}": e * F.col(c) for i, c in enumerate(columns)}
-    p = prefix(r, [], time, sums, descending=True).where("d > 0")
-    m = lambda k: F.col(f"{k}_upto") / F.col("s_upto")
-    n = len(columns)
-    row = p.agg(F.sum("d").alias("d"), *(F.sum(F.col(f"x{i}") - F.col("d") * m(f"s{i}")).alias(f"g{i}") for i in range(n)), *(F.sum(F.col("d") * (m(f"q{i}") - m(f"s{i}") ** 2)).alias(f"h{i}") for i in range(n))).first()
-    d = row["d"] or 1.0
-    return [(row[f"g{i}"] or 0.0) / d for i in range(n)], [(row[f"h{i}"] or 0.0) / d for i in range(n)], d
+#: Numbers in a chunk of ``cox_table``: 32 MB.
+CHUNK = 1 << 22
+
+
+def cox_table(df: DataFrame, columns: list[str], time: str = "duration", event: str = "event", chunk: int = CHUNK) -> DataFrame:
+    """The data of a Cox fit, written once in order of falling time: chunks (part, seq, t, e, x) of packed numbers.
+
+    The source is read once, into a table whose times alone are then sampled for ranges; in each
+    range the sorted rows are packed into matrices of ``chunk`` numbers, a row each, so that a pass
+    needs neither a sort nor a shuffle.  Rows with a null time or value are left out.
+    """
+    rows = df.select(F.col(time).cast("double").alias("t"), F.coalesce(F.col(event) == 1, F.lit(False)).cast("double").alias("e"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    whole = materialize(rows.where(F.col("t").isNotNull() & ~F.exists("x", lambda v: v.isNull())))
+    most = max(1, chunk // max(1, len(columns)))
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            for at in range(0, len(batch), most):
+                held.append(batch.iloc[at : at + most])
+                n += len(held[-1])
+                if n >= most:
+                    yield packed(part, seq, held)
+                    seq, held, n = seq + 1, [], 0
+        if n:
+            yield packed(part, seq, held)
+
+    def packed(part, seq, held):
+        own = pd.concat(held)
+        x = np.stack(own.x.to_numpy()) if len(columns) else np.zeros((len(own), 0))
+        return pd.DataFrame({"part": [part], "seq": [seq], "t": [own.t.to_numpy().tobytes()], "e": [own.e.to_numpy().tobytes()], "x": [x.tobytes()]})
+
+    spread = whole.repartitionByRange(F.desc("t")).sortWithinPartitions(F.desc("t"))
+    out = materialize(spread.mapInPandas(pack, "part int, seq int, t binary, e binary, x binary"))
+    forget(whole)
+    return out
+
+
+def _unpacked(row, beta: np.ndarray):
+    """Times, events, values and weights of a chunk, and the row at which each time begins."""
+    t, e = np.frombuffer(row.t), np.frombuffer(row.e)
+    x = np.frombuffer(row.x).reshape(len(t), len(beta))
+    return t, e, x, np.exp(x @ beta), np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+
+
+def _risk(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.concatenate([[w.sum()], w @ x, w @ x**2])
+
+
+def cox_step(table: DataFrame, beta: list[float]):
+    """Gradient and information of the mean partial likelihood over ``cox_table``, and the number of events.
+
+    The sums over all at risk are vectors that run on from chunk to chunk: one pass adds up each
+    chunk, and the rows of its first time by themselves, since that time may have begun in the chunk
+    before; another goes through each chunk from what those before it hold.  A chunk sends 2n + 1
+    numbers of its millions; nothing is planned a column.
+    """
+    b = np.array(beta, dtype=float)
+    n = len(b)
+
+    def totals(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                t, _, x, w, first = _unpacked(row, b)
+                end = first[1] if len(first) > 1 else len(t)
+                out.append((row.part, row.seq, t[0], t[-1], _risk(x, w).tolist(), _risk(x[:end], w[:end]).tolist()))
+            yield pd.DataFrame(out, columns=["part", "seq", "first", "last", "whole", "head"])
+
+    told = table.mapInPandas(totals, "part int, seq int, first double, last double, whole array<double>, head array<double>").collect()
+    told.sort(key=lambda r: (r.part, r.seq))
+    before, after = {}, {}
+    run = np.zeros(2 * n + 1)
+    for r in told:
+        before[r.part, r.seq] = run
+        run = run + np.array(r.whole)
+    # What later chunks hold of a chunk's last time, from the end backwards.
+    more, since = np.zeros(2 * n + 1), None
+    for r in reversed(told):
+        after[r.part, r.seq] = more if since == r.last else np.zeros(2 * n + 1)
+        more = np.array(r.head) + (after[r.part, r.seq] if r.first == r.last else 0)
+        since = r.first
+
+    def terms(batches):
+        out = np.zeros(2 * n + 1)
+        for batch in batches:
+            for row in batch.itertuples():
+                _, e, x, w, first = _unpacked(row, b)
+                own = np.add.reduceat(np.column_stack([w, w[:, None] * x, w[:, None] * x**2]), first, axis=0)
+                risk = before[row.part, row.seq] + np.cumsum(own, axis=0)
+                risk[-1] += after[row.part, row.seq]
+                d = np.add.reduceat(e, first)
+                live = d > 0
+                d, mean = d[live, None], risk[live, 1:] / risk[live, :1]
+                g = e @ x - (d * mean[:, :n]).sum(0)
+                h = (d * (mean[:, n:] - mean[:, :n] ** 2)).sum(0)
+                out += np.concatenate([[d.sum()], g, h])
+        yield pd.DataFrame({"s": [out.tolist()]})
+
+    got = table.mapInPandas(terms, "s array<double>").collect()
+    all_ = np.sum([r.s for r in got], axis=0) if got else np.zeros(2 * n + 1)
+    d = all_[0] or 1.0
+    return (all_[1 : n + 1] / d).tolist(), (all_[n + 1 :] / d).tolist(), float(d)
 
 
 def cox_fit(df: DataFrame, columns: list[str], alpha: float = 0.0, l1_ratio: float = 1.0, time: str = "duration", event: str = "event", rounds: int = 30, tol: float = 1e-6) -> list[float]:
-    """Elastic-net Cox coefficients by proximal steps with diagonal curvature; each round is one aggregation."""
-    beta = [0.0] * len(columns)
+    """Elastic-net Cox coefficients by proximal steps with diagonal curvature, over data written once."""
+    table, beta = cox_table(df, columns, time, event), [0.0] * len(columns)
     for _ in range(rounds):
-        g, hs, _ = cox_step(df, columns, beta, time, event)
+        g, hs, _ = cox_step(table, beta)
         new = []
         for b, gi, hi in zip(beta, g, hs):
             step = 0.9 / (hi * len(columns) ** 0.5 + alpha * (1 - l1_ratio) + 1e-9)
             x = b + step * (gi - alpha * (1 - l1_ratio) * b)
             t = step * alpha * l1_ratio
             new.append((abs(x) - t) * (1 if x > 0 else -1) if abs(x) > t else 0.0)
-        moved, beta = max(abs(a - b) for a, b in zip(beta, new)), new
+        moved, beta = max((abs(a - b) for a, b in zip(beta, new)), default=0.0), new
         if moved < tol:
             break
+    forget(table)
     return beta
 
 
 def cox_screen(long: DataFrame, feature: str, value: str, time: str = "duration", event: str = "event", rounds: int = 8) -> DataFrame:
-    """Univariate Cox fit of every feature at once: (feature, beta, z, p); each Newton round is one aggregation."""
-    beta = long.select(feature).distinct().withColumn("beta", F.lit(0.0))
-    e = (F.col(event) == 1).cast("double")
+    """Univariate Cox fit of every feature at once: (feature, beta, z, p), by Newton rounds.
+
+    The rows are written once, and so is each round's table of coefficients, one row a feature,
+    which meets them in a join: nothing goes through the driver.
+    """
+    rows = materialize(long.select(F.col(feature).alias("f"), F.col(value).cast("double").alias("v"), F.col(time).alias("t"), (F.col(event) == 1).cast("double").alias("e")))
+    beta, h = rows.select("f").distinct().withColumn("beta", F.lit(0.0)), None
     for _ in range(rounds):
-        x = long.join(beta, feature).withColumn("_w", F.exp(F.col("beta") * F.col(value)))
-        p = prefix(x, [feature, "beta"], time, {"d": e, "s": F.col("_w"), "s1": F.col("_w") * F.col(value), "s2": F.col("_w") * F.col(value) ** 2, "x": e * F.col(value)}, descending=True).where("d > 0")
+        x = rows.join(beta, "f").withColumn("w", F.exp(F.col("beta") * F.col("v")))
+        w, v = F.col("w"), F.col("v")
+        p = prefix(x, ["f", "beta"], "t", {"d": F.col("e"), "s": w, "s1": w * v, "s2": w * v * v, "x": F.col("e") * v}, descending=True).where("d > 0")
         m = F.col("s1_upto") / F.col("s_upto")
-        n = p.groupBy(feature, "beta").agg(F.sum(F.col("x") - F.col("d") * m).alias("g"), F.sum(F.col("d") * (F.col("s2_upto") / F.col("s_upto") - m * m)).alias("h"))
-        rows = [(r[feature], r["beta"] + max(-1.0, min(1.0, r["g"] / r["h"])) if r["h"] > 0 else 0.0, r["h"]) for r in n.collect()]  # one row a feature
-        beta = long.sparkSession.createDataFrame([(f, b) for f, b, _ in rows], f"{feature} string, beta double")
-    out = long.sparkSession.createDataFrame([(f, b, b * max(h, 0.0) ** 0.5) for f, b, h in rows], f"{feature} string, beta double, z double")
-    return out.withColumn("p", chi2_p(F.col("z") ** 2))
+        n = p.groupBy("f", "beta").agg(F.sum(F.col("x") - F.col("d") * m).alias("g"), F.sum(F.col("d") * (F.col("s2_upto") / F.col("s_upto") - m * m)).alias("h"))
+        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("g") / F.col("h")))
+        h = materialize(n.select("f", F.when(F.col("h") > 0, F.col("beta") + step).otherwise(0.0).alias("beta"), F.greatest("h", F.lit(0.0)).alias("h")))
+        beta = h.select("f", "beta")
+    forget(rows)
+    z = F.col("beta") * F.sqrt("h")
+    return h.select(F.col("f").alias(feature), "beta", z.alias("z"), chi2_p(z**2).alias("p"))
 
 
 def stability(coefs: DataFrame, feature: str, coef: str, threshold: float) -> DataFrame:

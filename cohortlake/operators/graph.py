@@ -80,11 +80,18 @@ def knn_distance(nn: DataFrame, key: str) -> DataFrame:
     return nn.groupBy(key).agg(F.avg(1 - F.col("similarity")).alias("distance"))
 
 
-def percentile_of(values: DataFrame, ref: DataFrame, value: str, centred: bool = False) -> DataFrame:
-    """Share of reference values at or under each value; ``centred``: (p - 0.5) * sqrt(12)."""
+def percentile_of(values: DataFrame, ref: DataFrame, value: str, centred: bool = False, mid: bool = False) -> DataFrame:
+    """Share of reference values at or under each value; ``centred``: (p - 0.5) * sqrt(12).
+
+    ``mid``: half a rank less, and kept half a rank away from 0 and 1, for transformations that need it.
+    """
     both = values.select(value, F.lit(0).alias("_r")).unionByName(ref.select(value, F.lit(1).alias("_r")))
     n = prefix(both, [], value, {"_c": F.col("_r")}).select(value, "_c_upto").crossJoin(F.broadcast(ref.agg(F.count("*").alias("_n"))))
-    out = values.join(n.select(value, (F.col("_c_upto") / F.col("_n")).alias("percentile")), value)
+    share = F.col("_c_upto") / F.col("_n")
+    if mid:
+        half = 0.5 / F.col("_n")
+        share = F.least(F.greatest(share - half, half), 1 - half)
+    out = values.join(n.select(value, share.alias("percentile")), value)
     return out.withColumn("percentile", (F.col("percentile") - 0.5) * F.sqrt(F.lit(12.0))) if centred else out
 
 
@@ -221,23 +228,30 @@ def voxel_components(voxels: DataFrame, reach: int = 1, min_size: int = 1, large
 
 
 def msf(edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest by rounds: each component takes its least edge (ties: by ends), then relabels."""
-    e = materialize(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    taken = None
-    while True:
-        if taken is None:
-            live = e.withColumn("cs", F.col("src")).withColumn("cd", F.col("dst"))
-        else:
-            c = components(taken)
-            at = lambda end, name: c.select(F.col("id").alias(end), F.col("component").alias(name))
-            live = e.join(at("src", "cs"), "src", "left").join(at("dst", "cd"), "dst", "left").withColumns({"cs": F.coalesce("cs", "src"), "cd": F.coalesce("cd", "dst")})
-        live = live.where("cs <> cd")
-        one = live.select("cs", "src", "dst", "weight").union(live.select("cd", "src", "dst", "weight"))
-        best = one.groupBy("cs").agg(F.min(F.struct("weight", "src", "dst")).alias("b")).select("b.src", "b.dst", "b.weight").distinct()
-        best = materialize(best)
-        if best.isEmpty():
-            return e.limit(0) if taken is None else taken
-        taken = materialize(best if taken is None else taken.union(best))
+    """Minimum spanning forest (src, dst, weight) by contraction; equal weights go by their ends.
+
+    Each round every node takes its least edge, the groups so joined become the nodes of the next
+    round, and of the edges between two groups only the least stays.  At least half of the nodes
+    with edges go in a round, so the graph shrinks until nothing is left of it.
+    """
+    named = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
+    own = named.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    live = materialize(own.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("weight", "src", "dst").alias("e")))
+    taken = []
+    while not live.isEmpty():
+        ends = live.select(F.col("a").alias("n"), "e", "a", "b").unionByName(live.select(F.col("b").alias("n"), "e", "a", "b"))
+        best = materialize(ends.groupBy("n").agg(F.min_by(F.struct("e", "a", "b"), "e").alias("x")).select("x.e", "x.a", "x.b").distinct())
+        taken.append(best)
+        group = materialize(components(best.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        at = lambda end: group.select(F.col("id").alias(end), F.col("component").alias(f"_{end}"))  # noqa: B023, E731
+        moved = live.join(at("a"), "a").join(at("b"), "b").where("_a <> _b")
+        least = moved.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("e").alias("e"))
+        before, live = live, materialize(least)
+        forget(before, group)
+    out = live.select("e.*")
+    for best in taken:
+        out = out.unionByName(best.select("e.*"))
+    return out.select("src", "dst", "weight")
 
 
 def degree_histogram(edges: DataFrame, bins: int) -> DataFrame:

@@ -57,6 +57,21 @@ def confusion(df: DataFrame, truth: str = "truth", pred: str = "pred", group: li
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*g, truth)))
 
 
+def confusion_matrix(df: DataFrame, truth: str = "truth", pred: str = "pred", group: list[str] | None = None) -> DataFrame:
+    """``confusion`` with a row for every pair of the group's classes, true or predicted; n 0 for those that don't occur.
+
+    The share of a class that is never true is null.
+    """
+    g = group or []
+    n = confusion(df, truth, pred, g)
+    # A group's classes, squared, are the rows of its matrix.
+    own = n.groupBy(*g).agg(F.array_union(F.collect_set(truth), F.collect_set(pred)).alias("_c"))
+    every = own.select(*g, F.explode("_c").alias(truth), "_c").select(*g, truth, F.explode("_c").alias(pred))
+    total = n.groupBy(*g, truth).agg(F.sum("n").alias("_t"))
+    out = every.join(n.select(*g, truth, pred, "n"), [*g, truth, pred], "left").join(total, [*g, truth], "left")
+    return out.select(*g, truth, pred, F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("_t")).alias("share"))
+
+
 def subgroup_f1(df: DataFrame, group: list[str], least: int, truth: str = "truth", pred: str = "pred") -> DataFrame:
     """Macro F1 over the classes of the group, and accuracy, for groups of at least ``least``."""
     c = df.groupBy(*group, truth, pred).agg(F.count("*").alias("n"))
@@ -285,12 +300,32 @@ def best_threshold(df: DataFrame, score: str, truth: Column, steps: int = 101) -
     return s.agg(F.max(F.struct("dice", (-F.col("threshold")).alias("m"))).alias("b")).select((-F.col("b.m")).alias("threshold"), F.col("b.dice").alias("dice"))
 
 
+def at_or_over(df: DataFrame, group: list[str], score: str, thresholds: list[float], what: dict[str, Column], least: bool = False) -> DataFrame:
+    """(group, threshold, what...): sums (or minima) over the rows of each group with a score at or over each threshold.
+
+    Rows are counted once, into the histogram of the thresholds' intervals; a threshold's value is
+    put together from the intervals above it.  Every group has a row for each threshold, those that
+    nothing reaches too (sum 0, minimum null).  A null score reaches none.
+    """
+    cuts = sorted({float(t) for t in thresholds})
+    bin_ = F.size(F.filter(F.lit(cuts), lambda t: t <= F.col(score)))
+    how = F.min if least else F.sum
+    hist = df.groupBy(*group, bin_.alias("_bin")).agg(*(how(c).alias(n) for n, c in what.items()))
+    held = hist.groupBy(*group).agg(F.collect_list(F.struct("_bin", *what)).alias("_h"))
+    rows = held.select(*group, F.posexplode(F.lit(cuts)).alias("_k", "threshold"), "_h")
+    over = F.filter("_h", lambda x: x["_bin"] > F.col("_k"))
+    value = lambda n: F.array_min(F.transform(over, lambda x: x[n])) if least else F.aggregate(F.transform(over, lambda x: x[n].cast("double")), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    return rows.select(*group, "threshold", *(value(n).alias(n) for n in what))
+
+
 def sens_spec_curve(df: DataFrame, thresholds: list[float], score: str = "score", truth: str = "truth") -> DataFrame:
     """Sensitivity and specificity at thresholds (positive: at or over it)."""
-    e = df.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    e = e.withColumn("_p", F.col(score) >= F.col("threshold"))
-    pos, neg = F.col(truth) == 1, F.col(truth) == 0
-    return e.groupBy("threshold").agg(ratio(F.count_if(pos & F.col("_p")), F.count_if(pos)).alias("sensitivity"), ratio(F.count_if(neg & ~F.col("_p")), F.count_if(neg)).alias("specificity"))
+    one = lambda t: (F.col(truth) == t).cast("long")
+    over = at_or_over(df, [], score, thresholds, {"_pos": one(1), "_neg": one(0)})
+    # Scores that compare with nothing are in no negative's favour.
+    all_ = df.agg(F.sum(one(1)).alias("_p"), F.sum(one(0)).alias("_n"), F.sum(F.when(F.col(score).isNull(), one(0)).otherwise(0)).alias("_none"))
+    out = over.crossJoin(F.broadcast(all_))
+    return out.select("threshold", ratio("_pos", "_p").alias("sensitivity"), ratio(F.col("_n") - F.col("_none") - F.col("_neg"), "_n").alias("specificity"))
 
 
 def quantile_thresholds(df: DataFrame, q: list[float], score: str = "score") -> list[float]:
@@ -322,12 +357,22 @@ def match_objects(overlaps: DataFrame, sizes_p: DataFrame, sizes_g: DataFrame, g
     return totals.select(group, "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("found")).alias("fn"))
 
 
+def lesion_curve(df: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, fp, tp): false detections and distinct lesions at or over each threshold.
+
+    A lesion counts from its best detection down, so each is one score, and each detection that
+    hits none is another: two histograms, no row is repeated for a threshold.
+    """
+    first = df.where(F.col("lesion").isNotNull()).groupBy("lesion").agg(F.max("score").alias("score")).select("score", F.lit(1).alias("_tp"), F.lit(0).alias("_fp"))
+    wrong = df.where(F.col("lesion").isNull()).select("score", F.lit(0).alias("_tp"), F.lit(1).alias("_fp"))
+    # A table without detections still has its thresholds.
+    none = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("score"), F.lit(0).alias("_tp"), F.lit(0).alias("_fp"))
+    return at_or_over(first.unionByName(wrong).unionByName(none), [], "score", thresholds, {"fp": F.col("_fp"), "tp": F.col("_tp")})
+
+
 def froc(df: DataFrame, thresholds: list[float], scans: int, lesions: int) -> DataFrame:
-    """Detections (score, hit lesion or null) -> false positives a scan and monotone sensitivity by threshold."""
-    e = df.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))).where(F.col("score") >= F.col("threshold"))
-    s = e.groupBy("threshold").agg((F.count_if(F.col("lesion").isNull()) / scans).alias("fp_per_scan"), (F.count_distinct("lesion") / lesions).alias("sensitivity"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return s.withColumn("sensitivity", F.max("sensitivity").over(w))
+    """Detections (score, hit lesion or null) -> false positives a scan and sensitivity, at every threshold."""
+    return lesion_curve(df, thresholds).select("threshold", (F.col("fp") / scans).alias("fp_per_scan"), (F.col("tp") / lesions).alias("sensitivity"))
 
 
 def lesion_pr(df: DataFrame, thresholds: list[float], lesions: int) -> DataFrame:
@@ -335,10 +380,7 @@ def lesion_pr(df: DataFrame, thresholds: list[float], lesions: int) -> DataFrame
 
     A threshold that no detection reaches has precision 1 and recall 0.
     """
-    e = df.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    live = F.col("score") >= F.col("threshold")
-    s = e.groupBy("threshold").agg(F.count_distinct(F.when(live, F.col("lesion"))).alias("_tp"), F.count_if(live & F.col("lesion").isNull()).alias("_fp"))
-    return s.select("threshold", F.coalesce(ratio("_tp", F.col("_tp") + F.col("_fp")), F.lit(1.0)).alias("precision"), (F.col("_tp") / lesions).alias("recall"))
+    return lesion_curve(df, thresholds).select("threshold", F.coalesce(ratio("tp", F.col("tp") + F.col("fp")), F.lit(1.0)).alias("precision"), (F.col("tp") / lesions).alias("recall"))
 
 
 def volumes(df: DataFrame, group: list[str], p: str, voxel: float) -> DataFrame:
@@ -360,15 +402,16 @@ def join_labels(a: DataFrame, b: DataFrame, key: str, allowed: list) -> DataFram
 
 def recall_table(df: DataFrame, group: list[str], inner: str, thresholds: list[float]) -> DataFrame:
     """Recall of each inner unit at thresholds, then its median and quartiles by group."""
-    e = df.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    r = e.groupBy(*group, inner, "threshold").agg(F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("recall"))
+    n = df.where(F.col("score").isNotNull()).groupBy(*group, inner).agg(F.count("*").alias("_all"))
+    over = at_or_over(df, [*group, inner], "score", thresholds, {"_n": F.lit(1)})
+    r = over.join(n, [*group, inner], "left").withColumn("recall", F.col("_n") / F.col("_all"))
     return r.groupBy(*group, "threshold").agg(F.count("*").alias("units"), *(F.percentile("recall", F.lit(q)).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
 
 
 def noc(clicks: DataFrame, item: str, thresholds: list[float], cap: int) -> DataFrame:
     """First click to reach an IoU, else the cap."""
-    e = clicks.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    return e.groupBy(item, "threshold").agg(F.coalesce(F.min(F.when(F.col("iou") >= F.col("threshold"), F.col("click"))), F.lit(cap)).alias("clicks"))
+    over = at_or_over(clicks, [item], "iou", thresholds, {"_c": F.col("click")}, least=True)
+    return over.select(item, "threshold", F.coalesce("_c", F.lit(cap)).alias("clicks"))
 
 
 def mutual_nearest(pairs: DataFrame, a: str, b: str, d: str) -> DataFrame:

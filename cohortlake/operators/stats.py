@@ -5,7 +5,8 @@ from math import erf, pi, tan
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import corr, first_by, h, mid_ranks, ordered_bucket, prefix
+from cohortlake.functions.prims import corr, first_by, h, mid_ranks, prefix
+from cohortlake.functions.special import correlation_p, normal_p, t_p
 
 from .metrics import auroc, c_index, ratio
 
@@ -58,6 +59,13 @@ def log_curves(lines: DataFrame, file: str, line: str, text: str) -> DataFrame:
     return out.where(loss != "").select(file, "epoch", loss.cast("double").alias("loss"))
 
 
+def fold_curves(curves: DataFrame, fold: str, epoch: str, value: str, group: list[str] | None = None) -> DataFrame:
+    """A curve over folds: each fold's mean at an epoch, then their number, mean, standard deviation and range."""
+    g = group or []
+    one = curves.where(F.col(epoch).isNotNull()).groupBy(*g, fold, epoch).agg(F.avg(value).alias("_v"))
+    return one.groupBy(*g, epoch).agg(F.count("*").alias("folds"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("sd"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+
+
 def with_overall(df: DataFrame, group: str, value: str, label: str = "overall") -> DataFrame:
     """Sums and counts by group, and over all of them."""
     s = df.groupBy(group).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
@@ -125,24 +133,34 @@ def t_quantile(df_, z: float) -> Column:
 
 
 def paired_t(df: DataFrame, group: list[str], a: str, b: str, z: float = 1.959963984540054) -> DataFrame:
-    """Paired t statistic over complete rows: n, mean difference, t, degrees of freedom and interval (95 %)."""
+    """Paired t statistic over complete rows: n, mean difference, t, degrees of freedom, interval (95 %) and two-sided p."""
     d = F.col(a) - F.col(b)
     s = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), F.avg(d).alias("diff"), F.stddev_samp(d).alias("sd"))
     half = t_quantile(F.col("n") - 1, z) * F.col("sd") / F.sqrt("n")
-    return s.withColumns({"t": ratio("diff", F.col("sd") / F.sqrt("n")), "df": F.col("n") - 1, "conf_low": F.col("diff") - half, "conf_high": F.col("diff") + half})
+    out = s.withColumns({"t": ratio("diff", F.col("sd") / F.sqrt("n")), "df": F.col("n") - 1, "conf_low": F.col("diff") - half, "conf_high": F.col("diff") + half})
+    return out.withColumn("p", t_p("t", "df"))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, least: int = 2) -> DataFrame:
-    """U and z for every pair of groups with at least ``least`` values; pairs of groups, never of rows."""
+    """U, z and a two-sided p for every pair of groups with at least ``least`` values; pairs of groups, never of rows.
+
+    p is that of the normal approximation, with the variance less its part for ties and half a
+    rank for continuity; null where all values are the same.
+    """
     n = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     a, b = n.select(F.col(group).alias("ga"), F.col("n").alias("na")), n.select(F.col(group).alias("gb"), F.col("n").alias("nb"))
-    duels = a.join(F.broadcast(b), F.col("ga") < F.col("gb"))
-    cnt = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    both = cnt.join(F.broadcast(duels), (F.col(group) == F.col("ga")) | (F.col(group) == F.col("gb")))
-    p = prefix(both.select("ga", "gb", "na", "nb", F.col(value).alias("v"), F.when(F.col(group) == F.col("ga"), F.col("c")).otherwise(0).alias("ca"), F.when(F.col(group) == F.col("gb"), F.col("c")).otherwise(0).alias("cb")), ["ga", "gb", "na", "nb"], "v", {"a": F.col("ca"), "b": F.col("cb")})
-    u = p.groupBy("ga", "gb", "na", "nb").agg(F.sum(F.col("a") * (F.col("b_upto") - F.col("b") / 2)).alias("u"))
-    mu, sd = F.col("na") * F.col("nb") / 2, F.sqrt(F.col("na") * F.col("nb") * (F.col("na") + F.col("nb") + 1) / 12)
-    return u.withColumn("z", (F.col("u") - mu) / sd)
+    duels = a.join(b, F.col("ga") < F.col("gb")).withColumn("_g", F.explode(F.array("ga", "gb")))
+    cnt = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    both = cnt.join(duels, "_g")
+    own = lambda g: F.when(F.col("_g") == F.col(g), F.col("c")).otherwise(0)
+    p = prefix(both, ["ga", "gb", "na", "nb"], "v", {"a": own("ga"), "b": own("gb")})
+    t = (F.col("a") + F.col("b")).cast("double")
+    u = p.groupBy("ga", "gb", "na", "nb").agg(F.sum(F.col("a") * (F.col("b_upto") - F.col("b") / 2)).alias("u"), F.sum(t**3 - t).alias("_ties"))
+    n = F.col("na") + F.col("nb")
+    mu, var = F.col("na") * F.col("nb") / 2, F.col("na") * F.col("nb") / 12
+    spread = F.sqrt(var * (n + 1 - F.col("_ties") / (n * (n - 1))))
+    p_value = F.when(spread > 0, normal_p(F.greatest(F.abs(F.col("u") - mu) - 0.5, F.lit(0.0)) / spread))
+    return u.withColumn("z", (F.col("u") - mu) / F.sqrt(var * (n + 1))).withColumn("p", p_value).drop("_ties")
 
 
 def energy_test(df: DataFrame, key: str, side: str, value: str, perms: int, seed: int = 1) -> DataFrame:
@@ -166,18 +184,15 @@ def energy_test(df: DataFrame, key: str, side: str, value: str, perms: int, seed
 def bh(df: DataFrame, p: str, group: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg adjusted p values; missing stays missing.
 
-    Equal p values share the rank of the last of them, the one that decides; minima are taken
-    inside ordered buckets and then over the buckets above.
+    Equal p values share the rank of the last of them, the one that decides; minima run from the
+    largest p value down.
     """
     g = group or []
     at = prefix(df.where(F.col(p).isNotNull()), g, p, {"_n": F.lit(1)})
     n = df.where(F.col(p).isNotNull()).groupBy(*g).agg(F.count("*").alias("_all"))
     at = at.join(n, g) if g else at.crossJoin(F.broadcast(n))
-    at = at.select(*g, p, ordered_bucket(p).alias("_bucket"), (F.col(p) * F.col("_all") / F.col("_n_upto")).alias("_raw"))
-    inner = F.min("_raw").over(Window.partitionBy(*g, "_bucket").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
-    above = Window.partitionBy(*(g or [F.lit(0)])).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    tops = at.groupBy(*g, "_bucket").agg(F.min("_raw").alias("_low")).select(*g, "_bucket", F.min("_low").over(above).alias("_above"))
-    q = at.withColumn("_in", inner).join(tops, [*g, "_bucket"]).select(*g, p, F.least(F.lit(1.0), "_in", "_above").alias("q"))
+    low = prefix(at, g, p, {"_q": F.col(p) * F.col("_all") / F.col("_n_upto")}, descending=True, least=True)
+    q = low.select(*g, p, F.least(F.lit(1.0), "_q_upto").alias("q"))
     return df.join(q, [*g, p], "left").select(*df.columns, "q")
 
 
@@ -188,6 +203,25 @@ def correlations(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     return r.groupBy(*group).agg(F.count("*").alias("n"), corr(x, y).alias("pearson"), corr("_rx", "_ry").alias("spearman"))
 
 
+def correlation_tests(df: DataFrame, group: list[str], x: str, y: str, least: int = 3) -> DataFrame:
+    """``correlations`` with two-sided p values, for groups of at least ``least`` complete pairs."""
+    c = correlations(df, group, x, y).where(F.col("n") >= least)
+    return c.withColumns({"pearson_p": correlation_p("pearson", "n"), "spearman_p": correlation_p("spearman", "n")})
+
+
+def level_correlations(df: DataFrame, group: list[str], case: str, target: str, score: str) -> DataFrame:
+    """Correlations of a score with its target by level and subset of targets.
+
+    Levels: every row (``row``), a case's mean score (``case_mean``) and largest one (``case_max``),
+    against the case's target, of which it has one.  Subsets: ``all`` and those over 0 (``positive``).
+    """
+    row = df.select(*group, F.lit("row").alias("level"), F.col(target).alias("_t"), F.col(score).alias("_s"))
+    one = df.groupBy(*group, case).agg(F.max(target).alias("_t"), F.avg(score).alias("case_mean"), F.max(score).alias("case_max"))
+    levels = row.unionByName(one.unpivot([*group, "_t"], ["case_mean", "case_max"], "level", "_s"))
+    subsets = F.when(F.col("_t") > 0, F.array(F.lit("all"), F.lit("positive"))).otherwise(F.array(F.lit("all")))
+    return correlation_tests(levels.withColumn("subset", F.explode(subsets)), [*group, "level", "subset"], "_t", "_s")
+
+
 def channel_corr(df: DataFrame, group: str, channels: list[str]) -> DataFrame:
     """Correlation of every pair of columns; null where one is constant."""
     pairs = [(a, b) for i, a in enumerate(channels) for b in channels[i + 1 :]]
@@ -207,6 +241,13 @@ def churn(prev: DataFrame, cur: DataFrame, key: str, label: str) -> DataFrame:
     return prev.select(key, F.col(label).alias("_p")).join(cur.select(key, F.col(label).alias("_c")), key).agg(F.avg((F.col("_p") != F.col("_c")).cast("double")).alias("changed"))
 
 
+def soft_churn(prev: DataFrame, cur: DataFrame, key: str, probs: str) -> DataFrame:
+    """Mean total variation between a key's class probabilities before and after."""
+    both = prev.select(key, F.col(probs).alias("_p")).join(cur.select(key, F.col(probs).alias("_c")), key)
+    gap = F.aggregate(F.zip_with("_p", "_c", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 2
+    return both.agg(F.avg(gap).alias("changed"))
+
+
 def rhat(df: DataFrame, param: str, chain: str, step: str, value: str) -> DataFrame:
     """Potential scale reduction over chains, lag-one correlation about each chain's mean, and effective sample size.
 
@@ -234,8 +275,23 @@ def presence_matrix(df: DataFrame, item: str, cls: str, metric: str, wanted: str
     return df.join(has, item, "left_semi").groupBy(item).pivot(cls, classes).avg(metric).orderBy(F.desc_nulls_last(wanted), item)
 
 
-def significance_table(df: DataFrame, outcome: str, run: str, p: str, alpha: float, runs: list[str]) -> DataFrame:
-    """p values under alpha by outcome and run, with their number, and a row of totals."""
+def significance_order(df: DataFrame, run: str, p: str, alpha: float) -> list[str]:
+    """Runs, which become columns, by their number of p values under alpha, the most first (ties: by name)."""
+    n = df.groupBy(run).agg(F.count_if(F.col(p) < alpha).alias("n")).collect()
+    return [r[run] for r in sorted(n, key=lambda r: (-r["n"], r[run]))]
+
+
+def significance_table(df: DataFrame, outcome: str, run: str, p: str, alpha: float, runs: list[str] | None = None) -> DataFrame:
+    """p values under alpha by outcome and run, with their number, and a row of totals.
+
+    Without ``runs`` all of them are columns, by their number of hits, and the outcomes' ``place``
+    by theirs is added (the totals have none).
+    """
+    if runs is None:
+        t = significance_table(df, outcome, run, p, alpha, significance_order(df, run, p, alpha))
+        total = F.col(outcome) == "total"
+        place = F.row_number().over(Window.partitionBy(total).orderBy(F.desc("hits"), outcome))
+        return t.withColumn("place", F.when(~total, place))
     hit = df.withColumn("_p", F.when(F.col(p) < alpha, F.col(p)))
     t = hit.groupBy(outcome).pivot(run, runs).agg(F.min("_p")).join(hit.groupBy(outcome).agg(F.count("_p").alias("hits")), outcome)
     total = hit.groupBy(F.lit("total").alias(outcome)).pivot(run, runs).agg(F.count("_p").cast("double")).join(hit.agg(F.count("_p").alias("hits")))

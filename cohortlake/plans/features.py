@@ -97,6 +97,21 @@ def d13(spark, d):
     return D.pca(e.where("vec_id % 4 <> 0"), e.where("vec_id % 4 = 0"), [f"v{i}" for i in range(64)], 3).select("vec_id", "components")
 
 
+@query("d12_l1_classes")
+def d12c(spark, d):
+    x = table(spark, d, "lineitem").withColumn("y", F.when(F.col("l_quantity") < 17, 0.0).when(F.col("l_quantity") < 34, 1.0).otherwise(2.0))
+    return D.l1_select(x, ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "y", 0.05, 3, kind="class")
+
+
+@query("d13_pca_by_share", """WITH s AS (SELECT corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem) SELECT CASE WHEN (1 + abs(r)) / 2 >= 0.9 THEN 1 ELSE 2 END::BIGINT AS k,
+ round(CASE WHEN (1 + abs(r)) / 2 >= 0.9 THEN (1 + abs(r)) / 2 ELSE 1 END, 6) AS share, round((1 + abs(r)) * (n - 1) / n, 6) AS first_variance FROM s""")
+def d13s(spark, d):
+    x, c = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"]
+    _, k, share = D.fit_pca(x, c, 0.9)
+    one = D.pca(x, x, c, 0.9).agg(F.max(F.size("components")).cast("long").alias("k"), F.var_pop(F.col("components")[0]).alias("first_variance"))
+    return rounded(one.where(F.col("k") == k).select("k", F.lit(share).alias("share"), "first_variance"))
+
+
 @query("d14_unit_vectors", f"SELECT vec_id, round(sum(v * v) / greatest(sqrt(sum(v * v)), 1e-8) ** 2, 6) AS length, round(max(v) / sqrt(sum(v * v)), 6) AS top FROM {VEC} GROUP BY 1")
 def d14(spark, d):
     n = vectors(spark, d).select("vec_id", l2("embedding").alias("u"))

@@ -31,6 +31,13 @@ def g02(spark, d):
     return rounded(G.percentile_of(x, x.select("distance"), "distance"))
 
 
+@query("g02_mid_rank_percentiles", f"""WITH x AS (SELECT vec_id, round(avg(1 - similarity), 6) AS distance FROM {KNN} GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM x WHERE vec_id % 3 = 0),
+ p AS (SELECT vec_id, distance, (SELECT count(*) FROM x y WHERE y.vec_id % 3 = 0 AND y.distance <= x.distance) AS r FROM x) SELECT vec_id, distance, round(least(greatest((r - 0.5) / n, 0.5 / n), 1 - 0.5 / n), 6) AS percentile FROM p, n""")
+def g02m(spark, d):
+    x = rounded(G.knn_distance(nn(spark, d), "vec_id"))
+    return rounded(G.percentile_of(x, x.where("vec_id % 3 = 0").select("distance"), "distance", mid=True))
+
+
 @query("g03_hubness", f"SELECT neighbour, count(*) AS times FROM {KNN} GROUP BY 1")
 def g03(spark, d):
     return G.hubness(nn(spark, d))
@@ -138,6 +145,13 @@ def g12(spark, d):
     return rounded(G.mmd(table(spark, d, "embeddings").withColumn("side", F.col("vec_id") % 2), "vec_id", "side", "embedding", [0.5, 1.0]))
 
 
+@query("g12_median_heuristic", """WITH e AS (SELECT vec_id % 2 AS side, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT quantile_cont(list_distance(x.e, y.e), 0.5) AS m FROM e x JOIN e y ON x.side = 0 AND y.side = 1),
+ p AS (SELECT a.side AS a, b.side AS b, list_distance(a.e, b.e) AS d FROM e a, e b), k AS (SELECT a, b, avg((exp(-d * d / (m * m / 2)) + exp(-d * d / (2 * m * m)) + exp(-d * d / (8 * m * m))) / 3) AS k FROM p, m GROUP BY 1, 2)
+ SELECT round(sum(CASE WHEN a = b THEN k ELSE -k END), 6) AS mmd2 FROM k""")
+def g12m(spark, d):
+    return rounded(G.mmd(table(spark, d, "embeddings").withColumn("side", F.col("vec_id") % 2), "vec_id", "side", "embedding"))
+
+
 @query("g13_concatenated", f"""WITH n AS (SELECT graph_id // 10 AS win, graph_id, max(node_id) + 1 AS n FROM {NODES} GROUP BY 1, 2), o AS (SELECT win, graph_id, coalesce(sum(n) OVER (PARTITION BY win ORDER BY graph_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM n)
  SELECT win, count(*) AS edges, sum(src + o)::BIGINT AS src, sum(dst + o)::BIGINT AS dst FROM {GE} JOIN o USING (graph_id) GROUP BY 1""")
 def g13(spark, d):

@@ -81,6 +81,13 @@ def e04(spark, d):
     return rounded(E.confusion(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus").select(F.col("l_returnflag").alias("truth"), F.col("l_linestatus").alias("pred"), "n", "share"))
 
 
+@query("e04_confusion_matrix", """WITH r AS (SELECT l_linenumber % 3 AS t, l_linenumber % 3 + l_linenumber % 4 AS p FROM lineitem), c AS (SELECT t AS k FROM r UNION SELECT p FROM r), n AS (SELECT t, p, count(*) AS n FROM r GROUP BY 1, 2)
+ SELECT a.k AS truth, b.k AS pred, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT sum(n) FROM n x WHERE x.t = a.k), 6) AS share FROM c a CROSS JOIN c b LEFT JOIN n ON n.t = a.k AND n.p = b.k""")
+def e04m(spark, d):
+    i = table(spark, d, "lineitem").select((F.col("l_linenumber") % 3).alias("truth"), (F.col("l_linenumber") % 3 + F.col("l_linenumber") % 4).alias("pred"))
+    return rounded(E.confusion_matrix(i))
+
+
 PAIRS3 = "(SELECT l_linenumber % 4 AS i, (l_linenumber + (l_discount > 0.06)::INT) % 4 AS j FROM lineitem)"
 
 
@@ -289,6 +296,12 @@ def e26(spark, d):
     return rounded(E.froc(cells(spark, d).withColumn("lesion", F.when(F.col("truth") == 1, F.col("scan"))), [0.15, 0.45, 0.75], 15000, 12000))
 
 
+@query("e26_froc_all_thresholds", f"""WITH t AS (SELECT th AS threshold, count(*) FILTER (truth = 0 AND score >= th) / 15000 AS fp_per_scan, count(DISTINCT CASE WHEN truth = 1 AND score >= th THEN scan END) / 12000 AS sensitivity FROM {CELLS}, (SELECT unnest(range(51)) / 25.0::DOUBLE AS th) GROUP BY 1)
+ SELECT threshold, round(fp_per_scan, 6) AS fp_per_scan, round(sensitivity, 6) AS sensitivity FROM t""")
+def e26a(spark, d):
+    return rounded(E.froc(cells(spark, d).withColumn("lesion", F.when(F.col("truth") == 1, F.col("scan"))), [k / 25 for k in range(51)], 15000, 12000))
+
+
 @query("e26_precision_recall", f"""WITH t AS (SELECT th AS threshold, count(*) FILTER (truth = 0 AND score >= th) AS fp, count(DISTINCT CASE WHEN truth = 1 AND score >= th THEN scan END) AS tp FROM {CELLS}, (VALUES (0.15::DOUBLE), (0.45), (0.75), (2.0)) v(th) GROUP BY 1)
  SELECT threshold, round(coalesce(tp / nullif(tp + fp, 0), 1), 6) AS precision, round(tp / 12000, 6) AS recall FROM t""")
 def e26p(spark, d):

@@ -54,6 +54,14 @@ def f07(spark, d):
     return S.log_curves(e, "user_id", "event_id", "line").groupBy("user_id", "epoch").agg(F.round(F.avg("loss"), 9).alias("loss"), F.count("*").alias("n"))
 
 
+@query("f07_fold_curves", """WITH l AS (SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN event_id // 50 END AS e, CASE WHEN event_id % 5 <> 0 THEN value END AS v FROM events), c AS (SELECT user_id % 5 AS fold, v, last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM l),
+ f AS (SELECT fold, epoch::INT AS epoch, avg(v) AS v FROM c WHERE v IS NOT NULL AND epoch IS NOT NULL GROUP BY 1, 2) SELECT epoch, count(*) AS folds, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS low, round(max(v), 6) AS high FROM f GROUP BY 1""")
+def f07c(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("epoch "), F.floor(F.col("event_id") / 50))).otherwise(F.concat(F.lit("loss "), "value")).alias("line"))
+    c = S.log_curves(e, "user_id", "event_id", "line").withColumn("fold", F.col("user_id") % 5)
+    return rounded(S.fold_curves(c, "fold", "epoch", "loss"))
+
+
 @query("f08_with_overall", "SELECT coalesce(c_mktsegment, 'overall') AS c_mktsegment, round(sum(c_acctbal), 2) AS total, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), ())")
 def f08(spark, d):
     return rounded(S.with_overall(table(spark, d, "customer"), "c_mktsegment", "c_acctbal"), 2)
@@ -115,10 +123,35 @@ def f12(spark, d):
     return t.select("o_orderpriority", "n", F.round("diff", 4).alias("diff"), F.round("sd", 4).alias("sd"), F.round("t", 6).alias("t"))
 
 
+#: Two-sided p of Student's t for whole degrees of freedom, as the finite sums of its distribution.
+TP = """(1 - CASE WHEN v % 2 = 1 THEN 2 / pi() * (th + CASE WHEN v > 1 THEN sin(th) * list_sum(list_transform(range(((v - 1) // 2)::BIGINT), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * cos(th) ** (2 * k + 1))) ELSE 0 END)
+ ELSE sin(th) * list_sum(list_transform(range((v // 2)::BIGINT), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * cos(th) ** (2 * k))) END)"""
+
+
+@query("f12_paired_t_p", f"""WITH d AS (SELECT o_custkey AS unit, o_totalprice - s AS d FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+ a AS (SELECT unit, count(*)::BIGINT - 1 AS v, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d GROUP BY 1 HAVING count(*) > 1), b AS (SELECT unit, v, t, atan(abs(t) / sqrt(v)) AS th FROM a) SELECT unit, v AS df, round(t, 6) AS t, round({TP}, 6) AS p FROM b""")
+def f12p(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("s"))
+    o = table(spark, d, "orders").join(s, "o_orderkey").withColumn("unit", F.col("o_custkey"))
+    return rounded(S.paired_t(o, ["unit"], "o_totalprice", "s").where("n > 1").select("unit", "df", "t", "p"))
+
+
+#: Two-sided p of a normal z by the series of erf.
+NP = "(1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(200), lambda k: exp(k * ln(2) + (2 * k + 1) * ln(greatest(z, 1e-300) / sqrt(2)) + lgamma(k + 1) + k * ln(2) - lgamma(2 * k + 2)))))"
+
+
+@query("f13_mann_whitney_p", f"""WITH e AS (SELECT event_type, floor(value / 10) AS value FROM events), r AS (SELECT a.event_type AS ga, b.event_type AS gb, count(*) FILTER (a.value > b.value) + 0.5 * count(*) FILTER (a.value = b.value) AS u FROM e a JOIN e b ON a.event_type < b.event_type GROUP BY 1, 2), n AS (SELECT event_type, count(*)::DOUBLE AS n FROM e GROUP BY 1),
+ c AS (SELECT event_type, value, count(*)::DOUBLE AS c FROM e GROUP BY 1, 2), t AS (SELECT ga, gb, sum(t ** 3 - t) AS ties FROM (SELECT ga, gb, value, sum(c) AS t FROM r JOIN c ON event_type IN (ga, gb) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ x AS (SELECT ga, gb, greatest(abs(u - x.n * y.n / 2) - 0.5, 0) / sqrt(x.n * y.n / 12 * (x.n + y.n + 1 - ties / ((x.n + y.n) * (x.n + y.n - 1)))) AS z FROM r JOIN t USING (ga, gb) JOIN n x ON x.event_type = ga JOIN n y ON y.event_type = gb) SELECT ga, gb, round({NP}, 6) AS p FROM x""")
+def f13p(spark, d):
+    e = table(spark, d, "events").withColumn("value", F.floor(F.col("value") / 10).cast("double"))
+    return rounded(S.mann_whitney(e, "event_type", "value").select("ga", "gb", "p"))
+
+
 @query("f13_mann_whitney", """WITH r AS (SELECT a.event_type AS ga, b.event_type AS gb, count(*) FILTER (a.value > b.value) + 0.5 * count(*) FILTER (a.value = b.value) AS u FROM events a JOIN events b ON a.event_type < b.event_type GROUP BY 1, 2), n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
  SELECT ga, gb, x.n AS na, y.n AS nb, u::DOUBLE AS u, round((u - x.n * y.n / 2) / sqrt(x.n * y.n * (x.n + y.n + 1) / 12), 6) AS z FROM r JOIN n x ON x.event_type = ga JOIN n y ON y.event_type = gb""")
 def f13(spark, d):
-    return rounded(S.mann_whitney(table(spark, d, "events"), "event_type", "value"))
+    return rounded(S.mann_whitney(table(spark, d, "events"), "event_type", "value").drop("p"))
 
 
 #: Every replicate's distance over all distinct values, as the integral of the squared gap of distribution functions.
@@ -160,6 +193,16 @@ def f16(spark, d):
     return rounded(S.correlations(e, ["event_type"], "value", "u"))
 
 
+@query("f16_levels", f"""WITH e AS (SELECT event_type, user_id, (user_id % 7)::DOUBLE AS t, value AS s FROM events), c AS (SELECT event_type, t, avg(s) AS m, max(s) AS x FROM e GROUP BY event_type, user_id, t),
+ l AS (SELECT event_type, 'row' AS level, t, s FROM e UNION ALL SELECT event_type, 'case_mean', t, m FROM c UNION ALL SELECT event_type, 'case_max', t, x FROM c), a AS (SELECT *, 'all' AS subset FROM l UNION ALL SELECT *, 'positive' FROM l WHERE t > 0),
+ r AS (SELECT *, rank() OVER (PARTITION BY event_type, level, subset ORDER BY t) + (count(*) OVER (PARTITION BY event_type, level, subset, t) - 1) / 2.0 AS rt, rank() OVER (PARTITION BY event_type, level, subset ORDER BY s) + (count(*) OVER (PARTITION BY event_type, level, subset, s) - 1) / 2.0 AS rs FROM a),
+ g AS (SELECT event_type, level, subset, count(*)::BIGINT AS n, corr(t, s) AS pearson, corr(rt, rs) AS spearman FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 3), p AS (SELECT *, n - 2 AS v, atan(abs(pearson) / sqrt(1 - pearson ** 2)) AS th FROM g)
+ SELECT event_type, level, subset, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round({TP}, 6) AS pearson_p FROM p""")
+def f16l(spark, d):
+    e = table(spark, d, "events").select("event_type", "user_id", (F.col("user_id") % 7).cast("double").alias("t"), F.col("value").alias("s"))
+    return rounded(S.level_correlations(e, ["event_type"], "user_id", "t", "s").drop("spearman_p"))
+
+
 @query("f17_channel_correlation", """SELECT l_suppkey, pair, round(c, 6) AS corr FROM (SELECT l_suppkey, corr(l_quantity, l_discount) AS a, corr(l_quantity, l_extendedprice) AS b, corr(l_discount, l_extendedprice) AS c3 FROM lineitem GROUP BY 1),
  LATERAL (SELECT 'l_quantity~l_discount' AS pair, a AS c UNION ALL SELECT 'l_quantity~l_extendedprice', b UNION ALL SELECT 'l_discount~l_extendedprice', c3)""")
 def f17(spark, d):
@@ -181,6 +224,15 @@ def f19(spark, d):
     return rounded(S.churn(a, b, "c_custkey", "k"))
 
 
+@query("f19_soft_churn", """WITH p AS (SELECT [x / (x + y + 1), y / (x + y + 1), 1 / (x + y + 1)] AS a, [y / (x + y + 2), x / (x + y + 2), 2 / (x + y + 2)] AS b FROM (SELECT (o_orderkey % 13)::DOUBLE AS x, (o_custkey % 7)::DOUBLE AS y FROM orders))
+ SELECT round(avg((abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3])) / 2), 6) AS changed FROM p""")
+def f19s(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 13).cast("double").alias("x"), (F.col("o_custkey") % 7).cast("double").alias("y"))
+    to = lambda a, b, c: F.transform(F.array(a, b, c), lambda v: v / (F.col("x") + F.col("y") + c))
+    before, now = o.select("o_orderkey", to(F.col("x"), F.col("y"), F.lit(1.0)).alias("p")), o.select("o_orderkey", to(F.col("y"), F.col("x"), F.lit(2.0)).alias("p"))
+    return rounded(S.soft_churn(before, now, "o_orderkey", "p"))
+
+
 @query("f20_rhat", """WITH e AS (SELECT event_type, user_id % 4 AS chain, event_id, value FROM events), c AS (SELECT event_type, chain, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM e GROUP BY 1, 2),
  x AS (SELECT event_type, value - m AS x, lag(value - m) OVER (PARTITION BY event_type, chain ORDER BY event_id) AS l FROM e JOIN c USING (event_type, chain)), r AS (SELECT event_type, greatest(-0.99, least(0.99, avg(x * l) / avg(x * x))) AS r FROM x GROUP BY 1),
  s AS (SELECT event_type, avg(n) AS n, sum(n) AS k, avg(v) AS w, var_samp(m) AS b FROM c GROUP BY 1) SELECT event_type, round(sqrt(((n - 1) / n * w + b) / w), 6) AS rhat, round(r, 6) AS lag1, round(k * (1 - r) / (1 + r), 3) AS ess FROM s JOIN r USING (event_type)""")
@@ -211,6 +263,17 @@ def f23(spark, d):
     return S.significance_table(p, "outcome", "run", "p", 0.06, ["ECONOMY", "SMALL"])
 
 
+@query("f23_significance_ordered", """WITH e AS (SELECT p_brand AS outcome, p_type AS run, p_retailprice / 20000 AS p FROM part), h AS (SELECT outcome, count(*) FILTER (p < 0.06) AS hits, min(p) FILTER (p < 0.06) AS least FROM e GROUP BY 1)
+ SELECT outcome, hits, least, row_number() OVER (ORDER BY hits DESC, outcome)::INT AS place FROM h UNION ALL SELECT 'total', count(*) FILTER (p < 0.06), (SELECT max(n) FROM (SELECT count(*) FILTER (p < 0.06) AS n FROM e GROUP BY run)), NULL FROM e""")
+def f23o(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("outcome"), F.col("p_type").alias("run"), (F.col("p_retailprice") / 20000).alias("p"))
+    t = S.significance_table(p, "outcome", "run", "p", 0.06)
+    runs = t.columns[1:-2]
+    # Of the totals the first column is the largest; of an outcome the least p of all columns.
+    one = F.when(F.col("outcome") == "total", F.col(f"`{runs[0]}`")).otherwise(F.array_min(F.array(*(F.col(f"`{r}`") for r in runs))))
+    return t.select("outcome", "hits", one.alias("least"), "place")
+
+
 @query("f24_parameter_stability", "WITH n AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2), s AS (SELECT *, round(n / sum(n) OVER (PARTITION BY p_brand), 6) AS share, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) AS place FROM n) SELECT * FROM s WHERE place <= 3")
 def f24(spark, d):
     return rounded(S.param_stability(table(spark, d, "part"), "p_brand", "p_size"))
