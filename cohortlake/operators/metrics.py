@@ -7,7 +7,7 @@ list of columns; metrics that aren't defined (a single class, no comparable pair
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import col, first_by, mid_ranks, prefix
+from cohortlake.functions.prims import col, first_by, materialize, mid_ranks, prefix
 
 
 def ratio(a, b) -> Column:
@@ -473,18 +473,70 @@ def bleu(df: DataFrame, key: str, answer: str, truth: str, n: int = 4) -> DataFr
     return rows.join(s, key, "left").select(key, F.when(F.col("k") == n, short * F.exp("l")).otherwise(0.0).alias("bleu"))
 
 
-def vqa_accuracy(df: DataFrame, key: str, answer: str, truth: str, candidates: DataFrame, cand: str, text: str, group: list[str]) -> DataFrame:
-    """Closed questions: the candidate that shares the most distinct words with the answer (ties: the first) is the choice.
+def best_candidates(answers: DataFrame, key: str, answer: str, candidates: DataFrame, cand: str, text: str) -> DataFrame:
+    """(key, cand): for each answer the candidate that shares the most distinct words with it (ties: the first).
 
-    Words meet by an equi-join; an answer that shares none with any candidate is wrong.
+    A prefix-filtered search.  Answers become sets of words that candidates have, equal sets once,
+    words in order of rarity.  A set meets only the candidates of its rarest words, whose overlap is
+    then counted in full; once r words are probed, all others share at most the m - r that are left,
+    and a set with a better candidate is done.  Of a set's last, most common word only the first
+    candidate can still win, which the word's own row names, and words that every candidate has
+    decide nothing: neither is joined.
     """
-    words = lambda d, c, k: d.select(k, F.explode(F.array_distinct(tokens(c))).alias("w"))
-    shared = words(df, answer, key).join(words(candidates, text, cand), "w").groupBy(key, cand).agg(F.count("*").alias("n"))
-    choice = first_by(shared, [key], F.desc("n"), F.col(cand)).select(key, F.col(cand).alias("_c"))
+    spark = answers.sparkSession
+    own = materialize(candidates.select(F.col(cand).alias("c"), F.array_distinct(tokens(text)).alias("cw")))
+    posts = own.select("c", F.explode("cw").alias("w"))
+    word = posts.groupBy("w").agg(F.count("*").alias("n"), F.min("c").alias("first"))
+    total = own.agg(F.count("*").alias("nc"), F.min("c").alias("least"))
+    said = answers.select(F.col(key).alias("k"), F.explode(F.array_distinct(tokens(answer))).alias("w")).join(word, "w").crossJoin(F.broadcast(total))
+    common = F.col("n") == F.col("nc")
+    sets = said.groupBy("k").agg(F.array_sort(F.collect_list(F.when(~common, F.struct("n", "w", "first")))).alias("s"), F.min(F.when(common, F.col("least"))).alias("any"))
+    sets = materialize(sets)
+    none = F.lit(None).cast(f"struct<o:int,c:{own.schema['c'].dataType.simpleString()}>")
+    todo = materialize(sets.where(F.size("s") > 0).select("s").distinct().select("s", F.transform("s", lambda x: x["w"]).alias("ws"), none.alias("best")))
+    done, probed, step = [], 0, 1
+    while not todo.isEmpty():
+        # All but the last word; of a candidate's shared words only the first one probed brings it.
+        probe = todo.select("s", "ws", F.explode(F.slice("ws", F.lit(probed + 1), F.greatest(F.least(F.lit(step), F.size("ws") - 1 - probed), F.lit(0)))).alias("w"))
+        met = probe.join(posts, "w").join(own, "c")
+        shared = F.array_intersect("ws", "cw")
+        found = met.where(F.get(shared, F.lit(0)) == F.col("w")).groupBy("s").agg(F.min(F.struct((-F.size(shared)).alias("o"), "c")).alias("_new"))
+        probed, step = probed + step, 2 * step
+        now = todo.join(found, "s", "left").select("s", "ws", F.least("best", "_new").alias("best"))
+        settled = (-F.coalesce(F.col("best.o"), F.lit(0)) > F.size("ws") - probed) | (F.size("ws") - 1 <= probed)
+        now = materialize(now.withColumn("settled", settled))
+        done.append(now.where("settled").select("s", "best"))
+        todo = now.where("not settled").select("s", "ws", "best")
+    last = F.struct(F.lit(-1).alias("o"), F.element_at("s", -1)["first"].alias("c"))
+    out = spark.createDataFrame([], sets.select("k", F.col("any").alias("c")).schema)
+    for part in done:
+        out = out.unionByName(sets.join(part, "s").select("k", F.least("best", last)["c"].alias("c")))
+    out = out.unionByName(sets.where((F.size("s") == 0) & F.col("any").isNotNull()).select("k", F.col("any").alias("c")))
+    return out.select(F.col("k").alias(key), F.col("c").alias(cand))
+
+
+def vqa_accuracy(df: DataFrame, key: str, answer: str, truth: str, candidates: DataFrame, cand: str, text: str, group: list[str]) -> DataFrame:
+    """Closed questions: the candidate of ``best_candidates`` is the choice; an answer that shares no word with any is wrong."""
+    choice = best_candidates(df, key, answer, candidates, cand, text).select(key, F.col(cand).alias("_c"))
     hit = F.coalesce((F.col("_c") == F.col(truth)).cast("double"), F.lit(0.0))
     return df.join(choice, key, "left").groupBy(*group).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"))
 
 
+def held_candidates(answers: DataFrame, key: str, answer: str, candidates: DataFrame, text: str) -> DataFrame:
+    """(key, text, n): candidate texts, normalised, whose n distinct words all stand in the answer.
+
+    A candidate is filed under the one of its words that the fewest answers have, and meets those
+    answers only; one with a word that no answer has meets none.
+    """
+    said = answers.select(key, F.array_distinct(tokens(answer)).alias("_aw"))
+    word = said.select(F.explode("_aw").alias("_w")).groupBy("_w").agg(F.count("*").alias("_f"))
+    own = candidates.select(F.array_join(tokens(text), " ").alias("text"), F.array_distinct(tokens(text)).alias("_cw")).distinct().where(F.size("_cw") > 0)
+    rare = own.select("text", F.explode("_cw").alias("_w")).join(word, "_w", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "_w")).alias("_r"))
+    filed = own.join(rare.where("_r.f > 0").select("text", F.col("_r._w").alias("_w")), "text")
+    met = said.select(key, "_aw", F.explode("_aw").alias("_w")).join(filed, "_w").where(F.size(F.array_except("_cw", "_aw")) == 0)
+    return met.select(key, "text", F.size("_cw").alias("n"))
+
+
 def open_accuracy(df: DataFrame, key: str, answer: str, truth: str, candidates: DataFrame, text: str, group: list[str], n: int = 4) -> DataFrame:
     """Open questions by group: exact matches, mean token precision, recall and F1, mean BLEU, and ``hit``.
 
@@ -492,11 +544,8 @@ def open_accuracy(df: DataFrame, key: str, answer: str, truth: str, candidates:
     candidate texts whose words all stand in the answer, the one of most words is the truth.
     """
     scores = answer_scores(df, key, answer, truth).join(bleu(df, key, answer, truth, n), key)
-    words = lambda d, c, *k: d.select(*k, F.explode(F.array_distinct(tokens(c))).alias("w"))
-    cand = candidates.select(F.array_join(tokens(text), " ").alias("_text"), F.size(F.array_distinct(tokens(text))).alias("_n")).distinct().where("_n > 0")
-    held = words(df, answer, key).join(cand.select("_text", "_n", F.explode(F.array_distinct(F.split("_text", " "))).alias("w")), "w")
-    held = held.groupBy(key, "_text", "_n").agg(F.count("*").alias("_k")).where("_k = _n")
-    most = first_by(held, [key], F.desc("_n"), F.col("_text")).select(key, F.col("_text").alias("_best"))
+    held = held_candidates(df, key, answer, candidates, text)
+    most = first_by(held, [key], F.desc("n"), F.col("text")).select(key, F.col("text").alias("_best"))
     rows = df.select(key, *group, F.array_join(tokens(truth), " ").alias("_truth")).join(scores, key).join(most, key, "left")
     hit = F.coalesce((F.col("_best") == F.col("_truth")).cast("double"), F.lit(0.0))
     return rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg("exact").alias("exact"), *(F.avg(c).alias(c) for c in ("precision", "recall", "f1", "bleu")), F.avg(hit).alias("hit"))
