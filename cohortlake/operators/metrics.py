@@ -494,14 +494,14 @@ def best_candidates(answers: DataFrame, key: str, answer: str, candidates: DataF
     sets = materialize(sets)
     none = F.lit(None).cast(f"struct<o:int,c:{own.schema['c'].dataType.simpleString()}>")
     todo = materialize(sets.where(F.size("s") > 0).select("s").distinct().select("s", F.transform("s", lambda x: x["w"]).alias("ws"), none.alias("best")))
-    done, probed, step = [], 0, 1
+    done, probed, step = [], 0, 4
     while not todo.isEmpty():
         # All but the last word; of a candidate's shared words only the first one probed brings it.
         probe = todo.select("s", "ws", F.explode(F.slice("ws", F.lit(probed + 1), F.greatest(F.least(F.lit(step), F.size("ws") - 1 - probed), F.lit(0)))).alias("w"))
         met = probe.join(posts, "w").join(own, "c")
         shared = F.array_intersect("ws", "cw")
         found = met.where(F.get(shared, F.lit(0)) == F.col("w")).groupBy("s").agg(F.min(F.struct((-F.size(shared)).alias("o"), "c")).alias("_new"))
-        probed, step = probed + step, 2 * step
+        probed, step = probed + step, 4 * step
         now = todo.join(found, "s", "left").select("s", "ws", F.least("best", "_new").alias("best"))
         settled = (-F.coalesce(F.col("best.o"), F.lit(0)) > F.size("ws") - probed) | (F.size("ws") - 1 <= probed)
         now = materialize(now.withColumn("settled", settled))
