@@ -9,7 +9,8 @@ similarity 0.8, 5 in 100,000 share no key (simulated; at 0.85 one in a million),
 Texts with equal shingle sets are one class.  Then, in rounds, all confirmed on full sets:
 
 1. In every key the class whose keys are shared most (of a group of copies, that nearest to
-   its middle) is the centre, and the others are held against it.
+   its middle) is the centre, and the others are held against it.  Those that it doesn't take
+   in get a centre of their own in the same way, once.
 2. What is left are keys whose classes still lie in several components.  In keys of up to
    ``FEW`` classes these are compared with each other.  In larger ones (near copies that stay
    under the share) every class is split by its key's centre into the core(a) shingles that the
@@ -17,6 +18,7 @@ Texts with equal shingle sets are one class.  Then, in rounds, all confirmed on
    their outsides have in common, and to be linked they share ``share / (100 + share)`` of their
    sizes' sum.  So only pairs are compared whose cores reach that, or that meet by shingles
    outside the centre and reach it with these; near copies that each went their own way don't meet.
+   Components meet there first, each once, and their classes only where a link is possible.
 
 Nulls and empties: texts without words have no shingles, belong to their own class and are
 linked with nothing; a null doc_id is kept, as a document of its own with a null component;
@@ -189,29 +191,67 @@ def named(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a_c").alias("a"), F.col("b_c").alias("b")).distinct()
 
 
-def outside_pairs(seen: DataFrame, part: DataFrame, share: int) -> DataFrame:
-    """(a, b): pairs that meet by shingles outside a common centre and can be linked by what they share.
+def outside_rows(seen: DataFrame, part: DataFrame, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """-> (classes beside their centre, those that search, by outside shingle, and all of them, by outside shingle).
 
-    They have to share ``share / (100 + share)`` of their sizes' sum, at most the smaller core
-    of it in the centre.  Of two classes one is not linked with the centre: it searches.  It
-    needs as many outside shingles in common as its core lacks; all but one of these may be
-    left out of the search, and those that most classes of the centre have are.
+    To be linked, two classes have to share ``share / (100 + share)`` of their sizes' sum, at most the
+    smaller core of it in the centre.  One of the two is not of the centre's component: it searches.
+    It needs as many outside shingles in common as its core lacks; all but one of these may be left
+    out of the search (``spare`` of them whoever the other is), and those that most classes of the
+    centre have are.
     """
     own = seen.join(part.withColumnRenamed("c", "b"), "b").join(part.select(F.col("c").alias("a"), F.col("part").alias("pa")), "a")
     own = own.withColumn("out", F.size("outside"))
-    row = lambda x: [F.col("b").alias(f"{x}_c"), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "part", "core", "out"))]
-    target = own.select("a", *row("b"), F.explode("outside").alias("s"))
+    # The smallest class that can be linked at all has share / 100 of the other's shingles.
+    least = F.ceil((F.col("n") + F.ceil(F.col("n") * share / 100)) * share / (100 + share))
+    own = own.withColumn("spare", F.greatest(F.lit(0), least - F.col("core") - 1).cast("long"))
+    columns = ["b", "n", "part", "core", "out"]
+    target = own.select("a", *columns, F.explode("outside").alias("s"))
     common = target.groupBy("a", "s").agg(F.count("*").alias("times")).where("times > 1")
-    search = own.where("part <> pa").select("a", *row("a"), F.explode("outside").alias("s")).join(common, ["a", "s"])
-    search = search.withColumn("nth", F.row_number().over(Window.partitionBy("a", "a_c").orderBy(F.desc("times"), "s"))).drop("times")
+    search = own.where("part <> pa").select("a", *columns, "spare", F.explode("outside").alias("s")).join(common, ["a", "s"])
+    search = search.withColumn("nth", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("times"), "s"))).where("nth > spare").drop("times")
+    return own, search, target
+
+
+def open_components(own: DataFrame, search: DataFrame, target: DataFrame, share: int) -> DataFrame:
+    """(a, p, q): components of which some two classes can be linked, by all that theirs hold beside a centre.
+
+    Components meet in (a, s), once each however many classes of theirs are there.  No two classes
+    share more than the smaller of the largest cores, the shingles at which their components met, and
+    what a search leaves out; no two need less than the smallest ones do.
+    """
+    ours = search.select("a", "s", F.col("part").alias("p")).distinct()
+    theirs = target.select("a", "s", F.col("part").alias("q")).distinct()
+    met = ours.join(theirs, ["a", "s"]).where("p <> q").groupBy("a", "p", "q").agg(F.count("*").alias("met"))
+    most = own.groupBy("a", "part").agg(F.max("core").alias("core"), F.min("n").alias("n"), F.max("spare").alias("spare"))
+    of = lambda x: most.select("a", *(F.col(c).alias(n) for c, n in (("part", x), ("core", f"{x}_core"), ("n", f"{x}_n"), ("spare", f"{x}_spare"))))
+    both = met.join(of("p"), ["a", "p"]).join(of("q"), ["a", "q"])
+    reach = (F.least("p_core", "q_core") + F.col("met") + F.col("p_spare")) * (100 + share)
+    return both.where(reach >= (F.col("p_n") + F.col("q_n")) * share).select("a", "p", "q")
+
+
+def outside_pairs(seen: DataFrame, part: DataFrame, share: int) -> DataFrame:
+    """(a, b): pairs that meet by shingles outside a common centre and can be linked by what they share.
+
+    Only classes of ``open_components`` meet, those of one component never do.
+    """
+    own, search, target = outside_rows(seen, part, share)
+    met = met_classes(own, search, target, share)
     need, core = (F.col("a_n") + F.col("b_n")) * share, F.least("a_core", "b_core")
     lost = F.greatest(F.lit(0), F.ceil(need / (100 + share)) - F.col("a_core") - 1)
-    met = search.join(target, ["a", "s"]).where((F.col("a_part") != F.col("b_part")) & (F.col("nth") > lost) & ((core + F.least("a_out", "b_out")) * (100 + share) >= need))
+    met = met.where((F.col("nth") > lost) & ((core + F.least("a_out", "b_out")) * (100 + share) >= need))
     both = met.groupBy("a", "a_c", "b_c", "a_n", "b_n", "a_core", "b_core").agg(F.count("*").alias("both"))
     both = both.where((core + F.col("both") + lost) * (100 + share) >= need)
     return both.select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b")).distinct()
 
 
+def met_classes(own: DataFrame, search: DataFrame, target: DataFrame, share: int) -> DataFrame:
+    """Rows of two classes, of components open to each other, at an outside shingle that both have."""
+    side = lambda x, p: ["a", "s", F.col("b").alias(f"{x}_c"), F.col("part").alias(p), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "core", "out"))]
+    asks = search.select(*side("a", "p"), "nth").join(open_components(own, search, target, share), ["a", "p"])
+    return asks.join(target.select(*side("b", "q")), ["a", "s", "q"])
+
+
 def linked(docs: DataFrame, k: int, share: int, half: int, rows: int, spans: int, need: int):
     """-> (rows of the documents, classes with their component's number, scratch tables)."""
     some = docs.where("doc_id is not null").select("doc_id", "text")
@@ -231,9 +271,19 @@ def linked(docs: DataFrame, k: int, share: int, half: int, rows: int, spans: int
     centre = of_key.groupBy("key").agg(F.max(F.struct("met", (-F.col("c")).alias("m"))).alias("a")).select("key", (-F.col("a.m")).alias("a"))
     star = materialize(agreeing(of_key.join(centre, "key").where(F.col("c") != F.col("a")).select("a", F.col("c").alias("b")).distinct(), slim, share, need), "star")
     links = materialize(confirm(star, texts, k, share), "links")
+    first = materialize(parts(links, slim), "parts")
+
+    # A second star in each key, of the classes that the first one's centre did not take in.
+    at = first.select("c", "part")
+    rest = of_key.join(centre, "key").join(at, "c").join(at.select(F.col("c").alias("a"), F.col("part").alias("pa")), "a").where("part <> pa").select("key", "c", "met", "part")
+    second = rest.groupBy("key").agg(F.max(F.struct("met", (-F.col("c")).alias("m"), "part")).alias("x")).select("key", (-F.col("x.m")).alias("a"), F.col("x.part").alias("pa"))
+    apart = rest.join(second, "key").where("part <> pa").select("a", F.col("c").alias("b")).distinct()
+    star2 = materialize(agreeing(apart.join(star, ["a", "b"], "left_anti"), slim, share, need), "star")
+    links2 = materialize(confirm(star2, texts, k, share), "links")
+    links = links.union(links2)
     part = materialize(parts(links, slim), "parts")
 
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = star.union(star2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = shared.select("c", "keys").join(part, "c").select("c", "n", "part", F.explode("keys").alias("k")).select("c", "n", "part", "k.key", "k.size")
     ends = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("size").alias("size")).where("lo <> hi")
     # A key of two classes was settled when these were compared, or were too unlike to be.
@@ -251,7 +301,7 @@ def linked(docs: DataFrame, k: int, share: int, half: int, rows: int, spans: int
     cross = materialize(agreeing(cross, slim, share, need), "cross")
     more = materialize(confirm(cross, texts, k, share), "more")
     done = part if more.isEmpty() else materialize(parts(links.union(more), slim), "parts")
-    forget(shared, texts, star, left, seen, open_, cross)
+    forget(shared, texts, star, star2, first, left, seen, open_, cross)
     return sigs, classes, done
 
 
