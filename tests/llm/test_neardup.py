@@ -2,8 +2,6 @@ import random
 
 import pytest
 
-from pyspark.sql import functions as F
-
 from cohortlake.llm import neardup
 
 from .cases import documents, rows_of, saved
@@ -94,41 +92,6 @@ def test_near_copies_below_the_share_form_few_pairs(spark, monkeypatch, vocabula
     assert sum(pairs) < most, pairs  # of 125,000
 
 
-def two_groups(n):
-    """Near copies of two texts that are about 0.6 alike; all meet in the same keys."""
-    rng = random.Random(n)
-    a = [f"w{i}" for i in range(200)]
-    b = list(a)
-    for at in range(0, 200, 8):
-        b[at] = f"v{at}"
-    texts = []
-    for base in (a, b):
-        for _ in range(n):
-            t = list(base)
-            for at in rng.sample(range(200), 4):
-                t[at] = f"x{rng.randrange(30)}"
-            texts.append(" ".join(t))
-    return texts
-
-
-def test_rows_between_two_groups_of_near_copies_grow_with_their_number(spark, monkeypatch):
-    rows = {}
-    real = neardup.met_classes
-    for n in (60, 120, 240):
-        def seen(own, search, target, share, n=n):
-            parts = search.select("a", "s", "part").distinct().join(target.select("a", "s", F.col("part").alias("q")).distinct(), ["a", "s"])
-            rows[n] = (real(own, search, target, share).count(), parts.count())
-            return real(own, search, target, share)
-
-        monkeypatch.setattr(neardup, "met_classes", seen)
-        texts = two_groups(n)
-        got = {r.doc_id: tuple(r[1:]) for r in neardup.near_duplicates(documents(spark, texts), k=2).collect()}
-        assert got == brute(dict(enumerate(texts)), 2)
-        assert len({r[1] for r in got.values()}) == 2
-    for n in (120, 240):
-        assert all(after <= 2.6 * max(before, 500) for before, after in zip(rows[n // 2], rows[n])), rows
-
-
 def test_beside(spark):
     texts = spark.createDataFrame([(1, "a b c d"), (2, "a b c x"), (3, "q q q q"), (4, "")], "c long, text string")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 1)], "a long, b long")
