@@ -74,10 +74,20 @@ def merged(partials: DataFrame, width: int, depth: int, hot: int = 0):
             b = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
             count[b] += np.frombuffer(zlib.decompress(times), "<u2")
         pack = lambda x: zlib.compress(np.packbits(x).tobytes(), 1)
-        return pd.DataFrame([(key[0], pack(count >= 2), pack(count >= hot) if hot and count.max() >= hot else None)], columns=["part", "bits", "hot"])
+        return pd.DataFrame([(key[0], pack(count >= 2), pack(count >= hot) if hot and count.max() >= hot else None, count[count >= 2].sum())], columns=["part", "bits", "hot", "seen"])
 
-    got = partials.groupBy("part").applyInPandas(merge, "part int, bits binary, hot binary").collect()
-    return partials.sparkSession.sparkContext.broadcast({r.part: {"bits": bytes(r.bits), "hot": bytes(r.hot or b"")} for r in got})
+    got = partials.groupBy("part").applyInPandas(merge, "part int, bits binary, hot binary, seen long").collect()
+    return partials.sparkSession.sparkContext.broadcast({r.part: {"bits": bytes(r.bits), "hot": bytes(r.hot or b""), "seen": r.seen} for r in got})
+
+
+def passing(parts: dict, depth: int) -> int:
+    """How many hashes the merged sketch can let pass, repeats counted (a task's counts end at 65,535 a bucket)."""
+    return min(sum(x["seen"] for part, x in parts.items() if part >> 16 == r) for r in range(depth)) if parts else 0
+
+
+def ranges(parts: dict, depth: int, each: int, least: int) -> int:
+    """Into how many ranges to deal what passes, so that one holds about ``each`` hashes."""
+    return max(least, -(-passing(parts, depth) // each))
 
 
 class Filter:

@@ -295,8 +295,8 @@ def later(strings: np.ndarray, lcp: np.ndarray, doc: np.ndarray, at: np.ndarray,
     return np.concatenate(rows), np.concatenate(offsets)
 
 
-def span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
-    """Spans, joined where they touch, as one row a document."""
+def span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray, ranges: int = 1) -> pd.DataFrame:
+    """Spans, joined where they touch, as one row a document; dealt over ``ranges`` groups by document."""
     if not len(doc):
         return pd.DataFrame([], columns=["part", "run", "doc_id", "spans"])
     order = np.lexsort((start, doc))
@@ -310,7 +310,7 @@ def span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFra
     tail = np.r_[first[1:], len(doc)] - 1
     d, s, e = doc[first], start[first], reach[tail] - shift[tail]
     cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    rows = [(-1 - int(d[a]) % 4096, None, int(d[a]), np.stack([s[a:z], e[a:z]], 1).astype("<i8").tobytes()) for a, z in zip(cut, np.r_[cut[1:], len(d)])]
+    rows = [(-1 - int(d[a]) % ranges, None, int(d[a]), np.stack([s[a:z], e[a:z]], 1).astype("<i8").tobytes()) for a, z in zip(cut, np.r_[cut[1:], len(d)])]
     return pd.DataFrame(rows, columns=["part", "run", "doc_id", "spans"])
 
 
@@ -344,7 +344,7 @@ class Sorter:
         head = np.flatnonzero(~again)[np.cumsum(~again) - 1]
         gone = again & ((doc != doc[head]) | (at != at[head]))
         a, low, high = at[gone], rows[gone, length + left].astype(np.int64), rows[gone, length + left + 1].astype(np.int64)
-        yield span_rows(doc[gone], a - high, a - low + length)
+        yield span_rows(doc[gone], a - high, a - low + length, self.ranges)
         rows, doc, at, part = rows[~again], doc[~again], at[~again], part[~again]
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         out = [(int(part[a]), front_code(rows[a:z], doc[a:z], at[a:z]), None, None) for a, z in zip(cut, np.r_[cut[1:], len(part)])]
@@ -358,8 +358,12 @@ def apart(find: Anchors, form: Suffixes, data, first, last):
     return w, form.take(data, w, w, w), find.hasher.spans(find.hasher.prefix(data), w, w + form.length)
 
 
-def repeated_spans(docs: DataFrame, length: int, width: int, depth: int, ranges: int, limit: int = 150_000, hot: int = 50_000) -> DataFrame:
-    """(doc_id, spans): bytes covered by strings that start earlier too, as packed (start, end)."""
+def repeated_spans(docs: DataFrame, length: int, width: int, depth: int, limit: int = 150_000, hot: int = 50_000, each: int = 500_000) -> DataFrame:
+    """(doc_id, spans): bytes covered by strings that start earlier too, as packed (start, end).
+
+    The number of ranges follows the classes that pass the sketch: the suffixes of one range,
+    which a task merges at a time, come of about ``each`` of them.
+    """
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, part = Anchors(length), sketch.Partial(width, depth)
@@ -371,6 +375,7 @@ def repeated_spans(docs: DataFrame, length: int, width: int, depth: int, ranges:
 
     some = docs.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
     passed = sketch.merged(some.mapInPandas(partials, sketch.SCHEMA), width, depth, hot)
+    ranges = sketch.ranges(passed.value, depth, each, 4 * partitions(docs.sparkSession))
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, keep, out = Anchors(length), sketch.Filter(passed.value, width, depth), Sorter(length, ranges, limit)
@@ -447,7 +452,7 @@ def dedup(docs: DataFrame, length: int = 100, width: int | None = None, depth: i
     """
     width = sketch.fitting(docs, 0.6, 29) if width is None else width
     doc, spans, done = fresh(docs, "doc", "spans", "done")
-    found = repeated_spans(docs.select("doc_id", "text"), length, width, depth, 4 * partitions(docs.sparkSession), limit, hot).withColumnsRenamed({"doc_id": doc, "spans": spans})
+    found = repeated_spans(docs.select("doc_id", "text"), length, width, depth, limit, hot).withColumnsRenamed({"doc_id": doc, "spans": spans})
 
     @F.pandas_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>")
     def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -124,11 +124,14 @@ def estimated(docs: DataFrame, n: int, passed, width: int, depth: int, ranges: i
     return docs.select("doc_id", "text").mapInPandas(run, "part int, doc_id long, packed binary")
 
 
-def repeated_positions(docs: DataFrame, n: int, width: int, depth: int) -> DataFrame:
-    """(doc_id, known): starts of windows that also start in a document with a smaller doc_id."""
-    some, ranges = docs.where("doc_id is not null"), 2 * partitions(docs.sparkSession)
+def repeated_positions(docs: DataFrame, n: int, width: int, depth: int, each: int = 1_000_000) -> DataFrame:
+    """(doc_id, known): starts of windows that also start in a document with a smaller doc_id.
+
+    The number of ranges follows the windows that pass: one holds about ``each`` of them, at any input size.
+    """
+    some = docs.where("doc_id is not null")
     passed = sketch.merged(partials(some, n, width, depth), width, depth)
-    rows = estimated(some, n, passed, width, depth, ranges)
+    rows = estimated(some, n, passed, width, depth, sketch.ranges(passed.value, depth, each, 2 * partitions(docs.sparkSession)))
 
     def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
         """All windows of a range of hashes, grouped exactly; settled positions pass.  A row a position."""

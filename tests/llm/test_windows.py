@@ -75,6 +75,19 @@ def test_clashing_names_and_repeated_ids(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == [(1, 20, 0), (2, 20, 20), (2, 21, 21)]
 
 
+def test_ranges_follow_what_passes(spark):
+    docs = documents(spark, ["a b " * 2000, " ".join(map(str, range(5000))), "a b " * 1000 + "c"])
+    passed = sketch.merged(windows.partials(docs, 13, 20, 2), 20, 2).value
+    # Windows that come twice pass, those of the second text don't (but for chance).
+    twice = (4000 - 12) + (2000 - 12) + 0
+    assert twice <= sketch.passing(passed, 2) <= twice + 200
+    assert sketch.ranges(passed, 2, 100, 3) >= twice // 100 and sketch.ranges(passed, 2, 1 << 40, 3) == 3
+    assert sketch.passing({}, 2) == 0 and sketch.ranges({}, 2, 10, 4) == 4
+    # One window a range or all in a few: the same positions.
+    some = [{(r.doc_id, tuple(sorted(r.known))) for r in windows.repeated_positions(docs, 13, 20, 2, each=e).collect()} for e in (3, 1 << 30)]
+    assert some[0] == some[1] and some[0]
+
+
 def test_width_follows_the_input(spark):
     docs = documents(spark, ["abcd" * 1000, None])
     assert sketch.fitting(docs, 0.3, 28) == 20 and sketch.fitting(docs, 3000, 28) == 24 and sketch.fitting(docs, 1e9, 28) == 28 and sketch.fitting(docs.limit(0), 1, 28) == 20
