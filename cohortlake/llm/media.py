@@ -8,6 +8,11 @@ inverse-transforms them, upsamples the chroma and returns a full-resolution RGB
 A payload is kept without loss in the format's own unit: byte k of a block of 64 is its k-th
 coefficient in zigzag order of the luma (DC: the byte; AC: 256 + the byte, so never 0).  A null or empty
 text is one padded unit.  Every row is independent; repeated rows get equal values.
+
+Files of other writers are read too: Huffman tables of each component's own, restart intervals, any
+whole sampling ratios.  A null file, one that isn't a progressive JPEG, is cut off or broken, or has more
+pixels than ``most`` (a bound of ``tensors`` on a row's memory) has null values and harms no other row.
+Input columns named like the added ones give way to them, others pass through.
 """
 
 import hashlib
@@ -21,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table, without
 
 UNIT = 576
-MARKER = re.compile(rb"\xff[^\x00]")
+MARKER, RESTART = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]"), re.compile(rb"\xff[\xd0-\xd7]")
 
 
 def _zigzag() -> np.ndarray:
@@ -103,43 +108,77 @@ def coded(symbols, extra, sizes):
     return counts + used, pack((code[symbols] << sizes.astype(np.uint64)) | extra.astype(np.uint64), n + sizes)
 
 
+def restarted(parts: list[bytes]) -> bytes:
+    """Entropy-coded intervals with the restart markers between them."""
+    return b"".join(p + (bytes([0xFF, 0xD0 + i % 8]) if i + 1 < len(parts) else b"") for i, p in enumerate(parts))
+
+
+def differences(dc: np.ndarray, luma: int = 4) -> np.ndarray:
+    """DC values by MCU (luma blocks, cb, cr) less the one before of the same component."""
+    diff = np.diff(dc, axis=0, prepend=0)
+    diff[:, :luma] = np.diff(dc[:, :luma].ravel(), prepend=0).reshape(-1, luma)
+    return diff
+
+
+def first_dc(dc: np.ndarray, apart: bool, restart: int):
+    """First pass over DC values by MCU: bytes of the tables (one, or luma's and chroma's) and entropy-coded bytes."""
+    diffs = [differences(dc[i : i + restart]) for i in range(0, len(dc), restart)] if restart else [differences(dc)]
+    sizes = [bit_size(d) for d in diffs]
+    every = np.concatenate(sizes)
+    made = [table_for(every[:, :4].ravel()), table_for(every[:, 4:].ravel())] if apart else [table_for(every.ravel())]
+    turn = np.array([0] * 4 + [len(made) - 1] * 2)
+    code, n = np.stack([m[2] for m in made]), np.array([m[3] for m in made])
+    parts = [pack((code[turn, s] << s.astype(np.uint64) | signed_bits(d, s).astype(np.uint64)).ravel(), (n[turn] + s).ravel()) for d, s in zip(diffs, sizes)]
+    return [m[0] + m[1] for m in made], restarted(parts)
+
+
 def signed_bits(v: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(v < 0, v + (1 << size) - 1, v)
 
 
-def first_ac(z: np.ndarray, ss: int, se: int, al: int):
+def first_ac(z: np.ndarray, ss: int, se: int, al: int, restart: int = 0):
     """First pass over an AC band: table bytes and entropy-coded bytes."""
     band = z[:, ss : se + 1]
+    if restart:
+        parts = [ac_symbols(band[i : i + restart], al) for i in range(0, len(band), restart)]
+        counts, used, code, n = table_for(np.concatenate([p[0] for p in parts]))
+        return counts + used, restarted([pack((code[s] << w.astype(np.uint64)) | b.astype(np.uint64), n + w) for s, b, w in parts])
     low = int(band.min()) >> al
     if low > 0 and (n := (int(band.max()) >> al).bit_length()) == low.bit_length() <= 15:
         # Dense band of one size: one symbol, so a zero bit and then the value's own bits.
         grid = np.zeros((band.size, n + 1), np.uint8)
         grid[:, 1:] = np.unpackbits((band.ravel() >> al).astype(">u2").view(np.uint8)).reshape(-1, 16)[:, 16 - n :]
         return bytes([1] + [0] * 15 + [n]), pack_bits(grid.ravel())
+    return coded(*ac_symbols(band, al))
+
+
+def ac_symbols(band: np.ndarray, al: int):
+    """Symbols, their bits and the number of these, of blocks of an AC band in their first pass."""
+    size = band.shape[1]
     band = np.sign(band) * (np.abs(band) >> al)
     block, k = np.nonzero(band)
     v = band[block, k]
     before = np.r_[-1, k[:-1]]
     before[np.r_[True, block[1:] != block[:-1]][: len(k)]] = -1
-    run, size = k - before - 1, bit_size(v)
+    run, room = k - before - 1, bit_size(v)
     last = np.full(len(band), -1)
     last[block] = k  # the last one stays
-    ends = np.flatnonzero(last < se - ss)
+    ends = np.flatnonzero(last < size - 1)
     # In order of (block, place): long runs (15, 0) before their coefficient, an end of block after the last.
     long = run // 16
     places = np.concatenate([np.repeat(block * 256 + 2 * k, long), block * 256 + 2 * k + 1, ends * 256 + 255])
-    sym = np.concatenate([np.full(long.sum(), 0xF0), (run % 16) << 4 | size, np.zeros(len(ends), np.int64)])
+    sym = np.concatenate([np.full(long.sum(), 0xF0), (run % 16) << 4 | room, np.zeros(len(ends), np.int64)])
     zeros = np.zeros(long.sum(), np.int64)
-    bits = np.concatenate([zeros, signed_bits(v, size), np.zeros(len(ends), np.int64)])
-    width = np.concatenate([zeros, size, np.zeros(len(ends), np.int64)])
+    bits = np.concatenate([zeros, signed_bits(v, room), np.zeros(len(ends), np.int64)])
+    width = np.concatenate([zeros, room, np.zeros(len(ends), np.int64)])
     order = np.argsort(places, kind="stable") if len(ends) or len(zeros) else slice(None)
-    return coded(sym[order], bits[order], width[order])
+    return sym[order], bits[order], width[order]
 
 
-def refine_ac(z: np.ndarray, ss: int, se: int, al: int):
+def refine_ac(z: np.ndarray, ss: int, se: int, al: int, restart: int = 0):
     """Later pass over an AC band: table bytes and entropy-coded bytes."""
     band = np.abs(z[:, ss : se + 1]) >> al
-    if (band != 1).all():
+    if not restart and (band != 1).all():
         # No coefficient appears anew: runs of ended blocks, each followed by their correction bits.
         parts = [band[a : a + 32767] for a in range(0, len(band), 32767)]
         exps = [len(p).bit_length() - 1 for p in parts]
@@ -148,8 +187,21 @@ def refine_ac(z: np.ndarray, ss: int, se: int, al: int):
         for p, e in zip(parts, exps):
             bits += [np.array(bits_of(int(code[e << 4]) << e | len(p) - (1 << e), w + e), np.uint8), (p[p > 1] & 1).astype(np.uint8)]
         return counts + used, pack_bits(np.concatenate(bits))
-    items = []  # (symbol, bits, number of bits) with correction bits behind
-    for row, src in zip(band, z[:, ss : se + 1]):
+    step = restart or len(band)
+    parts = [refined(band[i : i + step], z[i : i + step, ss : se + 1]) for i in range(0, len(band), step)]
+    counts, used, code, w = table_for(np.array([s for items in parts for s, _ in items], dtype=np.int64))
+    out = []
+    for items in parts:
+        values = [x for s, b in items for x in (int(code[s]), *b)]
+        lengths = [x for s, b in items for x in (w, *[1] * len(b))]
+        out.append(pack(np.array(values, np.uint64), np.array(lengths)))
+    return counts + used, restarted(out)
+
+
+def refined(band: np.ndarray, source: np.ndarray) -> list[tuple[int, list[int]]]:
+    """Symbols of blocks of an AC band in a later pass, each with the bits behind it."""
+    items = []
+    for row, src in zip(band, source):
         run, held, last = 0, [], np.flatnonzero(row == 1)
         last = last[-1] if len(last) else -1
         for k, v in enumerate(row):
@@ -166,10 +218,7 @@ def refine_ac(z: np.ndarray, ss: int, se: int, al: int):
                 run, held = 0, []
         if run or held:
             items.append((0, held))
-    counts, used, code, w = table_for(np.array([s for s, _ in items], dtype=np.int64))
-    values = [x for s, b in items for x in (int(code[s]), *b)]
-    lengths = [x for s, b in items for x in (w, *[1] * len(b))]
-    return counts + used, pack(np.array(values, np.uint64), np.array(lengths))
+    return items
 
 
 def segment(marker: int, body: bytes) -> bytes:
@@ -182,32 +231,30 @@ def order_420(mcus_wide: int, mcus_high: int) -> np.ndarray:
     return (((2 * y)[:, None] + [0, 0, 1, 1]) * 2 * mcus_wide + (2 * x)[:, None] + [0, 1, 0, 1]).ravel()
 
 
-def encode(luma: np.ndarray, cb: np.ndarray, cr: np.ndarray, wide: int, high: int, script=SCRIPT) -> bytes:
-    """Zigzag coefficient blocks (luma in raster order, 2 x 2 for each chroma block) -> progressive file."""
+def encode(luma: np.ndarray, cb: np.ndarray, cr: np.ndarray, wide: int, high: int, script=SCRIPT, apart: bool = False, restart: int = 0) -> bytes:
+    """Zigzag coefficient blocks (luma in raster order, 2 x 2 for each chroma block) -> progressive file.
+
+    ``apart`` gives the chroma tables of its own, ``restart`` is the restart interval in MCUs (0: none).
+    """
     planes, mcu = [luma, cb, cr], order_420(wide, high)
     out = [b"\xff\xd8", segment(0xDB, b"\x00" + b"\x01" * 64)]
     out.append(segment(0xC2, struct.pack(">BHHB", 8, 16 * high, 16 * wide, 3) + b"\x01\x22\x00\x02\x11\x00\x03\x11\x00"))
+    if restart:
+        out.append(segment(0xDD, struct.pack(">H", restart)))
     for comps, ss, se, ah, al in script:
         if ss == 0:
             dc = np.empty((wide * high, 6), np.int64)
             dc[:, :4], dc[:, 4], dc[:, 5] = luma[mcu, 0].reshape(-1, 4) >> al, cb[:, 0] >> al, cr[:, 0] >> al
             if ah:
-                body = pack_bits((dc & 1).ravel().astype(np.uint8))
+                step = restart or len(dc)
+                body = restarted([pack_bits((dc[i : i + step] & 1).ravel().astype(np.uint8)) for i in range(0, len(dc), step)])
             else:
-                diff = np.empty_like(dc)
-                flat = dc[:, :4].ravel()
-                diff[:, :4] = np.diff(flat, prepend=0).reshape(-1, 4)
-                diff[:, 4], diff[:, 5] = np.diff(dc[:, 4], prepend=0), np.diff(dc[:, 5], prepend=0)
-                size = bit_size(d := diff.ravel())
-                head, body = coded(size, signed_bits(d, size), size)
-                out.append(segment(0xC4, b"\x00" + head))
-        elif ah:
-            head, body = refine_ac(planes[comps[0]], ss, se, al)
-            out.append(segment(0xC4, b"\x10" + head))
+                heads, body = first_dc(dc, apart, restart)
+                out.append(segment(0xC4, b"".join(bytes([i]) + h for i, h in enumerate(heads))))
         else:
-            head, body = first_ac(planes[comps[0]], ss, se, al)
-            out.append(segment(0xC4, b"\x10" + head))
-        out.append(segment(0xDA, bytes([len(comps)]) + b"".join(bytes([c + 1, 0]) for c in comps) + bytes([ss, se, ah << 4 | al])) + body)
+            head, body = (refine_ac if ah else first_ac)(planes[comps[0]], ss, se, al, restart)
+            out.append(segment(0xC4, bytes([0x10 + (apart and comps[0] > 0)]) + head))
+        out.append(segment(0xDA, bytes([len(comps)]) + b"".join(bytes([c + 1, 0x11 if apart and c else 0]) for c in comps) + bytes([ss, se, ah << 4 | al])) + body)
     return b"".join(out) + b"\xff\xd9"
 
 
@@ -253,17 +300,29 @@ def extend(v: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where((n > 0) & (v < (1 << np.maximum(n - 1, 0))), v - (1 << n) + 1, v)
 
 
-def decode_dc(bits: Bits, codes, count: int) -> np.ndarray:
+def decode_dc(bits: Bits, turns: list, count: int) -> np.ndarray:
+    """``count`` differences; the tables in ``turns`` take turns."""
     w = bits.windows()
-    sym, length = lookup(codes, w)
+    first = [next(j for j, u in enumerate(turns) if u is t) for t in turns]
+    kinds = sorted(set(first))
+    sym, length = (np.stack(x) for x in zip(*(lookup(turns[j], w) for j in kinds)))
     follow, at, p = (np.arange(len(w)) + length + sym).tolist(), [], 0
-    for _ in range(count):
-        at.append(p)
-        p = follow[p]
+    if len(kinds) == 1:
+        follow, turn = follow[0], np.zeros(count, np.int64)
+        for _ in range(count):
+            at.append(p)
+            p = follow[p]
+    else:
+        turn = np.resize([kinds.index(j) for j in first], count)
+        for t in turn.tolist():
+            at.append(p)
+            p = follow[t][p]
     at = np.array(at, np.int64)
-    n = sym[at]
+    n, length = sym[turn, at], length[turn, at]
+    if (length == 0).any() or p > len(w):
+        raise ValueError("no code word")
     # Code word and value together stay within 32 bits: 16 + 11.
-    value = (w[at] << length[at].astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> (32 - n).astype(np.uint64)
+    value = (w[at] << length.astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> (32 - n).astype(np.uint64)
     return extend(np.where(n > 0, value.astype(np.int64), 0), n)
 
 
@@ -288,7 +347,7 @@ def decode_ac_first(bits: Bits, codes, z: np.ndarray, rows: np.ndarray, ss: int,
     sym, length = lookup(codes, w)
     extra = np.where((sym & 15) > 0, sym & 15, np.where(sym < 0xF0, sym >> 4, 0))
     value = ((w << length.astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> (32 - extra).astype(np.uint64)).astype(np.int64)
-    signed = extend(value, extra).tolist()
+    signed, there = extend(value, extra).tolist(), (length > 0).tolist()
     follow, sym, value = (np.arange(len(w)) + length + extra).tolist(), sym.tolist(), value.tolist()
     p, skip = 0, 0
     for row in rows:
@@ -298,6 +357,8 @@ def decode_ac_first(bits: Bits, codes, z: np.ndarray, rows: np.ndarray, ss: int,
         k = ss
         while k <= se:
             s, q = sym[p], p
+            if not there[p]:
+                raise ValueError("no code word")
             p = follow[p]
             if s & 15:
                 k += s >> 4
@@ -370,11 +431,18 @@ def decode_ac_later(bits: Bits, codes, z: np.ndarray, rows: np.ndarray, ss: int,
             i += 1
 
 
-def coefficients(data: bytes):
+def coefficients(data: bytes, most: int | None = None):
     """A progressive file -> (width, height, planes): per component h, v, blocks wide, high, zigzag coefficients, quantisers."""
     at, quant, tables, planes = 2, {}, {}, []
-    width = height = 0
+    width = height = every = 0
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG file")
     while data[at + 1] != 0xD9:
+        if data[at] != 0xFF:
+            raise ValueError("no marker")
+        if data[at + 1] == 0xFF:  # fill byte
+            at += 1
+            continue
         marker, n = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
         body, at = data[at + 4 : at + 2 + n], at + 2 + n
         if marker == 0xDB:
@@ -386,8 +454,12 @@ def coefficients(data: bytes):
             while body:
                 tables[body[0]] = codes = read_table(body[1:])
                 body = body[17 + len(codes) :]
+        elif marker == 0xDD:
+            every = struct.unpack(">H", body[:2])[0]
         elif marker == 0xC2:
             height, width, count = struct.unpack(">HHB", body[1:6])
+            if body[0] != 8 or not width * height or count not in (1, 3) or most is not None and width * height > most:
+                raise ValueError("neither grey nor three components of 8 bits, or too large")
             parts = [body[6 + 3 * i : 9 + 3 * i] for i in range(count)]
             hm, vm = max(p[1] >> 4 for p in parts), max(p[1] & 15 for p in parts)
             wide, high = -(-width // (8 * hm)), -(-height // (8 * vm))
@@ -395,11 +467,12 @@ def coefficients(data: bytes):
                 h, v = p[1] >> 4, p[1] & 15
                 planes.append({"id": p[0], "h": h, "v": v, "wide": wide * h, "high": high * v, "used": (-(-(-(-width * h // hm)) // 8), -(-(-(-height * v // vm)) // 8)), "z": np.zeros((wide * h * high * v, 64), np.int16), "q": p[2]})
         elif marker == 0xDA:
-            comps = [(next(p for p in planes if p["id"] == body[1 + 2 * i]), body[2 + 2 * i]) for i in range(body[0])]
+            known = {p["id"]: p for p in planes}
+            comps = [(known[body[1 + 2 * i]], body[2 + 2 * i]) for i in range(body[0])]
             ss, se, approx = body[1 + 2 * body[0] : 4 + 2 * body[0]]
             end = MARKER.search(data, at).start()
-            bits, at = Bits(data[at:end]), end
-            scan(bits, comps, tables, ss, se, approx >> 4, approx & 15, wide, high)
+            parts, at = RESTART.split(data[at:end]) if every else [data[at:end]], end
+            scan([Bits(p) for p in parts], every, comps, tables, ss, se, approx >> 4, approx & 15, wide, high)
         elif 0xC0 <= marker <= 0xCF:
             raise ValueError("only progressive Huffman files are read")
     for p in planes:
@@ -407,7 +480,8 @@ def coefficients(data: bytes):
     return width, height, planes
 
 
-def scan(bits: Bits, comps, tables, ss, se, ah, al, wide, high) -> None:
+def scan(parts: list[Bits], every: int, comps, tables, ss, se, ah, al, wide, high) -> None:
+    """Adds a scan to its components; each of the parts holds ``every`` MCUs (0: all), and starts anew."""
     if ss == 0:
         if len(comps) == 1:
             c = comps[0][0]
@@ -415,27 +489,33 @@ def scan(bits: Bits, comps, tables, ss, se, ah, al, wide, high) -> None:
         else:
             y, x = np.divmod(np.arange(wide * high), wide)
             slots = [(j, (((c["v"] * y)[:, None] + np.repeat(np.arange(c["v"]), c["h"])) * c["wide"] + (c["h"] * x)[:, None] + np.tile(np.arange(c["h"]), c["v"]))) for j, (c, _) in enumerate(comps)]
-        per = sum(s.shape[1] for _, s in slots)
-        if ah:
-            got = bits.all()[: per * len(slots[0][1])].reshape(-1, per)
-        else:
-            # All components of a scan may have their own table; equal ones are read in one go.
-            ids = {t >> 4 for _, t in comps}
-            if len(ids) > 1:
-                raise ValueError("DC scans with several tables aren't read")
-            got = decode_dc(bits, tables[ids.pop()], per * len(slots[0][1])).reshape(-1, per)
-        j = 0
-        for k, where in slots:
-            part, z = got[:, j : j + where.shape[1]].ravel(), comps[k][0]["z"]
-            if ah:
-                z[where.ravel(), 0] |= part.astype(np.int16) << al
-            else:
-                z[where.ravel(), 0] = np.cumsum(part) << al
-            j += where.shape[1]
+        per, mcus = sum(s.shape[1] for _, s in slots), len(slots[0][1])
+        turns = [] if ah else [tables[comps[k][1] >> 4] for k, s in slots for _ in range(s.shape[1])]
+        for bits, part in intervals(parts, every, mcus):
+            count = per * (part.stop - part.start)
+            got = (bits.all()[:count] if ah else decode_dc(bits, turns, count)).reshape(-1, per)
+            j = 0
+            for k, slot in slots:
+                where, z = slot[part], comps[k][0]["z"]
+                values = got[:, j : j + where.shape[1]].ravel()
+                if ah:
+                    z[where.ravel(), 0] |= values.astype(np.int16) << al
+                else:
+                    z[where.ravel(), 0] = np.cumsum(values) << al
+                j += where.shape[1]
         return
     c, t = comps[0]
     rows = ((np.arange(c["used"][1]) * c["wide"])[:, None] + np.arange(c["used"][0])).ravel()
-    (decode_ac_later if ah else decode_ac_first)(bits, tables[0x10 | t & 15], c["z"], rows, ss, se, al)
+    for bits, part in intervals(parts, every, len(rows)):
+        (decode_ac_later if ah else decode_ac_first)(bits, tables[0x10 | t & 15], c["z"], rows[part], ss, se, al)
+
+
+def intervals(parts: list[Bits], every: int, count: int) -> list[tuple[Bits, slice]]:
+    """The parts of a scan, each with the MCUs that it holds."""
+    every = every or count
+    if len(parts) != -(-count // every):
+        raise ValueError("restart markers don't fit the size")
+    return [(p, slice(i * every, min(count, (i + 1) * every))) for i, p in enumerate(parts)]
 
 
 def pixels(width: int, height: int, planes) -> np.ndarray:
@@ -497,19 +577,32 @@ def with_media(docs: DataFrame) -> DataFrame:
 
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     size = F.greatest(F.lit(UNIT), F.ceil(n / UNIT) * UNIT).cast("long")
-    return docs.withColumn("n_bytes", n).withColumn("payload_bytes", size).withColumn("media", stored("text"))
+    (made,) = fresh(docs, "made")
+    got = without(docs.withColumn(made, F.struct(n.alias("n"), size.alias("size"), stored("text").alias("file"))), "n_bytes", "payload_bytes", "media")
+    m = F.col(made)
+    return got.select("*", m.n.alias("n_bytes"), m["size"].alias("payload_bytes"), m.file.alias("media")).drop(made)
+
 
+def readable(read, *args):
+    """What ``read`` makes of a file; None of one that is null or can't be read."""
+    try:
+        return None if args[0] is None else read(*args)
+    except (ValueError, LookupError, AttributeError, TypeError, struct.error):
+        return None
 
-def tensors(media: DataFrame) -> DataFrame:
-    """Adds ``rgb``: bytes of the full-resolution tensor, with its height and width."""
+
+def tensors(media: DataFrame, most: int = 1 << 27) -> DataFrame:
+    """Adds ``rgb``: bytes of the full-resolution tensor, with its height and width; null where there's none."""
 
     @F.pandas_udf("struct<height:int,width:int,data:binary>")
     def decoded(files: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in files:
-            rgb = [pixels(*coefficients(x)) for x in s]
-            yield pd.DataFrame({"height": [x.shape[0] for x in rgb], "width": [x.shape[1] for x in rgb], "data": [x.tobytes() for x in rgb]})
+            rgb = [readable(lambda x: pixels(*coefficients(x, most)), x) for x in s]
+            yield pd.DataFrame([(None, None, None) if x is None else (*x.shape[:2], x.tobytes()) for x in rgb], columns=["height", "width", "data"]).astype({"height": "Int32", "width": "Int32"})
 
-    return media.withColumn("rgb", decoded("media"))
+    (made,) = fresh(media, "made")
+    out = without(media.withColumn(made, decoded("media")), "rgb")
+    return out.withColumn("rgb", F.when(F.col(made).data.isNotNull(), F.col(made))).drop(made)
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -520,13 +613,15 @@ def digests(media: DataFrame) -> DataFrame:
         for files, sizes in parts:
             rows = []
             for data, size in zip(files, sizes):
-                payload, rgb = fetch(data, size)
-                rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature(rgb)))
-            yield pd.DataFrame(rows, columns=["payload_sha256", "tail_crc32", "feature"])
-
-    return media.withColumn("_r", read("media", "payload_bytes")).withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256)).select(
-        *(c for c in media.columns if c != "media"), "_r.payload_sha256", "_r.tail_crc32", "media_bytes", "media_sha256", "_r.feature"
-    )
+                got = readable(fetch, data, size)
+                rows.append((None, None, None) if got is None else (hashlib.sha256(got[0]).hexdigest(), zlib.crc32(got[0][-32:]), feature(got[1])))
+            yield pd.DataFrame(rows, columns=["payload_sha256", "tail_crc32", "feature"]).astype({"tail_crc32": "Int64"})
+
+    (made,) = fresh(media, "made")
+    got = media.withColumn(made, F.struct(read("media", "payload_bytes").alias("r"), F.octet_length("media").cast("long").alias("n"), F.sha2("media", 256).alias("sha")))
+    m = F.col(made)
+    kept = without(got, "media", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return kept.select("*", m.r.payload_sha256.alias("payload_sha256"), m.r.tail_crc32.alias("tail_crc32"), m.n.alias("media_bytes"), m.sha.alias("media_sha256"), m.r.feature.alias("feature")).drop(made)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
