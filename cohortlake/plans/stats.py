@@ -250,17 +250,21 @@ def f21(spark, d):
     return g.select("o_orderpriority", "n", F.round("spearman", 6).alias("spearman"), F.round("median_change", 4).alias("median_change"))
 
 
-@query("f22_presence_matrix", """SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'error'), 6) AS error, round(avg(value) FILTER (event_type = 'view'), 6) AS view FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1""")
+EVENTS = ["click", "error", "purchase", "signup", "view"]
+TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@query("f22_presence_matrix", f"""SELECT user_id, {', '.join(f"round(avg(value) FILTER (event_type = '{t}'), 6) AS {t}" for t in EVENTS)} FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1""")
 def f22(spark, d):
-    return rounded(S.presence_matrix(table(spark, d, "events"), "user_id", "event_type", "value", "error", ["click", "error", "view"]))
+    return rounded(S.presence_matrix(table(spark, d, "events"), "user_id", "event_type", "value", "error", EVENTS))
 
 
-@query("f23_significance", """WITH e AS (SELECT p_brand AS outcome, p_type AS run, p_retailprice / 20000 AS p FROM part WHERE p_type IN ('ECONOMY', 'SMALL'))
- SELECT outcome, min(p) FILTER (p < 0.06 AND run = 'ECONOMY') AS ECONOMY, min(p) FILTER (p < 0.06 AND run = 'SMALL') AS SMALL, count(*) FILTER (p < 0.06) AS hits FROM e GROUP BY 1
- UNION ALL SELECT 'total', count(*) FILTER (p < 0.06 AND run = 'ECONOMY'), count(*) FILTER (p < 0.06 AND run = 'SMALL'), count(*) FILTER (p < 0.06) FROM e""")
+@query("f23_significance", f"""WITH e AS (SELECT p_brand AS outcome, p_type AS run, p_retailprice / 20000 AS p FROM part)
+ SELECT outcome, {', '.join(f"min(p) FILTER (p < 0.06 AND run = '{t}') AS {t}" for t in TYPES)}, count(*) FILTER (p < 0.06) AS hits FROM e GROUP BY 1
+ UNION ALL SELECT 'total', {', '.join(f"count(*) FILTER (p < 0.06 AND run = '{t}')" for t in TYPES)}, count(*) FILTER (p < 0.06) FROM e""")
 def f23(spark, d):
-    p = table(spark, d, "part").where("p_type in ('ECONOMY', 'SMALL')").select(F.col("p_brand").alias("outcome"), F.col("p_type").alias("run"), (F.col("p_retailprice") / 20000).alias("p"))
-    return S.significance_table(p, "outcome", "run", "p", 0.06, ["ECONOMY", "SMALL"])
+    p = table(spark, d, "part").select(F.col("p_brand").alias("outcome"), F.col("p_type").alias("run"), (F.col("p_retailprice") / 20000).alias("p"))
+    return S.significance_table(p, "outcome", "run", "p", 0.06, TYPES)
 
 
 @query("f23_significance_ordered", """WITH e AS (SELECT p_brand AS outcome, p_type AS run, p_retailprice / 20000 AS p FROM part), h AS (SELECT outcome, count(*) FILTER (p < 0.06) AS hits, min(p) FILTER (p < 0.06) AS least FROM e GROUP BY 1)
