@@ -1,36 +1,37 @@
 """Toxicity: Levenshtein automata on a lexicon trie, with context windows.
 
-The lexicon is learned: words far more frequent in toxic training documents.  A word that is
-no entry runs through the intersection of the Levenshtein automata (one edit) of all entries
+The lexicon is learned: words far more frequent in toxic training documents, by a likelihood
+ratio whose threshold follows the number of words tested.  A word that is no entry runs through the intersection of the Levenshtein automata (one edit) of all entries
 with the lexicon's trie, made deterministic as far as words ask for it: what is left alive at
 a trie end is a misspelled entry.  A swap of neighbours is two edits.  Within one edit of
 entries of three letters lie many sound words, so their misspellings are a signal of their
 own, to which the fitted weights give what the labels support.
 
-Each hit is scored in a window of words: quotation marks open before it (over the whole text
-where its marks are balanced, else in the window) and the reporting verbs of ``REPORTING``
-speak for quotation, the direct address of ``ADDRESS`` for abuse; both lists are fixed and
-short, in four languages.  A small logistic model weighs the sums.
+Each hit is scored in a window of words.  Quotation marks open before it (over the whole text
+where its marks are balanced, else in the window) speak for quotation.  So do the words that
+stand around hits of harmless training documents more than around those of toxic ones, and
+the words of the other side speak for abuse: both are learned, on the rows that the weights
+are fitted on.  A small logistic model weighs the sums.
 
 Nulls and empties: a null text counts as empty (no hits, the model's base rate); a null
 doc_id is scored and never trains; repeated rows each get their score, and documents that
 repeat a doc_id all train under its label.  Input columns named like the added ones give way.
 """
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import forget, materialize, table, without
 from .quality import labelled, sampled, train_rows
 
-REPORTING = {"said", "says", "say", "wrote", "writes", "called", "calls", "quote", "quoted", "quotes", "word", "term", "sagte", "dit", "dijo"}
-ADDRESS = {"you", "your", "youre", "u", "du", "tu", "toi", "dich", "te"}
 QUOTES = re.compile(r"[\"'“”„«»‘’]")
 EDGE = re.compile(r"^\W+|\W+$")
 WINDOW = 5
@@ -111,10 +112,11 @@ class Automaton:
 
 
 class Matcher:
-    """Looks words up, each distinct one of a task once."""
+    """Looks words up, each distinct one of a task once; ``quoting`` and ``abusing`` are words of context."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], quoting: Iterable[str] = (), abusing: Iterable[str] = ()):
         self.lexicon, self.automaton = lexicon, Automaton(lexicon)
+        self.quoting, self.abusing = frozenset(quoting), frozenset(abusing)
         self.known: set = set()
         self.hits: dict = {}
 
@@ -128,6 +130,17 @@ class Matcher:
                 self.hits[t] = (e, 0 if e == w else 2 if len(e) <= SHORT else 1)
         self.known |= new
 
+    def around(self, text) -> set[tuple[str, str]]:
+        """(entry, word) for words in the windows of an entry's hits that are no hits themselves; word "" for the entry alone."""
+        tokens = (text or "").split()
+        self.learn(set(tokens))
+        out = set()
+        for i, t in enumerate(tokens):
+            if (hit := self.hits.get(t)) is not None:
+                out.add((hit[0], ""))
+                out.update((hit[0], EDGE.sub("", w).lower()) for w in tokens[max(0, i - WINDOW) : i + WINDOW + 1] if w not in self.hits)
+        return out
+
     def features(self, text) -> list[float]:
         """Sums of entry weights: plain, misspelled, quoted; the largest context score; the share of words; misspelled short."""
         tokens = (text or "").split()
@@ -143,7 +156,7 @@ class Matcher:
                 first = max(0, i - WINDOW)
                 low = {EDGE.sub("", w).lower() for w in tokens[first : i + WINDOW + 1]}
                 marks = upto[i] - (0 if whole else upto[first]) + bool(QUOTES.match(t))
-                context = 1.0 - 0.5 * (marks % 2) - 0.3 * (not low.isdisjoint(REPORTING)) + 0.3 * (not low.isdisjoint(ADDRESS))
+                context = 1.0 - 0.5 * (marks % 2) - 0.3 * (not low.isdisjoint(self.quoting)) + 0.3 * (not low.isdisjoint(self.abusing))
                 score = self.lexicon[entry] * context
                 if kind == 2:
                     sums[2] += score
@@ -157,18 +170,55 @@ class Matcher:
         return [np.log1p(sums[0]), np.log1p(sums[1]), np.log1p(quoted), top, n / (len(tokens) + 10.0), np.log1p(sums[2])]
 
 
-def learn_lexicon(texts: DataFrame, surprise: float = 30.0, margin: float = 2.0) -> dict[str, float]:
-    """All words of toxic training texts with a likelihood-ratio statistic over ``surprise`` and a log-odds over ``margin``."""
+def threshold(tested: int, alpha: float) -> float:
+    """What the statistic has to exceed: at most about ``alpha`` of ``tested`` indifferent words do, at every size."""
+    return 2 * math.log(max(1, tested) / alpha)
+
+
+def learn_lexicon(texts: DataFrame, alpha: float = 0.01, margin: float = 2.0, share: float = 1e-4) -> dict[str, float]:
+    """All words of toxic training texts that pass the test, with a log-odds over ``margin``, in at least ``share`` of these texts.
+
+    The share bounds what is broadcast: the entries have at most 1 / share times the bytes that
+    one toxic text has in the mean, whatever the number of texts.
+    """
     low = F.lower(F.coalesce("text", F.lit("")))
     words = texts.select("y", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))).alias("w"))
     n = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    seen = words.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where("t > 0")
+    seen = materialize(words.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where("t > 0"), "lexicon")
     part = lambda k, share: F.when(k > 0, k * F.log(k / ((F.col("t") + F.col("c")) * max(share, 1e-12)))).otherwise(0.0)
     g = 2 * (part(F.col("t"), n1 / max(1, n1 + n0)) + part(F.col("c"), n0 / max(1, n1 + n0)))
     odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
-    best = seen.withColumn("odds", odds).where((F.col("odds") > margin) & (g > surprise)).orderBy("w")
-    return {r.w: round(float(r.odds), 6) for r in best.collect()}
+    best = seen.withColumn("odds", odds).where((F.col("odds") > margin) & (g > threshold(seen.count(), alpha)) & (F.col("t") >= share * n1))
+    found = {r.w: round(float(r.odds), 6) for r in best.orderBy("w").collect()}
+    forget(seen)
+    return found
+
+
+def learn_contexts(texts: DataFrame, lexicon: Broadcast, alpha: float = 0.01, shift: float = 0.1) -> tuple[list[str], list[str]]:
+    """-> (quoting, abusing): words around hits that tell harmless from toxic texts with the same entry.
+
+    A word's texts are compared entry by entry with all texts of the entry, and the differences
+    summed (a score test over strata), so that what merely goes with some entries, such as the
+    language, says nothing.  It has to pass the threshold and shift the share of toxic texts by ``shift``.
+    """
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Matcher(lexicon.value)
+        for b in batches:
+            yield pd.DataFrame([(e, w, y) for text, y in zip(b.text, b.y) for e, w in m.around(text)], columns=["e", "w", "y"])
+
+    pairs = texts.select("text", "y").mapInPandas(near, "e string, w string, y int")
+    seen = materialize(pairs.groupBy("e", "w").agg(F.sum("y").alias("t"), F.count("*").alias("n")), "contexts")
+    base = seen.where("w = ''").select("e", (F.col("t") / F.col("n")).alias("p"))
+    words = seen.where("w <> ''").join(base, "e").groupBy("w").agg(
+        F.sum(F.col("t") - F.col("n") * F.col("p")).alias("over"), F.sum(F.expr("n * p * (1 - p)")).alias("spread"), F.sum("n").alias("n")
+    )
+    tested = seen.where("w <> ''").select("w").distinct().count()
+    best = words.where((F.col("over") * F.col("over") > threshold(tested, alpha) * F.col("spread")) & (F.abs("over") > shift * F.col("n")))
+    found = sorted((r.w, r.over) for r in best.collect())
+    forget(seen)
+    return [w for w, over in found if over < 0], [w for w, over in found if over > 0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> np.ndarray:
@@ -186,25 +236,33 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 3000) -> dict:
-    """-> lexicon and weights.  The logistic part sees ``sample`` rows a class, least hash of doc_id first."""
+    """-> lexicon, words of context and weights.  The latter two see ``sample`` rows a class, least hash of doc_id first."""
     train = train_rows(labels, "toxic", folds, held)
     texts = labelled(docs, train)
     lexicon = learn_lexicon(texts.select("text", "y"))
+    model = {"lexicon": lexicon, "quoting": [], "abusing": []}
     totals = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
-        return {"lexicon": lexicon, "w": np.array([0.0] * FEATURES + [3.0 if totals.get(1) else -3.0])}
+        return model | {"w": np.array([0.0] * FEATURES + [3.0 if totals.get(1) else -3.0])}
+    context = docs.sparkSession.sparkContext
+    few = materialize(docs.select("doc_id", "text").join(F.broadcast(sampled(train, sample)), "doc_id").select("text", "y"), "sample")
+    model["quoting"], model["abusing"] = learn_contexts(few, context.broadcast(lexicon))
+    known = context.broadcast(model)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Matcher(lexicon)
+        m = matcher(known.value)
         for b in batches:
             yield pd.DataFrame({"y": b.y.astype("int32"), "x": [m.features(t) for t in b.text]})
 
-    few = docs.select("doc_id", "text").join(F.broadcast(sampled(train, sample)), "doc_id")
-    got = few.select("text", "y").mapInPandas(rows, "y int, x array<double>").collect()
-    got = sorted((r.y, tuple(r.x)) for r in got)
+    got = sorted((r.y, tuple(r.x)) for r in few.mapInPandas(rows, "y int, x array<double>").collect())
+    forget(few)
     x, y = np.array([r[1] for r in got]), np.array([float(r[0]) for r in got])
     weight = np.where(y > 0, totals[1] / max(1.0, y.sum()), totals[0] / max(1.0, (1 - y).sum()))
-    return {"lexicon": lexicon, "w": logistic(x, y, weight / weight.mean())}
+    return model | {"w": logistic(x, y, weight / weight.mean())}
+
+
+def matcher(model: dict) -> Matcher:
+    return Matcher(model["lexicon"], model["quoting"], model["abusing"])
 
 
 def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -213,12 +271,13 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = Matcher(model["lexicon"])
+        m = matcher(known.value)
         for texts in batches:
-            yield pd.Series(probability(np.array([m.features(t) for t in texts]).reshape(-1, FEATURES), model["w"]))
+            yield pd.Series(probability(np.array([m.features(t) for t in texts]).reshape(-1, FEATURES), known.value["w"]))
 
     return without(docs, "score", "predicted").withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

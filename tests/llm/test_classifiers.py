@@ -80,6 +80,65 @@ def test_levenshtein_automaton():
             assert auto(t) == (best[1] if best[0] <= k else None), t
 
 
+def plain_features(text, model, near):
+    """The features word by word: edit distance by table, quotation marks counted anew for each hit."""
+    tokens = (text or "").split()
+    low = [re.sub(r"^\W+|\W+$", "", t).lower() for t in tokens]
+    for w in set(low) - set(near):
+        near[w] = min(((edits(w, e), e) for e in model["lexicon"] if abs(len(w) - len(e)) < 2), default=(9, "")) if w else (9, "")
+    marks = lambda ts: sum(c in "\"'“”„«»‘’" for t in ts for c in t)
+    sums = {"plain": 0.0, "bent": 0.0, "short": 0.0, "quoted": 0.0}
+    top, n = 0.0, 0
+    for i, w in enumerate(low):
+        d, entry = near[w]
+        if d > 1:
+            continue
+        first = max(0, i - 5)
+        before = marks(tokens[:i] if marks(tokens) % 2 == 0 else tokens[first:i]) + (tokens[i][0] in "\"'“”„«»‘’")
+        window = set(low[first : i + 6])
+        context = 1 - 0.5 * (before % 2) - 0.3 * bool(window & set(model["quoting"])) + 0.3 * bool(window & set(model["abusing"]))
+        value = model["lexicon"][entry] * context
+        kind = "plain" if d == 0 else "short" if len(entry) <= 3 else "bent"
+        if kind == "short":
+            sums["short"] += value
+            continue
+        n, top = n + 1, max(top, value)
+        sums["quoted" if context < 0.7 else kind] += value
+    log = {k: np.log1p(v) for k, v in sums.items()}
+    return [log["plain"], log["bent"], log["quoted"], top, n / (len(tokens) + 10), log["short"]]
+
+
+def test_features_are_those_of_plain_python():
+    model = {"lexicon": {"moron": 3.0, "idiot": 2.5, "bad": 2.2}, "quoting": ["said", "book"], "abusing": ["you"]}
+    m, rng, near = toxicity.matcher(model), np.random.default_rng(3), {}
+    pool = ["moron", "Morons!", "idot", "bed", "bad", "“moron", "idiot”", '"idiot"', "said", "book", "you", "«", "fine", "calm", "it's", "-", "Day"]
+    for k in range(300):
+        text = " ".join(rng.choice(pool, rng.integers(0, 40)))
+        assert np.allclose(m.features(text), plain_features(text, model, near)), text
+
+
+def test_contexts_are_learned_entry_by_entry(spark):
+    rows = [("the book said moron again", 0)] * 60 + [("hey you moron again", 1)] * 60
+    rows += [("book x%d and moron" % i, i % 2) for i in range(40)]
+    # "hier" goes with an entry that toxic texts have, and "dort" with one that few have: neither tells them apart.
+    rows += [("hier idiot", 1)] * 60 + [("idiot", 1)] * 60 + [("dort scumbag", int(i < 6)) for i in range(60)] + [("scumbag", int(i < 6)) for i in range(60)]
+    texts = spark.createDataFrame(rows + [(None, 1), ("", 0)], "text string, y int")
+    lexicon = spark.sparkContext.broadcast({"moron": 3.0, "idiot": 3.0, "scumbag": 3.0})
+    assert toxicity.learn_contexts(texts, lexicon) == (["book", "said", "the"], ["hey", "you"])
+    assert toxicity.learn_contexts(texts.limit(0), lexicon) == ([], [])
+    m = toxicity.Matcher(lexicon.value, ["book"], ["you"])
+    assert m.features("the book moron")[3] < m.features("the moron")[3] < m.features("you moron")[3]
+
+
+def test_lexicon_threshold_follows_the_words_tested(spark):
+    words = ["foul"] * 13 + [""] * 27
+    few = [(f"{w} calm", 1) for w in words] + [("calm text", 0)] * 60
+    many = [(f"{t} " + " ".join(f"w{i}x{j}" for j in range(4000)), y) for i, (t, y) in enumerate(few)]
+    learn = lambda rows: set(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int")))
+    assert learn(few) == {"foul"} and learn(many) == set()
+    assert toxicity.learn_lexicon(spark.createDataFrame(few, "text string, y int"), share=0.5) == {}
+
+
 def test_short_misspellings_are_found():
     m = toxicity.Matcher({"scum": 3.0, "idiot": 3.0, "moron": 3.0, "bad": 3.0})
     for w in ("scm", "scuum", "scun", "idot", "mron", "moro", "oron"):
@@ -95,8 +154,8 @@ def test_far_quotation_marks_count():
     assert m.features(text)[2] > 0 and m.features(text.replace('"', ""))[2] == 0
 
 
-def test_scores_are_the_models(spark, sf):
-    """Both classifiers against plain Python that counts the same indicators by other means."""
+def test_quality_scores_are_the_models(spark, sf):
+    """Against plain Python that counts the same indicators by other means."""
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     rows = docs.collect()
     model = quality.fit(docs, labels)
@@ -111,6 +170,10 @@ def test_scores_are_the_models(spark, sf):
     train = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
     assert set(r.doc_id for r in quality.labelled(docs, quality.train_rows(labels, "quality", 3, 1)).collect()) == set(train) & {r.doc_id for r in rows}
 
+
+def test_toxicity_scores_are_the_models(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.collect()
     model = toxicity.fit(docs, labels)
     train = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
     some = [(set(re.findall(r"[^\W_]{3,}", (r.text or "").lower())), train[r.doc_id]) for r in rows if r.doc_id in train]
@@ -122,22 +185,15 @@ def test_scores_are_the_models(spark, sf):
         return 2 * (part(t[w], n1 / (n1 + n0)) + part(c[w], n0 / (n1 + n0)))
 
     odds = {w: np.log((t[w] + 0.5) / (n1 + 1)) - np.log((c[w] + 0.5) / (n0 + 1)) for w in t}
-    assert set(model["lexicon"]) == {w for w in t if odds[w] > 2 and gain(w) > 30}
+    limit = 2 * np.log(len(t) / 0.01)
+    assert set(model["lexicon"]) == {w for w in t if odds[w] > 2 and gain(w) > limit and t[w] >= 1e-4 * n1}
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
-    near = {}
+    loud, near = 0, {}
     for r in rows:
-        hits = [0.0] * 3
-        words = [toxicity.EDGE.sub("", x).lower() for x in (r.text or "").split()]
-        for w in set(words) - set(near):
-            near[w] = min(((edits(w, e), e) for e in model["lexicon"] if abs(len(w) - len(e)) < 2), default=(9, ""))
-        quiet = not any(near[w][0] <= 1 for w in words if w)
-        if quiet:
-            assert abs(got[r.doc_id] - toxicity.probability(np.array(hits + [0.0] * 3), model["w"])) < 1e-12
-        else:
-            want = toxicity.Matcher(model["lexicon"]).features(r.text)
-            plain = [near[w] for w in words if w and near[w][0] == 0]
-            assert (want[4] > 0) == (len(plain) > 0 or any(near[w][0] == 1 and len(near[w][1]) > 3 for w in words if w))
-            assert abs(got[r.doc_id] - toxicity.probability(np.array(want), model["w"])) < 1e-12
+        want = plain_features(r.text, model, near)
+        loud += any(want)
+        assert abs(got[r.doc_id] - toxicity.probability(np.array(want), model["w"])) < 1e-9
+    assert 0 < loud < len(rows)
 
 
 def test_clashing_names_and_repeated_ids(spark):
