@@ -32,8 +32,11 @@ OCTETS = r"^(?:0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def matches(text: Column, pattern) -> Column:
-    """All matches as structs (start, end, value), in code points, left to right."""
+def matches(text: Column, pattern, keep=lambda value: F.lit(True)) -> Column:
+    """The matches whose value is to be kept, as structs (start, end, value), in code points, left to right.
+
+    A match that is dropped only moves the place on, so that a text of very many numbers takes linear time.
+    """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("p"), found.alias("m"))
@@ -42,7 +45,8 @@ def matches(text: Column, pattern) -> Column:
     def add(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
+        more = F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))))
+        return F.struct(end.alias("at"), F.when(keep(x["m"]), more).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add)["out"]
 
@@ -80,10 +84,10 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     docs = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     for kind, pattern in PATTERNS.items():
-        docs = docs.withColumn(f"_{kind}", F.when(F.col("_t").rlike(HINTS[kind]), matches(F.col("_t"), pattern)).otherwise(empty))
+        docs = docs.withColumn(f"_{kind}", F.when(F.col("_t").rlike(HINTS[kind]), matches(F.col("_t"), pattern, lambda v, kind=kind: valid(kind, v))).otherwise(empty))
+
     def rows(k: int, kind: str) -> Column:
-        kept = F.filter(F.col(f"_{kind}"), lambda m: valid(kind, m["value"]))
-        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
+        return F.transform(f"_{kind}", lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
 
     return docs.withColumn("found", F.array_sort(F.concat(*(rows(k, kind) for k, kind in enumerate(PATTERNS))))).drop("_t", *(f"_{k}" for k in PATTERNS))
 
