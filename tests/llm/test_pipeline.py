@@ -1,5 +1,4 @@
 import corpus_pipeline
-import pytest
 
 from cohortlake.llm import decontaminate, pii
 
@@ -84,8 +83,7 @@ def test_awkward_rows_in_every_stage(spark, tmp_path):
             assert {i for i in (40, 41) if i in ids} == set() and after.where("taken < 1 or taken > 2 * size").count() == 0
 
 
-@pytest.mark.parametrize("labelled", [True, False])
-def test_empty_tables_in_every_stage(spark, tmp_path, labelled):
-    docs = awkward(spark, str(tmp_path), labelled).limit(0)
+def test_empty_tables_in_every_stage(spark, tmp_path):
+    docs = awkward(spark, str(tmp_path), labelled=False).limit(0)
     for name, after in through(spark, docs, str(tmp_path)):
         assert after.count() == 0 and (name == "mixing" or after.dtypes == docs.dtypes)
