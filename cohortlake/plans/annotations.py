@@ -279,7 +279,7 @@ IMAGES = "(SELECT c_custkey AS image, (c_acctbal::BIGINT % 700 + 700) % 700 + 40
 @query("a24_tile_grid", f"SELECT image, x::BIGINT AS x, y::BIGINT AS y FROM {IMAGES}, generate_series(0, width - 1, 48) t(x), generate_series(0, height - 1, 48) u(y) WHERE x + 64 <= width AND y + 64 <= height")
 def a24(spark, d):
     c = table(spark, d, "customer")
-    images = c.select(F.col("c_custkey").alias("image"), (F.pmod(F.round("c_acctbal").cast("long"), F.lit(700)) + 40).alias("width"), (F.col("c_nationkey") * 20 + 50).alias("height"))
+    images = c.select(F.col("c_custkey").alias("image"), (F.pmod(F.bround("c_acctbal").cast("long"), F.lit(700)) + 40).alias("width"), (F.col("c_nationkey") * 20 + 50).alias("height"))
     return A.tile_grid(images, 64, 48).select("image", F.col("x").cast("long"), F.col("y").cast("long"))
 
 
