@@ -130,6 +130,16 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def exact_mean(c) -> Column:
+    """Mean as an aggregate that does not hang on the order of the rows: equal means are equal doubles.
+
+    Values are summed as decimals of 15 digits after the point; with any that is none (infinite,
+    over 1e17) the plain mean is taken.
+    """
+    d = col(c).cast("double").try_cast("decimal(32,15)")
+    return F.when(F.count(d) == F.count(col(c)), F.avg(d).cast("double")).otherwise(F.avg(col(c).cast("double")))
+
+
 def corr(a, b) -> Column:
     """Pearson correlation as an aggregate; null where a side is constant."""
     a, b = F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))

@@ -7,7 +7,7 @@ list of columns; metrics that aren't defined (a single class, no comparable pair
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import col, first_by, materialize, mid_ranks, prefix
+from cohortlake.functions.prims import col, exact_mean, first_by, materialize, mid_ranks, prefix
 
 
 def ratio(a, b) -> Column:
@@ -436,9 +436,12 @@ def topj_pool(df: DataFrame, slide: str, js: list[int]) -> DataFrame:
 
 
 def resolve_classes(cells: DataFrame, image: str, cell: list[str], share: float) -> DataFrame:
-    """Cells with a score over 0.5: the best class; classes of under ``share`` of the image's cells go unless most confident there."""
+    """Cells with a score over 0.5: the best class; classes of under ``share`` of the image's cells go unless most confident there.
+
+    Confidence is the mean score, summed exactly and taken to nine digits: classes of equal means all stay.
+    """
     live = cells.where("score > 0.5")
-    cls = live.groupBy(image, "cls").agg(F.count("*").alias("area"), F.avg("score").alias("mean"))
+    cls = live.groupBy(image, "cls").agg(F.count("*").alias("area"), F.round(exact_mean("score"), 9).alias("mean"))
     w = Window.partitionBy(image)
     ok = cls.withColumn("keep", (F.col("area") >= share * F.sum("area").over(w)) | (F.col("mean") == F.max("mean").over(w))).where("keep").select(image, "cls")
     return first_by(live.join(ok, [image, "cls"], "left_semi"), [image, *cell], F.desc("score"), F.col("cls"))

@@ -1,10 +1,18 @@
 """Ties and halves that must not hang on rounding or on the order of rows."""
 
+from functools import reduce
+from operator import add
+
+from cohortlake.operators import metrics as E
 from cohortlake.plans import annotations, registry  # noqa: F401
 
 from .oracle import compare
 
 
+#: Numbers whose sum of doubles is another in the other order.
+ORDERED = [0.95, 0.52, 0.51, 0.77, 0.97, 0.69]
+
+
 def test_tile_grid_rounds_halves_to_even(spark, tmp_path):
     # Below zero a half rounded away from it is another width (63 for 64), and so one tile less.
     rows = [(i, 10, x) for i, x in enumerate((-676.5, -628.5, -0.5, 23.5, 24.5, 699.5))]
@@ -19,3 +27,12 @@ def connect_one(tmp_path, table):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     return con
+
+
+def test_classes_of_equal_mean_all_stay(spark):
+    # Two classes of few cells with the same scores in another order; sums of doubles differ there.
+    scores = ORDERED
+    assert reduce(add, scores) != reduce(add, reversed(scores))
+    rows = [(1, i, 1, s) for i, s in enumerate(scores)] + [(1, 10 + i, 2, s) for i, s in enumerate(reversed(scores))] + [(1, 100 + i, 3, 0.55) for i in range(200)]
+    got = E.resolve_classes(spark.createDataFrame(rows, "image int, cell int, cls int, score double").coalesce(1), "image", ["cell"], 0.12)
+    assert {r.cls for r in got.collect()} == {1, 2, 3}
