@@ -5,7 +5,7 @@ from math import erf, pi, tan
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import corr, first_by, h, mid_ranks, prefix
+from cohortlake.functions.prims import corr, exact_mean, first_by, h, mid_ranks, prefix
 from cohortlake.functions.special import correlation_p, normal_p, t_p
 
 from .metrics import auroc, c_index, ratio
@@ -213,10 +213,11 @@ def level_correlations(df: DataFrame, group: list[str], case: str, target: str,
     """Correlations of a score with its target by level and subset of targets.
 
     Levels: every row (``row``), a case's mean score (``case_mean``) and largest one (``case_max``),
-    against the case's target, of which it has one.  Subsets: ``all`` and those over 0 (``positive``).
+    against the case's target, of which it has one.  Means are exact, so that cases of equal means
+    are ties.  Subsets: ``all`` and those over 0 (``positive``).
     """
     row = df.select(*group, F.lit("row").alias("level"), F.col(target).alias("_t"), F.col(score).alias("_s"))
-    one = df.groupBy(*group, case).agg(F.max(target).alias("_t"), F.avg(score).alias("case_mean"), F.max(score).alias("case_max"))
+    one = df.groupBy(*group, case).agg(F.max(target).alias("_t"), exact_mean(score).alias("case_mean"), F.max(score).alias("case_max"))
     levels = row.unionByName(one.unpivot([*group, "_t"], ["case_mean", "case_max"], "level", "_s"))
     subsets = F.when(F.col("_t") > 0, F.array(F.lit("all"), F.lit("positive"))).otherwise(F.array(F.lit("all")))
     return correlation_tests(levels.withColumn("subset", F.explode(subsets)), [*group, "level", "subset"], "_t", "_s")

@@ -193,7 +193,7 @@ def f16(spark, d):
     return rounded(S.correlations(e, ["event_type"], "value", "u"))
 
 
-@query("f16_levels", f"""WITH e AS (SELECT event_type, user_id, (user_id % 7)::DOUBLE AS t, value AS s FROM events), c AS (SELECT event_type, t, avg(s) AS m, max(s) AS x FROM e GROUP BY event_type, user_id, t),
+@query("f16_levels", f"""WITH e AS (SELECT event_type, user_id, (user_id % 7)::DOUBLE AS t, value AS s FROM events), c AS (SELECT event_type, t, avg(s::DECIMAL(18, 9)) AS m, max(s) AS x FROM e GROUP BY event_type, user_id, t),
  l AS (SELECT event_type, 'row' AS level, t, s FROM e UNION ALL SELECT event_type, 'case_mean', t, m FROM c UNION ALL SELECT event_type, 'case_max', t, x FROM c), a AS (SELECT *, 'all' AS subset FROM l UNION ALL SELECT *, 'positive' FROM l WHERE t > 0),
  r AS (SELECT *, rank() OVER (PARTITION BY event_type, level, subset ORDER BY t) + (count(*) OVER (PARTITION BY event_type, level, subset, t) - 1) / 2.0 AS rt, rank() OVER (PARTITION BY event_type, level, subset ORDER BY s) + (count(*) OVER (PARTITION BY event_type, level, subset, s) - 1) / 2.0 AS rs FROM a),
  g AS (SELECT event_type, level, subset, count(*)::BIGINT AS n, corr(t, s) AS pearson, corr(rt, rs) AS spearman FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 3), p AS (SELECT *, n - 2 AS v, atan(abs(pearson) / sqrt(1 - pearson ** 2)) AS th FROM g)

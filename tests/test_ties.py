@@ -1,9 +1,14 @@
 """Ties and halves that must not hang on rounding or on the order of rows."""
 
+import math
 from functools import reduce
 from operator import add
 
+import pytest
+
+from cohortlake.functions.special import t_p
 from cohortlake.operators import metrics as E
+from cohortlake.operators import stats as S
 from cohortlake.plans import annotations, registry  # noqa: F401
 
 from .oracle import compare
@@ -36,3 +41,28 @@ def test_classes_of_equal_mean_all_stay(spark):
     rows = [(1, i, 1, s) for i, s in enumerate(scores)] + [(1, 10 + i, 2, s) for i, s in enumerate(reversed(scores))] + [(1, 100 + i, 3, 0.55) for i in range(200)]
     got = E.resolve_classes(spark.createDataFrame(rows, "image int, cell int, cls int, score double").coalesce(1), "image", ["cell"], 0.12)
     assert {r.cls for r in got.collect()} == {1, 2, 3}
+
+
+def test_cases_of_equal_mean_are_ties(spark):
+    scores = ORDERED
+    assert reduce(add, scores) != reduce(add, reversed(scores))
+    rows = [("g", 1, 1.0, s) for s in scores] + [("g", 2, 2.0, s) for s in reversed(scores)] + [("g", 3, 3.0, 0.1)]
+    got = S.level_correlations(spark.createDataFrame(rows, "g string, case int, t double, s double").coalesce(1), ["g"], "case", "t", "s")
+    r = got.where("level = 'case_mean' and subset = 'all'").first()
+    # Ranks 1, 2, 3 against 2.5, 2.5, 1.
+    assert r.spearman == pytest.approx(-1.5 / math.sqrt(2 * 1.5), abs=1e-12)
+
+
+def test_t_p_of_many_degrees_of_freedom(spark):
+    """Against Simpson's rule over the density, its constant by the asymptotic series of the gamma ratio."""
+
+    def exact(t, v, n=4000):
+        k = math.exp(0.5 * math.log(v / 2) - 1 / (4 * v) + 1 / (24 * v**3)) / math.sqrt(v * math.pi)
+        f = lambda x: k * math.exp(-(v + 1) / 2 * math.log1p(x * x / v))
+        hstep = t / n
+        return 1 - 2 * hstep / 3 * (f(0) + f(t) + 4 * sum(f((2 * i + 1) * hstep) for i in range(n // 2)) + 2 * sum(f(2 * i * hstep) for i in range(1, n // 2)))
+
+    cases = [(t, v) for v in (20_001, 77_140, 1_000_000) for t in (0.01, 0.6, 1.5, 2.4)]
+    got = spark.createDataFrame(cases, "t double, v bigint").select("t", "v", t_p("t", "v").alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(exact(r.t, r.v), abs=2e-10)
