@@ -23,7 +23,12 @@ def log_gamma(z) -> Column:
     return 0.5 * log(2 * pi) + (z + 0.5) * F.log(z + 7.5) - (z + 7.5) + F.log(s)
 
 
-def _fraction(a: Column, b: Column, x: Column, terms: int) -> Column:
+def bound(v: Column, f) -> Column:
+    """f of v, which is worked out once however often f names it."""
+    return F.transform(F.array(v), f)[0]
+
+
+def _fraction(a: Column, b: Column, x: Column, terms: Column) -> Column:
     """The continued fraction of the incomplete beta function, evaluated from the front; good for x < (a + 1) / (a + b + 2)."""
     away = lambda v: F.when(F.abs(v) < TINY, F.lit(TINY)).otherwise(v)
     first = 1 / away(1 - (a + b) * x / (a + 1))
@@ -34,19 +39,29 @@ def _fraction(a: Column, b: Column, x: Column, terms: int) -> Column:
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         by = F.when(i % 2 == 0, even).otherwise(odd)
-        c, d = away(1 + by / s["c"]), 1 / away(1 + by * s["d"])
-        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+        new = lambda y: F.struct(away(1 + y / s["c"]).alias("c"), (1 / away(1 + y * s["d"])).alias("d"))
+        return bound(by, lambda y: bound(new(y), lambda n: F.struct(n["c"].alias("c"), n["d"].alias("d"), (s["h"] * n["c"] * n["d"]).alias("h"))))
 
     # Terms 2, 3, 4, ...: even and odd ones of m = 1, 1, 2, 2, ... (the odd one of m = 0 is in ``first``).
-    return F.aggregate(F.sequence(F.lit(2), F.lit(terms)), state, step)["h"]
+    return F.aggregate(F.sequence(F.lit(2), terms), state, step)["h"]
 
 
 def incomplete_beta(a, b, x, terms: int = 400) -> Column:
-    """Regularised incomplete beta function I_x(a, b); ``terms`` suffice for a and b up to some ten thousand."""
+    """Regularised incomplete beta function I_x(a, b); ``terms`` suffice for a and b up to some ten thousand.
+
+    The fraction settles in a number of terms that goes with the root of a and b: small ones take few.
+    """
     a, b, x = (col(v).cast("double") for v in (a, b, x))
-    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
-    low, high = front * _fraction(a, b, x, terms) / a, 1 - front * _fraction(b, a, 1 - x, terms) / b
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < (a + 1) / (a + b + 2), low).otherwise(high)
+    settled = F.least(F.lit(terms), F.ceil(24 + 12 * F.sqrt(F.greatest(a, b))).cast("int"))
+
+    def value(v: Column) -> Column:
+        a, b, x = v["a"], v["b"], v["x"]
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+        low, high = front * _fraction(a, b, x, v["terms"]) / a, 1 - front * _fraction(b, a, 1 - x, v["terms"]) / b
+        return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < (a + 1) / (a + b + 2), low).otherwise(high)
+
+    once = F.struct(a.alias("a"), b.alias("b"), x.alias("x"), settled.alias("terms"))
+    return bound(once, value)
 
 
 def normal_p(z, terms: int = 80) -> Column:

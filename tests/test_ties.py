@@ -66,3 +66,19 @@ def test_t_p_of_many_degrees_of_freedom(spark):
     got = spark.createDataFrame(cases, "t double, v bigint").select("t", "v", t_p("t", "v").alias("p")).collect()
     for r in got:
         assert r.p == pytest.approx(exact(r.t, r.v), abs=2e-10)
+
+
+def test_fraction_takes_few_terms_for_few_degrees_of_freedom(spark):
+    from cohortlake.functions import special
+
+    seen = []
+    plain = special._fraction
+    try:
+        special._fraction = lambda a, b, x, terms: seen.append(terms) or plain(a, b, x, terms)
+        rows = spark.createDataFrame([(1.5, 3)], "t double, v bigint")
+        got = [r.p for r in rows.select(special.t_p("t", "v").alias("p")).collect()]
+    finally:
+        special._fraction = plain
+    th = math.atan(1.5 / math.sqrt(3))
+    assert got[0] == pytest.approx(1 - 2 / math.pi * (th + math.sin(th) * math.cos(th)), abs=1e-12)
+    assert all(not isinstance(t, int) for t in seen)
