@@ -4,8 +4,12 @@ Rows are reduced to distinct scores or times before any window sees them.  ``gro
 list of columns; metrics that aren't defined (a single class, no comparable pair) are null.
 """
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlake.functions.prims import col, exact_mean, first_by, materialize, mid_ranks, prefix
 
@@ -120,34 +124,115 @@ def binarised(df: DataFrame, group: list[str], truth: str = "truth", pred: str =
 def c_index(df: DataFrame, group: list[str], risk: str = "risk", time: str = "duration", event: str = "event", weight: Column | None = None, event_weight: Column | None = None) -> DataFrame:
     """(group, pairs, c_index): higher risk should mean an earlier event; ties in risk count half.
 
-    Counts are reduced to distinct (time, risk).  Distinct risks are then numbered in each
-    group and a dominance count is taken level by level over the bits of the number: rows in
-    sibling halves of a block of risks meet by prefix sums over time.  Every row is in one
-    block a level, so the work is n log n and no pair is ever formed.  A pair weighs
-    ``event_weight`` of its event (``weight`` unless given) times ``weight`` of its other row.
+    Counts are reduced to distinct (risk, time) and dealt out by ranges of risk, later times first.
+    What an event beats in its own range is counted in the range's task; what it beats in lower
+    ranges, over the bits of the range's number in its group: sums by time of sibling halves of a block of ranges
+    meet by prefix sums.  So a row is written once, and again only as a time of its range, once for
+    each doubling of the ranges; no pair is ever formed.  Later rows of the same risk stand before
+    an event and are counted as beaten too; half of these ties is taken off at the end.  A pair
+    weighs ``event_weight`` of its event (``weight`` unless given) times ``weight`` of its other row.
     """
     w = F.lit(1.0) if weight is None else weight
     ew = w if event_weight is None else event_weight
     is_event = F.col(event) == 1
-    d = df.groupBy(*group, F.col(time).alias("t"), F.col(risk).alias("r")).agg(F.sum(F.when(is_event, ew).otherwise(0.0)).alias("e"), F.sum(w).alias("a"), F.sum(F.when(is_event, 0.0).otherwise(w)).alias("c"))
-    ranks = prefix(d.select(*group, "r").distinct(), group, "r", {"k": F.lit(1).cast("long")}).select(*group, "r", (F.col("k_upto") - 1).alias("k"))
-    d = d.join(ranks, [*group, "r"])
+    d = df.where(F.col(risk).isNotNull() & F.col(time).isNotNull()).groupBy(*group, F.col(time).alias("t"), F.col(risk).alias("r"))
+    d = d.agg(F.sum(F.when(is_event, ew).otherwise(0.0)).cast("double").alias("e"), F.sum(w).cast("double").alias("a"), F.sum(F.when(is_event, 0.0).otherwise(w)).cast("double").alias("c"))
+    order = [*map(F.col, group), F.col("r").asc(), F.col("t").desc()]
+    d = materialize(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).mapInArrow(with_range_sums(group), range_schema(d, group)))
+    # Two kinds of rows: times of a range, and the first and last risks of a range with the pairs counted inside.
+    times = d.where("t is not null").select(*group, "_part", "t", "e", "a", "c")
+    risks = d.where("t is null")
     sums = {c: F.col(c) for c in ("e", "a", "c")}
     # Later than an event at t: every later time, and those censored at t.
     later = F.col("e") * (F.col("a_upto") - F.col("a") + F.col("c"))
-    pairs = prefix(d, group, "t", sums, descending=True).groupBy(*group).agg(F.sum(later).alias("pairs"))
-    tied = prefix(d, [*group, "k"], "t", sums, descending=True).groupBy(*group).agg(F.sum(later).alias("tied"))
-    # Level j: k and k' meet where their bits above j agree and bit j is 1 for the event's row, 0 for the other.
-    top = ranks.groupBy(*group).agg(F.max("k").alias("kmax"))
-    level = d.join(top, group) if group else d.crossJoin(F.broadcast(top))
-    level = level.withColumn("j", F.explode(F.expr("sequence(0, cast(floor(log2(greatest(kmax, 1))) as int))")))
-    half = F.expr("shiftright(k, j)")
+    pairs = prefix(times, group, "t", sums, descending=True).groupBy(*group).agg(F.sum(later).alias("pairs"))
+    before = Window.partitionBy(*group, "r").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    same = risks.withColumn("_same", F.col("e") * F.coalesce(F.sum("a").over(before), F.lit(0.0)))
+    inside = same.groupBy(*group).agg(F.sum("beaten").alias("beaten"), (F.sum("tied") + F.sum("_same")).alias("tied"))
+    # Level j: ranges p and p' meet where their bits above j agree and bit j is 1 for the event's row, 0 for the other.
+    top = times.groupBy(*group).agg(F.min("_part").alias("pmin"), F.max("_part").alias("pmax"))
+    level = times.join(top, group) if group else times.crossJoin(F.broadcast(top))
+    level = level.withColumn("j", F.explode(F.expr("sequence(0, cast(floor(log2(greatest(pmax - pmin, 1))) as int))")))
+    half = F.expr("shiftright(_part - pmin, j)")
     level = level.withColumn("_half", F.shiftright(half, 1)).withColumn("_hi", half % 2)
     lo = F.col("_hi") == 0
     s = {"e": F.when(lo, 0.0).otherwise(F.col("e")), "a": F.when(lo, F.col("a")).otherwise(0.0), "c": F.when(lo, F.col("c")).otherwise(0.0)}
     won = prefix(level, [*group, "j", "_half"], "t", s, descending=True).groupBy(*group).agg(F.sum(later).alias("won"))
-    both = pairs.join(tied, group).join(won, group) if group else pairs.crossJoin(tied).crossJoin(won)
-    return both.select(*group, "pairs", ratio(F.col("won") + F.col("tied") / 2, "pairs").alias("c_index"))
+    both = pairs.join(inside, group).join(won, group) if group else pairs.crossJoin(inside).crossJoin(won)
+    return both.select(*group, "pairs", ratio(F.col("won") + F.col("beaten") - F.col("tied") / 2, "pairs").alias("c_index"))
+
+
+def range_schema(cells: DataFrame, group: list[str]) -> T.StructType:
+    number = lambda n: T.StructField(n, T.DoubleType())
+    own = [T.StructField(f.name, f.dataType) for f in (*(cells.schema[g] for g in group), cells.schema["r"], cells.schema["t"])]
+    return T.StructType([*own, T.StructField("_part", T.IntegerType()), *map(number, ("e", "a", "c", "beaten", "tied"))])
+
+
+def with_range_sums(group: list[str]):
+    """Sorted (group, risk, time) cells of a range to its sums by group and time, and its first and last risk of each group."""
+
+    def run(batches):
+        rows = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if rows is None:
+            return
+        rows = rows.combine_chunks()
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for g in group:
+            at = pc.fill_null(rows[g].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            new[1:] |= at[1:] != at[:-1]
+        starts = [*np.flatnonzero(new).tolist(), rows.num_rows]
+        for lo, hi in zip(starts, starts[1:]):
+            own = rows.slice(lo, hi - lo)
+            r, t = (np.unique(own[c].to_numpy(), return_inverse=True) for c in ("r", "t"))
+            e, a, c = (own[n].to_numpy() for n in ("e", "a", "c"))
+            beaten, tied = beaten_inside(t[1], e, a, c), tied_inside(r[1], e, a, c)
+            by_time = [np.bincount(t[1], x, len(t[0])) for x in (e, a, c)]
+            first_of_t = np.zeros(len(t[0]), int)
+            first_of_t[t[1]] = np.arange(hi - lo)
+            ends = [0] if r[1][0] == r[1][-1] else [0, hi - lo - 1]
+            by_risk = [[x[r[1] == r[1][i]].sum() for i in ends] for x in (e, a, c)]
+            pick = np.concatenate([first_of_t, ends])
+            kind = np.arange(len(pick)) < len(first_of_t)
+            zeros = lambda v: pa.array([0.0] * len(first_of_t) + [v] + [0.0] * (len(ends) - 1))  # noqa: B023, E731
+            null = lambda n, gone: pc.if_else(pa.array(gone), pa.scalar(None, own.schema.field(n).type), own[n].combine_chunks().take(pa.array(pick)))  # noqa: B023, E731
+            columns = [*(own[g].combine_chunks().take(pa.array(pick)) for g in group), null("r", kind), null("t", ~kind)]
+            columns += [own["_part"].combine_chunks().take(pa.array(pick)), *(pa.array(np.concatenate([x, y])) for x, y in zip(by_time, by_risk)), zeros(beaten), zeros(tied)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*group, "r", "t", "_part", "e", "a", "c", "beaten", "tied"])
+
+    return run
+
+
+def tied_inside(r, e, a, c) -> float:
+    """Events times the later rows of the same risk and those censored at the event's time; later times come first."""
+    new = np.concatenate([[True], r[1:] != r[:-1]])
+    before = np.cumsum(a) - a
+    start = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
+    return float((e * (before - before[start] + c)).sum())
+
+
+def beaten_inside(t, e, a, c) -> float:
+    """Events times the rows at or before them that have a later time, or are censored at the same one.
+
+    Level by level over the bits of the position: an event in the upper half of a block meets the lower half.
+    """
+    n = len(t)
+    order = np.argsort(-t, kind="stable")
+    total = float((e * c).sum())
+    for j in range((n - 1).bit_length()):
+        # Every block in order of time, latest first.
+        at = order[np.argsort(order >> (j + 1), kind="stable")]
+        block, time, low = at >> (j + 1), t[at], (at >> j) & 1 == 0
+        ca, cc = (np.concatenate([[0.0], np.cumsum(np.where(low, x[at], 0.0))]) for x in (a, c))
+        i = np.arange(n)
+        new = np.concatenate([[True], block[1:] != block[:-1]])
+        start = np.maximum.accumulate(np.where(new, i, 0))
+        new[1:] |= time[1:] != time[:-1]
+        run = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        first, end = run[which], np.concatenate([run[1:], [n]])[which]
+        total += float((np.where(low, 0.0, e[at]) * (ca[first] - ca[start] + cc[end] - cc[first])).sum())
+    return total
 
 
 def ipcw_c_index(df: DataFrame, group: list[str], risk: str = "risk", time: str = "duration", event: str = "event", tau: float | None = None) -> DataFrame:

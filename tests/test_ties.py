@@ -82,3 +82,29 @@ def test_fraction_takes_few_terms_for_few_degrees_of_freedom(spark):
     th = math.atan(1.5 / math.sqrt(3))
     assert got[0] == pytest.approx(1 - 2 / math.pi * (th + math.sin(th) * math.cos(th)), abs=1e-12)
     assert all(not isinstance(t, int) for t in seen)
+
+
+@pytest.mark.parametrize("group", [["g"], []])
+def test_c_index_over_ranges_against_all_pairs(spark, group):
+    """Ranges that cut a risk in two, and the rows that the job writes."""
+    import random
+
+    rng = random.Random(5)
+    rows = [("ab"[rng.randrange(2)], float(rng.choice((1, 1, 1, rng.randrange(40)))), float(rng.randrange(1, 90)), rng.randrange(2), float(rng.randrange(1, 4))) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "g string, risk double, duration double, event int, w double")
+    written = []
+    plain, prefix_materialize = E.materialize, E.prefix.__globals__["materialize"]
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        E.materialize = E.prefix.__globals__["materialize"] = lambda d: written.append(plain(d)) or written[-1]
+        got = {(r.g if group else None): (r.pairs, r.c_index) for r in E.c_index(df, group, weight=E.F.col("w")).collect()}
+    finally:
+        E.materialize, E.prefix.__globals__["materialize"] = plain, prefix_materialize
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for g in "ab" if group else [None]:
+        own = [r for r in rows if g in (None, r[0])]
+        pairs = [(x, y) for x in own for y in own if x[3] == 1 and (y[2] > x[2] or (y[2] == x[2] and y[3] == 0))]
+        won = sum(x[4] * y[4] * (1.0 if x[1] > y[1] else 0.5 if x[1] == y[1] else 0.0) for x, y in pairs)
+        total = sum(x[4] * y[4] for x, y in pairs)
+        assert got[g] == (pytest.approx(total), pytest.approx(won / total))
+    assert sum(d.count() for d in written) < 4 * len(rows)
