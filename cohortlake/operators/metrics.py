@@ -4,6 +4,9 @@ Rows are reduced to distinct scores or times before any window sees them.  ``gro
 list of columns; metrics that aren't defined (a single class, no comparable pair) are null.
 """
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -610,18 +613,30 @@ def vqa_accuracy(df: DataFrame, key: str, answer: str, truth: str, candidates: D
     return df.join(choice, key, "left").groupBy(*group).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"))
 
 
+def word_bits(words: str) -> Column:
+    """248 bits of a set of words in four numbers: those of a set hold the bits of every set inside it."""
+    at = F.transform(F.col(words), lambda w: F.pmod(F.xxhash64(w), F.lit(248)))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 62).cast("int"))
+    part = lambda at, i: F.aggregate(at, F.lit(0).cast("long"), lambda s, b: F.when(F.floor(b / 62) == i, s.bitwiseOR(one(b))).otherwise(s))
+    return F.transform(F.array(at), lambda at: F.array(*(part(at, i) for i in range(4))))[0]
+
+
 def held_candidates(answers: DataFrame, key: str, answer: str, candidates: DataFrame, text: str) -> DataFrame:
     """(key, text, n): candidate texts, normalised, whose n distinct words all stand in the answer.
 
     A candidate is filed under the one of its words that the fewest answers have, and meets those
-    answers only; one with a word that no answer has meets none.
+    answers only; one with a word that no answer has meets none.  They meet by the bits of their
+    words, so that no answer is copied for each of its words; whole sets confirm those that pass.
     """
     said = answers.select(key, F.array_distinct(tokens(answer)).alias("_aw"))
     word = said.select(F.explode("_aw").alias("_w")).groupBy("_w").agg(F.count("*").alias("_f"))
     own = candidates.select(F.array_join(tokens(text), " ").alias("text"), F.array_distinct(tokens(text)).alias("_cw")).distinct().where(F.size("_cw") > 0)
     rare = own.select("text", F.explode("_cw").alias("_w")).join(word, "_w", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "_w")).alias("_r"))
-    filed = own.join(rare.where("_r.f > 0").select("text", F.col("_r._w").alias("_w")), "text")
-    met = said.select(key, "_aw", F.explode("_aw").alias("_w")).join(filed, "_w").where(F.size(F.array_except("_cw", "_aw")) == 0)
+    filed = own.join(rare.where("_r.f > 0").select("text", F.col("_r._w").alias("_w")), "text").select("text", "_cw", "_w", word_bits("_cw").alias("_cb"))
+    one = said.select(key, "_aw", word_bits("_aw").alias("_ab")).select(key, "_ab", F.explode("_aw").alias("_w"))
+    inside = reduce(and_, (F.col("_cb")[i].bitwiseAND(F.col("_ab")[i]) == F.col("_cb")[i] for i in range(4)))
+    passed = one.join(filed, "_w").where(inside).select(key, "text", "_cw")
+    met = passed.join(said, key).where(F.size(F.array_except("_cw", "_aw")) == 0)
     return met.select(key, "text", F.size("_cw").alias("n"))
 
 

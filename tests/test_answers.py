@@ -74,3 +74,19 @@ def test_contained_candidates(spark):
     got = {(r.k, r.text, r.n) for r in E.held_candidates(a, "k", "a", c, "t").collect()}
     want = {(k, t, len(set(t.split()))) for k, s in answers for _, t in candidates if t and set(t.split()) <= set((s or "").split())}
     assert got == want
+
+
+def test_word_bits_of_a_set_hold_those_of_its_parts(spark):
+    words = [f"w{i}" for i in range(90)]
+    rows = spark.createDataFrame([(words, words[:k], ["other", *words[:k]]) for k in (1, 5, 40)], "a array<string>, b array<string>, c array<string>")
+    for r in rows.select(E.word_bits("a").alias("a"), E.word_bits("b").alias("b")).collect():
+        assert all(x & y == y for x, y in zip(r.a, r.b)) and any(r.b) and len(r.a) == 4
+
+
+def test_answers_are_not_copied_for_each_word(spark):
+    """An answer of many words goes to the meeting of rare words without its words."""
+    a = spark.createDataFrame([(1, "red big fox")], "k int, a string")
+    c = spark.createDataFrame([("fox",)], "t string")
+    plan = E.held_candidates(a, "k", "a", c, "t")._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate explode" in line and "_aw" in line]
+    assert exploded and all(line.split("Generate explode(_aw")[1].split(", [")[1].split("]")[0] for line in exploded)
