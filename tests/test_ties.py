@@ -90,7 +90,7 @@ def test_c_index_over_ranges_against_all_pairs(spark, group):
     import random
 
     rng = random.Random(5)
-    rows = [("ab"[rng.randrange(2)], float(rng.choice((1, 1, 1, rng.randrange(40)))), float(rng.randrange(1, 90)), rng.randrange(2), float(rng.randrange(1, 4))) for _ in range(1500)]
+    rows = [("ab"[rng.randrange(2)], float(rng.choice((1, 40 * rng.random()))), float(rng.randrange(1, 90)), rng.randrange(2), float(rng.randrange(1, 4))) for _ in range(1500)]
     df = spark.createDataFrame(rows, "g string, risk double, duration double, event int, w double")
     written = []
     plain, prefix_materialize = E.materialize, E.prefix.__globals__["materialize"]
