@@ -58,11 +58,8 @@ def a01p(spark, d):
 
 @query("a02_geojson_collection", f"SELECT key::VARCHAR AS key, round((x - 3) * 0.5, 6) AS cx, round((y - 2) * 0.25, 6) AS cy FROM {PTS} WHERE event_type = 'error'")
 def a02g(spark, d):
-    # One collection a user, each a file of its own feature list.
     path = f"{shared_dir(spark)}/collections-{uuid.uuid4().hex}"
-    p = points(spark, d).where("event_type = 'error'").withColumn("key", F.col("key").cast("string"))
-    text = S.feature_json(p).groupBy(F.pmod(F.xxhash64("value"), F.lit(8)).alias("file")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-    text.repartition(8, "file").select("file", "value").write.partitionBy("file").text(path)
+    S.write_geojson(points(spark, d).where("event_type = 'error'").withColumn("key", F.col("key").cast("string")), path)
     back = S.read_geojson(spark, f"{path}/*", (0.5, 0.25), (3.0, 2.0))
     return back.select("key", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 

@@ -62,8 +62,13 @@ def read_features_ndjson(spark: SparkSession, path: str, bad: str = "null") -> D
 
 
 def read_geojson(spark: SparkSession, path: str, scale=(1.0, 1.0), origin=(0.0, 0.0), bad: str = "null") -> DataFrame:
-    """A feature collection; moved by -origin, then scaled."""
-    rows = spark.read.schema(f"features array<struct<key:string,type:string,geometry:{GEOMETRY},properties:string>>").json(path, multiLine=True)
+    """Feature collections, one a file or a text sequence of them; moved by -origin, then scaled.
+
+    A file is one record: its separator is a control character, which JSON can't hold unescaped.
+    ``multiLine`` would seek in the file again for each value that is taken as text.
+    """
+    collection = f"features array<struct<key:string,type:string,geometry:{GEOMETRY},properties:string>>"
+    rows = spark.read.schema(collection).json(path, lineSep="\x1e")
     return features(rows.select(F.explode("features").alias("f")).select("f.key", "f.geometry", "f.properties"), bad, scale, origin)
 
 
@@ -108,6 +113,17 @@ def write_features(df: DataFrame, path: str) -> None:
     feature_json(df).write.text(path)
 
 
+def write_geojson(df: DataFrame, path: str, features: int = 10_000) -> None:
+    """Feature collections under ``path``, each a file of about that many features in a folder of its own.
+
+    Their number follows the rows, so no file, and no task that writes or reads one, grows with the table.
+    """
+    files = max(1, -(-df.count() // features))
+    text = feature_json(df).repartition(files).withColumn("file", F.spark_partition_id())
+    whole = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}"))
+    text.groupBy("file").agg(whole.alias("value")).write.partitionBy("file").text(path)
+
+
 def read_locations(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     """x, y and an optional class (0 where absent)."""
     rows = spark.read.schema("x double, y double, class int")
