@@ -12,42 +12,79 @@ from cohortlake.functions.prims import corr, dot, elements, forget, gather, h, l
 from .annotations import neighbours
 
 
-#: Rows of a block of vectors: two blocks' products fit a task's memory many times over.
+#: Rows of a block of an index's cell.
 BLOCK = 2048
+#: Rows of the largest block: two of them, as matrices, fit a task's memory many times over.
+LARGEST = 65_536
+#: Blocks of a table before these grow: their pairs are dealt to the square of it in tasks.
+BLOCKS = 12
+#: Rows and columns of the products that a task works out at a time.
+TILE = 1024, 4096
 
 
-def numbered(df: DataFrame, key: str, name: str, rows: int = BLOCK) -> tuple[DataFrame, int]:
-    """df with a block number by its key's hash, and how many blocks there are: as many as the rows need."""
-    n = max(1, -(-df.count() // rows))
+def numbered(df: DataFrame, key: str, name: str, rows: int = 1024) -> tuple[DataFrame, int]:
+    """df with a block number by its key's hash, and how many blocks there are.
+
+    A row is sent once for each block of the other side: from ``BLOCKS`` of ``rows`` rows on it is
+    the blocks that grow with the table, not their number, up to ``LARGEST`` rows each.
+    """
+    n = df.count()
+    n = max(1, min(-(-n // rows), BLOCKS), -(-n // LARGEST))
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
 
 
-def met_blocks(a: DataFrame, b: DataFrame, na: int, nb: int, run, schema: str) -> DataFrame:
+def met_blocks(a: DataFrame, b: DataFrame, na: int, nb: int, run, schema: str, once: bool = False) -> DataFrame:
     """Every block of ``a`` (column _a) with every block of ``b`` (column _b), a task each, as matrices.
 
-    Rows are sent once for each block of the other side; products stay inside the tasks.
+    Rows are sent once for each block of the other side; products stay inside the tasks.  ``once``:
+    of two blocks of one table only the pair with _a <= _b.
     """
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left, right = a.withColumn("_b", every(nb)), b.withColumn("_a", every(na))
+    every = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    left = a.withColumn("_b", every(F.col("_a") if once else F.lit(0), F.lit(nb - 1)))
+    right = b.withColumn("_a", every(F.lit(0), F.col("_b") if once else F.lit(na - 1)))
     return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(run, schema)
 
 
+def tiles(n: int, size: int):
+    return (slice(at, at + size) for at in range(0, n, size))
+
+
 def block_best(left: pd.DataFrame, right: pd.DataFrame, k: int, same: bool) -> pd.DataFrame:
-    """The k best (q, r, similarity) of each query (q, v) among references (r, v), as one matrix product."""
+    """The k best (q, r, similarity) of each query (q, v) among references (r, v), as matrix products.
+
+    References come in order of r, a tile at a time: after a query has k, only those above its
+    least one can still change them, as of equal ones the first r stay.
+    """
     if not len(left) or not len(right):
         return pd.DataFrame({"q": left.q[:0], "r": right.r[:0], "similarity": np.zeros(0)})
-    ids, others = left.q.to_numpy(), right.r.to_numpy()
-    s = np.round(np.stack(left.v) @ np.stack(right.v).T, 9)
-    if not same:
-        s[ids[:, None] == others[None, :]] = -np.inf
-    at = max(0, s.shape[1] - k)
-    least = np.partition(s, at, axis=1)[:, at]
-    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-    order = np.lexsort((others[j], -s[i, j], i))
-    i, j = i[order], j[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    i, j = i[place < k], j[place < k]
-    return pd.DataFrame({"q": ids[i], "r": others[j], "similarity": s[i, j]})
+    right = right.sort_values("r", kind="stable")
+    ids, others, x, y = left.q.to_numpy(), right.r.to_numpy(), np.stack(left.v), np.stack(right.v)
+    out = []
+    for a in tiles(len(x), TILE[0]):
+        mine = ids[a]
+        least = np.full(len(mine), -np.inf)
+        i, j, best = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        for b in tiles(len(y), TILE[1]):
+            s = x[a] @ y[b].T
+            if not same:
+                lo, hi = np.searchsorted(others[b], mine), np.searchsorted(others[b], mine, "right")
+                for row in np.flatnonzero(lo < hi):
+                    s[row, lo[row] : hi[row]] = -np.inf
+            # Rounded similarities decide, so what is within a rounding of the k-th stays.
+            if b.start == 0 and s.shape[1] > k:
+                new_i, new_j = np.nonzero((s >= np.partition(s, s.shape[1] - k, axis=1)[:, -k, None] - 1e-9) & (s > -np.inf))
+            else:
+                new_i, new_j = np.nonzero(s > least[:, None])
+            if not len(new_i):
+                continue
+            i, j, best = np.append(i, new_i), np.append(j, new_j + b.start), np.append(best, np.round(s[new_i, new_j], 9))
+            order = np.lexsort((j, -best, i))
+            i, j, best = i[order], j[order], best[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, best, place = (z[place < k] for z in (i, j, best, place))
+            least[i[place == k - 1]] = best[place == k - 1]
+        out.append(pd.DataFrame({"q": mine[i], "r": others[j], "similarity": best}))
+    return pd.concat(out)
 
 
 def placed(best: DataFrame, key: str, k: int) -> DataFrame:
@@ -103,6 +140,7 @@ def hubness(nn: DataFrame) -> DataFrame:
 def neighbour_diagnostics(nn: DataFrame, ref: DataFrame, key: str, vector: str, eps: float = 1e-8) -> DataFrame:
     """One row: spread of the mean neighbour distances, (q95 - q05) / q50 as their concentration, how
     often rows are neighbours (0 counts), and reference rows without a direction."""
+    nn = materialize(nn)  # read twice
     d = knn_distance(nn, key)
     q = d.agg(F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("sd"), *(F.percentile("distance", F.lit(x)).alias(n) for x, n in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95"))))
     often = ref.select(F.col(key).alias("neighbour")).join(hubness(nn), "neighbour", "left").agg(F.percentile(F.coalesce("times", F.lit(0)), F.lit(0.5)).alias("median_times"), F.max("times").alias("max_times"))
@@ -288,17 +326,23 @@ def graph_mmd(hist: DataFrame, side: DataFrame, bins: int, sigma: float) -> Data
 
 
 def _mmd(v: DataFrame, key: str, kernel) -> DataFrame:
-    """Mean kernel inside both sides less twice that across; blocks meet as matrices and send on their sums."""
+    """Mean kernel inside both sides less twice that across; blocks meet as matrices and send on their sums.
+
+    The kernel is symmetric, so two blocks meet once.
+    """
     one = lambda: v.select(F.col(key).alias("_k"), F.col("side").cast("int").alias("side"), F.col("h").alias("h"))
     (a, n), (b, _) = numbered(one(), "_k", "_a"), numbered(one(), "_k", "_b")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
+        twice = len(left) and len(right) and left["_a"].iloc[0] != left["_b"].iloc[0]
         for (i, x), (j, y) in product(left.groupby("side"), right.groupby("side")):
-            rows.append((i, j, float(kernel(np.stack(x.h), np.stack(y.h)).sum()), len(x) * len(y)))
+            x, y = np.stack(x.h), np.stack(y.h)
+            total = sum(float(kernel(x[p], y[q]).sum()) for p in tiles(len(x), TILE[0]) for q in tiles(len(y), TILE[1]))
+            rows += [(i, j, total, len(x) * len(y)), (j, i, total, len(x) * len(y))][: 1 + twice]
         return pd.DataFrame(rows, columns=["i", "j", "k", "n"])
 
-    k = met_blocks(a, b, n, n, run, "i int, j int, k double, n long").groupBy("i", "j").agg((F.sum("k") / F.sum("n")).alias("k"))
+    k = met_blocks(a, b, n, n, run, "i int, j int, k double, n long", once=True).groupBy("i", "j").agg((F.sum("k") / F.sum("n")).alias("k"))
     return k.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("k")).otherwise(-F.col("k"))).alias("mmd2"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import h, h_sql, table
+from cohortlake.functions.prims import h, h_sql, materialize, table
 from cohortlake.operators import graph as G
 from cohortlake.operators import vectors as V
 
@@ -27,14 +27,14 @@ def g01(spark, d):
 
 @query("g02_distance_percentiles", f"WITH x AS (SELECT vec_id, round(avg(1 - similarity), 6) AS distance FROM {KNN} GROUP BY 1) SELECT vec_id, distance, round(cume_dist() OVER (ORDER BY distance), 6) AS percentile FROM x")
 def g02(spark, d):
-    x = rounded(G.knn_distance(nn(spark, d), "vec_id"))
+    x = materialize(rounded(G.knn_distance(nn(spark, d), "vec_id")))
     return rounded(G.percentile_of(x, x.select("distance"), "distance"))
 
 
 @query("g02_mid_rank_percentiles", f"""WITH x AS (SELECT vec_id, round(avg(1 - similarity), 6) AS distance FROM {KNN} GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM x WHERE vec_id % 3 = 0),
  p AS (SELECT vec_id, distance, (SELECT count(*) FROM x y WHERE y.vec_id % 3 = 0 AND y.distance <= x.distance) AS r FROM x) SELECT vec_id, distance, round(least(greatest((r - 0.5) / n, 0.5 / n), 1 - 0.5 / n), 6) AS percentile FROM p, n""")
 def g02m(spark, d):
-    x = rounded(G.knn_distance(nn(spark, d), "vec_id"))
+    x = materialize(rounded(G.knn_distance(nn(spark, d), "vec_id")))
     return rounded(G.percentile_of(x, x.where("vec_id % 3 = 0").select("distance"), "distance", mid=True))
 
 

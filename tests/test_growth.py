@@ -4,8 +4,12 @@ import glob
 import json
 import os
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from cohortlake.operators import graph as G
 from cohortlake.sources import annotation_files as S
 
 
@@ -37,3 +41,38 @@ def test_collections_follow_the_rows(spark, tmp_path):
     assert sorted(r.cx for r in S.read_geojson(spark, f"{tmp_path}/many/*").collect()) == list(map(float, range(1000)))
     S.write_geojson(df.limit(0), f"{tmp_path}/none")
     assert not glob.glob(f"{tmp_path}/none/*/*.txt")
+
+
+def test_blocks_grow_with_the_table_and_not_in_number(spark):
+    """A row is sent once for each block of the other side."""
+    few, many = (G.numbered(spark.range(n), "id", "_a")[1] for n in (20_000, 500_000))
+    assert few == many and G.numbered(spark.range(3_000_000), "id", "_a")[1] * G.LARGEST < 3_200_000
+
+
+@pytest.mark.parametrize("tile", [(7, 5), (3, 100)])
+@pytest.mark.parametrize("same", [False, True])
+def test_tiles_of_a_block_keep_the_best_and_the_first_of_equals(monkeypatch, tile, same):
+    monkeypatch.setattr(G, "TILE", tile, raising=False)
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(60, 3)), 1)
+    v[20:45] = v[3]  # equal similarities over many tiles
+    q, r = rng.permutation(60)[:30], rng.permutation(60)
+    s = np.round(v @ v.T, 9)
+    got = G.block_best(pd.DataFrame({"q": q, "v": list(v[q])}), pd.DataFrame({"r": r, "v": list(v[r])}), 4, same)
+    got = {i: [(x.r, x.similarity) for x in g.sort_values(["similarity", "r"], ascending=[False, True]).itertuples()] for i, g in got.groupby("q")}
+    for i in q:
+        others = sorted((j for j in range(60) if same or j != i), key=lambda j: (-s[i, j], j))[:4]
+        assert [j for j, _ in got[i]] == others and [x for _, x in got[i]] == [s[i, j] for j in others]
+
+
+def test_kernel_sums_of_blocks_and_tiles(spark, monkeypatch):
+    monkeypatch.setattr(G.numbered, "__defaults__", (9,))
+    monkeypatch.setattr(G, "TILE", (4, 3), raising=False)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 3))
+    df = spark.createDataFrame([(i, i % 3 // 2, v.tolist()) for i, v in enumerate(x)], "id long, side int, v array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    k = (np.exp(-d / 2) + np.exp(-d / 8)) / 2
+    one = np.arange(50) % 3 == 2
+    want = k[~one][:, ~one].mean() + k[one][:, one].mean() - 2 * k[one][:, ~one].mean()
+    assert abs(G.mmd(df, "id", "side", "v", [1.0, 2.0]).collect()[0].mmd2 - want) < 1e-12
