@@ -25,16 +25,18 @@ def parts_of(kind: Column, text: Column, scale=(1.0, 1.0), origin=(0.0, 0.0)) ->
     rings = lambda part: F.transform(part, lambda r: line(opened(r)))
     read = lambda k: F.from_json(text, "array<" * DEPTH[k] + "array<double>" + ">" * DEPTH[k])
     made = {
-        "Point": F.array(F.array(F.array(point(read("Point"))))),
-        "MultiPoint": F.transform(read("MultiPoint"), lambda p: F.array(F.array(point(p)))),
-        "LineString": F.array(F.array(line(read("LineString")))),
-        "MultiLineString": F.transform(read("MultiLineString"), lambda r: F.array(line(r))),
-        "Polygon": F.array(rings(read("Polygon"))),
-        "MultiPolygon": F.transform(read("MultiPolygon"), rings),
+        "Point": lambda c: F.array(F.array(F.array(point(c)))),
+        "MultiPoint": lambda c: F.transform(c, lambda p: F.array(F.array(point(p)))),
+        "LineString": lambda c: F.array(F.array(line(c))),
+        "MultiLineString": lambda c: F.transform(c, lambda r: F.array(line(r))),
+        "Polygon": lambda c: F.array(rings(c)),
+        "MultiPolygon": lambda c: F.transform(c, rings),
     }
     out = F.lit(None).cast(PARTS)
     for k, parts in made.items():
-        out = F.when((kind == k) & read(k).isNotNull(), parts).otherwise(out)
+        # As the variable of a function the text is parsed once, however often its value is taken.
+        once = F.transform(F.array(read(k)), lambda c: F.when(c.isNotNull(), parts(c)))  # noqa: B023
+        out = F.when(kind == k, F.get(once, F.lit(0))).otherwise(out)
     return out
 
 
