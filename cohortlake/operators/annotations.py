@@ -235,6 +235,23 @@ def neighbours(left: DataFrame, right: DataFrame, distance: float, mode: str = "
     return l.join(r, ["gx", "gy"]).where((F.col("cx") - F.col("n_cx")) ** 2 + (F.col("cy") - F.col("n_cy")) ** 2 <= d * d).select("key", "n_key")
 
 
+def near_pairs(df: DataFrame, distance: float) -> DataFrame:
+    """Pairs of rows of one table (key, cx, cy, ..) with centres within a distance, each once: its columns, and those
+    of the other row with n_.  Rows with the same key make no pair.
+
+    One side is filed in its own cell, the other in it and in four of the eight around: of two cells
+    side by side one looks into the other.
+    """
+    d = float(distance)
+    l = df.withColumn("gx", cell("cx", d)).withColumn("gy", cell("cy", d))  # noqa: E741
+    ahead = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    r = l.select(*(F.col(c).alias(f"n_{c}") for c in df.columns), "gx", "gy", F.explode(ahead).alias("_to"))
+    r = r.withColumns({"gx": F.col("gx") + F.col("_to.x"), "gy": F.col("gy") + F.col("_to.y"), "_own": (F.col("_to.x") == 0) & (F.col("_to.y") == 0)}).drop("_to")
+    within = (F.col("cx") - F.col("n_cx")) ** 2 + (F.col("cy") - F.col("n_cy")) ** 2 <= d * d
+    once = F.when(F.col("_own"), F.col("key") < F.col("n_key")).otherwise(F.col("key") != F.col("n_key"))
+    return l.join(r, ["gx", "gy"]).where(within & once).drop("gx", "gy", "_own")
+
+
 BOUNDS = ("min_x", "min_y", "max_x", "max_y")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.prims import corr, dot, elements, forget, gather, h, l2, materialize, prefix
 
-from .annotations import neighbours
+from .annotations import near_pairs
 
 
 #: Rows of a block of an index's cell.
@@ -175,12 +175,10 @@ def retrieval(images: DataFrame, texts: DataFrame, key: str, vector: str, label:
 
 def radius_edges(points: DataFrame, radius: float, lambda_d: float, lambda_f: float) -> DataFrame:
     """(src, dst, weight): 1 - exp(-lf * f) * exp(-ld * d) for pairs within a radius; f: feature distance."""
-    at = points.select("key", "cx", "cy", "features")
-    p = neighbours(points, points, radius).where("key < n_key")
-    p = p.join(at, "key").join(at.select(F.col("key").alias("n_key"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("features").alias("nf")), "n_key")
-    d = F.sqrt((F.col("cx") - F.col("nx")) ** 2 + (F.col("cy") - F.col("ny")) ** 2)
-    diff = F.zip_with("features", "nf", lambda a, b: a - b)
-    return p.select(F.col("key").alias("src"), F.col("n_key").alias("dst"), (1 - F.exp(-lambda_f * F.sqrt(dot(diff, diff))) * F.exp(-lambda_d * d)).alias("weight"))
+    p = near_pairs(points.select("key", "cx", "cy", "features"), radius)
+    d = F.sqrt((F.col("cx") - F.col("n_cx")) ** 2 + (F.col("cy") - F.col("n_cy")) ** 2)
+    diff = F.zip_with("features", "n_features", lambda a, b: a - b)
+    return p.select(F.least("key", "n_key").alias("src"), F.greatest("key", "n_key").alias("dst"), (1 - F.exp(-lambda_f * F.sqrt(dot(diff, diff))) * F.exp(-lambda_d * d)).alias("weight"))
 
 
 def cluster_nodes(points: DataFrame, cluster: str, vector: str) -> DataFrame:

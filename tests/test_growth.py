@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlake.operators import annotations as A
 from cohortlake.operators import graph as G
 from cohortlake.sources import annotation_files as S
 
@@ -76,3 +77,19 @@ def test_kernel_sums_of_blocks_and_tiles(spark, monkeypatch):
     one = np.arange(50) % 3 == 2
     want = k[~one][:, ~one].mean() + k[one][:, one].mean() - 2 * k[one][:, ~one].mean()
     assert abs(G.mmd(df, "id", "side", "v", [1.0, 2.0]).collect()[0].mmd2 - want) < 1e-12
+
+
+def test_near_pairs_each_once(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(-6, 6, size=(300, 2)), 1)
+    x[:40] = np.round(x[:40])  # on the edges of cells, and in one place
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(7, 50.0, 50.0), (7, 50.0, 51.0), (None, 0.0, 0.0)], "key long, cx double, cy double")
+    got = sorted(tuple(sorted((r.key, r.n_key))) for r in A.near_pairs(df, 1.5).collect())
+    assert got == [(i, j) for i in range(300) for j in range(i + 1, 300) if (x[i, 0] - x[j, 0]) ** 2 + (x[i, 1] - x[j, 1]) ** 2 <= 1.5**2]
+
+
+def test_edges_are_not_sent_back_to_their_points(spark):
+    """One join makes an edge with all that its weight needs."""
+    df = spark.range(50).select(F.col("id").alias("key"), F.col("id").cast("double").alias("cx"), F.lit(0.0).alias("cy"), F.array(F.col("id") * 1.0).alias("features"))
+    plan = G.radius_edges(df, 2.0, 0.3, 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
