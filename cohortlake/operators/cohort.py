@@ -131,10 +131,16 @@ def build_index(masks: DataFrame, templates: list[str]) -> tuple[DataFrame, Data
     annotation's number inside its image.
     """
     live = masks.where("area > 0")
-    ids = dense(live, ["image"], "image_id")
+    # An image's annotations are numbered on from those of the images before: only images are put in order.
+    images = live.groupBy("image").agg(F.count("image").alias("_n")).withColumn("_b", F.pmod(F.xxhash64("image"), F.lit(4096)))
+    upto = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = images.groupBy("_b").agg(F.count("*").alias("_i"), F.sum("_n").alias("_s")).select("_b", upto("_i").alias("_i"), upto("_s").alias("_s"))
+    own = Window.partitionBy("_b").orderBy("image")
+    inner = images.withColumns({"_r": F.row_number().over(own), "_u": F.sum("_n").over(own) - F.col("_n")})
+    ids = inner.join(F.broadcast(before), "_b").select("image", (F.col("_i") + F.col("_r")).alias("image_id"), (F.col("_s") + F.col("_u")).alias("_first"))
     w = Window.partitionBy("image").orderBy("category", "mask")
-    anns = live.join(ids, "image").withColumn("ann", F.row_number().over(w))
-    anns = anns.join(dense(anns, ["image_id", "ann"], "ann_id"), ["image_id", "ann"])
+    anns = live.join(ids, "image").withColumn("ann", F.row_number().over(w)).withColumn("ann_id", F.col("_first") + F.col("ann")).drop("_first")
+    ids = ids.drop("_first")
     texts = F.posexplode(F.array(*(F.format_string(t, "category", "image") for t in templates))).alias("sent_id", "raw")
     return ids, anns, anns.select("image", "ann", "ann_id", texts)
 
