@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ class Shingler:
     def __init__(self, k: int):
         self.k, self.hasher = k, Hasher(11)
 
-    def __call__(self, text) -> np.ndarray:
-        ws, joined, start, end = word_spans((text or "").encode().lower())
+    def __call__(self, raw: bytes | None) -> np.ndarray:
+        ws, joined, start, end = word_spans((raw or b"").lower())
         if not ws:
             return np.zeros(0, np.uint64)
         k = min(self.k, len(ws))
@@ -71,23 +72,34 @@ def text_key() -> Column:
     return F.xxhash64("text")
 
 
+def each(b: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, one made at a time: its texts are never all copied out of it."""
+    return zip(*((x.as_py() for x in c) for c in b.columns))
+
+
+def batch(rows: list[tuple], types: dict) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else ((),) * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values())], names=list(types))
+
+
 def signatures(docs: DataFrame, k: int, half: int, rows: int) -> DataFrame:
     """(doc_id, h, n, s1, s2, sig): set size, 128-bit hash of the set, minhashes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, mins = Shingler(k), MinHash(2 * half * rows)
         signed = lambda x: x - (x >> 63 << 64)
         for b in batches:
             out = []
-            for d, h, t in zip(b.doc_id, b.h, b.text):
+            for d, h, t in each(b):
                 s = cut(t)
                 with np.errstate(over="ignore"):
                     one = int((s * np.uint64(0xC2B2AE3D27D4EB4F) ^ (s >> np.uint64(29))).sum(dtype=np.uint64)) if len(s) else 0
                     two = int((s ^ (s * np.uint64(0x165667B19E3779F9) >> np.uint64(17))).sum(dtype=np.uint64)) if len(s) else 0
                 out.append((d, h, len(s), signed(one), signed(two), mins(s).astype("<u4").tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "h", "n", "s1", "s2", "sig"])
+            yield batch(out, made)
 
-    return docs.select("doc_id", text_key().alias("h"), "text").mapInPandas(run, "doc_id long, h long, n long, s1 long, s2 long, sig binary")
+    made = {"doc_id": "int64", "h": "int64", "n": "int64", "s1": "int64", "s2": "int64", "sig": "binary"}
+    return docs.select("doc_id", text_key().alias("h"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, h long, n long, s1 long, s2 long, sig binary")
 
 
 def table_keys(classes: DataFrame, half: int, rows: int, spans: int) -> DataFrame:
@@ -124,20 +136,20 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame
     ``a`` is the side with many partners: rows come sorted by it, and its set is made once a run.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, last, mine = Shingler(k), None, None
         for g in batches:
             out = []
-            for a, b, ta, tb in zip(g.a, g.b, g.ta, g.tb):
+            for a, b, ta, tb in each(g):
                 if a != last:
                     last, mine = a, cut(ta)
                 s = cut(tb)
                 both = len(np.intersect1d(mine, s, assume_unique=True))
                 if 100 * both >= share * (len(mine) + len(s) - both):
                     out.append((a, b))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            yield batch(out, {"a": "int64", "b": "int64"})
 
-    return with_texts(pairs, texts).mapInPandas(run, "a long, b long")
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long")
 
 
 def beside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -146,25 +158,26 @@ def beside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     Two shingles with one hash only make two classes seem to share more.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, last, mine = Shingler(k), None, None
         for g in batches:
             out = []
-            for a, b, ta, tb in zip(g.a, g.b, g.ta, g.tb):
+            for a, b, ta, tb in each(g):
                 if a != last:
                     last, mine = a, cut(ta)
                 s = cut(tb)
                 rest = np.setdiff1d(s, mine, assume_unique=True)
                 out.append((a, b, len(s) - len(rest), (rest >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pd.DataFrame(out, columns=["a", "b", "core", "outside"])
+            yield batch(out, {"a": "int64", "b": "int64", "core": "int64", "outside": pa.list_(pa.int32())})
 
-    return with_texts(pairs, texts).mapInPandas(run, "a long, b long, core long, outside array<int>")
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, core long, outside array<int>")
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ta, tb), sorted by a inside a task."""
-    met = pairs.select("a", "b").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
-    return met.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").sortWithinPartitions("a")
+    """(a, b, ta, tb), sorted by a inside a task; texts as UTF-8 bytes."""
+    raw = F.col("text").cast("binary")
+    met = pairs.select("a", "b").join(texts.select(F.col("c").alias("b"), raw.alias("tb")), "b")
+    return met.join(texts.select(F.col("c").alias("a"), raw.alias("ta")), "a").select("a", "b", "ta", "tb").sortWithinPartitions("a")
 
 
 #: Keys of up to this many classes are settled by comparing all of these.

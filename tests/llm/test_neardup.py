@@ -103,3 +103,17 @@ def test_clashing_names(spark):
     docs = documents(spark, texts).selectExpr("*", "1 AS h", "2 AS key", "3 AS doc", "4 AS of", "5 AS n", "'p' AS part")
     kept = neardup.drop_near_duplicates(docs)
     assert kept.dtypes == docs.dtypes and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def test_texts_are_read_as_bytes_one_at_a_time(spark):
+    """Tasks hold a batch's texts once, as Arrow has them, and not as strings of pandas besides."""
+    docs = documents(spark, ["one two", None, "é É"])
+    texts = spark.createDataFrame([(1, "a b"), (2, "a c")], "c long, text string")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    for df in (neardup.signatures(docs, 2, 12, 2), neardup.confirm(pairs, texts, 2, 80), neardup.beside(pairs, texts, 2)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert dict(neardup.with_texts(pairs, texts).dtypes)["ta"] == "binary"
+    batch = neardup.batch([(1, b"x"), (None, None)], {"a": "int64", "t": "binary"})
+    rows = neardup.each(batch)
+    assert next(rows) == (1, b"x") and next(rows) == (None, None) and next(rows, None) is None
