@@ -567,42 +567,54 @@ def bleu(df: DataFrame, key: str, answer: str, truth: str, n: int = 4) -> DataFr
 def best_candidates(answers: DataFrame, key: str, answer: str, candidates: DataFrame, cand: str, text: str) -> DataFrame:
     """(key, cand): for each answer the candidate that shares the most distinct words with it (ties: the first).
 
-    A prefix-filtered search.  Answers become sets of words that candidates have, equal sets once,
-    words in order of rarity.  A set meets only the candidates of its rarest words, whose overlap is
-    then counted in full; once r words are probed, all others share at most the m - r that are left,
-    and a set with a better candidate is done.  Of a set's last, most common word only the first
-    candidate can still win, which the word's own row names, and words that every candidate has
-    decide nothing: neither is joined.
+    Answers become sets of the numbers of words that candidates have, rarest first, equal sets
+    once.  Round by round the next words of a set meet the candidates that have them, as narrow
+    rows that add up to shared words so far; with m words left no candidate not met shares more
+    than m, and one met only m more.  Candidates that can't win any more are dropped, and a set is
+    done when one is left that no candidate not met can reach.  A set's last, most common word
+    isn't joined with all its candidates: those still in are asked for it, and of the others only
+    the first can win, which the word's own row names.  Words that every candidate has decide
+    nothing and are left out.
     """
     spark = answers.sparkSession
     own = materialize(candidates.select(F.col(cand).alias("c"), F.array_distinct(tokens(text)).alias("cw")))
-    posts = own.select("c", F.explode("cw").alias("w"))
-    word = posts.groupBy("w").agg(F.count("*").alias("n"), F.min("c").alias("first"))
     total = own.agg(F.count("*").alias("nc"), F.min("c").alias("least"))
+    posts = own.select("c", F.explode("cw").alias("w")).distinct()
+    word = posts.groupBy("w").agg(F.count("*").alias("n"), F.min("c").alias("first"))
+    word = materialize(word.withColumn("i", F.monotonically_increasing_id()))
+    posts = materialize(posts.join(word, "w").select("i", "c"))
     said = answers.select(F.col(key).alias("k"), F.explode(F.array_distinct(tokens(answer))).alias("w")).join(word, "w").crossJoin(F.broadcast(total))
     common = F.col("n") == F.col("nc")
-    sets = said.groupBy("k").agg(F.array_sort(F.collect_list(F.when(~common, F.struct("n", "w", "first")))).alias("s"), F.min(F.when(common, F.col("least"))).alias("any"))
-    sets = materialize(sets)
-    none = F.lit(None).cast(f"struct<o:int,c:{own.schema['c'].dataType.simpleString()}>")
-    todo = materialize(sets.where(F.size("s") > 0).select("s").distinct().select("s", F.transform("s", lambda x: x["w"]).alias("ws"), none.alias("best")))
+    sets = said.groupBy("k").agg(F.array_sort(F.collect_list(F.when(~common, F.struct("n", "i", "first")))).alias("s"), F.min(F.when(common, F.col("least"))).alias("any"))
+    sets = materialize(sets.select("k", "any", F.transform("s", lambda x: x["i"]).alias("ws"), F.get("s", F.size("s") - 1)["first"].alias("first")))
+    todo = materialize(sets.where(F.size("ws") > 0).select("ws", "first").distinct().withColumn("id", F.monotonically_increasing_id()))
+    ids, live = todo.select("ws", "id"), todo.select("id", "ws", F.size("ws").alias("m"), "first")
+    hits = spark.createDataFrame([], f"id long, c {own.schema['c'].dataType.simpleString()}, h long")
     done, probed, step = [], 0, 4
-    while not todo.isEmpty():
-        # All but the last word; of a candidate's shared words only the first one probed brings it.
-        probe = todo.select("s", "ws", F.explode(F.slice("ws", F.lit(probed + 1), F.greatest(F.least(F.lit(step), F.size("ws") - 1 - probed), F.lit(0)))).alias("w"))
-        met = probe.join(posts, "w").join(own, "c")
-        shared = F.array_intersect("ws", "cw")
-        found = met.where(F.get(shared, F.lit(0)) == F.col("w")).groupBy("s").agg(F.min(F.struct((-F.size(shared)).alias("o"), "c")).alias("_new"))
+    while not live.isEmpty():
+        probe = live.select("id", F.explode(F.slice("ws", F.lit(probed + 1), F.greatest(F.least(F.lit(step), F.col("m") - 1 - probed), F.lit(0)))).alias("i"))
+        met = probe.join(posts, "i").groupBy("id", "c").agg(F.count("*").alias("h"))
         probed, step = probed + step, 4 * step
-        now = todo.join(found, "s", "left").select("s", "ws", F.least("best", "_new").alias("best"))
-        settled = (-F.coalesce(F.col("best.o"), F.lit(0)) > F.size("ws") - probed) | (F.size("ws") - 1 <= probed)
-        now = materialize(now.withColumn("settled", settled))
-        done.append(now.where("settled").select("s", "best"))
-        todo = now.where("not settled").select("s", "ws", "best")
-    last = F.struct(F.lit(-1).alias("o"), F.element_at("s", -1)["first"].alias("c"))
+        met = materialize(met.unionByName(hits).groupBy("id", "c").agg(F.sum("h").alias("h")))
+        best = met.groupBy("id").agg(F.max("h").alias("top"))
+        rest = F.greatest(F.col("m") - probed, F.lit(1))  # words of the set not yet probed, its last among them
+        still = met.join(live.select("id", rest.alias("rest"), F.element_at("ws", -1).alias("last")).join(best, "id"), "id").where(F.col("h") + F.col("rest") >= F.col("top"))
+        met = materialize(still.select("id", "c", "h", "top", "rest", "last"))
+        n = met.groupBy("id").agg(F.count("*").alias("left"), F.first("top").alias("top"))
+        now = live.join(n, "id", "left").withColumn("settled", (F.col("m") - 1 <= probed) | (F.coalesce("left", F.lit(0)) == 1) & (F.col("top") > rest))
+        now = materialize(now.select("id", "ws", "m", "first", "settled"))
+        out = met.join(now.where("settled").select("id"), "id", "left_semi")
+        # One of several that are still in can be ahead by the last word alone.
+        last = out.join(posts.select(F.col("i").alias("last"), "c", F.lit(1).alias("one")), ["last", "c"], "left")
+        ends = last.select("id", F.struct((-F.col("h") - F.coalesce("one", F.lit(0))).alias("o"), "c").alias("b"))
+        own_last = now.where("settled").select("id", F.struct(F.lit(-1).cast("long").alias("o"), F.col("first").alias("c")).alias("b"))
+        done.append(materialize(ends.unionByName(own_last).groupBy("id").agg(F.min("b").alias("b")).select("id", "b.c")))
+        live = now.where("not settled").select("id", "ws", "m", "first")
+        hits = met.join(live.select("id"), "id", "left_semi").select("id", "c", "h")
     out = spark.createDataFrame([], sets.select("k", F.col("any").alias("c")).schema)
     for part in done:
-        out = out.unionByName(sets.join(part, "s").select("k", F.least("best", last)["c"].alias("c")))
-    out = out.unionByName(sets.where((F.size("s") == 0) & F.col("any").isNotNull()).select("k", F.col("any").alias("c")))
+        out = out.unionByName(sets.join(ids.join(part, "id"), "ws").select("k", "c"))
+    out = out.unionByName(sets.where((F.size("ws") == 0) & F.col("any").isNotNull()).select("k", F.col("any").alias("c")))
     return out.select(F.col("k").alias(key), F.col("c").alias(cand))
 
 

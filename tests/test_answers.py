@@ -66,6 +66,20 @@ def test_a_word_in_all_answers_meets_no_more_rows(spark, monkeypatch):
     assert 0 < most <= 4 * n
 
 
+def test_sets_of_words_are_not_copied_to_pairs(spark, monkeypatch):
+    """What meets a candidate is the number of a set; a repeated candidate has the words of all its rows."""
+    answers, candidates = [(1, "a b c d e"), (2, "c x y")], [(1, "a b"), (1, "c d b"), (2, "a b c"), (3, "x y z")]
+    plans = []
+    real = E.materialize
+    monkeypatch.setattr(E, "materialize", lambda df: plans.append((df.columns, df.dtypes, df._jdf.queryExecution().optimizedPlan().toString())) or real(df))
+    a, c = frames(spark, answers, candidates)
+    got = {r.k: r.c for r in E.best_candidates(a, "k", "a", c, "c", "t").collect()}
+    assert got == {1: 1, 2: 3}
+    assert any("id" in columns and "c" in columns for columns, _, _ in plans)
+    assert not any("array_intersect" in plan for _, _, plan in plans)
+    assert not any(t.startswith("array") for columns, types, _ in plans if {"id", "c"} <= set(columns) for _, t in types)
+
+
 def test_contained_candidates(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(12)]
