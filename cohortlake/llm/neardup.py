@@ -12,11 +12,14 @@ Texts with equal shingle sets are one class.  Then, in rounds, all confirmed on
    its middle) is the centre, and the others are held against it.
 2. What is left are keys whose classes still lie in several components.  In keys of up to
    ``FEW`` classes these are compared with each other.  In larger ones (near copies that stay
-   under the share) every class is split by its key's centre into the core(a) shingles that the
-   centre has too and those outside it.  Two classes share at most the smaller core and what
-   their outsides have in common, and to be linked they share ``share / (100 + share)`` of their
-   sizes' sum.  So only pairs are compared whose cores reach that, or that meet by shingles
-   outside the centre and reach it with these; near copies that each went their own way don't meet.
+   under the share) every class is held against its key's centre: d(a) are the shingles that
+   one of the two has and the other has not.  With q = (100 - share) / (100 + share), two classes
+   are to be linked if and only if their sets differ in at most q * (n(a) + n(b)) shingles, that
+   is, if d(a) and d(b) share at least t = (|d(a)| + |d(b)| - q * (n(a) + n(b))) / 2.  That is
+   over 0 when one of the two is not linked with the centre.  So in any order of the shingles
+   the first |d| - t + m of both have m in common (m up to t), and only classes that meet so
+   often in these are compared.  Shingles that differ in one class alone come first, frequent ones last: near
+   copies that each went their own way don't meet.
 
 Nulls and empties: texts without words have no shingles, belong to their own class and are
 linked with nothing; a null doc_id is kept, as a document of its own with a null component;
@@ -28,12 +31,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.operators.graph import components
 
-from .common import Hasher, forget, fresh, materialize, table, word_spans
+from . import sketch
+from .common import Hasher, forget, fresh, materialize, mix64, table, word_spans
 
 
 class Shingler:
@@ -153,10 +158,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame
 
 
 def beside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(a, b, core, outside): how many shingles of b the centre a has, and b's others (as 32-bit hashes).
+    """(a, b, core, outside, lacking): how many shingles of b the centre a has, b's others, and the
+    centre's that b lacks (both as 32-bit hashes).
 
     Two shingles with one hash only make two classes seem to share more.
     """
+    short = lambda s: (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, last, mine = Shingler(k), None, None
@@ -167,10 +174,10 @@ def beside(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                     last, mine = a, cut(ta)
                 s = cut(tb)
                 rest = np.setdiff1d(s, mine, assume_unique=True)
-                out.append((a, b, len(s) - len(rest), (rest >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield batch(out, {"a": "int64", "b": "int64", "core": "int64", "outside": pa.list_(pa.int32())})
+                out.append((a, b, len(s) - len(rest), short(rest), short(np.setdiff1d(mine, s, assume_unique=True))))
+            yield batch(out, {"a": "int64", "b": "int64", "core": "int64", "outside": pa.list_(pa.int32()), "lacking": pa.list_(pa.int32())})
 
-    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, core long, outside array<int>")
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, core long, outside array<int>, lacking array<int>")
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -184,13 +191,6 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 FEW = 16
 
 
-def several(rows: DataFrame) -> DataFrame:
-    """Rows (key, c, n, part, room) of the keys that still hold several components, and of these
-    the classes that some class of the key is small enough for."""
-    ends = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("key", "least")
-    return rows.join(ends, "key").where(F.col("room") >= F.col("least")).drop("least")
-
-
 def meeting(rows: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of rows that meet in ``on``, of different components: columns a_.. and b_.., a_c < b_c."""
     cols = [c for c in rows.columns if c not in on]
@@ -202,27 +202,99 @@ def named(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a_c").alias("a"), F.col("b_c").alias("b")).distinct()
 
 
-def outside_pairs(seen: DataFrame, part: DataFrame, share: int) -> DataFrame:
-    """(a, b): pairs that meet by shingles outside a common centre and can be linked by what they share.
+#: Shingles that differ in so many classes of a centre are looked at after the others, step by step.
+OFTEN = (32, 256, 2048)
+#: Classes have to meet in so many of them before they are compared, or in as many as they need.
+MEET = 3
+
 
-    They have to share ``share / (100 + share)`` of their sizes' sum, at most the smaller core
-    of it in the centre.  Of two classes one is not linked with the centre: it searches.  It
-    needs as many outside shingles in common as its core lacks; all but one of these may be
-    left out of the search, and those that most classes of the centre have are.
+def held(seen: DataFrame, part: DataFrame, share: int) -> DataFrame:
+    """Rows (a, c, n, part, far, d, far_first, near_first, differ) of ``beside`` that can be linked across components.
+
+    ``far``: in another component than the centre.  One of two classes is, and of ``differ`` the
+    first ``far_first`` can be the first that is shared with a far class, ``near_first`` that a
+    far class shares with one of the centre's component.
     """
     own = seen.join(part.withColumnRenamed("c", "b"), "b").join(part.select(F.col("c").alias("a"), F.col("part").alias("pa")), "a")
-    own = own.withColumn("out", F.size("outside"))
-    row = lambda x: [F.col("b").alias(f"{x}_c"), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "part", "core", "out"))]
-    target = own.select("a", *row("b"), F.explode("outside").alias("s"))
-    common = target.groupBy("a", "s").agg(F.count("*").alias("times")).where("times > 1")
-    search = own.where("part <> pa").select("a", *row("a"), F.explode("outside").alias("s")).join(common, ["a", "s"])
-    search = search.withColumn("nth", F.row_number().over(Window.partitionBy("a", "a_c").orderBy(F.desc("times"), "s"))).drop("times")
-    need, core = (F.col("a_n") + F.col("b_n")) * share, F.least("a_core", "b_core")
-    lost = F.greatest(F.lit(0), F.ceil(need / (100 + share)) - F.col("a_core") - 1)
-    met = search.join(target, ["a", "s"]).where((F.col("a_part") != F.col("b_part")) & (F.col("nth") > lost) & ((core + F.least("a_out", "b_out")) * (100 + share) >= need))
-    both = met.groupBy("a", "a_c", "b_c", "a_n", "b_n", "a_core", "b_core").agg(F.count("*").alias("both"))
-    both = both.where((core + F.col("both") + lost) * (100 + share) >= need)
-    return both.select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b")).distinct()
+    d, n, far = F.size("outside") + F.size("lacking"), F.col("n"), F.col("part") != F.col("pa")
+    own = own.select("a", F.col("b").alias("c"), "n", "part", far.alias("far"), d.cast("long").alias("d"), F.concat("outside", "lacking").alias("differ"))
+    # Two classes share up to all of d: past(a) <= room(b), and the other way round.
+    past, room = F.col("d") * (100 + share) - n * (100 - share), F.col("d") * (100 + share) + n * (100 - share)
+    ends = [f(F.when(F.col("far") == is_far, x)).alias(f"{name}_{at}") for at, is_far in (("far", True), ("near", False)) for f, x, name in ((F.min, past, "past"), (F.max, room, "room"))]
+    met = own.join(own.groupBy("a").agg(*ends), "a")
+
+    def first(at: str) -> Column:
+        shared = F.greatest(F.lit(1), F.ceil((past + F.col(f"past_{at}")) / (2 * (100 + share))), F.col("d") - F.floor(n * (100 - share) / share))
+        can = (past <= F.col(f"room_{at}")) & (room >= F.col(f"past_{at}"))
+        return F.when(can, F.least("d", F.col("d") - shared + MEET)).otherwise(0).cast("long")
+
+    met = met.withColumn("far_first", first("far")).withColumn("near_first", F.when(F.col("far"), first("near")).otherwise(0).cast("long"))
+    return met.where("far_first > 0 or near_first > 0").select("a", "c", "n", "part", "far", "d", "far_first", "near_first", "differ")
+
+
+def differing(rows: DataFrame) -> DataFrame:
+    """(s, at, a, c, n, part, far, d, far_first, near_first): the first shingles that differ, without those of one class alone.
+
+    ``s`` names a shingle and its centre.  The order is the same for all classes of a centre:
+    first what differs in one class (as far as a sketch of all tells), last what does in many.
+    """
+    total = rows.agg(F.sum("d")).first()[0] or 0
+    width, depth = int(min(26, max(sketch.CHUNK, np.ceil(np.log2(max(2, 8 * total)))))), 2
+
+    def named(g: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Row number and (a, s) as one hash, of each shingle in the batch."""
+        lists = g.column("differ")
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        with np.errstate(over="ignore"):
+            a = mix64(g.column("a").to_numpy(zero_copy_only=False).view(np.uint64))
+            return row, mix64(a[row] ^ lists.flatten().to_numpy().view(np.uint32).astype(np.uint64))
+
+    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = sketch.Partial(width, depth)
+        for g in batches:
+            for x in part.add(named(g)[1]):
+                yield pa.RecordBatch.from_pandas(x.astype({"part": "int32"}), preserve_index=False)
+        for x in part.flush():
+            yield pa.RecordBatch.from_pandas(x.astype({"part": "int32"}), preserve_index=False)
+
+    counts = materialize(rows.select("a", "differ").mapInArrow(partials, sketch.SCHEMA), "counts")
+    passed = [sketch.merged(counts, width, depth, often) for often in OFTEN]
+    forget(counts)
+    kept = ["a", "c", "n", "part", "far", "d", "far_first", "near_first"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [sketch.Filter(passed[0].value, width, depth), *(sketch.Filter(x.value, width, depth, "hot") for x in passed)]
+        for g in batches:
+            row, s = named(g)
+            tier = sum(kind(s).astype(np.int8) for kind in kinds)
+            order = np.lexsort((s, tier, row))
+            row, s, tier = row[order], s[order], tier[order]
+            at = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            last = np.maximum(*(g.column(x).to_numpy(zero_copy_only=False) for x in ("far_first", "near_first")))
+            use = np.flatnonzero((tier > 0) & (at <= last[row]))
+            found = g.select(kept).take(pa.array(row[use]))
+            yield pa.RecordBatch.from_arrays([pa.array(s[use].view(np.int64)), pa.array(at[use]), *found.columns], names=["s", "at", *kept])
+
+    return rows.mapInArrow(run, "s long, at long, a long, c long, n long, part long, far boolean, d long, far_first long, near_first long")
+
+
+def differing_pairs(first: DataFrame, share: int) -> DataFrame:
+    """(a, b, far, pa, pb, more): classes of different components that meet among the first of what differs from a centre.
+
+    ``far`` is the one of them that searched, ``more`` how many more of these they share than they need.
+    """
+    row = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("c", "n", "part", "d", "at")]
+    near = first.where("far and at <= near_first").select("s", F.lit(False).alias("far"), F.col("a").alias("centre"), *row("a"))
+    far = first.where("far and at <= far_first").select("s", "far", F.col("a").alias("centre"), *row("a"))
+    met = near.union(far).join(first.where("at <= far_first").select("s", "far", *row("b")), ["s", "far"])
+    over = (F.col("a_d") + F.col("b_d")) * (100 + share) - (F.col("a_n") + F.col("b_n")) * (100 - share)
+    met = met.withColumn("shared", F.ceil(over / (2 * (100 + share))))
+    met = met.where((F.col("a_part") != F.col("b_part")) & (~F.col("far") | (F.col("a_c") < F.col("b_c"))) & similar_sizes("a_n", "b_n", share))
+    met = met.withColumn("least", F.least(F.greatest("shared", F.lit(1)), F.lit(MEET)))
+    met = met.where((F.col("a_at") <= F.col("a_d") - F.col("shared") + F.col("least")) & (F.col("b_at") <= F.col("b_d") - F.col("shared") + F.col("least")))
+    ends = [F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b"), F.col("a_c").alias("far"), F.col("a_part").alias("pa"), F.col("b_part").alias("pb")]
+    met = met.groupBy("centre", *ends).agg(F.count("*").alias("both"), F.max("shared").alias("shared"), F.max("least").alias("least")).where("both >= least")
+    return met.withColumn("more", F.col("both") - F.col("shared")).groupBy("a", "b").agg(F.max_by(F.struct("far", "pa", "pb", "more"), "more").alias("x")).select("a", "b", "x.*")
 
 
 def linked(docs: DataFrame, k: int, share: int, half: int, rows: int, spans: int, need: int):
@@ -254,20 +326,34 @@ def linked(docs: DataFrame, k: int, share: int, half: int, rows: int, spans: int
     few = named(meeting(left.where(F.col("size") <= FEW).drop("size"), ["key"]).where(similar_sizes("a_n", "b_n", share)))
     many = left.where(F.col("size") > FEW).drop("size").join(centre.withColumnRenamed("a", "centre"), "key")
     seen = materialize(beside(many.where("c <> centre").select(F.col("centre").alias("a"), F.col("c").alias("b")).distinct(), texts, k), "seen")
-    split = many.join(seen.select(F.col("a").alias("centre"), F.col("b").alias("c"), "core"), ["centre", "c"], "left").withColumn("core", F.coalesce("core", "n"))
-    # The largest size that the other class can have, for 100 * both >= share * union.
-    room = F.floor(F.col("core") * (100 + share) / share) - F.col("n")
-    open_ = materialize(several(split.select("key", "c", "n", "part", room.cast("long").alias("room"))), "open")
-    alike = named(meeting(open_, ["key"]).where((F.col("b_n") <= F.col("a_room")) & (F.col("a_n") <= F.col("b_room"))))
-    sharing = outside_pairs(seen, part, share)
-    cross = few.union(alike).union(sharing).distinct().join(tried, ["a", "b"], "left_anti")
-    cross = materialize(agreeing(cross, slim, share, need), "cross")
-    more = materialize(confirm(cross, texts, k, share), "more")
+    # Their sets are compared already: links that too few equal minhashes had hidden.
+    near = seen.withColumn("size", F.size("outside") + F.size("lacking") + F.col("core")).where(F.col("core") * 100 >= F.col("size") * share)
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
+    rows_ = materialize(held(seen, part, share), "held")
+    first = materialize(differing(rows_), "first")
+    met = materialize(differing_pairs(first, share).join(tried, ["a", "b"], "left_anti"), "met")
+    # First the best pair of each class: most of the others then lie in one component.
+    best = met.groupBy("far").agg(F.max_by(F.struct("a", "b"), F.struct("more", "a", "b")).alias("x")).select("x.*")
+    some_ = materialize(agreeing(few.join(tried, ["a", "b"], "left_anti"), slim, share, need), "few")
+    one = materialize(confirm(some_.select("a", "b").union(best).distinct(), texts, k, share).union(near), "one")
+    new = materialize(moved(one, part), "moved")
+    root = lambda p: F.coalesce(f"{p}_", p)
+    rest = met.join(new.toDF("pa", "pa_"), "pa", "left").join(new.toDF("pb", "pb_"), "pb", "left").where(root("pa") != root("pb"))
+    rest = materialize(rest.select("a", "b").join(best, ["a", "b"], "left_anti"), "rest")
+    two = materialize(confirm(rest, texts, k, share), "two")
+    more = one.union(two)
     done = part if more.isEmpty() else materialize(parts(links.union(more), slim), "parts")
-    forget(shared, texts, star, left, seen, open_, cross)
+    forget(shared, texts, star, left, seen, rows_, first, met, some_, new, rest)
     return sigs, classes, done
 
 
+def moved(links: DataFrame, part: DataFrame) -> DataFrame:
+    """(part, new): components that the links join, and the least of theirs."""
+    at = lambda x, p: part.select(F.col("c").alias(x), F.col("part").alias(p))
+    met = links.join(at("a", "src"), "a").join(at("b", "dst"), "b").where("src <> dst").select("src", "dst").distinct()
+    return components(met).select(F.col("id").alias("part"), F.col("component").alias("new"))
+
+
 def parts(links: DataFrame, slim: DataFrame) -> DataFrame:
     """(c, n, part) of every class."""
     of = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("c"), F.col("component").alias("part"))

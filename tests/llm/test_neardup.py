@@ -117,3 +117,44 @@ def test_texts_are_read_as_bytes_one_at_a_time(spark):
     batch = neardup.batch([(1, b"x"), (None, None)], {"a": "int64", "t": "binary"})
     rows = neardup.each(batch)
     assert next(rows) == (1, b"x") and next(rows) == (None, None) and next(rows, None) is None
+
+
+def edited(rng, words, places, vocabulary=10**6):
+    t = list(words)
+    for at in rng.sample(range(len(t)), places):
+        t[at] = f"x{rng.randrange(vocabulary)}"
+    return t
+
+
+def test_two_groups_of_near_copies_form_few_pairs(spark, monkeypatch):
+    """Two groups of 200 near copies, 0.6 alike: components are right, and pairs compared follow the classes, not their square."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = [" ".join(edited(rng, words, rng.choice([2, 4, 6, 8, 14]))) for words in (base, edited(rng, base, 30)) for _ in range(200)]
+    pairs = []
+    look = neardup.confirm
+    monkeypatch.setattr(neardup, "confirm", lambda p, *a: pairs.append(p.count()) or look(p, *a))
+    got = {r.doc_id: tuple(r[1:]) for r in neardup.near_duplicates(documents(spark, texts), k=2).collect()}
+    assert got == brute(dict(enumerate(texts)), 2)
+    assert sum(pairs) < 6000, pairs
+
+
+def test_differing_pairs_lose_no_link(spark):
+    """Classes that are not linked with their centre, in twos that are linked: all of these meet, and hardly others."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    texts = [base]
+    for i in range(60):
+        texts.append(edited(rng, base, 22, vocabulary=400 if i % 2 else 10**6))
+        texts.append(edited(rng, texts[-1], rng.choice([1, 4, 7])))
+    sets = [shingles(" ".join(t), 2) for t in texts]
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    n = len(texts)
+    assert not any(alike(0, b) for b in range(1, n))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "c long, text string")
+    part = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "c long, n long, part long")
+    seen = neardup.beside(spark.createDataFrame([(0, b) for b in range(1, n)], "a long, b long"), table, 2)
+    assert {r.b: (len(r.outside), len(r.lacking)) for r in seen.collect()} == {b: (len(sets[b] - sets[0]), len(sets[0] - sets[b])) for b in range(1, n)}
+    met = {(r.a, r.b) for r in neardup.differing_pairs(neardup.differing(neardup.held(seen, part, 80)), 80).collect()}
+    links = {(a, b) for a in range(1, n) for b in range(a + 1, n) if alike(a, b)}
+    assert len(links) >= 50 and links <= met and len(met) < 3 * len(links)
