@@ -20,6 +20,8 @@ LARGEST = 65_536
 BLOCKS = 12
 #: Rows and columns of the products that a task works out at a time.
 TILE = 1024, 4096
+#: Parts of a bracket in the search for a median, and the most values that come back one by one.
+BINS = 65_536
 
 
 def numbered(df: DataFrame, key: str, name: str, rows: int = 1024) -> tuple[DataFrame, int]:
@@ -335,7 +337,7 @@ def _mmd(v: DataFrame, key: str, kernel) -> DataFrame:
         rows = []
         twice = len(left) and len(right) and left["_a"].iloc[0] != left["_b"].iloc[0]
         for (i, x), (j, y) in product(left.groupby("side"), right.groupby("side")):
-            x, y = np.stack(x.h), np.stack(y.h)
+            x, y = np.stack(x.h).astype(float), np.stack(y.h).astype(float)
             total = sum(float(kernel(x[p], y[q]).sum()) for p in tiles(len(x), TILE[0]) for q in tiles(len(y), TILE[1]))
             rows += [(i, j, total, len(x) * len(y)), (j, i, total, len(x) * len(y))][: 1 + twice]
         return pd.DataFrame(rows, columns=["i", "j", "k", "n"])
@@ -344,12 +346,76 @@ def _mmd(v: DataFrame, key: str, kernel) -> DataFrame:
     return k.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("k")).otherwise(-F.col("k"))).alias("mmd2"))
 
 
-def median_distance(a: DataFrame, key: str, side: str, vector: str, sample: int = 2000) -> float:
-    """Median distance between vectors of the two sides, over ``sample`` of each by least hash of the key."""
-    few = [a.where(F.col(side) == s).select(key, F.col(vector).alias("h")).orderBy(F.xxhash64(key), key).limit(sample) for s in (0, 1)]
-    x, y = (np.array([list(map(float, r.h)) for r in f.collect()]) for f in few)
-    d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T))
-    return float(np.median(d)) if d.size else 1.0
+def median_distance(a: DataFrame, key: str, side: str, vector: str) -> float:
+    """Median distance between vectors of the two sides, over all their pairs; of two middle ones the mean.
+
+    Blocks of the sides meet in rounds.  A round counts the squared distances below a bracket and in each of
+    ``BINS`` parts of it, with the least and the most there: the part with the middle rank is the next bracket.
+    With ``BINS`` or fewer left, each value is its own part.  A round goes by its own counts alone.
+    """
+    rows = a.select(F.col(key).alias("_k"), F.col(side).cast("int").alias("side"), F.col(vector).alias("h"))
+    size = rows.where("side in (0, 1)").groupBy("side").agg(F.count("*").alias("n"), F.sqrt(F.max(dot("h", "h"))).alias("norm")).collect()
+    if len(size) < 2:
+        return 1.0
+    n, most = size[0].n * size[1].n, (size[0].norm + size[1].norm) ** 2 * (1 + 1e-9)
+    if not np.isfinite(most) or not most:
+        return most * 0.0
+    (x, nx), (y, ny) = (numbered(rows.where(F.col("side") == i).drop("side"), "_k", name) for i, name in ((0, "_a"), (1, "_b")))
+
+    def met(brackets: list) -> DataFrame:
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            # In order of the key, so that a pair's distance comes out alike in every round.
+            u, v = (np.stack(z.sort_values("_k", kind="stable").h).astype(float) if len(z) else [] for z in (left, right))
+            return counted((squared(u[p], v[q]).ravel() for p in tiles(len(u), TILE[0]) for q in tiles(len(v), TILE[1])), brackets)
+
+        return met_blocks(x, y, nx, ny, run, "i int, at double, n long, lo double, hi double")
+
+    todo, found = {r: (0.0, most, n) for r in {(n - 1) // 2, n // 2}}, {}
+    while todo:
+        brackets = sorted(set(todo.values()))
+        got = met(brackets).groupBy("i", "at").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()
+        for r, b in list(todo.items()):
+            own = got[got.i == brackets.index(b)].sort_values("at")
+            place = np.searchsorted(own.n.cumsum().to_numpy(), r, "right")
+            part = own.iloc[place] if place < len(own) else None
+            if part is None or part["at"] == -np.inf:
+                todo[r] = (0.0, most, n)
+            elif part.lo == part.hi:
+                found[r] = part.lo
+                del todo[r]
+            else:
+                todo[r] = (part.lo, part.hi, int(part.n))
+    return float(np.mean([np.sqrt(q) for q in found.values()]))
+
+
+def counted(parts, brackets: list[tuple[float, float, int]]) -> pd.DataFrame:
+    """Values by bracket (lo, hi, how many it holds) and part of it: their number, the least and the most."""
+    below = np.zeros(len(brackets), int)
+    n, lo, hi = (np.full((len(brackets), BINS), z) for z in (0, np.inf, -np.inf))
+    few = [[] for _ in brackets]
+    for q in parts:
+        for i, (least, most, held) in enumerate(brackets):
+            below[i] += np.count_nonzero(q < least)
+            own = q[(q >= least) & (q <= most)]
+            if held <= BINS:
+                few[i].append(own)
+                continue
+            at = np.minimum(((own - least) / (most - least) * BINS).astype(np.int64), BINS - 1)
+            n[i] += np.bincount(at, minlength=BINS)
+            np.minimum.at(lo[i], at, own)
+            np.maximum.at(hi[i], at, own)
+    out = [pd.DataFrame({"i": np.arange(len(brackets)), "at": -np.inf, "n": below, "lo": -np.inf, "hi": -np.inf})]
+    for i, own in enumerate(few):
+        value, times = np.unique(np.concatenate([*own, []]), return_counts=True)
+        out.append(pd.DataFrame({"i": i, "at": value, "n": times, "lo": value, "hi": value}))
+        at = np.flatnonzero(n[i])
+        out.append(pd.DataFrame({"i": i, "at": at.astype(float), "n": n[i][at], "lo": lo[i][at], "hi": hi[i][at]}))
+    return pd.concat(out)
+
+
+def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of every row of one matrix to every row of the other."""
+    return np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T)
 
 
 def mmd(a: DataFrame, key: str, side: str, vector: str, sigmas: list[float] | None = None) -> DataFrame:
@@ -359,10 +425,10 @@ def mmd(a: DataFrame, key: str, side: str, vector: str, sigmas: list[float] | No
         sigmas = [m / 2, m, 2 * m]
 
     def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        q = np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T)
+        q = squared(x, y)
         return sum(np.exp(-q / (2 * s * s)) for s in sigmas) / len(sigmas)
 
-    return _mmd(a.select(F.col(key), F.col(side).alias("side"), F.transform(vector, lambda x: x.cast("double")).alias("h")), key, kernel)
+    return _mmd(a.select(F.col(key), F.col(side).alias("side"), F.col(vector).alias("h")), key, kernel)
 
 
 def concat_graphs(nodes: DataFrame, edges: DataFrame, window: str) -> tuple[DataFrame, DataFrame]:

@@ -79,6 +79,31 @@ def test_kernel_sums_of_blocks_and_tiles(spark, monkeypatch):
     assert abs(G.mmd(df, "id", "side", "v", [1.0, 2.0]).collect()[0].mmd2 - want) < 1e-12
 
 
+def test_the_median_distance_is_that_of_all_pairs(spark):
+    """More rows a side than any sample of before, most of them far from the middle."""
+    df = spark.range(9001).select("id", (F.col("id") % 2).alias("side"), F.array(F.pow(F.col("id") % 97, F.lit(3)).cast("float"), (F.col("id") % 89).cast("float")).alias("v"))
+    v = np.array([r.v for r in df.orderBy("id").collect()])
+    want = np.median(np.sqrt(((v[0::2, None] - v[None, 1::2]) ** 2).sum(2)))
+    assert G.median_distance(df, "id", "side", "v") == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("bins", [4, 65_536])
+def test_the_median_distance_in_rounds(spark, monkeypatch, bins):
+    monkeypatch.setattr(G.numbered, "__defaults__", (9,))
+    monkeypatch.setattr(G, "TILE", (4, 3))
+    monkeypatch.setattr(G, "BINS", bins, raising=False)
+    rng = np.random.default_rng(3)
+    equal = np.ones((40, 2))
+    halves = np.repeat([[0.0, 0.0], [9.0, 0.0]], 10, axis=0)  # half of the distances 0, half 9: the median is between
+    for x in (rng.normal(size=(41, 3)), rng.normal(size=(40, 2)), equal, np.concatenate([equal, rng.normal(size=(7, 2))]), halves):
+        side = rng.permutation(len(x)) % 2 if x is not halves else np.arange(20) % 2
+        df = spark.createDataFrame([(i, int(s), v.tolist()) for i, (s, v) in enumerate(zip(side, x))], "id long, side int, v array<double>")
+        d = np.sqrt(((x[side == 0][:, None] - x[side == 1][None]) ** 2).sum(2))
+        assert abs(G.median_distance(df, "id", "side", "v") - np.median(d)) < 1e-7
+    assert G.median_distance(df.where("side = 0"), "id", "side", "v") == 1.0
+    assert G.median_distance(df.withColumn("v", F.array(F.lit(0.0))), "id", "side", "v") == 0.0
+
+
 def test_near_pairs_each_once(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.uniform(-6, 6, size=(300, 2)), 1)
