@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import h, h_sql, table
+from cohortlake.functions.prims import h, h_sql, materialize, table
 from cohortlake.operators import metrics as E
 
 from .cohort import SURV, survival
@@ -443,6 +443,5 @@ def e38(spark, d):
  SELECT modality, count(*) AS n, round(avg((array_to_string(a, ' ') = array_to_string(t, ' '))::INT), 6) AS exact, round(avg(coalesce(coalesce(c, 0) / nullif(len(a), 0), 0)), 6) AS precision, round(avg(coalesce(coalesce(c, 0) / nullif(len(t), 0), 0)), 6) AS recall, round(avg(coalesce(2 * coalesce(c, 0) / nullif(len(a) + len(t), 0), 0)), 6) AS f1, round(avg((coalesce(text, '') = array_to_string(t, ' ') AND text IS NOT NULL)::INT), 6) AS hit
  FROM r LEFT JOIN c USING (key) LEFT JOIN b USING (key) GROUP BY 1""")
 def e38o(spark, d):
-    a = answers(spark, d)
-    a = a.withColumn("modality", F.floor(F.col("key") / 1000) % 3)
+    a = materialize(answers(spark, d).withColumn("modality", F.floor(F.col("key") / 1000) % 3))
     return rounded(E.open_accuracy(a, "key", "answer", "truth", a.select("truth"), "truth", ["modality"], 2).drop("bleu"))

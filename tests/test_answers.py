@@ -1,9 +1,12 @@
 """Answers met with candidates: against all pairs, and the rows that meet."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlake.operators import metrics as E
 
@@ -106,3 +109,40 @@ def test_answers_are_not_copied_for_each_word(spark):
     exploded = [line for line in plan.splitlines() if "Generate explode(_aw" in line]
     # What a Generate drops of its input stands first in brackets.
     assert exploded and all(re.search(r"explode\(_aw#\d+\), \[\d", line) for line in exploded)
+
+
+def test_texts_are_not_copied_for_each_word(spark, tmp_path):
+    """Half of the answers hold their truth; what is shuffled stays near the texts, however many words they have."""
+    text = lambda i, n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.concat(F.lit("w"), F.pmod(F.xxhash64(i, j), F.lit(10**9)))), " ")
+    df = spark.range(400).select("id", (F.col("id") % 2).alias("g"), text(F.col("id"), 400).alias("a"), text(F.col("id") + F.col("id") % 2, 390).alias("t"))
+    df.write.parquet(f"{tmp_path}/df")
+    df = spark.read.parquet(f"{tmp_path}/df")
+    size = df.agg(F.sum(F.length("a") + F.length("t"))).collect()[0][0]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    with_own = E.open_accuracy(df, "id", "a", "t", df.select("t"), "t", ["g"], 2).collect()
+    assert {(r.g, r.n, r.hit, r.exact) for r in with_own} == {(0, 200, 1.0, 0.0), (1, 200, 0.0, 0.0)}
+    assert 0 < written() - before < 4 * size
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_open_questions_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(7)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(rng.randrange(n)))
+    rows = [(i, rng.choice(["x", None]), text(9), text(4)) for i in range(120)] + [(200, "x", None, "w1"), (201, "x", "w1 w1 w2", "w1 w2 w2"), (202, "y", "", ""), (203, "y", "w1 w2 w3 w9", "w3 w2")]
+    candidates = [r[3] for r in rows if r[0] % 5] + ["zz", "zz w1", None]
+    df = spark.createDataFrame(rows, "id long, g string, answer string, truth string")
+    out = E.open_accuracy(df, "id", "answer", "truth", spark.createDataFrame([(c,) for c in candidates], "c string"), "c", ["g"], 2)
+    want = {}
+    for _, g, a, t in rows:
+        x, y = (a or "").split(), t.split()
+        c = sum((Counter(x) & Counter(y)).values())
+        held = sorted((-len(set(z.split())), z) for z in set(candidates) - {None, ""} if set(z.split()) <= set(x))
+        grams = [(sum((Counter(p) & Counter(q)).values()), len(p)) for p, q in ((x, y), (list(zip(x, x[1:])), list(zip(y, y[1:]))))]
+        b = (1 if len(x) >= len(y) else math.exp(1 - len(y) / len(x))) * math.sqrt(grams[0][0] / grams[0][1] * grams[1][0] / grams[1][1]) if all(m for m, _ in grams) else 0
+        want.setdefault(g, []).append((c / len(x) if x else 0, c / len(y) if y else 0, 2 * c / (len(x) + len(y)) if x or y else 0, b, float(bool(held) and held[0][1] == t)))
+    got = {r.g: (r.n, r.precision, r.recall, r.f1, r.bleu, r.hit) for r in out.collect()}
+    assert got.keys() == want.keys()
+    for g, own in want.items():
+        assert got[g] == pytest.approx((len(own), *(sum(z) / len(own) for z in zip(*own))))
