@@ -366,7 +366,7 @@ def median_distance(a: DataFrame, key: str, side: str, vector: str) -> float:
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             # In order of the key, so that a pair's distance comes out alike in every round.
             u, v = (np.stack(z.sort_values("_k", kind="stable").h).astype(float) if len(z) else [] for z in (left, right))
-            return counted((squared(u[p], v[q]).ravel() for p in tiles(len(u), TILE[0]) for q in tiles(len(v), TILE[1])), brackets)
+            return counted((squared(u[p], v[q]).ravel() for p in tiles(len(u), TILE[0]) for q in tiles(len(v), TILE[1])), brackets, BINS)
 
         return met_blocks(x, y, nx, ny, run, "i int, at double, n long, lo double, hi double")
 
@@ -388,20 +388,20 @@ def median_distance(a: DataFrame, key: str, side: str, vector: str) -> float:
     return float(np.mean([np.sqrt(q) for q in found.values()]))
 
 
-def counted(parts, brackets: list[tuple[float, float, int]]) -> pd.DataFrame:
+def counted(parts, brackets: list[tuple[float, float, int]], bins: int) -> pd.DataFrame:
     """Values by bracket (lo, hi, how many it holds) and part of it: their number, the least and the most."""
     below = np.zeros(len(brackets), int)
-    n, lo, hi = (np.full((len(brackets), BINS), z) for z in (0, np.inf, -np.inf))
+    n, lo, hi = (np.full((len(brackets), bins), z) for z in (0, np.inf, -np.inf))
     few = [[] for _ in brackets]
     for q in parts:
         for i, (least, most, held) in enumerate(brackets):
             below[i] += np.count_nonzero(q < least)
             own = q[(q >= least) & (q <= most)]
-            if held <= BINS:
+            if held <= bins:
                 few[i].append(own)
                 continue
-            at = np.minimum(((own - least) / (most - least) * BINS).astype(np.int64), BINS - 1)
-            n[i] += np.bincount(at, minlength=BINS)
+            at = np.minimum(((own - least) / (most - least) * bins).astype(np.int64), bins - 1)
+            n[i] += np.bincount(at, minlength=bins)
             np.minimum.at(lo[i], at, own)
             np.maximum.at(hi[i], at, own)
     out = [pd.DataFrame({"i": np.arange(len(brackets)), "at": -np.inf, "n": below, "lo": -np.inf, "hi": -np.inf})]
