@@ -140,23 +140,53 @@ def c_index(df: DataFrame, group: list[str], risk: str = "risk", time: str = "du
     is_event = F.col(event) == 1
     d = df.where(F.col(risk).isNotNull() & F.col(time).isNotNull()).groupBy(*group, F.col(time).alias("t"), F.col(risk).alias("r"))
     d = d.agg(F.sum(F.when(is_event, ew).otherwise(0.0)).cast("double").alias("e"), F.sum(w).cast("double").alias("a"), F.sum(F.when(is_event, 0.0).otherwise(w)).cast("double").alias("c"))
-    order = [*map(F.col, group), F.col("r").asc(), F.col("t").desc()]
-    d = materialize(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).mapInArrow(with_range_sums(group), range_schema(d, group)))
-    # Two kinds of rows: times of a range, and the first and last risks of a range with the pairs counted inside.
-    times = d.where("t is not null").select(*group, "_part", "t", "e", "a", "c")
-    risks = d.where("t is null")
+    return of_ranges(in_ranges(d, group), group)
+
+
+def drawn_c_index(df: DataFrame, group: list[str], key: Column, drawn, risk: str = "risk", time: str = "duration", event: str = "event") -> DataFrame:
+    """(group, b, pairs, c_index) of ``c_index`` for each replicate b; ``drawn``: arrays of keys to rows of weights, one a replicate.
+
+    A row goes to its range of risk once, with its key, and gets the weights of all replicates there.
+    A range can end between rows of one risk and time, as their keys are part of the order.
+    """
+    rows = df.where(F.col(risk).isNotNull() & F.col(time).isNotNull()).select(*group, F.col(time).alias("t"), F.col(risk).alias("r"), F.coalesce(F.col(event) == 1, F.lit(False)).alias("_event"), key.alias("_k")).where("_k is not null")
+    return of_ranges(in_ranges(rows, group, drawn), [*group, "b"])
+
+
+#: Rows of a range that a task counts at a time, but for a batch.
+RANGE = 2**18
+
+
+def in_ranges(d: DataFrame, group: list[str], drawn=None) -> DataFrame:
+    """Cells, or rows to draw for, dealt out by ranges of risk, later times first, to the sums of ``with_range_sums``, written."""
+    order = [*map(F.col, group), F.col("r").asc(), F.col("t").desc(), *([F.col("_k").asc()] if drawn else [])]
+    part = F.shiftleft(F.spark_partition_id().cast("long"), 32)
+    return materialize(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part).mapInArrow(with_range_sums(group, drawn), range_schema(d, group, drawn)))
+
+
+def of_ranges(d: DataFrame, group: list[str]) -> DataFrame:
+    """(group, pairs, c_index) from the sums of ranges.
+
+    Rows with a time alone are the times of a range, those with a risk alone its first and last risks, with the
+    pairs counted inside, and those with both its first and last cells, of which a part can be in the ranges beside it.
+    """
+    number = d.select("_part").distinct().select("_part", F.row_number().over(Window.orderBy("_part")).alias("_range"))
+    times = d.where("r is null").join(F.broadcast(number), "_part")
+    ends = d.where("r is not null")
     sums = {c: F.col(c) for c in ("e", "a", "c")}
     # Later than an event at t: every later time, and those censored at t.
     later = F.col("e") * (F.col("a_upto") - F.col("a") + F.col("c"))
     pairs = prefix(times, group, "t", sums, descending=True).groupBy(*group).agg(F.sum(later).alias("pairs"))
-    before = Window.partitionBy(*group, "r").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    same = risks.withColumn("_same", F.col("e") * F.coalesce(F.sum("a").over(before), F.lit(0.0)))
+    # A later part of a cell took events of the earlier one for later rows, and met none of its own with that one's events.
+    before = Window.partitionBy(*group, "r", "t").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    same = ends.withColumn("_same", F.when(F.col("t").isNull(), F.col("e") * sum_before("a")).otherwise(-F.col("a") * sum_before("e")))
     inside = same.groupBy(*group).agg(F.sum("beaten").alias("beaten"), (F.sum("tied") + F.sum("_same")).alias("tied"))
     # Level j: ranges p and p' meet where their bits above j agree and bit j is 1 for the event's row, 0 for the other.
-    top = times.groupBy(*group).agg(F.min("_part").alias("pmin"), F.max("_part").alias("pmax"))
+    top = times.groupBy(*group).agg(F.min("_range").alias("pmin"), F.max("_range").alias("pmax"))
     level = times.join(top, group) if group else times.crossJoin(F.broadcast(top))
     level = level.withColumn("j", F.explode(F.expr("sequence(0, cast(floor(log2(greatest(pmax - pmin, 1))) as int))")))
-    half = F.expr("shiftright(_part - pmin, j)")
+    half = F.expr("shiftright(_range - pmin, j)")
     level = level.withColumn("_half", F.shiftright(half, 1)).withColumn("_hi", half % 2)
     lo = F.col("_hi") == 0
     s = {"e": F.when(lo, 0.0).otherwise(F.col("e")), "a": F.when(lo, F.col("a")).otherwise(0.0), "c": F.when(lo, F.col("c")).otherwise(0.0)}
@@ -165,19 +195,31 @@ def c_index(df: DataFrame, group: list[str], risk: str = "risk", time: str = "du
     return both.select(*group, "pairs", ratio(F.col("won") + F.col("beaten") - F.col("tied") / 2, "pairs").alias("c_index"))
 
 
-def range_schema(cells: DataFrame, group: list[str]) -> T.StructType:
+def range_schema(cells: DataFrame, group: list[str], drawn=None) -> T.StructType:
     number = lambda n: T.StructField(n, T.DoubleType())
     own = [T.StructField(f.name, f.dataType) for f in (*(cells.schema[g] for g in group), cells.schema["r"], cells.schema["t"])]
-    return T.StructType([*own, T.StructField("_part", T.IntegerType()), *map(number, ("e", "a", "c", "beaten", "tied"))])
+    own[len(group) : len(group)] = [T.StructField("b", T.IntegerType())] if drawn else []
+    return T.StructType([*own, T.StructField("_part", T.LongType()), *map(number, ("e", "a", "c", "beaten", "tied"))])
+
 
+def with_range_sums(group: list[str], drawn=None):
+    """Sorted (group, risk, time) cells to sums of ranges by group and time, and the first and last risk of each group there.
 
-def with_range_sums(group: list[str]):
-    """Sorted (group, risk, time) cells of a range to its sums by group and time, and its first and last risk of each group."""
+    A task's rows are taken ``RANGE`` or a batch more at a time, as ranges of their own.  With ``drawn`` rows
+    become cells here, for each replicate, and the first and last cells come too.
+    """
 
     def run(batches):
-        rows = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if rows is None:
-            return
+        held, n, number = [], 0, 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= RANGE:
+                yield from sums_of(pa.Table.from_batches(held), number)
+                held, n, number = [], 0, number + 1
+        if n:
+            yield from sums_of(pa.Table.from_batches(held), number)
+
+    def sums_of(rows, number):
         rows = rows.combine_chunks()
         new = np.zeros(rows.num_rows, bool)
         new[0] = True
@@ -187,21 +229,31 @@ def with_range_sums(group: list[str]):
         starts = [*np.flatnonzero(new).tolist(), rows.num_rows]
         for lo, hi in zip(starts, starts[1:]):
             own = rows.slice(lo, hi - lo)
-            r, t = (np.unique(own[c].to_numpy(), return_inverse=True) for c in ("r", "t"))
-            e, a, c = (own[n].to_numpy() for n in ("e", "a", "c"))
-            beaten, tied = beaten_inside(t[1], e, a, c), tied_inside(r[1], e, a, c)
-            by_time = [np.bincount(t[1], x, len(t[0])) for x in (e, a, c)]
+            if drawn:
+                a, event = drawn(own["_k"].to_numpy()), own["_event"].to_numpy(zero_copy_only=False)
+                e, c = a * event, a * ~event
+            else:
+                e, a, c = (own[n].to_numpy()[None] for n in ("e", "a", "c"))
+            r, t = (own[n].to_numpy() for n in ("r", "t"))
+            cells = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (t[1:] != t[:-1])]))
+            if len(cells) < len(r):
+                e, a, c = (np.add.reduceat(x, cells, axis=1, dtype=float) for x in (e, a, c))
+            r, t = (np.unique(x[cells], return_inverse=True) for x in (r, t))
             first_of_t = np.zeros(len(t[0]), int)
-            first_of_t[t[1]] = np.arange(hi - lo)
-            ends = [0] if r[1][0] == r[1][-1] else [0, hi - lo - 1]
-            by_risk = [[x[r[1] == r[1][i]].sum() for i in ends] for x in (e, a, c)]
-            pick = np.concatenate([first_of_t, ends])
-            kind = np.arange(len(pick)) < len(first_of_t)
-            zeros = lambda v: pa.array([0.0] * len(first_of_t) + [v] + [0.0] * (len(ends) - 1))  # noqa: B023, E731
-            null = lambda n, gone: pc.if_else(pa.array(gone), pa.scalar(None, own.schema.field(n).type), own[n].combine_chunks().take(pa.array(pick)))  # noqa: B023, E731
-            columns = [*(own[g].combine_chunks().take(pa.array(pick)) for g in group), null("r", kind), null("t", ~kind)]
-            columns += [own["_part"].combine_chunks().take(pa.array(pick)), *(pa.array(np.concatenate([x, y])) for x, y in zip(by_time, by_risk)), zeros(beaten), zeros(tied)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*group, "r", "t", "_part", "e", "a", "c", "beaten", "tied"])
+            first_of_t[t[1]] = np.arange(len(cells))
+            ends = [0] if r[1][0] == r[1][-1] else [0, len(cells) - 1]
+            parts = [] if not drawn else [0] if len(cells) == 1 else [0, len(cells) - 1]
+            pick = pa.array(cells[np.concatenate([first_of_t, np.array(ends + parts, int)])])
+            kind = np.repeat([0, 1, 2], [len(first_of_t), len(ends), len(parts)])
+            take = lambda n: own[n].combine_chunks().take(pick)  # noqa: B023, E731
+            null = lambda n, gone: pc.if_else(pa.array(gone), pa.scalar(None, own.schema.field(n).type), take(n))  # noqa: B023, E731
+            fixed = [*map(take, group)], [null("r", kind == 0), null("t", kind == 1), pa.array(np.full(len(kind), own["_part"][0].as_py() + number))]
+            beaten = beaten_inside(t[1], e, a, c)
+            for b, draw in enumerate(zip(e, a, c)):
+                sums = [np.concatenate([np.bincount(t[1], x, len(t[0])), [x[r[1] == r[1][i]].sum() for i in ends], x[parts]]).astype(float) for x in draw]
+                zeros = lambda v: pa.array(np.where(np.arange(len(kind)) == len(first_of_t), v, 0.0))  # noqa: B023, E731
+                columns = [*fixed[0], *([pa.array(np.full(len(kind), b, np.int32))] if drawn else []), *fixed[1], *map(pa.array, sums), zeros(beaten[b]), zeros(tied_inside(r[1], *draw))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*group, *(["b"] if drawn else []), "r", "t", "_part", "e", "a", "c", "beaten", "tied"])
 
     return run
 
@@ -209,24 +261,23 @@ def with_range_sums(group: list[str]):
 def tied_inside(r, e, a, c) -> float:
     """Events times the later rows of the same risk and those censored at the event's time; later times come first."""
     new = np.concatenate([[True], r[1:] != r[:-1]])
-    before = np.cumsum(a) - a
+    before = np.cumsum(a, dtype=float) - a
     start = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
     return float((e * (before - before[start] + c)).sum())
 
 
-def beaten_inside(t, e, a, c) -> float:
-    """Events times the rows at or before them that have a later time, or are censored at the same one.
+def beaten_inside(t, e, a, c) -> list[float]:
+    """For each row of weights the events times the rows at or before them that have a later time, or are censored at the same one.
 
     Level by level over the bits of the position: an event in the upper half of a block meets the lower half.
     """
     n = len(t)
     order = np.argsort(-t, kind="stable")
-    total = float((e * c).sum())
+    totals = [float(x.astype(float) @ y) for x, y in zip(e, c)]
     for j in range((n - 1).bit_length()):
         # Every block in order of time, latest first.
         at = order[np.argsort(order >> (j + 1), kind="stable")]
         block, time, low = at >> (j + 1), t[at], (at >> j) & 1 == 0
-        ca, cc = (np.concatenate([[0.0], np.cumsum(np.where(low, x[at], 0.0))]) for x in (a, c))
         i = np.arange(n)
         new = np.concatenate([[True], block[1:] != block[:-1]])
         start = np.maximum.accumulate(np.where(new, i, 0))
@@ -234,8 +285,12 @@ def beaten_inside(t, e, a, c) -> float:
         run = np.flatnonzero(new)
         which = np.cumsum(new) - 1
         first, end = run[which], np.concatenate([run[1:], [n]])[which]
-        total += float((np.where(low, 0.0, e[at]) * (ca[first] - ca[start] + cc[end] - cc[first])).sum())
-    return total
+        up = np.flatnonzero(~low)
+        start, first, end, upper = start[up], first[up], end[up], at[up]
+        for b in range(len(totals)):
+            ca, cc = (np.concatenate([[0.0], np.cumsum(np.where(low, x[b][at], 0), dtype=float)]) for x in (a, c))
+            totals[b] += float(e[b][upper] @ (ca[first] - ca[start] + cc[end] - cc[first]))
+    return totals
 
 
 def ipcw_c_index(df: DataFrame, group: list[str], risk: str = "risk", time: str = "duration", event: str = "event", tau: float | None = None) -> DataFrame:

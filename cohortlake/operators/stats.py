@@ -2,13 +2,14 @@
 
 from math import erf, pi, tan
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.prims import corr, exact_mean, first_by, h, mid_ranks, prefix
+from cohortlake.functions.prims import M, corr, exact_mean, first_by, h, mid_ranks, prefix
 from cohortlake.functions.special import correlation_p, normal_p, t_p
 
-from .metrics import auroc, c_index, ratio
+from .metrics import auroc, drawn_c_index, ratio
 
 
 def parse_run(path) -> dict[str, Column]:
@@ -107,7 +108,18 @@ def bootstrap_auroc(df: DataFrame, group: list[str], key: str, b: int = 100, see
 
 
 def bootstrap_cindex(df: DataFrame, group: list[str], key: str, b: int = 100, seed: int = 1) -> DataFrame:
-    return interval(c_index(replicates(df, key, b, seed), [*group, "b"], weight=F.col("w")), group, "c_index")
+    """Interval of the concordance index over replicates; their weights, those of ``replicates``, are drawn where pairs are counted."""
+    return interval(drawn_c_index(df, group, h(key, seed), lambda k: weights(k, b, seed)), group, "c_index")
+
+
+def weights(k: np.ndarray, b: int, seed: int) -> np.ndarray:
+    """The weights of ``replicates`` for keys' hashes: a row for each of b replicates."""
+    out = np.zeros((b, len(k)), np.uint8)
+    for i in range(b):
+        u = ((k + i * 7919) % M * 48271 + (seed + 1) * 40503 + 11) % M
+        v = (u * u + 12345) % M
+        out[i] = np.searchsorted(POISSON, (v * 69621 + u) % M, side="right")
+    return out
 
 
 def bootstrap_diff(df: DataFrame, group: list[str], key: str, score_a: str, score_b: str, truth: str = "truth", b: int = 100, seed: int = 1) -> DataFrame:

@@ -203,9 +203,10 @@ SURV = """(SELECT o_orderkey AS subject, (o_orderstatus = 'F')::INT AS event, 1
 def survival(spark, d):
     """(subject, event, duration, grp, risk) from orders and the earliest shipping date."""
     ship = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("ship"))
-    rows = table(spark, d, "orders").join(ship, "o_orderkey").withColumn("_d", 1 + F.abs(F.datediff(F.to_date("ship"), F.to_date("o_orderdate"))))
+    orders = table(spark, d, "orders")
+    rows = orders.join(ship, "o_orderkey").withColumn("_d", 1 + F.abs(F.datediff(F.to_date("ship"), F.to_date("o_orderdate"))))
     t = C.survival_table(rows, "o_orderkey", F.col("o_orderstatus") == "F", F.col("_d"), F.col("o_orderpriority"), F.col("o_totalprice"))
-    return t.join(rows.select(F.col("o_orderkey").alias("subject"), F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("risk")), "subject")
+    return t.join(orders.select(F.col("o_orderkey").alias("subject"), F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("risk")), "subject")
 
 
 @query("c01_survival_table", f"SELECT subject, event, duration::BIGINT AS duration FROM {SURV}")

@@ -4,7 +4,9 @@ import math
 from functools import reduce
 from operator import add
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlake.functions.special import t_p
 from cohortlake.operators import metrics as E
@@ -108,3 +110,47 @@ def test_c_index_over_ranges_against_all_pairs(spark, group):
         total = sum(x[4] * y[4] for x, y in pairs)
         assert got[g] == (pytest.approx(total), pytest.approx(won / total))
     assert sum(d.count() for d in written) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("size", [10, 2**18])
+def test_bootstrap_of_concordance_against_all_pairs(spark, monkeypatch, hot, size):
+    """Replicates as in all pairs of their rows, also where one risk and time, over several ranges, has most rows."""
+    monkeypatch.setattr(E, "RANGE", size, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(size, 10_000)))
+    rng = np.random.default_rng(7)
+    n, b = 600, 4
+    risk, time, event = rng.integers(0, 12, n) / 4, rng.integers(1, 9, n), rng.integers(0, 2, n)
+    if hot:
+        risk[:400], time[:400] = 1.25, 5
+    g = ["ab"[i] for i in rng.integers(0, 2, n)]
+    df = spark.createDataFrame(list(zip(range(n), g, risk.tolist(), time.tolist(), event.tolist())), "id long, g string, risk double, duration long, event int")
+    ranges, real = [], E.materialize
+    monkeypatch.setattr(E, "materialize", lambda d: ranges.append(real(d)) or ranges[-1])
+    drawn = np.zeros((b, n))
+    for r in S.replicates(df.select("id"), "id", b, 3).collect():
+        drawn[r.b, r.id] = r.w
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.g: (r["mean"], r.lo, r.hi) for r in S.bootstrap_cindex(df, ["g"], "id", b, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert size > 10 or ranges[0].select("_part").distinct().count() >= n / 20
+    meets = (event[:, None] == 1) & ((time[None] > time[:, None]) | (time[None] == time[:, None]) & (event[None] == 0))
+    score = (risk[:, None] > risk[None]) + 0.5 * (risk[:, None] == risk[None])
+    for x in "ab":
+        own = meets & np.outer(np.array(g) == x, np.array(g) == x)
+        c = [(np.outer(w, w) * own * score).sum() / (np.outer(w, w) * own).sum() for w in drawn]
+        assert got[x] == pytest.approx((np.mean(c), np.quantile(c, 0.025), np.quantile(c, 0.975)))
+
+
+def test_replicates_are_not_shuffled(spark):
+    n = 20_000
+    df = spark.range(n).select("id", F.lit("a").alias("g"), F.rand(1).alias("risk"), (F.col("id") % 90).alias("duration"), (F.col("id") % 2).alias("event"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert len(S.bootstrap_cindex(df, ["g"], "id", 20, 1).collect()) == 1
+    assert 0 < written() - before < 100 * n
